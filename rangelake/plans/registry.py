@@ -71,3 +71,8 @@ BOXES = """SELECT CAST(l_orderkey AS BIGINT) AS frame_no, CAST(l_partkey % 600 A
   CAST(l_linenumber - 1 AS INTEGER) AS class_id, round(1.0 - CAST(l_discount AS DOUBLE) * 6, 6) AS confidence FROM lineitem"""
 GEO = """SELECT c_custkey AS target, CAST((c_custkey * 37) % 170 - 85 AS DOUBLE) AS lat, CAST((c_custkey * 91) % 360 - 180 AS DOUBLE) AS lon,
   c_custkey % 12 * 1000.0 AS alt, CAST(c_acctbal AS DOUBLE) AS speed FROM customer"""
+INT_FRAMES = """SELECT vec_id AS frame_no, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 10000) AS INTEGER)) AS samples FROM embeddings"""
+CONFIG = """SELECT c_custkey AS config, c_custkey % 8 * 64 + 64 AS samples, c_custkey % 4 * 32 + 32 AS chirps, c_custkey % 3 + 1 AS tx, 4 AS rx,
+  CAST(c_custkey % 50 + 5 AS DOUBLE) AS freq_slope, CAST(c_custkey % 10 * 1000 + 5000 AS DOUBLE) AS sample_rate, 77.0::DOUBLE AS start_freq,
+  CAST(c_custkey % 7 * 5 + 40 AS DOUBLE) AS ramp_end_time, CAST(c_custkey % 5 * 3 + 5 AS DOUBLE) AS idle_time, 2 AS iq, 2 AS bytes_per_value,
+  c_custkey % 2 * 2 + 2 AS lanes, 600.0::DOUBLE AS lane_mbps FROM customer"""

@@ -231,3 +231,32 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_custkey") % 12 * 1000.0).alias("alt"),
         F.col("c_acctbal").cast("double").alias("speed"),
     )
+
+
+def int_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small integer payload per vector: frame_no, samples (64 values)."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("frame_no"),
+        F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 10000).cast("int")).alias("samples"),
+    )
+
+
+def sensor_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sensor configuration per customer."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k.cast("long").alias("config"),
+        (k % 8 * 64 + 64).cast("long").alias("samples"),
+        (k % 4 * 32 + 32).cast("long").alias("chirps"),
+        (k % 3 + 1).cast("long").alias("tx"),
+        F.lit(4).cast("long").alias("rx"),
+        (k % 50 + 5).cast("double").alias("freq_slope"),
+        (k % 10 * 1000 + 5000).cast("double").alias("sample_rate"),
+        F.lit(77.0).alias("start_freq"),
+        (k % 7 * 5 + 40).cast("double").alias("ramp_end_time"),
+        (k % 5 * 3 + 5).cast("double").alias("idle_time"),
+        F.lit(2).cast("long").alias("iq"),
+        F.lit(2).cast("long").alias("bytes_per_value"),
+        (k % 2 * 2 + 2).cast("long").alias("lanes"),
+        F.lit(600.0).alias("lane_mbps"),
+    )
