@@ -228,10 +228,10 @@ def color_index(
         from rangelake.operators.ordered import with_position
 
         points = with_position(points, by, order)
-        color = F.col("pos").cast("double")
+        color = F.col("_pos").cast("double")
     named = points.withColumn("_c", color)
     limits = named.groupBy(*by).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
     span = F.when(F.col("_hi") - F.col("_lo") < 1e-9, 1.0).otherwise(F.col("_hi") - F.col("_lo"))
     scaled = F.floor((F.col("_c") - F.col("_lo")) / span * 255).cast("int")
     out = named.join(limits, list(by)).withColumn("color", F.greatest(F.lit(0), F.least(F.lit(255), scaled)))
-    return out.drop("_c", "_lo", "_hi", "pos", "n")
+    return out.drop("_c", "_lo", "_hi", "_pos", "_n")

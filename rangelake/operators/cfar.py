@@ -57,14 +57,14 @@ def cfar(
         else:
             inner = F.least(lo, hi) if kind == "caso" else F.greatest(lo, hi)
             floor_ = inner if wrap else (
-                F.when(F.col("pos") >= F.col("n") - span, lo).when(F.col("pos") < span, hi).otherwise(inner)
+                F.when(F.col("_pos") >= F.col("_n") - span, lo).when(F.col("_pos") < span, hi).otherwise(inner)
             )
         if integer:
             floor_ = F.floor(floor_)
         out = done.withColumn("noise_floor", floor_).drop("_l", "_r")
         threshold = F.col("noise_floor") + bound
     out = out.withColumn("threshold", threshold)
-    return out.withColumn("detected", F.col(value) > F.col("threshold")).drop("pos", "n")
+    return out.withColumn("detected", F.col(value) > F.col("threshold")).drop("_pos", "_n")
 
 
 def cfar_2d(

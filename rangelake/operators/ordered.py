@@ -80,12 +80,12 @@ def with_cells(df: DataFrame, part: Sequence[str], key: str, limit: int) -> Data
 def with_position(
     df: DataFrame, part: Sequence[str], order: Sequence[str], limit: int | None = ROWS_PER_TASK
 ) -> DataFrame:
-    """Add ``pos`` (0-based rank in the group) and ``n`` (group size)."""
+    """Add ``_pos`` (0-based rank in the group) and ``_n`` (group size)."""
     part, order = list(part), list(order)
     if not has_oversized(df, part, limit):
         whole = Window.partitionBy(*part)
-        return df.withColumn("pos", (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn(
-            "n", F.count(F.lit(1)).over(whole)
+        return df.withColumn("_pos", (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn(
+            "_n", F.count(F.lit(1)).over(whole)
         )
     celled = with_cells(df, part, order[0], limit)
     before = Window.partitionBy(*part).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,12 +94,12 @@ def with_position(
         *part,
         "_cell",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*part)).alias("n"),
+        F.sum("_size").over(Window.partitionBy(*part)).alias("_n"),
     )
     inside = Window.partitionBy(*part, "_cell").orderBy(*order)
     return (
         join_keys(celled, offsets, [*part, "_cell"])
-        .withColumn("pos", (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
+        .withColumn("_pos", (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
         .drop("_cell", "_before")
     )
 
@@ -134,7 +134,7 @@ def reach(
     part, order = list(part), list(order)
     hot = has_oversized(df, part, limit)
     placed = with_position(df, part, order, limit if hot else None)
-    pos, n = F.col("pos"), F.col("n")
+    pos, n = F.col("_pos"), F.col("_n")
     if circular:
         turns = F.sequence(
             F.ceil((F.lit(-span) - pos) / n).cast("long"),

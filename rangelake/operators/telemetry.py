@@ -14,7 +14,7 @@ from rangelake.operators.ordered import (
 
 def _previous(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, str | Column], limit: int | None) -> DataFrame:
     around = reach(df, by, order, 1, False, limit)
-    return around.finish({k: F.lag(c, 1).over(around.window) for k, c in columns.items()}).drop("pos", "n")
+    return around.finish({k: F.lag(c, 1).over(around.window) for k, c in columns.items()}).drop("_pos", "_n")
 
 
 def frame_drops(events: DataFrame, by: Sequence[str], seq: str = "seq", limit: int | None = ROWS_PER_TASK) -> DataFrame:
@@ -87,7 +87,7 @@ def avg_runtime(
     """Mean of ``value`` over every full block of ``n`` rows: by, block, avg_runtime."""
     placed = with_position(events.withColumn("_value", value), by, order, limit)
     return (
-        placed.groupBy(*by, F.expr(f"pos div {n}").alias("block"))
+        placed.groupBy(*by, F.expr(f"_pos div {n}").alias("block"))
         .agg(F.avg("_value").alias("avg_runtime"), F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") == n)
         .drop("_rows")

@@ -117,5 +117,5 @@ def seek(
     if frame is not None and frame < 0:
         raise ValueError(f"frame index {frame} out of range")
     placed = with_position(frames, by, [ts, rid], limit)
-    target = F.lit(frame) if frame is not None else F.floor(F.lit(percent / 100.0) * (F.col("n") - 1))
-    return placed.filter(F.col("pos") == target).drop("pos", "n")
+    target = F.lit(frame) if frame is not None else F.floor(F.lit(percent / 100.0) * (F.col("_n") - 1))
+    return placed.filter(F.col("_pos") == target).drop("_pos", "_n")

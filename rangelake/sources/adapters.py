@@ -260,3 +260,26 @@ def sensor_config(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 2 * 2 + 2).cast("long").alias("lanes"),
         F.lit(600.0).alias("lane_mbps"),
     )
+
+
+def channel_rows(spark: SparkSession, sf_dir: str, channels: int = 2, per_cpi: int = 20) -> DataFrame:
+    """Passive-radar channels as arrays: cpi, channel, re, im. A CPI is ``per_cpi`` vectors."""
+    vectors = F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("x"))))
+    flat = (
+        table(spark, sf_dir, "embeddings")
+        .groupBy(F.expr(f"vec_id div {per_cpi}").alias("cpi"), (F.col("vec_id") % channels).cast("long").alias("channel"))
+        .agg(F.flatten(F.transform(vectors, lambda v: v["x"])).alias("x"))
+    )
+    half = F.sequence(F.lit(1), (F.size("x") / 2).cast("int"))
+    return flat.select(
+        "cpi", "channel",
+        F.transform(half, lambda i: F.element_at("x", i * 2 - 1)).alias("re"),
+        F.transform(half, lambda i: F.element_at("x", i * 2)).alias("im"),
+    )
+
+
+def iq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reference and surveillance pair of 320 samples per CPI."""
+    from rangelake.operators.passive import pair_channels
+
+    return pair_channels(channel_rows(spark, sf_dir), ["cpi"], 0, 1)
