@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from rangelake.plans import detect_queries, passive_queries, signal_queries, time_queries  # noqa: F401
+from rangelake.plans import angle_queries, detect_queries, passive_queries, signal_queries, time_queries  # noqa: F401
 from rangelake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
