@@ -415,7 +415,9 @@ def track(
     sessions = with_sessions(points, [sensor], params.quiet_frames).select(
         F.col(sensor), "session", "frame_no", F.col(order).alias("point_no"), "range", "angle", "doppler", "snr"
     )
-    ready = sessions.repartition(F.col(sensor), F.col("session")).sortWithinPartitions(sensor, "session", "frame_no", "point_no")
+    # A fixed task count: sessions are few bytes but much work, so they must not be merged by size.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = sessions.repartition(tasks, F.col(sensor), F.col("session")).sortWithinPartitions(sensor, "session", "frame_no", "point_no")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
