@@ -139,6 +139,13 @@ def beam_weights(capon_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def beam_power(cov: DataFrame, antennas: int, est_range: float = 90, resolution: float = 1) -> DataFrame:
+    """Bartlett ``spectrum`` a^H R a of a covariance: the mean beam power over its snapshots."""
+    a = steering_matrix(est_range, resolution, antennas)
+    run = lambda r: np.abs(np.einsum("ka,bak->bk", a.conj(), r @ a.T))
+    return cov.withColumn("spectrum", matrix_kernel(run, "array<double>")("re", "im"))
+
+
 def _check_sources(n_src: int, antennas: int) -> None:
     if n_src >= antennas:
         raise ValueError("the number of sources must be less than the number of antennas")

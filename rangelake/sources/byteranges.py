@@ -127,6 +127,7 @@ class RangeReader(DataSourceReader):
 
 
 def register(spark) -> None:
-    """Make both sources available to ``spark.read``."""
+    """Make both sources available to ``spark.read``, with filters handed to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FrameFiles)
     spark.dataSource.register(ByteRanges)

@@ -72,7 +72,7 @@ def parse_profile(texts: DataFrame, strict: bool = False) -> DataFrame:
     )
     out = cfg.withColumn("error", error).drop("_len", "_frame")
     if strict:
-        out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error("error")))
+        out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))))
     return out
 
 

@@ -57,7 +57,8 @@ def _files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
 def read_radar(spark: SparkSession, directory: str, require: bool = False) -> DataFrame:
     """Radar frames of all recordings under a directory: recording, frame_no, ts, path, length, payload.
 
-    Selecting without ``payload`` lists files and reads no content. ``require`` raises when no
+    Selecting without ``payload`` lists files and reads no content; files without a byte are not
+    listed by Spark. ``require`` raises when no
     valid frame exists.
     """
     frames = parse_names(_files(spark, directory, "*.bin")).withColumnRenamed("content", "payload")

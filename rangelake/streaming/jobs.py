@@ -157,8 +157,7 @@ def fuse_streams(
     gap = F.expr(f"interval {max_gap}")
     pairs = r.join(c, (F.col(by) == F.col("_by")) & (F.col("_time") <= F.col(time)) & (F.col("_time") >= F.col(time) - gap))
     keep = [x for x in radar.columns if x not in (by, time)]
-    best = pairs.groupBy(F.window(time, "1 second").alias("_w"), by, time, *keep).agg(F.max_by("camera", "_time").alias("camera"))
-    return best.drop("_w")
+    return pairs.groupBy(by, time, *keep).agg(F.max_by("camera", "_time").alias("camera"))
 
 
 def rate_windows(stream: DataFrame, by: str, time: str = "event_time", length: str = "1 second", slide: str | None = None, delay: str = "2 seconds") -> DataFrame:
