@@ -1,6 +1,8 @@
 """Density clustering of point clouds, exact and without listing the pairs of a group.
 
-Points are cut into grid cells whose diagonal is the search radius, so all points of one
+A radar frame has a few hundred points at most, so groups up to ``KERNEL_POINTS`` are
+gathered whole and labelled in one Arrow batch: one shuffle, no join. Larger groups take
+the grid: points are cut into grid cells whose diagonal is the search radius, so all points of one
 cell are neighbours of each other. A cell with enough points is dense: its points are
 core points without any pair being looked at. Only the few points of sparse cells are
 compared with the surrounding cells. Two cells are linked by testing the boxes around
@@ -14,16 +16,19 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import ROWS_PER_TASK, with_position
+from rangelake.operators.ordered import ROWS_PER_TASK, oversized, with_position
 from rangelake.operators.timealign import asof_nearest
 from rangelake.session import cut_lineage
 
 # Radius of the squared metric and size smoothing factor.
 OBJECT_RADIUS_SQ = 1.25
 SIZE_SMOOTHING = 0.875
+KERNEL_POINTS = 1024
 _PAIRS_PER_CELL_PAIR = 1_000_000
 
 
@@ -164,15 +169,80 @@ def components(nodes: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataF
     return labels.unionByName(alone)
 
 
+def _labels(x: np.ndarray, radius: float, min_samples: int) -> np.ndarray:
+    """Labels of one small group whose points are in order."""
+    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= radius * radius
+    core = near.sum(axis=1) >= min_samples
+    root = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        # least root among core neighbours, then through that root's own root
+        told = np.where(near & core[None, :], root[None, :], len(x)).min(axis=1, initial=len(x))
+        told = np.append(told, len(x))[np.minimum(told, len(x))]
+        nxt = np.where(core, np.minimum(told, root), len(x))
+        if (nxt == root).all():
+            break
+        root = nxt
+    reached = np.where(near & core[None, :], root[None, :], len(x)).min(axis=1, initial=len(x))
+    firsts = np.unique(root[core])
+    return np.where(reached < len(x), np.searchsorted(firsts, reached), -1)
+
+
+def _kernel_dbscan(points: DataFrame, keys: list[str], coords: list[Column], pid: str, radius: float, min_samples: int) -> DataFrame:
+    """Label groups of bounded size: gather a group into one row, label it, unpack it."""
+    dims = len(coords)
+    xs = _names("_x", dims)
+    others = [c for c in points.columns if c not in keys]
+    packed = points.withColumns({x: c.cast("double") for x, c in zip(xs, coords)}).groupBy(*keys).agg(
+        F.collect_list(F.struct(*others, *xs)).alias("_rows")
+    )
+
+    def label(pids: pa.Array, axes: list[pa.Array]) -> pa.Array:
+        cuts = pids.offsets.to_numpy()
+        order_by = pids.flatten().to_numpy(zero_copy_only=False)
+        x = np.stack([a.flatten().to_numpy(zero_copy_only=False) for a in axes], axis=1)
+        out = np.empty(len(order_by), dtype=np.int64)
+        cuts = cuts - cuts[0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            order = np.argsort(order_by[a:b], kind="stable")
+            part = np.empty(b - a, dtype=np.int64)
+            part[order] = _labels(x[a:b][order], radius, min_samples)
+            out[a:b] = part
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out))
+
+    # An Arrow UDF takes a fixed number of arguments.
+    forms = {
+        1: lambda p: lambda i, a: p(i, [a]), 2: lambda p: lambda i, a, b: p(i, [a, b]),
+        3: lambda p: lambda i, a, b, c: p(i, [a, b, c]), 4: lambda p: lambda i, a, b, c, d: p(i, [a, b, c, d]),
+    }
+    kernel = F.arrow_udf(forms[dims](label), returnType="array<bigint>")
+    labelled = packed.withColumn("_labels", kernel(F.col(f"_rows.{pid}"), *[F.col(f"_rows.{x}") for x in xs]))
+    flat = labelled.select(*keys, F.inline(F.arrays_zip("_rows", "_labels")))
+    return flat.select(*[F.col(c) if c in keys else F.col(f"_rows.{c}").alias(c) for c in points.columns], F.col("_labels").alias("cluster_label"))
+
+
 def dbscan(
     points: DataFrame, keys: Sequence[str], coords: list[Column], pid: str, radius: float, min_samples: int,
-    limit: int | None = ROWS_PER_TASK,
+    limit: int | None = ROWS_PER_TASK, kernel_points: int = KERNEL_POINTS,
 ) -> DataFrame:
     """Add ``cluster_label``: -1 for noise, else clusters numbered by their first core point.
 
     A border point takes the lowest-numbered cluster that reaches it. ``pid`` orders and
-    identifies the points of a group.
+    identifies the points of a group. Groups above ``kernel_points`` go through the grid.
     """
+    keys = list(keys)
+    large = oversized(points, keys, kernel_points)
+    if large.isEmpty():
+        return _kernel_dbscan(points, keys, coords, pid, radius, min_samples)
+    few = _kernel_dbscan(points.join(large, keys, "left_anti"), keys, coords, pid, radius, min_samples)
+    many = _grid_dbscan(points.join(large, keys, "left_semi"), keys, coords, pid, radius, min_samples, limit)
+    return few.unionByName(many)
+
+
+def _grid_dbscan(
+    points: DataFrame, keys: Sequence[str], coords: list[Column], pid: str, radius: float, min_samples: int,
+    limit: int | None = ROWS_PER_TASK,
+) -> DataFrame:
+    """Label groups of any size."""
     keys, dims = list(keys), len(coords)
     xs, cs = _names("_x", dims), _names("_c", dims)
     r2 = radius * radius

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -418,19 +418,45 @@ def track(
     # A fixed task count: sessions are few bytes but much work, so they must not be merged by size.
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = sessions.repartition(tasks, F.col(sensor), F.col("session")).sortWithinPartitions(sensor, "session", "frame_no", "point_no")
-    names = [c.split()[0] for c in schema.split(", ")]
+    types = _arrow_types(points.select(sensor), output)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for rows in _frames_to_rows(batches, params, sensor, output):
-            yield pd.DataFrame(rows, columns=names)
+            held += rows
+            if len(held) >= _ROWS_PER_BATCH:
+                yield _batch(held, types)
+                held = []
+        if held:
+            yield _batch(held, types)
 
-    return ready.mapInPandas(run, schema)
+    return ready.mapInArrow(run, schema)
+
+
+_ROWS_PER_BATCH = 4096
+
+
+def _arrow_types(sensor: DataFrame, output: str) -> pa.Schema:
+    """Arrow schema of the output rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    field = sensor.schema.fields[0]
+    vector = pa.list_(pa.float64())
+    rest = (
+        [("tid", pa.int64()), ("uid", pa.int64()), ("state", pa.string()), ("phase", pa.string()), ("s", vector), ("ec", vector), ("g", pa.float64())]
+        if output == "targets" else [("point_no", pa.int64()), ("tid", pa.int64())]
+    )
+    return pa.schema([(field.name, to_arrow_type(field.dataType)), ("session", pa.int64()), ("frame_no", pa.int64()), *rest])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def _frames_to_rows(batches, params: TrackerParams, sensor: str, output: str) -> Iterator[list[tuple]]:
-    """Replay sorted batches through trackers, one frame at a time; frames cut by a batch border are joined."""
+    """Replay sorted batches through trackers, one frame at a time."""
     engine, current, last = None, None, None
-    for (key, session, frame), pts, numbers in _whole_frames(batches, sensor):
+    for key, session, frame, pts, numbers in _whole_frames(batches, sensor):
         out: list[tuple] = []
         if (key, session) != current:
             engine, current, last = Tracker(params), (key, session), None
@@ -444,25 +470,27 @@ def _frames_to_rows(batches, params: TrackerParams, sensor: str, output: str) ->
         if output == "targets":
             out += [(key, session, frame, *r) for r in engine.report()]
         else:
-            out += [(key, session, frame, int(n), int(o)) for n, o in zip(numbers, owners)]
-        if out:
-            yield out
+            out += [(key, session, frame, n, o) for n, o in zip(numbers.tolist(), owners.tolist())]
+        yield out
 
 
 def _whole_frames(batches, sensor: str):
-    held, parts = None, []
-    for pdf in batches:
-        for key, rows in pdf.groupby([sensor, "session", "frame_no"], sort=False):
-            if key != held and parts:
-                yield _frame(held, parts)
-                parts = []
-            held = key
-            parts.append(rows)
-    if parts:
-        yield _frame(held, parts)
-
-
-def _frame(key, parts):
-    rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-    session_key = (key[0].item() if hasattr(key[0], "item") else key[0], int(key[1]), int(key[2]))
-    return session_key, rows[["range", "angle", "doppler", "snr"]].to_numpy(float), rows["point_no"].to_numpy()
+    """(sensor, session, frame, points, numbers) per frame; a frame cut by a batch border is joined."""
+    tail = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch[sensor].to_pylist(), dtype=object)
+        ids = np.stack([batch[c].to_numpy() for c in ("session", "frame_no")], axis=1)
+        pts = np.stack([batch[c].to_numpy() for c in ("range", "angle", "doppler", "snr")], axis=1)
+        numbers = batch["point_no"].to_numpy()
+        if tail is not None:
+            keys, ids, pts, numbers = (np.concatenate([a, b]) for a, b in zip(tail, (keys, ids, pts, numbers)))
+        change = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield keys[a], int(ids[a, 0]), int(ids[a, 1]), pts[a:b], numbers[a:b]
+        tail = tuple(x[cuts[-1]:] for x in (keys, ids, pts, numbers))
+    if tail is not None:
+        keys, ids, pts, numbers = tail
+        yield keys[0], int(ids[0, 0]), int(ids[0, 1]), pts, numbers

@@ -57,25 +57,11 @@ def rd_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete_grid(cells: DataFrame, keys: list[str], n_range: int, n_doppler: int) -> DataFrame:
-    """Fill missing cells of each map with 0. Sparse cells are packed once per map
-    into a fixed-size array of n_range * n_doppler values and unpacked again, so no
-    second pass over the input and no join is needed."""
-    at = F.col("range_bin") * n_doppler + F.col("doppler_bin")
-    packed = cells.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(at.cast("int").alias("at"), F.col("value")))).alias("m")
-    )
-    full = packed.select(
-        *keys,
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), F.lit(n_range * n_doppler - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
-        ).alias("at", "value"),
-    )
-    return full.select(
-        *keys,
-        F.expr(f"at div {n_doppler}").cast("long").alias("range_bin"),
-        (F.col("at") % n_doppler).cast("long").alias("doppler_bin"),
-        "value",
-    )
+    """Fill missing cells of each map with 0: the grid of every map, left-joined to its cells."""
+    grid = cells.select(*keys).distinct().withColumn(
+        "range_bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_range - 1).cast("long")))
+    ).withColumn("doppler_bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_doppler - 1).cast("long"))))
+    return grid.join(cells, [*keys, "range_bin", "doppler_bin"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 
 def iq_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,11 +41,12 @@ def dense_cloud(seed, n=160):
     return np.concatenate([*blobs, line, dup])
 
 
-@pytest.mark.parametrize("radius,m", [(0.3, 2), (0.3, 4), (0.25, 1), (0.6, 6)])
-def test_dbscan_matches_brute_force(spark, radius, m):
-    clouds = {g: dense_cloud(g) for g in range(3)}
+@pytest.mark.parametrize("radius,m,kernel", [(0.3, 2, 0), (0.3, 4, 0), (0.25, 1, 0), (0.6, 6, 0), (0.3, 2, 1024), (0.25, 1, 1024), (0.6, 6, 1024), (0.3, 4, 100)])
+def test_dbscan_matches_brute_force(spark, radius, m, kernel):
+    """kernel 0 sends every group through the grid, 100 splits them over both ways."""
+    clouds = {g: dense_cloud(g, 160 if g else 60) for g in range(3)}
     df = spark.createDataFrame([(g, i, float(x), float(y)) for g, c in clouds.items() for i, (x, y) in enumerate(c)], "g long, pid long, x double, y double")
-    got = cu.dbscan(df, ["g"], [F.col("x"), F.col("y")], "pid", radius, m).collect()
+    got = cu.dbscan(df, ["g"], [F.col("x"), F.col("y")], "pid", radius, m, kernel_points=kernel).collect()
     for g, c in clouds.items():
         mine = {r.pid: r.cluster_label for r in got if r.g == g}
         assert [mine[i] for i in range(len(c))] == brute(c, radius, m)
@@ -55,7 +56,7 @@ def test_overfull_cells_are_refined(spark, monkeypatch):
     monkeypatch.setattr(cu, "_PAIRS_PER_CELL_PAIR", 4)
     cloud = dense_cloud(7)
     df = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(cloud)], "g long, pid long, x double, y double")
-    got = cu.dbscan(df, ["g"], [F.col("x"), F.col("y")], "pid", 0.3, 3).orderBy("pid").collect()
+    got = cu.dbscan(df, ["g"], [F.col("x"), F.col("y")], "pid", 0.3, 3, kernel_points=0).orderBy("pid").collect()
     assert [r.cluster_label for r in got] == brute(cloud, 0.3, 3)
 
 
