@@ -12,11 +12,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangelake.functions.complexnum import cplx
-from rangelake.functions.kernels import matrix_kernel, vector_kernel
+from rangelake.functions.kernels import _lists, matrix_kernel, vector_kernel
 
 # Side-lobe level (-6 dB power), wiggle factor, 3 dB width factor, input SNR.
 SIDELOBE = 0.251188643150958
@@ -58,14 +59,41 @@ def antenna_vectors(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(block.alias("_b")).select(*keys, F.col("_b.re").alias("re"), F.col("_b.im").alias("im"))
 
 
-def covariance(rcube: DataFrame, keys: Sequence[str], antennas: int) -> DataFrame:
-    """Spatial covariance X X^H / chirps per (keys, range_bin)."""
-
+def _block_covariance(antennas: int):
     def run(z: np.ndarray) -> np.ndarray:
         x = z.reshape(len(z), antennas, -1)
         return (x @ x.conj().transpose(0, 2, 1) / x.shape[2]).reshape(len(z), -1)
 
-    return _complex(antenna_block(rcube, keys).drop("antennas"), vector_kernel(run)("re", "im"))
+    return vector_kernel(run)
+
+
+def covariance(rcube: DataFrame, keys: Sequence[str], antennas: int) -> DataFrame:
+    """Spatial covariance X X^H / chirps per (keys, range_bin)."""
+    return _complex(antenna_block(rcube, keys).drop("antennas"), _block_covariance(antennas)("re", "im"))
+
+
+def covariance_beside(block: DataFrame, antennas: int) -> DataFrame:
+    """Covariance of antenna blocks, with the block kept as ``x_re, x_im`` in the same row."""
+    kept = block.drop("antennas").withColumnsRenamed({"re": "x_re", "im": "x_im"})
+    return kept.withColumn("_z", _block_covariance(antennas)("x_re", "x_im")).withColumns(
+        {"re": F.col("_z.re"), "im": F.col("_z.im")}
+    ).drop("_z")
+
+
+def beam_doppler(rows: DataFrame, antennas: int, ref_compat: bool = False) -> DataFrame:
+    """Add ``doppler_signed``: strongest Doppler bin of a block x_re, x_im combined by w_re, w_im."""
+
+    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        x = np.asarray(_lists(a)) + 1j * np.asarray(_lists(b))
+        w = np.asarray(_lists(c)) + 1j * np.asarray(_lists(d))
+        if not len(x):
+            return pa.array([], pa.int64())
+        z = np.fft.fft(np.einsum("bac,ba->bc", x.reshape(len(x), antennas, -1), w), axis=1)
+        n = z.shape[1]
+        k = np.array([int(np.argmax(v)) for v in (z if ref_compat else np.abs(z))])
+        return pa.array(np.where(k < n // 2, k, k - n), pa.int64())
+
+    return rows.withColumn("doppler_signed", F.arrow_udf(run, returnType="bigint")("x_re", "x_im", "w_re", "w_im"))
 
 
 def _complex(df: DataFrame, z: Column) -> DataFrame:

@@ -178,6 +178,12 @@ def filter_scorecard(
     )
 
 
+def scores_as_map(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Scores as one ``metrics`` map per row holding only those that could be computed."""
+    entries = F.filter(F.array(*[F.struct(F.lit(s).alias("key"), F.col(s).alias("value")) for s in SCORES]), lambda e: e["value"].isNotNull())
+    return scores.select(*keys, F.map_from_entries(entries).alias("metrics"))
+
+
 def metrics_on_track(
     maps: DataFrame, track: DataFrame, keys: Sequence[str], n_doppler: int, win: Sequence[int] | None = None,
     win_pos: Sequence[int] | None = None, energy: DataFrame | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rangelake.operators import metrics as mt
 from rangelake.operators import passive as pv
-from rangelake.plans.registry import CHANNELS, RD_MAP, query, rnd
+from rangelake.plans.registry import CHANNELS, RD_MAP, SQL, query, rnd
 from rangelake.sources import adapters as ad
 
 PAIRS = f"""SELECT cpi, n, MAX(CASE WHEN channel = 0 THEN re END) AS rr, MAX(CASE WHEN channel = 0 THEN im END) AS ri,
@@ -286,6 +286,15 @@ def filter_scorecard(spark, sf):
     return out.select("map", *[rnd(c, 3).alias(c) for c in mt.SCORES])
 
 
+_SCORE_NAMES = ["ca", "r_nf", "mu_imp", "delta_imp", "alpha_imp", "l", "r_dpi", "r_zdc", "p", "d"]
+
+
+@query("scorecard_entries", f"WITH cards AS ({SQL['filter_scorecard']}) " + "SELECT map, name, value FROM (" + " UNION ALL ".join(f"SELECT map, '{n}' AS name, {n} AS value FROM cards" for n in _SCORE_NAMES) + ") WHERE value IS NOT NULL")
+def scorecard_entries(spark, sf):
+    cards = mt.scores_as_map(filter_scorecard(spark, sf), ["map"])
+    return cards.select("map", F.explode("metrics").alias("name", "value"))
+
+
 def _cpi_targets(pairs):
     return pairs.select("cpi", (F.col("cpi") % 5 + 8).alias("target_range"), (F.col("cpi") % 3 - 1).alias("target_doppler"))
 

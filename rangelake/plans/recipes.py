@@ -53,11 +53,11 @@ def _range_bins(cube: DataFrame, keys: Sequence[str], window: str | None, beta:
     return ly.corner_turn(sp.range_fft(cube, window, beta), keys)
 
 
-def capon_maps(cube: DataFrame, keys: Sequence[str], cfg: Sensor, est_range: int = 90, resolution: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(clutter-free range bins, Capon rows with spectrum and beam weights)."""
+def capon_maps(cube: DataFrame, keys: Sequence[str], cfg: Sensor, est_range: int = 90, resolution: int = 1) -> DataFrame:
+    """One row per (keys, range_bin): Capon spectrum, beam weights and the antenna block they came from."""
     rbins = cl.remove_clutter(_range_bins(cube, keys, "hanning"))
-    cov = an.fb_average(an.covariance(rbins, keys, cfg.antennas))
-    return rbins, an.capon(cov, cfg.antennas, est_range, resolution)
+    cov = an.covariance_beside(an.antenna_block(rbins, keys), cfg.antennas)
+    return an.capon(an.fb_average(cov), cfg.antennas, est_range, resolution)
 
 
 def capon_points(
@@ -69,16 +69,16 @@ def capon_points(
     ``cube``: keys, chirp, vant, re, im over samples.
     """
     keys = list(keys)
-    rbins, rows = capon_maps(cube, keys, cfg, est_range, resolution)
+    # the Doppler bin of a range bin is found beside its spectrum, so nothing is joined back
+    rows = an.beam_doppler(capon_maps(cube, keys, cfg, est_range, resolution), cfg.antennas, ref_compat)
     n_az = 2 * est_range // resolution + 1
-    heat = rows.select(*keys, "range_bin", F.posexplode("spectrum").alias("az_bin", "p")).select(
-        *keys, "range_bin", F.col("az_bin").cast("long").alias("az_bin"), F.log2("p").alias("value")
+    heat = rows.select(*keys, "range_bin", "doppler_signed", F.posexplode("spectrum").alias("az_bin", "p")).select(
+        *keys, "range_bin", "doppler_signed", F.col("az_bin").cast("long").alias("az_bin"), F.log2("p").alias("value")
     )
     az_bound, rng_bound = bounds or CAPON_BOUNDS[indoor]
     hits = cf.dual_axis_peaks(heat, keys, "az_bin", "range_bin", "value", az_bound, rng_bound, guard, noise)
     hits = pk.skip_border(hits, {"az_bin": n_az, "range_bin": cfg.samples}, border)
-    doppler = sp.doppler_estimate(rbins, an.beam_weights(rows, keys), keys, ref_compat=ref_compat)
-    pts = hits.join(doppler, [*keys, "range_bin"]).withColumns({
+    pts = hits.withColumns({
         "range_m": F.col("range_bin") * cfg.range_resolution,
         "angle": (F.col("az_bin") * resolution - est_range).cast("double"),
         "velocity": F.col("doppler_signed") * cfg.doppler_resolution,

@@ -59,7 +59,7 @@ def config_resolutions(spark, sf):
     return out.select("config", rnd("bandwidth", 0).alias("bandwidth"), *[rnd(c, 5).alias(c) for c in _RES_COLS], "bytes_per_frame")
 
 
-@query("config_extents", f"SELECT config, round(-max_doppler, 4) AS d_lo, round(max_doppler, 4) AS d_hi, round(max_range, 4) AS r_hi, -60.0 AS a_lo, 60.0 AS a_hi FROM ({_RES})")
+@query("config_extents", f"SELECT config, round(-max_doppler, 4) AS d_lo, round(max_doppler, 4) AS d_hi, round(max_range, 4) AS r_hi, -60.0::DOUBLE AS a_lo, 60.0::DOUBLE AS a_hi FROM ({_RES})")
 def config_extents(spark, sf):
     out = un.plot_extents(un.with_resolutions(ad.sensor_config(spark, sf)))
     d, a = F.col("range_doppler_extents"), F.col("range_azimuth_extents")

@@ -95,6 +95,17 @@ def cli_profiles(spark, sf):
     )
 
 
+@query("board_settings", "SELECT c_custkey AS config, CASE WHEN c_custkey % 2 = 0 THEN 'raw' ELSE 'multi' END AS mode, c_custkey % 4 + 1 AS format, c_custkey % 100 AS delay_us FROM customer")
+def board_settings(spark, sf):
+    k = F.col("c_custkey")
+    text = F.to_json(F.struct(F.struct(
+        F.when(k % 2 == 0, "raw").otherwise("multi").alias("dataLoggingMode"), F.lit("LVDSCapture").alias("dataTransferMode"), F.lit("ethernetStream").alias("dataCaptureMode"),
+        F.lit(1).alias("lvdsMode"), (k % 4 + 1).alias("dataFormatMode"), (k % 100).alias("packetDelay_us"),
+    ).alias("DCA1000Config")))
+    out = pf.parse_board(ad.table(spark, sf, "customer").select(k.alias("config"), text.alias("text")))
+    return out.select("config", F.col("dataLoggingMode").alias("mode"), F.col("dataFormatMode").cast("long").alias("format"), F.col("packetDelay_us").cast("long").alias("delay_us"))
+
+
 _SEQ = "SELECT CAST(user_id AS BIGINT) AS capture, CAST(event_id AS BIGINT) AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events"
 _KEPT = f"SELECT * FROM ({_SEQ}) WHERE id % 11 <> 0 OR seq = 1"
 

@@ -148,3 +148,14 @@ def parse_cli_profile(texts: DataFrame) -> DataFrame:
 
 def read_cli_profile(spark: SparkSession, path: str) -> DataFrame:
     return parse_cli_profile(read_texts(spark, path))
+
+
+# Fields of the capture board settings.
+BOARD_SCHEMA = (
+    "DCA1000Config struct<dataLoggingMode:string,dataTransferMode:string,dataCaptureMode:string,lvdsMode:int,dataFormatMode:int,packetDelay_us:int>"
+)
+
+
+def parse_board(texts: DataFrame) -> DataFrame:
+    """Capture board settings in JSON (config, text): one row with the settings as columns."""
+    return texts.select("config", F.from_json("text", BOARD_SCHEMA).alias("_b")).select("config", "_b.DCA1000Config.*")

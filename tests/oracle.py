@@ -29,9 +29,15 @@ def connect(sf_dir: str):
     return con
 
 
+STRICT = False
+
+
 def canon(v):
+    """Comparable form; strict keeps the type and every digit."""
     if v is None:
         return None
+    if STRICT and not isinstance(v, (list, tuple)):
+        return (type(v).__name__, repr(v))
     if isinstance(v, bool):
         return v
     if isinstance(v, (list, tuple)):
@@ -77,7 +83,8 @@ if __name__ == "__main__":
     from rangelake.session import build_session
 
     sf = sys.argv[1]
-    pick = sys.argv[2:]
+    pick = [a for a in sys.argv[2:] if a != "--strict"]
+    STRICT = "--strict" in sys.argv
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false",
     })
