@@ -199,6 +199,24 @@ def _mixed(spark, sf, method):
     return out.select("frame_no", "chirp", "range_bin", "peak_idx", *[rnd(c).alias(c) for c in ("theta", "phi", "x", "y", "z")])
 
 
+# Steps of five degrees over +-85; antennas 0..7 give the azimuth spectrum.
+_V8 = f"""SELECT {_K3}, k, re * re + im * im AS p FROM (SELECT {_K3}, k, SUM(re * cos(pi() * vant * s) - im * sin(pi() * vant * s)) AS re, SUM(re * sin(pi() * vant * s) + im * cos(pi() * vant * s)) AS im
+FROM ({_V12}), (SELECT k, sin(radians(k * 5.0 - 85)) AS s FROM (SELECT unnest(range(0, 35)) AS k)) WHERE vant < 8 GROUP BY {_K3}, k)"""
+_MIXED = _fold_sql(">").replace(_BART, _V8).replace("sample", "range_bin").replace("0.251188643150958", "0.9::DOUBLE")
+
+
+@query("mixed_positions_steps", _MIXED + f""", u AS (SELECT {_K3}, unnest(peaks) AS p, unnest(range(0, len(peaks))) AS peak_idx, list_sum(list_transform(peaks, lambda x: x.value)) AS total FROM f),
+g AS (SELECT {_K3}, peak_idx, p.loc AS loc, radians(p.loc * 5.0 - 85) AS th FROM u WHERE 2 * 5 * p.width * 2.5 * sqrt(1 / (20000 * p.value / total)) < 10),
+e AS (SELECT v.frame_no, v.chirp, v.range_bin, peak_idx, th, SUM(CASE WHEN v.vant >= 8 THEN re * cos(a) - im * sin(a) END) AS er, SUM(CASE WHEN v.vant >= 8 THEN re * sin(a) + im * cos(a) END) AS ei,
+ SUM(CASE WHEN v.vant BETWEEN 2 AND 5 THEN re * cos(a) - im * sin(a) END) AS ar, SUM(CASE WHEN v.vant BETWEEN 2 AND 5 THEN re * sin(a) + im * cos(a) END) AS ai
+ FROM (SELECT g.*, v.vant, v.re, v.im, -pi() * CASE WHEN v.vant >= 8 THEN v.vant - 8 ELSE v.vant - 2 END * sin(th) AS a FROM g JOIN ({_V12}) v ON v.frame_no = g.frame_no AND v.chirp = g.chirp AND v.range_bin = g.range_bin) v GROUP BY 1, 2, 3, 4, 5),
+el AS (SELECT *, asin(atan2(ai * er - ar * ei, ar * er + ai * ei) / pi()) AS el FROM e), q AS (SELECT *, degrees(asin(sin(-th) * cos(el))) AS theta FROM el)
+SELECT {_K3}, peak_idx, round(theta, 4) + 0.0 AS theta, round(degrees(el), 4) + 0.0 AS phi, round(sin(radians(theta)) * range_bin * 0.7::DOUBLE, 4) + 0.0 AS x, round(cos(radians(theta)) * range_bin * 0.7::DOUBLE, 4) + 0.0 AS y, round(tan(el) * range_bin * 0.7::DOUBLE, 4) + 0.0 AS z FROM q""")
+def mixed_positions_steps(spark, sf):
+    out = an.mixed_xyz(_vectors12(spark, sf), 0.7, "Bartlett", 85, 5)
+    return out.select("frame_no", "chirp", "range_bin", "peak_idx", *[rnd(c).alias(c) for c in ("theta", "phi", "x", "y", "z")])
+
+
 @query("mixed_positions_bartlett")
 def mixed_positions_bartlett(spark, sf):
     return _mixed(spark, sf, "Bartlett")

@@ -10,7 +10,7 @@ from rangelake.operators import clutter as cl
 from rangelake.operators import peaks as pk
 from rangelake.functions import units as un
 from rangelake.plans import recipes as rc
-from rangelake.plans.registry import BOXES, IQ, SENSOR_A, SENSOR_B, POINTS, query, rnd
+from rangelake.plans.registry import BOXES, IQ, SENSOR_A, SENSOR_B, SQL, POINTS, query, rnd
 from rangelake.sources import adapters as ad
 
 CFG = rc.Sensor(chirps=25, tx=1, rx=4, samples=32, range_resolution=0.7, doppler_resolution=0.29)
@@ -80,6 +80,19 @@ def hit_maps(spark, sf):
     return hits.select("frame_no", "range_bin", "doppler_bin", rnd("level").alias("level"))
 
 
+_KAISER = lambda i, n, beta: f"(list_sum(list_transform(range(0, 30), lambda q: pow({beta} / 2 * sqrt(greatest(0.0, 1 - pow(2 * {i} / {n - 1}.0 - 1, 2))), 2 * q) / (gamma(q + 1.0) * gamma(q + 1.0)))) / list_sum(list_transform(range(0, 30), lambda q: pow({beta} / 2, 2 * q) / (gamma(q + 1.0) * gamma(q + 1.0)))))"
+_KR = f"""SELECT frame_no, chirp, vant, r, SUM(w * (re * cos(2 * pi() * r * sample / 32) + im * sin(2 * pi() * r * sample / 32))) AS re, SUM(w * (im * cos(2 * pi() * r * sample / 32) - re * sin(2 * pi() * r * sample / 32))) AS im
+FROM (SELECT *, {_KAISER('sample', 32, '4.0')} AS w FROM ({IQ})), (SELECT unnest(range(0, 32)) AS r) GROUP BY 1, 2, 3, 4"""
+_KRD = f"""SELECT frame_no, vant, r, (d + 12) % 25 AS d, SUM(w * (re * cos(2 * pi() * d * chirp / 25) + im * sin(2 * pi() * d * chirp / 25))) AS re, SUM(w * (im * cos(2 * pi() * d * chirp / 25) - re * sin(2 * pi() * d * chirp / 25))) AS im
+FROM (SELECT frame_no, chirp, vant, r, {_KAISER('chirp', 25, '8.0')} AS w, re - AVG(re) OVER g AS re, im - AVG(im) OVER g AS im FROM ({_KR}) WINDOW g AS (PARTITION BY frame_no, vant, r)), (SELECT unnest(range(0, 25)) AS d) GROUP BY 1, 2, 3, 4"""
+SQL["hit_point_cloud"] = f"""WITH z AS MATERIALIZED ({_KRD}), p AS (SELECT frame_no, r, d, pow(SUM(sqrt(re * re + im * im)), 2) AS power FROM z GROUP BY 1, 2, 3),
+s AS (SELECT a.frame_no, a.r, a.d, a.power, AVG(b.power) AS noise FROM p a JOIN p b ON a.frame_no = b.frame_no AND abs(a.r - b.r) <= 4 AND abs(a.d - b.d) <= 2 AND NOT (abs(a.r - b.r) <= 1 AND abs(a.d - b.d) <= 1) GROUP BY 1, 2, 3, 4),
+h AS (SELECT * FROM s WHERE power / noise > {10 ** 0.5!r}),
+y AS (SELECT h.frame_no, h.r, h.d, t, pow(SUM(re * cos(pi() * vant * cos(radians(t))) + im * sin(pi() * vant * cos(radians(t)))), 2) + pow(SUM(im * cos(pi() * vant * cos(radians(t))) - re * sin(pi() * vant * cos(radians(t)))), 2) AS q
+ FROM h JOIN z ON h.frame_no = z.frame_no AND h.r = z.r AND h.d = z.d, (SELECT unnest(range(0, 180)) AS t) GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY h.frame_no, h.r, h.d ORDER BY q DESC, t) = 1)
+SELECT frame_no, r AS range_bin, d AS doppler_bin, t AS doa, round(-r * 0.7::DOUBLE * sin(radians(t - 90)), 4) + 0.0 AS x, round(r * 0.7::DOUBLE * cos(radians(t - 90)), 4) + 0.0 AS y, round((d - 12) * 0.29::DOUBLE, 4) + 0.0 AS velocity FROM y"""
+
+
 @query("fused_scene", f"""WITH a AS ({SENSOR_A}), b AS ({SENSOR_B}), s AS (SELECT sensor, MIN(ts) AS t0, COUNT(*) AS n, MAX(ts) AS t1 FROM a GROUP BY 1),
 p AS (SELECT a.sensor, a.frame_no, a.ts, b.frame_no AS pf, b.ts AS pt FROM a ASOF LEFT JOIN b ON a.sensor = b.sensor AND a.ts >= b.ts),
 q AS (SELECT a.frame_no, b.frame_no AS nf, b.ts AS nt FROM a ASOF LEFT JOIN b ON a.sensor = b.sensor AND a.ts <= b.ts),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,36 @@ def build_session(app: str = "rangelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names in ``spark.checkpoint.dir``.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where none is configured (tests, local runs).
+    A folder of our own is made only in local runs where none is configured.
     """
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if configured:
+        return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="rangelake-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if configured is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rangelake-checkpoint-"))
+        sc.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """Run a stream over everything available now and return what it wrote (Parquet in the shared folder)."""
+    spark = stream.sparkSession
+    base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
