@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def weight(kind: str, i: Column, n: Column, beta: float = 4.0) -> Column:
     if kind == "kaiser":
         t = i * 2 / last - 1
         arg = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - t * t)) * beta
-        return _bessel_i0(arg) / _bessel_i0(F.lit(float(beta)))
+        return _bessel_i0(arg) / float(np.i0(beta))
     raise ValueError(f"unsupported taper {kind!r}; one of {KINDS}")
 
 

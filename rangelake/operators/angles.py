@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangelake.functions.arrays import let
 from rangelake.functions.complexnum import cplx
 from rangelake.functions.kernels import _lists, matrix_kernel, vector_kernel
 
@@ -236,10 +237,11 @@ def peak_search(spectra: DataFrame, level: float = SIDELOBE) -> DataFrame:
     """Add ``peaks`` (interior local maxima at or above ``level`` x maximum: loc, value),
     ``num_peaks`` and ``total_power``."""
     s = F.col("spectrum")
-    top = F.array_max(s)
     at = lambda i: F.element_at(s, (i + 1).cast("int"))
     inner = F.sequence(F.lit(1), F.size(s) - 2)
-    locs = F.filter(inner, lambda i: (at(i) > at(i - 1)) & (at(i) > at(i + 1)) & (at(i) >= top * level))
+    locs = let(F.array_max(s) * level, lambda floor: F.filter(
+        inner, lambda i: (at(i) > at(i - 1)) & (at(i) > at(i + 1)) & (at(i) >= floor)
+    ))
     return spectra.withColumn(
         "peaks", F.transform(locs, lambda i: F.struct(i.cast("long").alias("loc"), at(i).alias("value")))
     ).withColumns({
@@ -256,10 +258,10 @@ def _fold_peaks(s: Column, gamma: float, level: float, strict: bool) -> Column:
     maximum and minimum and appends a peak whenever the curve falls by ``gamma``.
     """
     n = F.size(s)
-    limit = F.array_max(s) * level
     empty = F.array().cast("array<struct<loc:bigint,value:double,width:bigint>>")
     start = F.struct(
         F.lit(0.0).alias("top"), F.lit(0).cast("long").alias("loc"), F.lit(0).cast("long").alias("run"),
+        (F.array_max(s) * level).alias("limit"), n.cast("long").alias("n"),
         F.lit(float("inf")).alias("low"), F.lit(False).alias("up"), F.lit(-1).cast("long").alias("extend"), empty.alias("peaks"),
     )
     walk = F.transform(
@@ -269,17 +271,17 @@ def _fold_peaks(s: Column, gamma: float, level: float, strict: bool) -> Column:
 
     def step(a, e):
         v, i = e["v"], e["i"]
-        live = i < n + F.greatest(a["extend"], F.lit(0))
+        live = i < a["n"] + F.greatest(a["extend"], F.lit(0))
         higher = v > a["top"]
-        top, loc, run = (F.when(higher, x).otherwise(a[k]) for x, k in ((v, "top"), (i % n, "loc"), (i, "run")))
+        top, loc, run = (F.when(higher, x).otherwise(a[k]) for x, k in ((v, "top"), (i % a["n"], "loc"), (i, "run")))
         low = F.least(a["low"], v)
         falls = a["up"] & (v < top / gamma)
         rises = ~a["up"] & (v > low * gamma)
-        counts = (top > limit) if strict else (top >= limit)
+        counts = (top > a["limit"]) if strict else (top >= a["limit"])
         found = F.struct(loc.cast("long").alias("loc"), top.alias("value"), (i - run).cast("long").alias("width"))
         nxt = F.struct(
             F.when(rises, v).otherwise(top).alias("top"), loc.cast("long").alias("loc"), run.cast("long").alias("run"),
-            F.when(falls, v).otherwise(low).alias("low"), F.when(falls, False).when(rises, True).otherwise(a["up"]).alias("up"),
+            a["limit"].alias("limit"), a["n"].alias("n"), F.when(falls, v).otherwise(low).alias("low"), F.when(falls, False).when(rises, True).otherwise(a["up"]).alias("up"),
             F.when(rises & (a["extend"] < 0), i).otherwise(a["extend"]).cast("long").alias("extend"),
             F.when(falls & counts, F.array_append(a["peaks"], found)).otherwise(a["peaks"]).alias("peaks"),
         )
@@ -345,7 +347,7 @@ def bf_single(
     k = F.col("max_index").cast("int")
     ahead = F.concat(F.slice(s, k + 1, n), F.slice(s, F.lit(1), k))
     length = lambda run: F.coalesce(
-        F.nullif(F.array_position(F.transform(run, lambda x: x < half), F.lit(True)), F.lit(0)), n + 1
+        F.nullif(F.array_position(let(half, lambda h: F.transform(run, lambda x: x < h)), F.lit(True)), F.lit(0)), n + 1
     ) - 1
     add = lambda run, m: F.aggregate(F.slice(run, F.lit(1), m.cast("int")), F.lit(0.0), lambda acc, x: acc + x)
     power = F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda acc, x: acc + x)

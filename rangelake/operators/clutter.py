@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangelake.functions.complexnum import cplx, unit_phase
+from rangelake.functions.kernels import vector_kernel
 
 # Antenna geometry of the near-field model, in millimetres.
 WAVELENGTH_MM = 3e8 / 77e9
@@ -16,15 +17,10 @@ TX2_GAP_MM = 8.7
 
 
 def remove_clutter(rcube: DataFrame) -> DataFrame:
-    """Subtract the mean over chirps; a per-row array expression, no shuffle."""
-    def centred(name):
-        v = F.col(name)
-        mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
-        return F.transform(v, lambda x: x - mean)
-
-    return rcube.withColumns({"_re": centred("re"), "_im": centred("im")}).drop("re", "im").withColumnsRenamed(
-        {"_re": "re", "_im": "im"}
-    )
+    """Subtract the mean over chirps of every row; no shuffle."""
+    keys = [c for c in rcube.columns if c not in ("re", "im")]
+    clean = vector_kernel(lambda z: z - z.mean(axis=1, keepdims=True))
+    return rcube.withColumn("_z", clean("re", "im")).select(*keys, F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))
 
 
 def dc_signature(cells: DataFrame, keys: Sequence[str], frame: str, n_frames: int, first_frame: Column) -> DataFrame:

@@ -92,11 +92,13 @@ def corner_turn(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
     antenna is transposed inside the row.
     """
     block = F.array_sort(F.collect_list(F.struct("chirp", "re", "im")))
-    turned = cube.groupBy(*keys, "vant").agg(block.alias("_b"))
-    take = lambda field, s: F.transform(F.col("_b"), lambda row: F.element_at(row[field], (s + 1).cast("int")))
+    turned = cube.groupBy(*keys, "vant").agg(block.alias("_b")).select(
+        *keys, "vant", F.col("_b.re").alias("_re"), F.col("_b.im").alias("_im")
+    )
+    take = lambda field, s: F.transform(F.col(field), lambda row: F.element_at(row, (s + 1).cast("int")))
     cells = F.transform(
-        F.sequence(F.lit(0), F.size(F.col("_b")[0]["re"]) - 1),
-        lambda s: F.struct(s.cast("long").alias("range_bin"), take("re", s).alias("re"), take("im", s).alias("im")),
+        F.sequence(F.lit(0), F.size(F.col("_re")[0]) - 1),
+        lambda s: F.struct(s.cast("long").alias("range_bin"), take("_re", s).alias("re"), take("_im", s).alias("im")),
     )
     return turned.select(*keys, "vant", F.inline(cells))
 

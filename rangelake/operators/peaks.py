@@ -87,8 +87,8 @@ def _circular_neighbours(rd: DataFrame, keys: Sequence[str], n_doppler: int, ste
     and neighbours are array reads: one shuffle for any number of steps.
     """
     row = F.array_sort(F.collect_list(F.struct("doppler_bin", "value")))
-    packed = rd.groupBy(*keys, "range_bin").agg(row.alias("_row"))
-    v = F.col("_row.value")
+    packed = rd.groupBy(*keys, "range_bin").agg(row.alias("_row")).select(*keys, "range_bin", F.col("_row.value").alias("_v"))
+    v = F.col("_v")
     at = lambda i: F.element_at(v, (F.pmod(i, F.lit(n_doppler)) + 1).cast("int"))
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(n_doppler - 1)),

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangelake.functions.arrays import let
 from rangelake.functions.complexnum import cplx
 from rangelake.functions.kernels import fft, fft_peak
 from rangelake.functions.tapers import taper, weight
@@ -76,9 +77,9 @@ def zoom_dft(df: DataFrame, f_lo: float, f_hi: float, n: int, fs: float) -> Data
     keys = [c for c in df.columns if c not in ("re", "im")]
     step = (f_hi - f_lo) / (n - 1) if n > 1 else 0.0
 
-    def line(k):
+    def line(zipped, k):
         freq = k * step + f_lo
-        terms = F.transform(F.col("_z"), lambda z, i: F.struct(z["re"].alias("re"), z["im"].alias("im"), (i * freq * (-2 * math.pi / fs)).alias("a")))
+        terms = F.transform(zipped, lambda z, i: F.struct(z["re"].alias("re"), z["im"].alias("im"), (i * freq * (-2 * math.pi / fs)).alias("a")))
         zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
         total = F.aggregate(terms, zero, lambda acc, t: F.struct(
             (acc["re"] + t["re"] * F.cos(t["a"]) - t["im"] * F.sin(t["a"])).alias("re"),
@@ -86,8 +87,8 @@ def zoom_dft(df: DataFrame, f_lo: float, f_hi: float, n: int, fs: float) -> Data
         ))
         return F.struct(k.cast("long").alias("freq_bin"), freq.alias("freq"), total.alias("z"))
 
-    lines = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), line)
-    return df.withColumn("_z", F.arrays_zip("re", "im")).select(*keys, F.inline(lines)).select(
+    lines = let(F.arrays_zip("re", "im"), lambda zipped: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: line(zipped, k)))
+    return df.select(*keys, F.inline(lines)).select(
         *keys, "freq_bin", "freq", F.col("z.re").alias("re"), F.col("z.im").alias("im")
     )
 

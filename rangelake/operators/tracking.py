@@ -291,6 +291,17 @@ class Tracker:
         self.beats = 0
         self.total = 0
 
+    def snapshot(self) -> dict:
+        """Plain values of the whole state, for a state store."""
+        return {"tracks": [dict(vars(t)) for t in self.tracks], "free": list(self.free), "beats": self.beats, "total": self.total}
+
+    @classmethod
+    def restore(cls, prm: TrackerParams, state: dict) -> "Tracker":
+        out = cls(prm)
+        out.tracks = [Track(**t) for t in state["tracks"]]
+        out.free, out.beats, out.total = list(state["free"]), state["beats"], state["total"]
+        return out
+
     def step(self, pts: np.ndarray) -> np.ndarray:
         """``pts`` (n, 4): range, angle (rad), doppler, snr. Returns the track id per point
         (-1 unassociated, -2 outside the boundary)."""

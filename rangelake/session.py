@@ -32,7 +32,7 @@ def work_folder(spark: SparkSession) -> str:
     A folder of our own is made only in local runs where none is configured.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured
     if not sc.master.startswith("local"):

@@ -98,7 +98,10 @@ def track_stream(stream: DataFrame, params: TrackerParams, sensor: str = "sensor
     """
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        engine, session, last = pickle.loads(state.get[0]) if state.exists else (None, None, None)
+        engine, session, last = None, None, None
+        if state.exists:
+            saved, session, last = pickle.loads(state.get[0])
+            engine = Tracker.restore(params, saved)
         pdf = pd.concat(list(frames)).sort_values(["frame_no", "point_no"])
         out = []
         for frame, rows in pdf.groupby("frame_no", sort=True):
@@ -116,7 +119,7 @@ def track_stream(stream: DataFrame, params: TrackerParams, sensor: str = "sensor
             engine.step(rows[["range", "angle", "doppler", "snr"]].to_numpy(float))
             out += [(k[0], session, frame, *r) for r in engine.report()]
             last = frame
-        state.update((pickle.dumps((engine, session, last)),))
+        state.update((pickle.dumps((engine.snapshot(), session, last)),))
         if out:
             yield pd.DataFrame(out, columns=names)
 
