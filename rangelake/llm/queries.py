@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangelake.llm import chat_rotation, decontaminate, quality_bands, secret_scan, substring_dedup, url_filter, warc_store
+from rangelake.llm import chat_rotation, decontaminate, jaccard_join, quality_bands, secret_scan, substring_dedup, url_filter, warc_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -146,3 +146,23 @@ kept AS (SELECT k, doc_id, len(w) AS n, coalesce(len(js), 0) AS r, js, w FROM d
 left_over AS (SELECT k, string_agg(w[j], ' ' ORDER BY j) AS t FROM (SELECT k, w, j FROM kept, unnest(range(1, n + 1)) AS t(j) WHERE js IS NULL OR NOT list_contains(js, j)) GROUP BY k)
 SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept LEFT JOIN left_over USING (k)
 """
+
+
+@_query
+def op5_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+SQL["op5_count_vector_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+o AS (SELECT a.k AS a, b.k AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.k <> b.k GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE 100 * o >= 85 * (na.n + nb.n - o)),
+r AS (SELECT k AS a, k AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT r.a, min(doc_id) AS component_id FROM r JOIN d ON d.k = r.b GROUP BY r.a),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (k) LEFT JOIN c ON c.a = d.k LEFT JOIN l ON l.a = d.k
+"""
