@@ -52,11 +52,16 @@ def by_key(batch: pa.RecordBatch, key: str) -> Iterator[tuple[int, pa.RecordBatc
         yield int(keys[order[low]]), rest.slice(low, high - low)
 
 
-def packed(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, pack): ``doc_id``, ``doc_key`` and ``text`` of documents, still spread over the input's tasks."""
+def packed(docs: DataFrame, blocks: int, group: Column | None = None, groups: int = 1) -> DataFrame:
+    """(block, pack): ``doc_id``, ``doc_key`` and ``text`` of documents, still spread over the input's tasks.
+
+    With ``group`` (0 to ``groups`` - 1) a block holds documents of one group only: block % groups.
+    """
+    block = F.pmod(document_key(), F.lit(blocks))
+    block = block if group is None else block * groups + group
     spread = docs.select(
         "doc_id", document_key().alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"),
-        F.pmod(document_key(), F.lit(blocks)).cast("int").alias("block"),
+        block.cast("int").alias("block"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
