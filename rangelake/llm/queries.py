@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangelake.llm import chat_rotation, decontaminate, jaccard_join, lm_scoring, quality_bands, secret_scan, substring_dedup, url_filter, warc_store
+from rangelake.llm import chat_rotation, decontaminate, jaccard_join, lm_scoring, quality_bands, retrieval_packing, secret_scan, substring_dedup, url_filter, warc_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,3 +171,14 @@ FROM d LEFT JOIN n USING (k) LEFT JOIN c ON c.a = d.k LEFT JOIN l ON l.a = d.k
 @_query
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
