@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.llm import words
+from rangelake.llm import packs, words
 
 WINDOW = 10
 #: Bytes of item texts in one automaton.
@@ -159,7 +159,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents without any hit, with the columns of ``docs``."""
-    names = [f"_own_{i}" for i in range(len(docs.columns))]
-    inner = docs.select("text", *(F.col(f"`{c}`").alias(a) for c, a in zip(docs.columns, names)))
-    clean = find(inner, benchmark, n, carry=tuple(names)).where(F.size("runs") == 0)
-    return clean.select(*(F.col(a).alias(c) for c, a in zip(docs.columns, names)))
+    inner, names = packs.renamed(docs.select(*docs.columns, docs["text"].alias("_whole")), ())
+    whole = names.pop()
+    clean = find(inner.withColumnRenamed(whole, "text"), benchmark, n, carry=tuple(names)).where(F.size("runs") == 0)
+    return packs.restored(clean, docs, names)

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangelake.llm import packs, words
@@ -313,13 +313,8 @@ def _group_links(sets: list[np.ndarray], node: np.ndarray, weight: np.ndarray, s
     return [(int(node[i]), int(node[root(i)]), int(links[i])) for i in range(len(sets)) if links[i]]
 
 
-def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other documents it links to, copies included) of every document.
-
-    Words are lower-cased (A-Z) runs of other characters than white space. Null and wordless texts have no shingles,
-    link to nothing and are components of their own. Repeated rows are copies of each other; null ids take part but
-    name no component. Further columns are left out; an empty table gives an empty table.
-    """
+def _joined(docs: DataFrame, n: int, percent: int, cell: int) -> DataFrame:
+    """doc_id, doc_key, group (null without shingles) and the results of ``join``."""
     spark = docs.sparkSession
     profile = packs.stored(profiles(docs, crowding(docs, n), n, percent))
     # a document's key, the smallest id, the number of rows and the point of each distinct set
@@ -336,7 +331,34 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, cell: int =
     named = linked.join(nodes.select("node", "least"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = nodes.select("node", "other", "size", "least", "weight").join(linked, "node", "left").join(least, "root", "left").join(counts, "node", "left").select(
-        "node", "other", "size", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        "node", "other", "size", F.coalesce("root", "node").alias("group"), F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+    )
+    full = profile.select("doc_id", "doc_key", "node", "other", "size").join(answer, ["node", "other", "size"], "left")
+    return full.select(
+        "doc_id", "doc_key", "group", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
-    full = profile.select("doc_id", "node", "other", "size").join(answer, ["node", "other", "size"], "left")
-    return full.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents it links to, copies included) of every document.
+
+    Words are lower-cased (A-Z) runs of other characters than white space. Null and wordless texts have no shingles,
+    link to nothing and are components of their own. Repeated rows are copies of each other; null ids take part but
+    name no component. Further columns are left out; an empty table gives an empty table.
+    """
+    return _joined(docs, n, percent, cell).drop("doc_key", "group")
+
+
+def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+    """The documents without near duplicates: of each component the one of the smallest id; columns as in ``docs``.
+
+    Documents without shingles stay. Of a component without ids the smallest key stays; of repeated rows one stays.
+    """
+    inner, names = packs.renamed(docs)
+    found = _joined(docs, n, percent, cell)
+    first = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("x")).select(F.col("x.doc_key").alias("_key"), F.lit(True).alias("_sized"))
+    empty = found.where("n_shingles = 0").select(F.col("doc_key").alias("_key"), F.lit(False).alias("_sized")).distinct()
+    kept = inner.withColumn("_key", packs.document_key()).join(first.unionByName(empty), "_key")
+    once = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_copy = 1 OR NOT _sized")
+    return packs.restored(once, docs, names)

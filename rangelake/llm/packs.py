@@ -94,3 +94,14 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or work_folder(spark)
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def renamed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
+    """Columns other than ``keep`` under names that clash with nothing, and all names in order, for ``restored``."""
+    names = [c if c in keep else f"_own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+def restored(df: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``docs`` from a frame that has them under ``names``."""
+    return df.select(*(F.col(a).alias(c) for a, c in zip(names, docs.columns)))

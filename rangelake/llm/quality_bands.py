@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from rangelake.llm import words
+from rangelake.llm import packs, words
 
 
 @dataclass(frozen=True)
@@ -117,9 +117,6 @@ def judge(docs: DataFrame, bands: Bands = Bands(), carry: tuple[str, ...] = ("do
 
 def keep_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
-    marks = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "n_chunks", "n_bad_chunks", "base_failed", "kept"}
-    plain = [c for c in docs.columns if c not in marks and c != "_text"]
-    clash = [c for c in docs.columns if c not in plain]
-    inner = docs.select(*plain, *(docs[c].alias(f"_own_{c}") for c in clash))
-    judged = judge(inner, bands, tuple(inner.columns)).where("kept")
-    return judged.select(*(judged[f"_own_{c}"].alias(c) if c in clash else judged[c] for c in docs.columns))
+    inner, names = packs.renamed(docs.select(*docs.columns, docs["text"].alias("_whole")), ())
+    whole = names.pop()
+    return packs.restored(judge(inner.withColumnRenamed(whole, "text"), bands, tuple(names)).where("kept"), docs, names)

@@ -16,6 +16,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangelake.llm import packs
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -133,7 +135,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Null or empty texts have no matches. Rows with null or repeated ids are verified each on its own. An empty
     table gives an empty table.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_key", packs.document_key())
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
     joined = keyed.join(candidates(keyed, indexed, "_key").withColumnRenamed("kinds", "_kinds"), "_key", "left") if indexed else keyed.withColumn("_kinds", F.array().cast("array<string>"))
     text = F.coalesce("text", F.lit(""))
@@ -163,7 +165,8 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced, where spans overlap by one mark; columns as in ``docs``."""
-    found = scan(docs, rules)
+    inner, names = packs.renamed(docs)
+    found = scan(inner, rules)
     text = F.coalesce("text", F.lit(""))
     cut = F.aggregate(
         "_hits", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -172,7 +175,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
         ),
     )
-    clean = F.when(F.size("_hits") > 0, F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.char_length(text)))).otherwise(F.col("text"))
-    marked = found.withColumn("_clean", clean)
-    size = [F.char_length("_clean").cast("long").alias(c) if c == "n_chars" else None for c in docs.columns]
-    return marked.select(*(F.col("_clean").alias("text") if c == "text" else F.when(F.size("_hits") > 0, n).otherwise(F.col(c)).alias(c) if n is not None else F.col(f"`{c}`") for c, n in zip(docs.columns, size)))
+    found = found.withColumn("_cut", cut).withColumn("text", F.when(F.size("_hits") > 0, F.concat("_cut.out", F.substring(text, F.col("_cut.at") + 1, F.char_length(text)))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        own = names[docs.columns.index("n_chars")]
+        found = found.withColumn(own, F.when(F.size("_hits") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own)))
+    return packs.restored(found, docs, names)
