@@ -38,6 +38,9 @@ _END = _U(0x5DEECE66D1234567)
 
 @dataclass(frozen=True)
 class Model:
+    #: Totals of the n-grams of each block of ``blocks``.
+    answers: DataFrame
+    blocks: int
     tokens: int
     types: int
     #: Weights (bigram, word, uniform) for each power of two of the context's count.
@@ -185,20 +188,26 @@ def learn(docs: DataFrame, answers: DataFrame, blocks: int, tokens: int, types:
     return weights
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def train(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Model:
+    """Count the n-grams of the training documents for every block of ``docs`` and learn the weights."""
+    size = packs.text_bytes(docs)
+    blocks = packs.block_count(size, block_bytes)
+    answers = packs.stored(counted(docs, blocks, packs.block_count(size, bucket_bytes)))
+    sums = answers.where("block < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "dropped"))).first()
+    weights = learn(docs, answers, blocks, sums["tokens"], sums["types"], sums["dropped"])
+    return Model(answers, blocks, sums["tokens"], sums["types"], weights)
+
+
+def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Tokens are the lower-cased (A-Z) words and an end. Documents whose crc32 of the id is 1 modulo 5 are scored only; all
     others are learned from. A null text is empty (one token, the end); a null id counts as an empty one; repeated rows
     are learned from and scored each; further columns are left out; an empty table gives an empty table; without any
-    training text all scores are uniform.
+    training text all scores are uniform. ``model`` is that of the same documents, if it is at hand.
     """
-    size = packs.text_bytes(docs)
-    blocks = packs.block_count(size, block_bytes)
-    answers = packs.stored(counted(docs, blocks, packs.block_count(size, bucket_bytes)))
-    sums = answers.where("block < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "dropped"))).first()
-    tokens, types = sums["tokens"], sums["types"]
-    model = Model(tokens, types, learn(docs, answers, blocks, tokens, types, sums["dropped"]))
+    model = model or train(docs)
+    tokens, types, weights = model.tokens, model.types, model.weights
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -207,18 +216,17 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = B
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
         texts = _block_texts(left)
         bounds, word, context, bigram = _block_counts(texts, right, ["total"])
-        base = np.log10((word + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-        w = model.weights[_level(context)]
-        p = w[:, 0] * bigram / np.maximum(context, 1) + w[:, 1] * word / max(model.tokens, 1) + w[:, 2] / (model.types + 1)
-        first = bounds[:-1]
-        total = lambda x: np.add.reduceat(x, first)
+        base = np.log10((word + 0.5) / (tokens + 0.5 * (types + 1)))
+        w = weights[_level(context)]
+        p = w[:, 0] * bigram / np.maximum(context, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] / (types + 1)
+        sums = lambda x: np.add.reduceat(x, bounds[:-1])
         n = texts.num_rows
         return pa.table([
-            texts.column("doc_id"), pa.array([key[0].as_py() % 3 == OUT] * n, pa.bool_()), pa.array(np.diff(bounds), pa.int64()), pa.array(total((word > 0).astype(np.int64)), pa.int64()),
-            pa.array([model.tokens] * n, pa.int64()), pa.array(total(base), pa.float64()), pa.array(total(np.log10(p)), pa.float64()),
+            texts.column("doc_id"), pa.array([key[0].as_py() % 3 == OUT] * n, pa.bool_()), pa.array(np.diff(bounds), pa.int64()), pa.array(sums((word > 0).astype(np.int64)), pa.int64()),
+            pa.array([tokens] * n, pa.int64()), pa.array(sums(base), pa.float64()), pa.array(sums(np.log10(p)), pa.float64()),
         ], names)
 
-    got = answers.where("block >= 0").select("bucket", "block", "total")
-    return packs.packed(docs, blocks, _group(), 3).groupBy("block").cogroup(got.groupBy("block")).applyInArrow(
+    got = model.answers.where("block >= 0").select("bucket", "block", "total")
+    return packs.packed(docs, model.blocks, _group(), 3).groupBy("block").cogroup(got.groupBy("block")).applyInArrow(
         run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

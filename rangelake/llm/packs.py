@@ -6,6 +6,7 @@ also after an executor is lost. The number of blocks follows the bytes of text,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangelake import session
+
 #: Text bytes that a block should hold.
 BLOCK_BYTES = 12 << 20
 
@@ -75,17 +78,7 @@ def packed(docs: DataFrame, blocks: int, group: Column | None = None, groups: in
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared folder that the cluster names in ``spark.checkpoint.dir``."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-work-"))
-        shared = spark.sparkContext.getCheckpointDir()
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{session.work_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
