@@ -250,55 +250,67 @@ def peak_search(spectra: DataFrame, level: float = SIDELOBE) -> DataFrame:
     })
 
 
-def _fold_peaks(s: Column, gamma: float, level: float, strict: bool) -> Column:
-    """Hysteresis search: array<struct<loc, value, width>>.
+def _legs(curve: np.ndarray, gamma: float, floor: float, strict: bool) -> list[tuple[int, float, int]]:
+    """Peaks (place, value, width) of a closed curve that stand out by the factor ``gamma`` on both sides.
 
-    The curve is followed once and then past its end up to the point where the first
-    rise began, so that a peak across the ends is found. The fold keeps the running
-    maximum and minimum and appends a peak whenever the curve falls by ``gamma``.
+    The curve is cut into legs: a climb starts where it exceeds the lowest value since the last descent by ``gamma``, a
+    descent where it is below the highest value of the climb by ``gamma``. Both ends come from running extrema, and the
+    curve is read on past its end up to where the first climb started.
     """
-    n = F.size(s)
-    empty = F.array().cast("array<struct<loc:bigint,value:double,width:bigint>>")
-    start = F.struct(
-        F.lit(0.0).alias("top"), F.lit(0).cast("long").alias("loc"), F.lit(0).cast("long").alias("run"),
-        (F.array_max(s) * level).alias("limit"), n.cast("long").alias("n"),
-        F.lit(float("inf")).alias("low"), F.lit(False).alias("up"), F.lit(-1).cast("long").alias("extend"), empty.alias("peaks"),
-    )
-    walk = F.transform(
-        F.sequence(F.lit(0), n * 2 - 1),
-        lambda i: F.struct(i.cast("long").alias("i"), F.element_at(s, (i % n + 1).cast("int")).alias("v")),
-    )
-
-    def step(a, e):
-        v, i = e["v"], e["i"]
-        live = i < a["n"] + F.greatest(a["extend"], F.lit(0))
-        higher = v > a["top"]
-        top, loc, run = (F.when(higher, x).otherwise(a[k]) for x, k in ((v, "top"), (i % a["n"], "loc"), (i, "run")))
-        low = F.least(a["low"], v)
-        falls = a["up"] & (v < top / gamma)
-        rises = ~a["up"] & (v > low * gamma)
-        counts = (top > a["limit"]) if strict else (top >= a["limit"])
-        found = F.struct(loc.cast("long").alias("loc"), top.alias("value"), (i - run).cast("long").alias("width"))
-        nxt = F.struct(
-            F.when(rises, v).otherwise(top).alias("top"), loc.cast("long").alias("loc"), run.cast("long").alias("run"),
-            a["limit"].alias("limit"), a["n"].alias("n"), F.when(falls, v).otherwise(low).alias("low"), F.when(falls, False).when(rises, True).otherwise(a["up"]).alias("up"),
-            F.when(rises & (a["extend"] < 0), i).otherwise(a["extend"]).cast("long").alias("extend"),
-            F.when(falls & counts, F.array_append(a["peaks"], found)).otherwise(a["peaks"]).alias("peaks"),
+    n = len(curve)
+    twice = np.concatenate([curve, curve])
+    end, first, out = n, None, []
+    low_from, record, place = 0, 0.0, 0  # start of the descent; highest value and its place before the climb
+    seen = 0
+    while True:
+        part = twice[low_from:end]
+        climbs = np.flatnonzero(part > np.minimum.accumulate(part) * gamma)
+        climbs = climbs[climbs > 0] if seen else climbs
+        if not len(climbs):
+            return out
+        start = low_from + int(climbs[0])
+        before = twice[seen : start + 1]
+        if len(before) and before.max() > record:
+            place = seen + int(before.argmax())
+        if first is None:
+            first, end = start, n + start
+        part = twice[start:end]
+        tops = np.maximum.accumulate(part)
+        falls = 1 + np.flatnonzero(part[1:] < tops[1:] / gamma)
+        if not len(falls):
+            return out
+        stop = start + int(falls[0])
+        record = float(tops[falls[0]])
+        if record > twice[start]:
+            place = start + int(twice[start:stop].argmax())
+        if record > floor or not strict and record == floor:
+            out.append((place % n, record, stop - place))
+        low_from = seen = stop
+
+
+def _hysteresis(gamma: float, level: float, strict: bool):
+    """Arrow UDF: array<struct<loc, value, width>> of each spectrum."""
+
+    def run(spectra: pa.Array) -> pa.Array:
+        found = [[] if not len(c) else _legs(c, gamma, c.max() * level, strict) for c in _lists(spectra)]
+        flat = [p for peaks in found for p in peaks]
+        rows = pa.StructArray.from_arrays(
+            [pa.array([p[0] for p in flat], pa.int64()), pa.array([p[1] for p in flat], pa.float64()), pa.array([p[2] for p in flat], pa.int64())], names=["loc", "value", "width"]
         )
-        return F.when(live, nxt).otherwise(a)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)), rows)
 
-    return F.aggregate(walk, start, step, lambda a: a["peaks"])
+    return F.arrow_udf(run, returnType="array<struct<loc:bigint,value:double,width:bigint>>")
 
 
 def peak_search_full(spectra: DataFrame, gamma: float = GAMMA, level: float = SIDELOBE, slots: int | None = None) -> DataFrame:
     """Add ``peaks`` (loc, value, width) by hysteresis search and ``num_peaks``; ``slots`` keeps the first few."""
-    found = _fold_peaks(F.col("spectrum"), gamma, level, False)
+    found = _hysteresis(gamma, level, False)("spectrum")
     return spectra.withColumn("peaks", F.slice(found, 1, slots) if slots else found).withColumn("num_peaks", F.size("peaks").cast("long"))
 
 
 def peak_search_variance(spectra: DataFrame, level: float = SIDELOBE, gamma: float = GAMMA) -> DataFrame:
     """Like :func:`peak_search_full`, peaks strictly above the level, with ``total_power`` of the peaks."""
-    return spectra.withColumn("peaks", _fold_peaks(F.col("spectrum"), gamma, level, True)).withColumns({
+    return spectra.withColumn("peaks", _hysteresis(gamma, level, True)("spectrum")).withColumns({
         "num_peaks": F.size("peaks").cast("long"),
         "total_power": F.aggregate("peaks", F.lit(0.0), lambda acc, p: acc + p["value"]),
     })

@@ -105,11 +105,42 @@ def _lagged(y: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(y, size) * np.fft.fft(x, size).conj())[:k]
 
 
-def _delays(x: np.ndarray, k: int) -> np.ndarray:
-    """(k, N) matrix of delayed copies, zeros shifted in."""
-    out = np.zeros((k, len(x)), dtype=complex)
-    for i in range(k):
-        out[i, i:] = x[: len(x) - i]
+#: Samples whose delayed copies are held at a time.
+BLOCK = 1 << 15
+
+
+def _copies(r: np.ndarray, t: np.ndarray, delay: np.ndarray, doppler: np.ndarray) -> np.ndarray:
+    """r[t - delay] e^(i pi doppler t / N), one line per (delay, Doppler); zero outside the interval."""
+    source = t - delay[:, None]
+    inside = (source >= 0) & (source < len(r))
+    lines = np.where(inside, r[np.clip(source, 0, len(r) - 1)], 0)
+    return lines * np.exp(1j * np.pi / len(r) * doppler[:, None] * t) if doppler.any() else lines
+
+
+def _normal_equations(r: np.ndarray, s: np.ndarray, delay: np.ndarray, doppler: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the copies with each other and with ``s`` over samples low..high, summed block by block."""
+    gram, cross = np.zeros((len(delay), len(delay)), complex), np.zeros(len(delay), complex)
+    for start in range(low, high, BLOCK):
+        t = np.arange(start, min(start + BLOCK, high))
+        lines = _copies(r, t, delay, doppler)
+        gram += lines.conj() @ lines.T
+        cross += lines.conj() @ np.where((t >= 0) & (t < len(s)), s[np.clip(t, 0, len(s) - 1)], 0)
+    return gram, cross
+
+
+def _projected_out(r: np.ndarray, s: np.ndarray, delay: np.ndarray, doppler: np.ndarray, batches: int = 1, margin: int = 0) -> np.ndarray:
+    """What of ``s`` is orthogonal to the copies, batch by batch; weights are fitted ``margin`` samples wider."""
+    size, rest = divmod(len(r), batches)
+    if rest:
+        raise ValueError("the interval is not a multiple of the batch count")
+    if delay.max() > size:
+        raise ValueError("a delay exceeds the batch")
+    out = s.astype(complex)
+    for low in range(0, len(r), size):
+        weights = np.linalg.solve(*_normal_equations(r, s, delay, doppler, low - margin, low + size + margin))
+        for start in range(low, low + size, BLOCK):
+            t = np.arange(start, min(start + BLOCK, low + size))
+            out[t] -= weights @ _copies(r, t, delay, doppler)
     return out
 
 
@@ -137,8 +168,8 @@ def corr_matrix(pairs: DataFrame, keys: Sequence[str], k: int, toeplitz: bool =
     """
 
     def full(r, _):
-        x = _delays(r, k)
-        return (x.conj() @ x.T) / len(r)
+        lags = np.arange(k)
+        return _normal_equations(r, r, lags, 0 * lags, 0, len(r))[0] / len(r)
 
     def completed(r, _):
         return _toeplitz(_lagged(r, r, k)) / len(r)
@@ -166,9 +197,7 @@ def _fir(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _smi(r: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
-    x = _delays(r, k)
-    w = np.linalg.solve(x @ x.conj().T, x @ s.conj())
-    return s - x.T @ w.conj()
+    return _projected_out(r, s, np.arange(k), np.zeros(k, int))
 
 
 def _smi_mre(r: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
@@ -190,45 +219,17 @@ def wiener_smi_mre(pairs: DataFrame, k: int | Column, out: str = "surv") -> Data
     return _replace_surv(pairs, _pair_kernel_k(_smi_mre)(*PAIR, _dims(k)), out)
 
 
-def _eca(r: np.ndarray, s: np.ndarray, space: Sequence[tuple[int, int]], batches: int, margin: int) -> np.ndarray:
-    n = len(r)
-    if n % batches:
-        raise ValueError("the interval is not a multiple of the batch count")
-    size = n // batches
-    if max(d for _, d in space) > size:
-        raise ValueError("a delay exceeds the batch")
-    t = np.arange(-margin, n + margin)
-    ext_s = np.concatenate([np.zeros(margin), s, np.zeros(margin)])
-    ext_r = np.concatenate([np.zeros(margin), r, np.zeros(margin)])
-    out = np.empty(n, dtype=complex)
-    for start in range(0, n, size):
-        wide = slice(start, start + size + 2 * margin)
-        basis_fit, basis = [], []
-        for doppler, delay in space:
-            turn = np.exp(2j * np.pi * doppler * t / (2 * n))
-            if start == 0:  # nothing precedes the first batch
-                late = np.concatenate([np.zeros(delay), ext_r[wide][: size + 2 * margin - delay]])
-                here = np.concatenate([np.zeros(delay), r[:size][: size - delay]])
-            else:
-                late = ext_r[start - delay: start + size + 2 * margin - delay]
-                here = r[start - delay: start + size - delay]
-            basis_fit.append(late * turn[wide])
-            basis.append(here * turn[start + margin: start + margin + size])
-        a, b = np.array(basis_fit), np.array(basis)
-        w = np.linalg.solve(a.conj() @ a.T, a.conj() @ ext_s[wide])
-        out[start: start + size] = s[start: start + size] - w @ b
-    return out
-
-
 def eca(pairs: DataFrame, delays: int | Column, dopplers: int, batches: int = 1, margin: int = 0, out: str = "surv") -> DataFrame:
     """Project delayed and Doppler-shifted copies of the reference out of each batch.
 
     Weights are fitted on the batch widened by ``margin`` samples on both sides.
     """
 
+    lines = np.arange(-dopplers, dopplers + 1)
+
     def run(r, s, k):
-        space = [(i, j) for i in range(-dopplers, dopplers + 1) for j in range(k)]
-        return _eca(r, s, space, batches, margin)
+        doppler, delay = (x.ravel() for x in np.meshgrid(lines, np.arange(k), indexing="ij"))
+        return _projected_out(r, s, delay, doppler, batches, margin)
 
     return _replace_surv(pairs, _pair_kernel_k(run)(*PAIR, _dims(delays)), out)
 
@@ -337,43 +338,55 @@ def caf_td(pairs: DataFrame, keys: Sequence[str], fs: float, f_max: float, f_ste
 
 
 def caf_fd(pairs: DataFrame, keys: Sequence[str], fs: float, f_max: float, r_max: int) -> DataFrame:
-    """Cross-ambiguity with Doppler lines fs / (2N) apart, from doubled transforms rolled by whole lines."""
+    """Cross-ambiguity with Doppler lines fs / (2N) apart, both signs, as many as f_max holds."""
 
     def run(r, s):
-        n = len(r)
-        lines = int(f_max / (fs / (2 * n)))
-        surv = np.fft.fft(np.concatenate([np.zeros(n), s]))
-        ref = np.fft.fft(np.concatenate([r, np.zeros(n)]))
-        return np.array([
-            np.fft.ifft(surv * np.roll(ref, line).conj())[n: n + r_max] for line in range(-lines, lines + 1)
-        ])
+        half = int(2 * len(r) * f_max / fs)
+        return _caf_rows(r, s, np.pi / len(r) * np.arange(-half, half + 1), r_max)
 
     return _caf_cells(pairs, keys, _pair_kernel(run)(*PAIR), r_max)
 
 
-def _caf_batched(r: np.ndarray, s: np.ndarray, lines: int, r_max: int) -> np.ndarray:
-    n = len(r)
-    if n % r_max:
-        raise ValueError("the interval cannot be cut into batches of the range size")
-    rows = n // r_max
-    ref = r.reshape(rows, r_max)
-    now = s.reshape(rows, r_max)
-    both = np.concatenate([now, np.vstack([now[1:], np.zeros((1, r_max))])], axis=1)
-    corr = np.fft.ifft(np.fft.fft(both, axis=1) * np.fft.fft(ref, 2 * r_max, axis=1).conj(), axis=1)[:, :r_max]
-    doppler = np.fft.fft(corr, 2 * rows, axis=0)
-    return np.vstack([doppler[2 * rows - lines:], doppler[: lines + 1]])
+def _batch_products(pairs: DataFrame, keys: Sequence[str], r_max: int) -> DataFrame:
+    """Rows (keys, n, batch, re, im): sums of surv[t + lag] conj(ref[t]) over the t of each batch of ``r_max``, lag < r_max."""
+    n = F.size("ref_re")
+    whole = F.when(n % r_max == 0, n).otherwise(F.raise_error(F.lit("the interval cannot be cut into batches of the range size")).cast("int"))
+    batch = F.explode(F.sequence(F.lit(0), (whole / r_max).cast("int") - 1))
+    cut = pairs.withColumn("n", n).withColumn("batch", batch)
+    at = F.col("batch") * r_max + 1
+    parts = {c: F.slice(c, at, r_max) for c in ("ref_re", "ref_im")} | {c: F.slice(c, at, 2 * r_max) for c in ("surv_re", "surv_im")}
+    rows = cut.select(*keys, "n", "batch", *(x.alias(c) for c, x in parts.items()))
+    products = _pair_kernel(lambda r, s: _lagged(s, r, r_max))
+    return rows.withColumn("z", products(*PAIR)).select(*keys, "n", "batch", "z.re", "z.im")
+
+
+def _doppler_lines(products: DataFrame, keys: Sequence[str], half, r_max: int) -> DataFrame:
+    """Doppler transform over the batches of each lag: lines -half..half (``half`` of N), 1 / (2 batches) apart."""
+    by_lag = products.select(*keys, "n", "batch", F.posexplode(F.arrays_zip("re", "im")).alias("range_bin", "z"))
+    turned = by_lag.groupBy(*keys, "n", "range_bin").agg(F.array_sort(F.collect_list(F.struct("batch", "z.re", "z.im"))).alias("b"))
+
+    def run(re: pa.Array, im: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for a, b, size in zip(_lists(re), _lists(im), n.to_pylist()):
+            count, lines = len(a), half(size)
+            turns = np.fft.fft(a + 1j * b, 2 * count)
+            out.append(turns[np.arange(-lines, lines + 1) % (2 * count)])
+        return _pack_complex(out)
+
+    kernel = F.arrow_udf(run, returnType=COMPLEX_VECTOR)
+    lines = turned.withColumn("_z", kernel("b.re", "b.im", "n"))
+    cells = lines.select(*keys, F.col("range_bin").cast("long").alias("range_bin"), F.posexplode(F.arrays_zip(F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))).alias("doppler_bin", "z"))
+    return cells.select(*keys, F.col("doppler_bin").cast("long").alias("doppler_bin"), "range_bin", "z.re", "z.im")
 
 
 def caf_batched(pairs: DataFrame, keys: Sequence[str], fs: float, f_max: float, r_max: int) -> DataFrame:
-    """Cross-ambiguity by overlap-save batches of ``r_max`` samples and a transform across batches."""
-    z = _pair_kernel(lambda r, s: _caf_batched(r, s, int(f_max / (fs / (2 * len(r)))), r_max))
-    return _caf_cells(pairs, keys, z(*PAIR), r_max)
+    """Cross-ambiguity by batches of ``r_max`` samples: lag products per batch, a corner turn, a transform over batches."""
+    return _doppler_lines(_batch_products(pairs, keys, r_max), keys, lambda n: int(2 * n * f_max / fs), r_max)
 
 
 def caf_lines(pairs: DataFrame, keys: Sequence[str], lines: int, r_max: int) -> DataFrame:
     """Like :func:`caf_batched`, with the number of Doppler lines on each side of zero."""
-    z = _pair_kernel(lambda r, s: _caf_batched(r, s, lines, r_max))
-    return _caf_cells(pairs, keys, z(*PAIR), r_max)
+    return _doppler_lines(_batch_products(pairs, keys, r_max), keys, lambda n: lines, r_max)
 
 
 def taper_surveillance(pairs: DataFrame, name: str) -> DataFrame:
