@@ -18,7 +18,7 @@ HEADLINE = [
     "asof_nearest", "due_frames", "fused_latest", "playback_timeline", "frame_drops", "rolling_rate", "latency_summary", "recording_summary",
     "polar_points", "log_scaled_map", "filtered_boxes", "filter_scorecard",
     "range_spectrum", "doppler_spectrum", "capon_point_cloud", "beamformed_point_cloud", "peaks_with_variance", "filter_size_sweep", "ambiguity_batched",
-    "object_clusters", "point_clusters", "tracked_targets", "assembled_frames", "packet_gaps", "tlv_points",
+    "object_clusters", "point_clusters", "predicted_tracks", "assembled_frames", "packet_gaps", "tlv_points",
 ]
 
 

@@ -1,80 +1,32 @@
-"""Multi-target tracking.
+"""Steps of a group tracker as operations on tables of tracks and points.
 
-A tracker is sequential in time for one sensor, so Spark parallelises over sensors and
-over *sessions* of a sensor: once a sensor has been silent for longer than every miss
-threshold, no track can survive, and what follows is independent. A session streams
-through its task frame by frame (sorted partition, Arrow batches), so memory holds one
-frame and the tracks, never the session.
+A track is a row: ``s`` (x, y, vx, vy, ax, ay), ``p`` (its 6 x 6 covariance, row by row), ``variance`` of the
+acceleration (0: stands still), counters and states. A step over all sensors at once is predict, gate, associate,
+measure, correct and the two state columns; each is a projection or one grouping by track, so nothing is bounded by a
+number of points or tracks. Angles are from the y axis, in radians.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import ROWS_PER_TASK, carry_last, has_oversized, reach
+from rangelake.functions.arrays import let
+from rangelake.functions.kernels import _lists, _pack
+from rangelake.operators.ordered import ROWS_PER_TASK, carry_last, join_keys, reach
 
-# Filter constants.
-MIN_ALPHA = 0.1
-EST_POINTS = 10
-MIN_POINTS_DISPERSION = 3
-LOCK_ERROR = 0.1
+# Start covariance; share of new spread at least; points that make an estimate, and a spread; errors of
+# unrolled velocity that count as settled and as locked.
 INITIAL_COVARIANCE = (0.0, 0.0, 0.5, 0.5, 1.0, 1.0)
-BEHIND_WALL, UNASSOCIATED = -2, -1
-MAX_POINTS, MAX_TRACKS = 1000, 250
-
-Box = tuple[float, float, float, float]
-
-
-@dataclass(frozen=True)
-class TrackerParams:
-    """Tracker settings; boxes are (left, right, bottom, top)."""
-
-    dt: float = 0.05
-    max_points: int = 250
-    max_tracks: int = 20
-    initial_velocity: float = 0.0
-    max_velocity: float = 20.0
-    velocity_resolution: float = 0.0
-    max_acceleration: float = 2.0
-    gate_volume: float = 4.0
-    gate_limits: tuple[float, float, float] = (3.0, 2.0, 0.0)
-    det_to_active: int = 3
-    det_to_free: int = 3
-    active_to_free: int = 5
-    static_to_free: int = 5
-    exit_to_free: int = 5
-    unroll_alpha: float = 0.5
-    unroll_confidence: float = 0.1
-    alloc_snr: float = 50.0
-    alloc_velocity: float = 0.01
-    alloc_points: int = 20
-    alloc_distance_sq: float = 0.75
-    alloc_velocity_gap: float = 2.0
-    length_std: float = 0.289
-    width_std: float = 0.289
-    doppler_std: float = 1.0
-    boundary_boxes: tuple[Box, ...] = ()
-    static_boxes: tuple[Box, ...] = ()
-    ref_compat: bool = False
-
-    def __post_init__(self):
-        if self.max_points > MAX_POINTS or self.max_tracks > MAX_TRACKS:
-            raise ValueError("too many points or tracks configured")
-
-    @property
-    def quiet_frames(self) -> int:
-        """Empty frames after which no track can be alive."""
-        return max(self.det_to_free, self.active_to_free, self.static_to_free, self.exit_to_free) + 1
-
-
-# --- column forms --------------------------------------------------------------------
+MIN_SHARE = 0.1
+EST_POINTS = 10
+MIN_SPREAD_POINTS = 3
+SETTLED, LOCKED = 0.1, 0.1
 
 
 def unroll_velocity(v_max: Column, expected: Column, measured: Column, ref_compat: bool = False) -> Column:
@@ -85,6 +37,62 @@ def unroll_velocity(v_max: Column, expected: Column, measured: Column, ref_compa
     return measured + F.signum(gap) * turns * v_max * 2
 
 
+def spherical(s: Column) -> Column:
+    """range, angle, radial velocity of a state as an array."""
+    x, y, vx, vy = (s[i] for i in range(4))
+    r = F.sqrt(x * x + y * y)
+    return F.array(r, F.atan2(x, y), F.coalesce(F.try_divide(x * vx + y * vy, r), F.lit(0.0)))
+
+
+def predict(tracks: DataFrame, dt: float) -> DataFrame:
+    """``s`` and ``p`` one frame ahead under constant acceleration, and ``h``: range, angle, radial velocity.
+
+    p becomes F p F' + variance Q, made symmetric. Tracks without variance keep both.
+    """
+    power = np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
+    move, push = np.kron(power, np.eye(2)), np.kron(np.outer([dt * dt / 2, dt, 1], [dt * dt / 2, dt, 1]), np.eye(2))
+    s, p = F.col("s"), F.col("p")
+
+    def total(terms: list[tuple[float, Column]]) -> Column:
+        out = F.lit(0.0)
+        for weight, value in terms:
+            out = out + value * float(weight) if weight else out
+        return out
+
+    ahead = [total([(move[i, k], s[k]) for k in range(6)]) for i in range(6)]
+    cov = [[total([(move[i, k] * move[j, m], p[6 * k + m]) for k in range(6) for m in range(6)] + [(push[i, j], F.col("variance"))]) for j in range(6)] for i in range(6)]
+    moves = F.col("variance") != 0
+    out = tracks.withColumns({
+        "s": F.when(moves, F.array(*ahead)).otherwise(s),
+        "p": F.when(moves, F.array(*((cov[i][j] + cov[j][i]) / 2 for i in range(6) for j in range(6)))).otherwise(p),
+    })
+    return out.withColumn("h", spherical(F.col("s")))
+
+
+def gate_size(tracks: DataFrame, volume: float, length: float = 0.0, width: float = 0.0, velocity: float = 0.0) -> DataFrame:
+    """``g``: the size of the gate (d' ec d < g) of the wanted volume, no wider than the limits; 0 sets no limit.
+
+    ``ec`` is the 3 x 3 inverse group covariance. With ec = L L', the columns of the inverse of L span the unit gate.
+    """
+    ec = F.col("ec")
+    l00 = F.sqrt(ec[0])
+    l10, l20 = ec[3] / l00, ec[6] / l00
+    l11 = F.sqrt(ec[4] - l10 * l10)
+    l21 = (ec[7] - l20 * l10) / l11
+    l22 = F.sqrt(ec[8] - l20 * l20 - l21 * l21)
+    w10, w20 = -l10 / (l00 * l11), (l10 * l21 - l20 * l11) / (l00 * l11 * l22)
+    w21 = -l21 / (l11 * l22)
+    box = 4 * math.pi / 3 / F.sqrt(ec[0] * ec[4] * ec[8])
+    sizes = [F.pow(F.lit(volume) / box, 2 / 3)]
+    if length:
+        sizes.append(length**2 / (4 * (1 / ec[0] + w10 * w10 + w20 * w20)))
+    if width:
+        sizes.append(F.pow(width / (2 * F.col("h")[0] * F.tan(F.sqrt(1 / (l11 * l11) + w21 * w21))), 2))
+    if velocity:
+        sizes.append(velocity**2 * l22 * l22 / 4)
+    return tracks.withColumn("g", F.when(F.col("variance") == 0, 1.0).otherwise(F.least(*sizes) if len(sizes) > 1 else sizes[0]))
+
+
 def associate(points: DataFrame, predicted: DataFrame, by: Sequence[str]) -> DataFrame:
     """Best track per point: ``uid`` and ``score`` (NULL when no gate holds the point).
 
@@ -95,7 +103,7 @@ def associate(points: DataFrame, predicted: DataFrame, by: Sequence[str]) -> Dat
     tracks = predicted.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("uid", "h", "ec", "log_det", "g"))).alias("_t")
     )
-    joined = points.join(tracks, list(by), "left")
+    joined = join_keys(points, tracks, list(by), "left")
 
     def judge(t):
         d = [F.col(n) - t["h"][i] for i, n in enumerate(("range", "angle", "doppler"))]
@@ -110,398 +118,123 @@ def associate(points: DataFrame, predicted: DataFrame, by: Sequence[str]) -> Dat
     return joined.withColumn("_b", best).withColumns({"uid": F.col("_b.uid"), "score": F.col("_b.score")}).drop("_t", "_b")
 
 
-# --- per-frame step ------------------------------------------------------------------
-
-
-def _unroll(v_max: float, expected: float, v, compat: bool):
-    """Number or array form of :func:`unroll_velocity`."""
-    gap = (max(expected, v_max) if compat else expected) - v
-    return v + np.sign(gap) * np.floor((np.abs(gap) + v_max) / (2 * v_max)) * (2 * v_max)
-
-
-def _spherical(s: np.ndarray) -> np.ndarray:
-    x, y, vx, vy = s[:4]
-    r = math.hypot(x, y)
-    azimuth = math.pi / 2 if y == 0 else math.atan(x / y) + (math.pi if y < 0 else 0.0)
-    return np.array([r, azimuth, (x * vx + y * vy) / r if r else 0.0])
-
-
-def _jacobian(s: np.ndarray) -> np.ndarray:
-    x, y, vx, vy = s[:4]
-    r = math.hypot(x, y)
-    cross = vx * y - vy * x
-    out = np.zeros((3, 6))
-    out[0, :2] = x / r, y / r
-    out[1, :2] = y / r**2, -x / r**2
-    out[2, :4] = y * cross / r**3, -x * cross / r**3, x / r, y / r
-    return out
-
-
-def _motion(dt: float) -> tuple[np.ndarray, np.ndarray]:
-    """Constant-acceleration transition and process noise shape, axes interleaved."""
-    eye = np.eye(2)
-    one = np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
-    noise = np.array([dt * dt / 2, dt, 1.0])
-    return np.kron(one, eye), np.kron(np.outer(noise, noise), eye)
-
-
-def _inside(x: float, y: float, boxes: Sequence[Box]) -> bool:
-    return any(left < x < right and bottom < y < top for left, right, bottom, top in boxes)
-
-
-@dataclass
-class Track:
-    uid: int
-    tid: int
-    born: int
-    first_range: float
-    first_velocity: float
-    rate: float
-    s_next: np.ndarray
-    h: np.ndarray
-    variance: float
-    p_next: np.ndarray = field(default_factory=lambda: np.diag(INITIAL_COVARIANCE))
-    s: np.ndarray = field(default_factory=lambda: np.zeros(6))
-    p: np.ndarray = field(default_factory=lambda: np.zeros((6, 6)))
-    spread: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
-    cov: np.ndarray = field(default_factory=lambda: np.eye(3))
-    cov_inv: np.ndarray = field(default_factory=lambda: np.eye(3))
-    gate: float = 1.0
-    age: int = 0
-    seen: int = 0
-    phase: str = "init"  # init -> rate -> tracking -> locked
-    state: str = "detection"  # detection -> active -> free
-    hits: int = 0
-    misses: int = 0
-
-    def predict(self, f: np.ndarray, q: np.ndarray) -> None:
-        self.age += 1
-        if self.variance:
-            self.s_next = f @ self.s
-            p = f @ self.p @ f.T + q * self.variance
-            self.p_next = (p + p.T) / 2
-        else:
-            self.s_next, self.p_next = self.s.copy(), self.p.copy()
-        self.h = _spherical(self.s_next)
-
-    def gate_size(self, prm: TrackerParams) -> float:
-        """Gate of constant volume, cut so that it never reaches past the limits."""
-        if not self.variance:
-            return 1.0
-        axes = 1.0 / np.sqrt(np.diag(self.cov_inv))
-        size = (prm.gate_volume / (4 * math.pi / 3 * axes.prod())) ** (2 / 3)
-        w = np.linalg.inv(np.linalg.cholesky(self.cov_inv))
-        length, width, velocity = prm.gate_limits
-        if length:
-            size = min(size, length**2 / (4 * (w[:, 0] @ w[:, 0])))
-        if width:
-            across = 2 * self.h[0] * math.tan(math.hypot(w[1, 1], w[2, 1]))
-            size = min(size, width**2 / across**2)
-        if velocity:
-            size = min(size, velocity**2 / (4 * w[2, 2] ** 2))
-        return size
-
-    def expected_velocity(self) -> float:
-        return self.h[2] if self.phase == "locked" else self.first_velocity
-
-    def settle_velocity(self, u: np.ndarray, prm: TrackerParams) -> float:
-        """Unrolled radial velocity of the mean measurement; advances the phase."""
-        if self.phase == "init":
-            self.phase = "rate"
-            return self.rate
-        if self.phase == "locked":
-            return _unroll(prm.max_velocity, self.h[2], u[2], prm.ref_compat)
-        instant = (u[0] - self.first_range) / ((self.age - self.born) * prm.dt)
-        self.rate = prm.unroll_alpha * self.rate + (1 - prm.unroll_alpha) * instant
-        v = _unroll(prm.max_velocity, self.rate, u[2], prm.ref_compat)
-        if self.phase == "rate":
-            if self.rate and abs((instant - self.rate) / self.rate) < prm.unroll_confidence:
-                self.phase = "tracking"
-        elif v and abs((self.h[2] - v) / v) < LOCK_ERROR:
-            self.phase = "locked"
-        return v
-
-    def coast(self, prm: TrackerParams) -> None:
-        """No point this frame: keep the prediction; a track that stands still stays put."""
-        self.s, self.p = self.s_next.copy(), self.p_next.copy()
-        if np.all(np.abs(self.s[2:4]) < prm.velocity_resolution):
-            self.s[2:] = 0.0
-            self.variance = 0.0
-
-    def correct(self, z: np.ndarray, prm: TrackerParams) -> None:
-        n = len(z)
-        self.seen += n
-        if not self.variance:
-            self.variance = (0.5 * prm.max_acceleration) ** 2
-        mean = z.mean(axis=0)
-        angle_std = 2 * math.atan(0.5 * prm.width_std / self.h[0])
-        noise = np.diag([prm.length_std**2, angle_std**2, prm.doppler_std**2])
-        u = mean.copy()
-        u[2] = self.settle_velocity(mean, prm)
-        if n > MIN_POINTS_DISPERSION:
-            d = z - mean
-            share = max(n / self.seen, MIN_ALPHA)
-            self.spread = (1 - share) * self.spread + share * (d.T @ d) / n
-        weight = 0.0 if n > EST_POINTS else (EST_POINTS - n) / ((EST_POINTS - 1) * n)
-        centre_noise = noise / n + weight * np.diag(np.diag(self.spread))
-        j = _jacobian(self.s_next)
-        pj = self.p_next @ j.T
-        jpj = j @ pj
-        gain = pj @ np.linalg.inv(jpj + centre_noise)
-        self.s = self.s_next + gain @ (u - self.h)
-        self.p = self.p_next - gain @ pj.T
-        self.cov = jpj + noise + self.spread
-        self.cov_inv = np.linalg.inv(self.cov)
-
-    def advance(self, n: int, prm: TrackerParams) -> None:
-        """Life cycle after a frame with ``n`` own points."""
-        if self.state == "detection":
-            if n > prm.alloc_points:
-                self.misses = 0
-                self.hits += 1
-                if self.hits > prm.det_to_active:
-                    self.state = "active"
-            elif n == 0:
-                self.misses += 1
-                self.hits = max(0, self.hits - 1)
-                if self.misses > prm.det_to_free:
-                    self.state = "free"
-            return
-        if n:
-            self.misses = 0
-            return
-        self.misses += 1
-        allowed = prm.active_to_free
-        if prm.static_boxes:
-            allowed = prm.exit_to_free
-            if _inside(self.s[0], self.s[1], prm.static_boxes):
-                allowed = prm.static_to_free if not self.variance else prm.active_to_free
-        if self.misses > min(allowed, self.age):
-            self.state = "free"
-
-
-class Tracker:
-    """All tracks of one sensor session; ``step`` takes one frame of points."""
-
-    def __init__(self, prm: TrackerParams):
-        self.prm = prm
-        self.f, self.q = _motion(prm.dt)
-        self.tracks: list[Track] = []
-        self.free = list(range(prm.max_tracks))
-        self.beats = 0
-        self.total = 0
-
-    def snapshot(self) -> dict:
-        """Plain values of the whole state, for a state store."""
-        return {"tracks": [dict(vars(t)) for t in self.tracks], "free": list(self.free), "beats": self.beats, "total": self.total}
-
-    @classmethod
-    def restore(cls, prm: TrackerParams, state: dict) -> "Tracker":
-        out = cls(prm)
-        out.tracks = [Track(**t) for t in state["tracks"]]
-        out.free, out.beats, out.total = list(state["free"]), state["beats"], state["total"]
-        return out
+def measure(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per track and frame: ``n``, ``mean`` (range, angle, doppler) and ``moment`` (3 x 3 about the mean) of its points."""
+    axes = ("range", "angle", "doppler")
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"_m{i}") for i, a in enumerate(axes)), *(F.covar_pop(axes[i], axes[j]).alias(f"_c{i}{j}") for i, j in pairs))
+    cells = [F.col(f"_c{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)]
+    return sums.select(*by, "n", F.array("_m0", "_m1", "_m2").alias("mean"), F.array(*cells).alias("moment"))
 
-    def step(self, pts: np.ndarray) -> np.ndarray:
-        """``pts`` (n, 4): range, angle (rad), doppler, snr. Returns the track id per point
-        (-1 unassociated, -2 outside the boundary)."""
-        prm = self.prm
-        self.beats += 1
-        pts = np.array(pts[: prm.max_points], dtype=float).reshape(-1, 4)
-        owner = np.full(len(pts), UNASSOCIATED)
-        if prm.boundary_boxes:
-            for i, (r, a) in enumerate(pts[:, :2]):
-                if not _inside(r * math.sin(a), r * math.cos(a), prm.boundary_boxes):
-                    owner[i] = BEHIND_WALL
-        for t in self.tracks:
-            t.predict(self.f, self.q)
-        self._score(pts, owner)
-        self._allocate(pts, owner)
-        tids = {t.uid: t.tid for t in self.tracks}
-        for t in self.tracks:
-            mine = np.flatnonzero(owner == t.uid)
-            if len(mine):
-                pilot = pts[mine[0], 2]
-                pts[mine[1:], 2] = _unroll(prm.max_velocity, pilot, pts[mine[1:], 2], prm.ref_compat)
-                t.correct(pts[mine, :3], prm)
-            else:
-                t.coast(prm)
-            t.advance(len(mine), prm)
-        self.free += [t.uid for t in self.tracks if t.state == "free"]
-        self.tracks = [t for t in self.tracks if t.state != "free"]
-        return np.array([tids[o] if o >= 0 else o for o in owner], dtype=np.int64)
-
-    def _score(self, pts: np.ndarray, owner: np.ndarray) -> None:
-        prm = self.prm
-        best = np.full(len(pts), np.inf)
-        for t in self.tracks:
-            t.gate = t.gate_size(prm)
-            log_det = math.log(np.linalg.det(t.cov))
-            ref = t.expected_velocity()
-            v = _unroll(prm.max_velocity, ref, pts[:, 2], prm.ref_compat)
-            d = np.stack([pts[:, 0] - t.h[0], pts[:, 1] - t.h[1], v - ref], axis=1)
-            chi2 = np.einsum("ni,ij,nj->n", d, t.cov_inv, d)
-            wins = (owner != BEHIND_WALL) & (chi2 < t.gate) & (log_det + chi2 < best)
-            best[wins] = log_det + chi2[wins]
-            owner[wins] = t.uid
-            pts[wins, 2] = v[wins]
-
-    def _allocate(self, pts: np.ndarray, owner: np.ndarray) -> None:
-        """Grow a group around each leftover point; strong, moving groups start a track."""
-        prm = self.prm
-        for first in range(len(pts)):
-            if owner[first] != UNASSOCIATED:
-                continue
-            if not self.free:
-                return
-            group = [first]
-            total = pts[first, :3].copy()
-            centre = total.copy()
-            for k in range(first + 1, len(pts)):
-                if owner[k] != UNASSOCIATED:
-                    continue
-                r, a = pts[k, :2]
-                v = _unroll(prm.max_velocity, centre[2], pts[k, 2], prm.ref_compat)
-                gap = centre[0] ** 2 + r**2 - 2 * centre[0] * r * math.cos(centre[1] - a)
-                if abs(v - centre[2]) < prm.alloc_velocity_gap and gap < prm.alloc_distance_sq:
-                    group.append(k)
-                    total += (r, a, v)
-                    centre = total / len(group)
-            strong = pts[group, 3].sum() > prm.alloc_snr
-            if len(group) > prm.alloc_points and strong and abs(centre[2]) > prm.alloc_velocity:
-                uid = self.free.pop(0)
-                owner[group] = uid
-                self.total += 1
-                self.tracks.append(self._start(uid, centre))
-
-    def _start(self, uid: int, u: np.ndarray) -> Track:
-        prm = self.prm
-        rate = _unroll(prm.max_velocity, prm.initial_velocity, u[2], prm.ref_compat)
-        m = np.array([u[0], u[1], rate])
-        s, c = math.sin(m[1]), math.cos(m[1])
-        state = np.array([m[0] * s, m[0] * c, rate * s, rate * c, 0.0, 0.0])
-        return Track(
-            uid=uid, tid=self.total, born=self.beats, age=self.beats, first_range=u[0], first_velocity=u[2], rate=rate,
-            s_next=state, h=m, variance=(0.5 * prm.max_acceleration) ** 2,
-        )
-
-    def report(self) -> list[tuple]:
-        """(tid, uid, state, phase, S, EC, G) of every living track."""
-        return [
-            (t.tid, t.uid, t.state, t.phase, t.s.tolist(), t.cov_inv.ravel().tolist(), float(t.gate)) for t in self.tracks
-        ]
-
-
-# --- Spark job -----------------------------------------------------------------------
-
-TARGETS = (
-    "session long, frame_no long, tid long, uid long, state string, phase string, s array<double>, ec array<double>, g double"
-)
-POINTS_OUT = "session long, frame_no long, point_no long, tid long"
 
+def smooth_spread(tracks: DataFrame) -> DataFrame:
+    """``seen`` and ``spread`` after a frame's ``n`` points and their ``moment``: more than three points move the spread."""
+    seen = F.col("seen") + F.col("n")
+    share = F.greatest(F.col("n") / seen, F.lit(MIN_SHARE))
+    moved = let(share, lambda a: F.zip_with("spread", "moment", lambda old, new: (1 - a) * old + a * new))
+    return tracks.withColumns({"seen": seen, "spread": F.when(F.col("n") > MIN_SPREAD_POINTS, moved).otherwise(F.col("spread"))})
 
-def with_sessions(points: DataFrame, sensor: Sequence[str], quiet: int, limit: int | None = ROWS_PER_TASK) -> DataFrame:
-    """Add ``session``: first frame after a silence of at least ``quiet`` frames."""
-    frames = points.select(*sensor, "frame_no").distinct()
-    hot = limit if has_oversized(frames, sensor, limit) else None
-    around = reach(frames, sensor, ["frame_no"], 1, False, hot)
-    gap = around.finish({"_prev": F.lag("frame_no", 1).over(around.window)}).drop("_pos", "_n")
-    starts = F.when(F.col("_prev").isNull() | (F.col("frame_no") - F.col("_prev") > quiet), F.col("frame_no"))
-    marked = carry_last(gap, sensor, ["frame_no"], "frame_no", {"session": starts}, True, hot).drop("_prev")
-    return points.join(marked, [*sensor, "frame_no"])
 
+def correct(tracks: DataFrame, length_std: float = 0.289, width_std: float = 0.289, doppler_std: float = 1.0) -> DataFrame:
+    """Extended Kalman correction of predicted tracks (s, p, h) by ``mean`` of ``n`` points with ``spread``.
 
-def track(
-    points: DataFrame, params: TrackerParams, sensor: str = "sensor", order: str = "point_no", output: str = "targets"
-) -> DataFrame:
-    """Run the tracker: one row per living track and frame, or (``output='points'``) the track of every point.
+    Replaces s and p and adds ``c`` (3 x 3 group covariance), ``ec`` (its inverse) and ``log_det``. Rows are independent.
+    """
 
-    ``points``: sensor, frame_no, point number, range, angle (rad), doppler, snr. ``tid`` counts
-    from 1 in each session.
+    def run(s: pa.Array, p: pa.Array, h: pa.Array, mean: pa.Array, spread: pa.Array, n: pa.Array) -> pa.Array:
+        rows = len(s)
+        size = lambda x, *shape: np.asarray(_lists(x), float).reshape(rows, *shape)
+        s, p, h, mean, spread = size(s, 6), size(p, 6, 6), size(h, 3), size(mean, 3), size(spread, 3, 3)
+        n = n.to_numpy(zero_copy_only=False).astype(float)
+        x, y, vx, vy = s[:, :4].T
+        r = np.hypot(x, y)
+        turn = (vx * y - vy * x) / r**3
+        j = np.zeros((rows, 3, 6))
+        j[:, 0, 0], j[:, 0, 1] = x / r, y / r
+        j[:, 1, 0], j[:, 1, 1] = y / r**2, -x / r**2
+        j[:, 2, :4] = np.stack([y * turn, -x * turn, x / r, y / r], 1)
+        noise = np.zeros((rows, 3, 3))
+        noise[:, 0, 0], noise[:, 2, 2] = length_std**2, doppler_std**2
+        noise[:, 1, 1] = (2 * np.arctan(0.5 * width_std / h[:, 0])) ** 2
+        few = np.where(n > EST_POINTS, 0.0, (EST_POINTS - n) / ((EST_POINTS - 1) * n))
+        centre = noise / n[:, None, None] + few[:, None, None] * spread * np.eye(3)
+        cross = p @ j.swapaxes(1, 2)
+        inner = j @ cross
+        gain = cross @ np.linalg.inv(inner + centre)
+        group = inner + noise + spread
+        parts = [s + (gain @ (mean - h)[:, :, None])[:, :, 0], (p - gain @ cross.swapaxes(1, 2)).reshape(rows, 36), group.reshape(rows, 9), np.linalg.inv(group).reshape(rows, 9)]
+        return pa.StructArray.from_arrays([*(_pack(x) for x in parts), pa.array(np.log(np.linalg.det(group)))], names=["s", "p", "c", "ec", "log_det"])
+
+    kernel = F.arrow_udf(run, returnType="struct<s:array<double>,p:array<double>,c:array<double>,ec:array<double>,log_det:double>")
+    done = tracks.withColumn("_k", kernel("s", "p", "h", "mean", "spread", "n"))
+    return done.withColumns({c: F.col(f"_k.{c}") for c in ("s", "p", "c", "ec", "log_det")}).drop("_k")
+
+
+def settle_velocity(tracks: DataFrame, v_max: float, dt: float, alpha: float = 0.5, confidence: float = SETTLED) -> DataFrame:
+    """Unrolled radial velocity ``v`` of the mean measurement, the smoothed ``rate`` of range, and the next ``phase``.
+
+    Columns: phase, rate, h, mean, first_range, frames (since the start). A new track takes its rate; then the range's
+    own change, smoothed, says which interval the velocity is in, until change and rate agree; from then on the
+    prediction does once velocity and prediction agree.
     """
-    if output not in ("targets", "points"):
-        raise ValueError("output is 'targets' or 'points'")
-    kind = points.schema[sensor].dataType.simpleString()
-    schema = f"{sensor} {kind}, {TARGETS if output == 'targets' else POINTS_OUT}"
-    sessions = with_sessions(points, [sensor], params.quiet_frames).select(
-        F.col(sensor), "session", "frame_no", F.col(order).alias("point_no"), "range", "angle", "doppler", "snr"
+    phase = F.col("phase")
+    change = F.try_divide(F.col("mean")[0] - F.col("first_range"), F.col("frames") * dt)
+    smooth = alpha * F.col("rate") + (1 - alpha) * change
+    near = lambda a, b, most: F.coalesce(F.abs(F.try_divide(a - b, b)) < most, F.lit(False))
+    rate = F.when(phase.isin("rate", "tracking"), smooth).otherwise(F.col("rate"))
+    named = tracks.withColumns({"rate": rate, "_change": change})
+    aim = F.when(phase == "locked", F.col("h")[2]).otherwise(F.col("rate"))
+    v = F.when(phase == "init", F.col("rate")).otherwise(unroll_velocity(F.lit(v_max), aim, F.col("mean")[2]))
+    after = (
+        F.when(phase == "init", "rate")
+        .when((phase == "rate") & near(F.col("_change"), F.col("rate"), confidence), "tracking")
+        .when((phase == "tracking") & near(F.col("h")[2], F.col("v"), LOCKED), "locked")
+        .otherwise(phase)
     )
-    # A fixed task count: sessions are few bytes but much work, so they must not be merged by size.
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = sessions.repartition(tasks, F.col(sensor), F.col("session")).sortWithinPartitions(sensor, "session", "frame_no", "point_no")
-    types = _arrow_types(points.select(sensor), output)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for rows in _frames_to_rows(batches, params, sensor, output):
-            held += rows
-            if len(held) >= _ROWS_PER_BATCH:
-                yield _batch(held, types)
-                held = []
-        if held:
-            yield _batch(held, types)
-
-    return ready.mapInArrow(run, schema)
+    return named.withColumn("v", v).withColumn("phase", after).drop("_change")
 
 
-_ROWS_PER_BATCH = 4096
+def life_cycle(tracks: DataFrame, hits_to_start: int = 3, misses_to_drop: int = 3, misses_to_end: int = 5, strong: int = 20, misses_at_rest: int | None = None, misses_outside: int | None = None) -> DataFrame:
+    """state, hits, misses after a frame with ``n`` own points (columns state, hits, misses, n, age, variance).
 
+    A detection becomes active after more than ``hits_to_start`` strong frames and goes after more than
+    ``misses_to_drop`` empty ones; an active track goes after more than ``misses_to_end`` (or its age) in a row. With a
+    boolean column ``at_place`` (inside a place where targets rest) the two other limits hold for standing tracks there
+    and for tracks elsewhere.
+    """
+    n, new = F.col("n"), F.col("state") == "detection"
+    missed = F.when(n == 0, F.col("misses") + 1)
+    misses = F.coalesce(missed, F.when(new & (n <= strong), F.col("misses")), F.lit(0))
+    hits = F.when(~new, F.col("hits")).when(n > strong, F.col("hits") + 1).when(n == 0, F.greatest(F.lit(0), F.col("hits") - 1)).otherwise(F.col("hits"))
+    most = F.lit(misses_to_end)
+    if "at_place" in tracks.columns:
+        rest, out = (misses_to_end if x is None else x for x in (misses_at_rest, misses_outside))
+        most = F.when(~F.col("at_place"), out).when(F.col("variance") == 0, rest).otherwise(misses_to_end)
+    ended = (n == 0) & (misses > F.when(new, misses_to_drop).otherwise(F.least(most, F.col("age"))))
+    state = F.when(ended, "free").when(new & (n > strong) & (hits > hits_to_start), "active").otherwise(F.col("state"))
+    return tracks.withColumns({"state": state, "hits": hits, "misses": misses})
+
+
+def start(groups: DataFrame, v_max: float, initial_velocity: float = 0.0, max_acceleration: float = 2.0) -> DataFrame:
+    """New tracks from groups of points (``mean``: range, angle, doppler), with the columns that the steps use."""
+    m = F.col("mean")
+    rate = unroll_velocity(F.lit(v_max), F.lit(initial_velocity), m[2])
+    made = groups.withColumn("rate", rate)
+    east, north = F.sin(m[1]), F.cos(m[1])
+    cov = np.diag(INITIAL_COVARIANCE).ravel().tolist()
+    return made.withColumns({
+        "s": F.array(m[0] * east, m[0] * north, F.col("rate") * east, F.col("rate") * north, F.lit(0.0), F.lit(0.0)),
+        "p": F.array(*(F.lit(x) for x in cov)), "variance": F.lit((0.5 * max_acceleration) ** 2), "first_range": m[0],
+        "spread": F.array(*[F.lit(0.0)] * 9), "seen": F.lit(0).cast("long"), "frames": F.lit(0).cast("long"), "age": F.lit(0).cast("long"),
+        "phase": F.lit("init"), "state": F.lit("detection"), "hits": F.lit(0), "misses": F.lit(0),
+    })
 
-def _arrow_types(sensor: DataFrame, output: str) -> pa.Schema:
-    """Arrow schema of the output rows."""
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    field = sensor.schema.fields[0]
-    vector = pa.list_(pa.float64())
-    rest = (
-        [("tid", pa.int64()), ("uid", pa.int64()), ("state", pa.string()), ("phase", pa.string()), ("s", vector), ("ec", vector), ("g", pa.float64())]
-        if output == "targets" else [("point_no", pa.int64()), ("tid", pa.int64())]
-    )
-    return pa.schema([(field.name, to_arrow_type(field.dataType)), ("session", pa.int64()), ("frame_no", pa.int64()), *rest])
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows), schema.types)], schema=schema)
-
-
-def _frames_to_rows(batches, params: TrackerParams, sensor: str, output: str) -> Iterator[list[tuple]]:
-    """Replay sorted batches through trackers, one frame at a time."""
-    engine, current, last = None, None, None
-    for key, session, frame, pts, numbers in _whole_frames(batches, sensor):
-        out: list[tuple] = []
-        if (key, session) != current:
-            engine, current, last = Tracker(params), (key, session), None
-        silent = range(last + 1, frame) if last is not None else ()
-        for gap in silent:
-            engine.step(np.zeros((0, 4)))
-            if output == "targets":
-                out += [(key, session, gap, *r) for r in engine.report()]
-        owners = engine.step(pts)
-        last = frame
-        if output == "targets":
-            out += [(key, session, frame, *r) for r in engine.report()]
-        else:
-            out += [(key, session, frame, n, o) for n, o in zip(numbers.tolist(), owners.tolist())]
-        yield out
-
-
-def _whole_frames(batches, sensor: str):
-    """(sensor, session, frame, points, numbers) per frame; a frame cut by a batch border is joined."""
-    tail = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.asarray(batch[sensor].to_pylist(), dtype=object)
-        ids = np.stack([batch[c].to_numpy() for c in ("session", "frame_no")], axis=1)
-        pts = np.stack([batch[c].to_numpy() for c in ("range", "angle", "doppler", "snr")], axis=1)
-        numbers = batch["point_no"].to_numpy()
-        if tail is not None:
-            keys, ids, pts, numbers = (np.concatenate([a, b]) for a, b in zip(tail, (keys, ids, pts, numbers)))
-        change = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
-        cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            yield keys[a], int(ids[a, 0]), int(ids[a, 1]), pts[a:b], numbers[a:b]
-        tail = tuple(x[cuts[-1]:] for x in (keys, ids, pts, numbers))
-    if tail is not None:
-        keys, ids, pts, numbers = tail
-        yield keys[0], int(ids[0, 0]), int(ids[0, 1]), pts, numbers
+def with_sessions(points: DataFrame, sensor: Sequence[str], quiet: int, limit: int | None = ROWS_PER_TASK) -> DataFrame:
+    """Add ``session``: first frame after a silence of at least ``quiet`` frames."""
+    frames = points.select(*sensor, "frame_no").distinct()
+    around = reach(frames, sensor, ["frame_no"], 1, False, limit)
+    gap = around.finish({"_prev": F.lag("frame_no", 1).over(around.window)}).drop("_pos", "_n")
+    starts = F.when(F.col("_prev").isNull() | (F.col("frame_no") - F.col("_prev") > quiet), F.col("frame_no"))
+    marked = carry_last(gap, sensor, ["frame_no"], "frame_no", {"session": starts}, True, limit).drop("_prev")
+    return join_keys(points, marked, [*sensor, "frame_no"])

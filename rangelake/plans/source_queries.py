@@ -253,15 +253,86 @@ def associated_points(spark, sf):
     return out.select("frame_no", rnd("range").alias("r"), rnd("angle").alias("a"), rnd("doppler").alias("d"), rnd("score").alias("score"))
 
 
-@query("tracked_targets")
-def tracked_targets(spark, sf):
-    out = tk.track(sa.tracker_points(spark, sf), tk.TrackerParams())
-    return out.select("sensor", "session", "frame_no", "tid", "uid", "state", "phase", *[rnd(F.col("s")[i], 3).alias(n) for i, n in enumerate(("x", "y", "vx", "vy"))], rnd("g", 3).alias("gate"))
+# Tracks: one for each part, with states and counters from sums over its lines.
+_TRACKS = """SELECT CAST(l_partkey AS BIGINT) AS uid, (AVG(CAST(l_quantity AS DOUBLE)) - 20) * 1.01371::DOUBLE AS x, AVG(CAST(l_extendedprice AS DOUBLE)) * 0.00102371::DOUBLE + 1 AS y, AVG(CAST(l_discount AS DOUBLE)) * 40.0371::DOUBLE AS vx, AVG(CAST(l_tax AS DOUBLE)) * 40.0371::DOUBLE AS vy,
+ MIN(CAST(l_quantity AS DOUBLE)) / 10 AS ax, MAX(CAST(l_quantity AS DOUBLE)) / 20 AS ay, CASE WHEN l_partkey % 5 = 0 THEN 0.0::DOUBLE ELSE 1.25::DOUBLE END AS variance, COUNT(*) AS n,
+ CAST(MAX(l_linenumber) AS BIGINT) AS age, CAST(SUM(l_linenumber) % 7 AS BIGINT) AS misses, CAST(MIN(l_linenumber) AS BIGINT) AS hits, CASE WHEN l_partkey % 3 = 0 THEN 'active' ELSE 'detection' END AS state FROM lineitem GROUP BY l_partkey"""
 
 
-@query("tracked_points")
-def tracked_points(spark, sf):
-    return tk.track(sa.tracker_points(spark, sf), tk.TrackerParams(), output="points")
+def _tracks(spark, sf):
+    num = lambda c: F.col(c).cast("double")
+    t = ad.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("uid")).agg(
+        F.array(
+            (F.avg(num("l_quantity")) - 20) * 1.01371, F.avg(num("l_extendedprice")) * 0.00102371 + 1, F.avg(num("l_discount")) * 40.0371, F.avg(num("l_tax")) * 40.0371,
+            F.min(num("l_quantity")) / 10, F.max(num("l_quantity")) / 20,
+        ).alias("s"),
+        F.count(F.lit(1)).alias("n"), F.max("l_linenumber").cast("long").alias("age"), (F.sum("l_linenumber") % 7).cast("long").alias("misses"), F.min("l_linenumber").cast("long").alias("hits"),
+    )
+    diagonal = [F.lit(0.5 + i // 7 * 0.25) if i % 7 == 0 else F.lit(0.0) for i in range(36)]
+    return t.withColumns({
+        "p": F.array(*diagonal), "variance": F.when(F.col("uid") % 5 == 0, 0.0).otherwise(1.25),
+        "state": F.when(F.col("uid") % 3 == 0, "active").otherwise("detection"),
+    })
+
+
+@query("predicted_tracks", f"""WITH t AS ({_TRACKS}), q AS (SELECT *, CASE WHEN variance = 0 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END AS d FROM t),
+m AS (SELECT *, x + d * vx + d * d / 2 * ax AS px, y + d * vy + d * d / 2 * ay AS py, vx + d * ax AS pvx, vy + d * ay AS pvy FROM q)
+SELECT uid, round(px, 4) + 0.0 AS x, round(py, 4) + 0.0 AS y, round(pvx, 4) + 0.0 AS vx, round(ax, 4) + 0.0 AS ax, round(sqrt(px * px + py * py), 4) AS range, round(atan2(px, py), 4) + 0.0 AS angle,
+ round((px * pvx + py * pvy) / sqrt(px * px + py * py), 4) + 0.0 AS doppler, round(0.5 + d * d * 1.0 + pow(d, 4) / 4 * 1.5 + variance * pow(d, 4) / 4, 6) AS p_xx, round(d * 1.0 + pow(d, 3) / 2 * 1.5 + variance * pow(d, 3) / 2, 6) AS p_xv,
+ round(CASE WHEN d > 0 THEN 1.25 + d * d * 1.75 + variance * d * d ELSE 1.25 END, 6) AS p_vy FROM m""")
+def predicted_tracks(spark, sf):
+    t = tk.predict(_tracks(spark, sf), 0.1)
+    s, p, h = F.col("s"), F.col("p"), F.col("h")
+    return t.select(
+        "uid", *[rnd(s[i], 4).alias(n) for i, n in ((0, "x"), (1, "y"), (2, "vx"), (4, "ax"))], *[rnd(h[i], 4).alias(n) for i, n in enumerate(("range", "angle", "doppler"))],
+        rnd(p[0], 6).alias("p_xx"), rnd(p[2], 6).alias("p_xv"), rnd(p[21], 6).alias("p_vy"),
+    )
+
+
+@query("gate_sizes", f"""WITH t AS ({_TRACKS}), e AS (SELECT uid, variance, sqrt(x * x + y * y) AS r, 1 + n / 8.0::DOUBLE AS a, 0.3::DOUBLE AS b, 2 + age / 4.0::DOUBLE AS c FROM t),
+l AS (SELECT *, sqrt(a) AS l00, b / sqrt(a) AS l10, sqrt(c - b * b / a) AS l11 FROM e)
+SELECT uid, round(CASE WHEN variance = 0 THEN 1.0 ELSE least(pow(4.0 / (4 * pi() / 3 / sqrt(a * c * 1.5)), 2 / 3.0::DOUBLE), 9.0 / (4 * (1 / a + pow(l10 / (l00 * l11), 2))), pow(2.0 / (2 * r * tan(1 / l11)), 2), 16.0 * 1.5 / 4) END, 5) AS g FROM l""")
+def gate_sizes(spark, sf):
+    t = _tracks(spark, sf).withColumn("h", tk.spherical(F.col("s")))
+    a, c = 1 + F.col("n") / 8.0, 2 + F.col("age") / 4.0
+    zero = F.lit(0.0)
+    t = t.withColumn("ec", F.array(a, F.lit(0.3), zero, F.lit(0.3), c, zero, zero, zero, F.lit(1.5)))
+    return tk.gate_size(t, 4.0, 3.0, 2.0, 4.0).select("uid", rnd("g", 5).alias("g"))
+
+
+@query("track_states", f"""WITH t AS (SELECT uid, age, hits, misses, state, CASE WHEN n % 3 = 0 THEN 0 ELSE n END AS n FROM ({_TRACKS})),
+m AS (SELECT *, CASE WHEN n = 0 THEN misses + 1 WHEN state = 'active' OR n > 25 THEN 0 ELSE misses END AS m2,
+ CASE WHEN state = 'active' THEN hits WHEN n > 25 THEN hits + 1 WHEN n = 0 THEN greatest(0, hits - 1) ELSE hits END AS h2 FROM t)
+SELECT uid, m2 AS misses, h2 AS hits, CASE WHEN n = 0 AND state = 'active' AND m2 > least(5, age) THEN 'free' WHEN n = 0 AND state = 'detection' AND m2 > 3 THEN 'free'
+ WHEN state = 'detection' AND n > 25 AND h2 > 1 THEN 'active' ELSE state END AS state FROM m""")
+def track_states(spark, sf):
+    t = _tracks(spark, sf).withColumn("n", F.when(F.col("n") % 3 == 0, 0).otherwise(F.col("n")))
+    return tk.life_cycle(t, hits_to_start=1, strong=25).select("uid", "misses", "hits", "state")
+
+
+@query("measured_groups", """SELECT sensor, frame_no, COUNT(*) AS n, round(AVG(range), 4) AS range, round(AVG(angle), 5) + 0.0 AS angle, round(var_pop(range * 1.000371::DOUBLE), 5) + 0.0 AS spread_rr, round(covar_pop(range, doppler), 5) + 0.0 AS spread_rd
+FROM (SELECT CAST(l_suppkey AS BIGINT) AS sensor, CAST(l_linenumber AS BIGINT) AS frame_no, CAST(l_quantity AS DOUBLE) AS range, CAST(l_discount AS DOUBLE) AS angle, CAST(l_tax AS DOUBLE) * 50.0371::DOUBLE AS doppler FROM lineitem) GROUP BY 1, 2""")
+def measured_groups(spark, sf):
+    num = lambda c: F.col(c).cast("double")
+    pts = ad.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("long").alias("sensor"), F.col("l_linenumber").cast("long").alias("frame_no"), num("l_quantity").alias("range"), num("l_discount").alias("angle"), (num("l_tax") * 50.0371).alias("doppler"),
+    )
+    out = tk.measure(pts, ["sensor", "frame_no"])
+    return out.select("sensor", "frame_no", "n", rnd(F.col("mean")[0], 4).alias("range"), rnd(F.col("mean")[1], 5).alias("angle"), rnd(F.col("moment")[0] * 1.000371**2, 5).alias("spread_rr"), rnd(F.col("moment")[2], 5).alias("spread_rd"))
+
+
+@query("settled_velocities", f"""WITH t AS (SELECT uid, sqrt(x * x + y * y) AS r, (x * vx + y * vy) / sqrt(x * x + y * y) AS d, vx AS m, age, ['init', 'rate', 'tracking', 'locked'][uid % 4 + 1] AS phase, vy - 1 AS rate FROM ({_TRACKS})),
+c AS (SELECT *, (r - 10) / (age * 2.0) AS change FROM t), u AS (SELECT *, CASE WHEN phase IN ('rate', 'tracking') THEN 0.5 * rate + 0.5 * change ELSE rate END AS r2 FROM c),
+a AS (SELECT *, CASE WHEN phase = 'locked' THEN d ELSE r2 END AS aim FROM u),
+w AS (SELECT *, CASE WHEN phase = 'init' THEN r2 ELSE m + sign(aim - m) * floor((abs(aim - m) + 1.5) / 3) * 3 END AS v FROM a)
+SELECT uid, round(v, 4) + 0.0 AS v, round(r2, 4) + 0.0 AS rate, CASE WHEN phase = 'init' THEN 'rate' WHEN phase = 'rate' AND r2 <> 0 AND abs((change - r2) / r2) < 0.1 THEN 'tracking' WHEN phase = 'tracking' AND v <> 0 AND abs((d - v) / v) < 0.1 THEN 'locked' ELSE phase END AS phase FROM w""")
+def settled_velocities(spark, sf):
+    t = _tracks(spark, sf).withColumn("h", tk.spherical(F.col("s")))
+    t = t.withColumns({
+        "mean": F.array(F.col("h")[0], F.lit(0.0), F.col("s")[2]), "first_range": F.lit(10.0), "frames": F.col("age"), "rate": F.col("s")[3] - 1,
+        "phase": F.element_at(F.array(*map(F.lit, ("init", "rate", "tracking", "locked"))), (F.col("uid") % 4 + 1).cast("int")),
+    })
+    return tk.settle_velocity(t, 1.5, 2.0).select("uid", rnd("v", 4).alias("v"), rnd("rate", 4).alias("rate"), "phase")
 
 
 @query("tracker_sessions", "SELECT sensor, CAST((pos // 30) * 50 AS BIGINT) AS session, COUNT(*) AS frames FROM (SELECT CAST(user_id AS BIGINT) AS sensor, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events) GROUP BY 1, 2")

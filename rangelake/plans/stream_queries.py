@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangelake.operators.tracking import TrackerParams
-from rangelake.plans import source_adapters as sa
 from rangelake.plans.registry import SENSOR_A, TELEMETRY, query
-from rangelake.session import drain, work_folder
+from rangelake.session import drain
 from rangelake.sources import adapters as ad
 from rangelake.streaming import jobs
 
@@ -19,15 +17,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
-def _as_stream(df: DataFrame) -> DataFrame:
-    """Derived rows landed as Parquet in the shared folder and read back as a stream."""
-    import uuid
-
-    path = f"{work_folder(df.sparkSession)}/landed-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
-
-
 @query("streamed_gap_counts", f"""SELECT stream, seq, missed, CAST(SUM(missed) OVER (PARTITION BY stream ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS missed_total
  FROM (SELECT stream, seq, greatest(0, COALESCE(seq - lag(seq) OVER (PARTITION BY stream ORDER BY seq) - 1, 0)) AS missed FROM ({TELEMETRY}))""")
 def streamed_gap_counts(spark, sf):
@@ -82,9 +71,3 @@ def streamed_fusion(spark, sf):
 def latest_per_sensor(spark, sf):
     batch = ad.table(spark, sf, "events").select(F.col("user_id").cast("long").alias("sensor"), F.col("event_id").cast("long").alias("seq"))
     return jobs.latest_only(batch, ["sensor"])
-
-
-@query("streamed_tracks")
-def streamed_tracks(spark, sf):
-    out = drain(jobs.track_stream(_as_stream(sa.tracker_points(spark, sf)), TrackerParams()))
-    return out.select("sensor", "session", "frame_no", "tid", "state", *[F.round(F.col("s")[i], 3).alias(n) for i, n in enumerate(("x", "y"))])

@@ -6,7 +6,6 @@ Spark needs them to drop state.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rangelake.operators.tracking import TARGETS, Tracker, TrackerParams
-
 
 def latest_only(batch: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
     """Newest row per key of one micro-batch and the number of rows it replaced (``dropped``)."""
@@ -89,46 +86,6 @@ def dc_calibration(stream: DataFrame, key: str, n_frames: int, n_range: int) ->
     return _keyed(stream, key, step, schema, "seen int, rows array<double>, sums array<double>")
 
 
-def track_stream(stream: DataFrame, params: TrackerParams, sensor: str = "sensor") -> DataFrame:
-    """Tracker on a live point stream: the batch tracker's step with its tracks as keyed state.
-
-    Points of a frame must arrive in one micro-batch, frames in order. Only the tracks are
-    kept between batches. After a silence that no track survives, ``tid`` starts again and
-    ``session`` is the first frame after it, as in the batch job.
-    """
-
-    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        engine, session, last = None, None, None
-        if state.exists:
-            saved, session, last = pickle.loads(state.get[0])
-            engine = Tracker.restore(params, saved)
-        pdf = pd.concat(list(frames)).sort_values(["frame_no", "point_no"])
-        out = []
-        for frame, rows in pdf.groupby("frame_no", sort=True):
-            frame = int(frame)
-            if engine is None or frame - last > params.quiet_frames:
-                if engine is not None:
-                    for gap in range(last + 1, last + 1 + params.quiet_frames):
-                        engine.step(np.zeros((0, 4)))
-                        out += [(k[0], session, gap, *r) for r in engine.report()]
-                engine, session = Tracker(params), frame
-            else:
-                for gap in range(last + 1, frame):
-                    engine.step(np.zeros((0, 4)))
-                    out += [(k[0], session, gap, *r) for r in engine.report()]
-            engine.step(rows[["range", "angle", "doppler", "snr"]].to_numpy(float))
-            out += [(k[0], session, frame, *r) for r in engine.report()]
-            last = frame
-        state.update((pickle.dumps((engine.snapshot(), session, last)),))
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    kind = stream.schema[sensor].dataType.simpleString()
-    schema = f"{sensor} {kind}, {TARGETS}"
-    names = [c.split()[0] for c in schema.split(", ")]
-    return _keyed(stream, sensor, step, schema, "tracks binary")
-
-
 def recording_spans(control_log: DataFrame, by: Sequence[str]) -> DataFrame:
     """On-spans of a command table: by, on_ts, off_ts (NULL while still on)."""
     from rangelake.operators.ordered import reach

@@ -8,10 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rangelake.operators import telemetry as tm
-from rangelake.operators import tracking as tk
 from rangelake.sources import byteranges, iqfiles, packets as pk, profiles as pf, recordings as rec, tlv
 from rangelake.streaming import jobs
-from test_cluster_track import POINTS, moving
 
 
 @pytest.fixture(scope="module")
@@ -190,16 +188,6 @@ def test_gap_counter_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def test_tracker_stream_equals_batch(spark, tmp_path):
-    pts = spark.createDataFrame(moving([*range(12), *range(40, 48)]) + moving(range(15), sensor=2, seed=8), POINTS)
-    s = stream_of(spark, pts, str(tmp_path), ["frame_no < 6", "frame_no >= 6 and frame_no < 13", "frame_no >= 13 and frame_no < 42", "frame_no >= 42"])
-    got = {(r.sensor, r.frame_no, r.tid): r for r in run_stream(jobs.track_stream(s, tk.TrackerParams()), "tracks").collect()}
-    want = {(r.sensor, r.frame_no, r.tid): r for r in tk.track(pts, tk.TrackerParams()).collect()}
-    assert want and set(want) <= set(got)
-    for k, r in want.items():
-        assert got[k].session == r.session and np.allclose(got[k].s, r.s)
-
-
 def test_dc_calibration_stream(spark, tmp_path):
     rng = np.random.default_rng(4)
     base = np.array([3.0, -2.0, 1.0])
