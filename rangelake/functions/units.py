@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangelake.operators.ordered import join_keys, with_position
+
 # Fixed value: metres per second.
 LIGHT_SPEED = 299792458
 # Fixed value: mean radius of the sphere datum in metres.
@@ -127,7 +129,7 @@ def to_log_scale(
     factor = 20.0 if kind == "voltage" else 10.0
     named = df.withColumn("_mag", F.abs(magnitude))
     top = named.groupBy(*by).agg(F.max("_mag").alias("_top"))
-    joined = named.join(top, list(by))
+    joined = join_keys(named, top, by)
     scale = F.col("_top") if normalize else F.lit(1.0)
     log = F.when(F.col("_mag") > 0, F.log10(F.col("_mag") / scale) * factor)
     peak = F.log10(F.col("_top") / scale) * factor
@@ -154,7 +156,7 @@ def auto_dynamic_range(
     inside = r.between(centre[0] - half[0], centre[0] + half[0]) & d.between(centre[1] - half[1], centre[1] + half[1])
     cells = (2 * half[0] + 1) * (2 * half[1] + 1)
     stats = df.groupBy(*by).agg(F.max(power).alias("_top"), F.sum(F.when(inside, power)).alias("_env"))
-    joined = df.join(stats, list(by))
+    joined = join_keys(df, stats, by)
     floor_ = F.log10(F.col("_env") / cells / F.col("_top")) * 10
     level = F.when(power > 0, F.log10(power / F.col("_top")) * 10)
     return joined.withColumn("db", F.greatest(F.coalesce(level, floor_), floor_)).drop("_top", "_env")
@@ -225,13 +227,11 @@ def color_index(
     The limits are one aggregate per frame, joined back, so a hot frame stays spread.
     """
     if color is None:
-        from rangelake.operators.ordered import with_position
-
         points = with_position(points, by, order)
         color = F.col("_pos").cast("double")
     named = points.withColumn("_c", color)
     limits = named.groupBy(*by).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
     span = F.when(F.col("_hi") - F.col("_lo") < 1e-9, 1.0).otherwise(F.col("_hi") - F.col("_lo"))
     scaled = F.floor((F.col("_c") - F.col("_lo")) / span * 255).cast("int")
-    out = named.join(limits, list(by)).withColumn("color", F.greatest(F.lit(0), F.least(F.lit(255), scaled)))
+    out = join_keys(named, limits, by).withColumn("color", F.greatest(F.lit(0), F.least(F.lit(255), scaled)))
     return out.drop("_c", "_lo", "_hi", "_pos", "_n")

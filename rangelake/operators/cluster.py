@@ -12,6 +12,7 @@ that are too full for that are refined first. Components are then found on cells
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Sequence
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import ROWS_PER_TASK, oversized, with_position
+from rangelake.operators.ordered import ROWS_PER_TASK, join_keys, oversized, with_position
 from rangelake.operators.timealign import asof_nearest
 from rangelake.session import cut_lineage
 
@@ -227,15 +228,27 @@ def dbscan(
     """Add ``cluster_label``: -1 for noise, else clusters numbered by their first core point.
 
     A border point takes the lowest-numbered cluster that reaches it. ``pid`` orders and
-    identifies the points of a group. Groups above ``kernel_points`` go through the grid.
+    identifies the points of a group. Groups above ``kernel_points`` go through the grid; labels are the
+    same either way. A point with a NULL or NaN coordinate is noise; a NULL key is a group like others.
     """
     keys = list(keys)
-    large = oversized(points, keys, kernel_points)
+    named = points.withColumns({f"_z{i}": c.cast("double") for i, c in enumerate(coords)})
+    coords = [F.col(f"_z{i}") for i in range(len(coords))]
+    # a point without a place is near to nothing
+    placed = functools.reduce(lambda a, b: a & b, (c.isNotNull() & ~F.isnan(c) for c in coords))
+    whole = named.filter(placed)
+    large = oversized(whole, keys, kernel_points)
     if large.isEmpty():
-        return _kernel_dbscan(points, keys, coords, pid, radius, min_samples)
-    few = _kernel_dbscan(points.join(large, keys, "left_anti"), keys, coords, pid, radius, min_samples)
-    many = _grid_dbscan(points.join(large, keys, "left_semi"), keys, coords, pid, radius, min_samples, limit)
-    return few.unionByName(many)
+        found = _kernel_dbscan(whole, keys, coords, pid, radius, min_samples)
+    else:
+        # one struct as the key of a group: equal where fields are NULL, too
+        grouped = whole.withColumn("_g", F.struct(*keys))
+        groups = large.select(F.struct(*keys).alias("_g"))
+        few = _kernel_dbscan(grouped.join(groups, "_g", "left_anti"), ["_g"], coords, pid, radius, min_samples)
+        many = _grid_dbscan(grouped.join(groups, "_g", "left_semi"), ["_g"], coords, pid, radius, min_samples, limit)
+        found = few.unionByName(many).drop("_g")
+    lost = named.filter(~placed).withColumn("cluster_label", F.lit(-1).cast("long"))
+    return found.unionByName(lost).drop(*(f"_z{i}" for i in range(len(coords))))
 
 
 def _grid_dbscan(
@@ -304,7 +317,7 @@ def standardize(points: DataFrame, keys: Sequence[str], columns: dict[str, Colum
     stats = named.groupBy(*keys).agg(
         *[f(n).alias(f"_{p}_{n}") for n in columns for f, p in ((F.avg, "mean"), (F.stddev_pop, "dev"))]
     )
-    out = named.join(stats, list(keys))
+    out = join_keys(named, stats, keys)
     scaled = {}
     for n in columns:
         dev = F.when(F.col(f"_dev_{n}") > 0, F.col(f"_dev_{n}")).otherwise(1.0)

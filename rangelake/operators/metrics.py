@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from rangelake.operators.ordered import join_keys
 from pyspark.sql import Window
 
 from rangelake.operators import passive as pv
@@ -69,6 +71,12 @@ def _parts(n_doppler: int, win: Sequence[int] | None, win_pos: Sequence[int] | N
     return parts
 
 
+def _valid(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Targets with NULL in place of a cell that is invalid (negative range): such maps get the target-free scores."""
+    real = F.col("target_range") >= 0
+    return targets.select(*keys, *(F.when(real, F.col(c)).alias(c) for c in ("target_range", "target_doppler")))
+
+
 def map_metrics(
     maps: DataFrame, targets: DataFrame | None, keys: Sequence[str], n_doppler: int, win: Sequence[int] | None = None,
     win_pos: Sequence[int] | None = None, energy: DataFrame | None = None,
@@ -80,10 +88,10 @@ def map_metrics(
     if targets is None:
         joined = maps.withColumns({"target_range": F.lit(None).cast("long"), "target_doppler": F.lit(None).cast("long")})
     else:
-        joined = maps.join(targets.filter(F.col("target_range") >= 0).select(*keys, "target_range", "target_doppler"), list(keys))
+        joined = join_keys(maps, _valid(targets, keys), keys, "left")
     parts = _parts(n_doppler, win, win_pos, None, False)
     agg = joined.groupBy(*keys).agg(*[c.alias(k) for k, c in parts.items()])
-    agg = agg.join(energy, list(keys), "left") if energy is not None else agg.withColumn("channel_power", F.lit(None).cast("double"))
+    agg = join_keys(agg, energy, keys, "left") if energy is not None else agg.withColumn("channel_power", F.lit(None).cast("double"))
     t = F.col("target")
     return agg.select(
         *keys,
@@ -152,8 +160,7 @@ def filter_scorecard(
     if targets is None:
         joined = stacked.withColumns({"target_range": F.lit(None).cast("long"), "target_doppler": F.lit(None).cast("long")})
     else:
-        valid = targets.filter(F.col("target_range") >= 0).select(*keys, "target_range", "target_doppler")
-        joined = stacked.join(valid, list(keys))
+        joined = join_keys(stacked, _valid(targets, keys), keys, "left")
     parts = _parts(n_doppler, win, win_pos, max_clutter_delay, exact_zero)
     sums = joined.groupBy(*keys, "_side").agg(*[c.alias(k) for k, c in parts.items()])
     pick = lambda side, name: F.max(F.when(F.col("_side") == side, F.col(name))).alias(f"{name}_{side}")
@@ -164,7 +171,7 @@ def filter_scorecard(
         if energy is None:
             wide = wide.withColumn(name, none)
         else:
-            wide = wide.join(energy.select(*keys, F.col("channel_power").alias(name)), list(keys), "left")
+            wide = join_keys(wide, energy.select(*keys, F.col("channel_power").alias(name)), keys, "left")
     c = F.col
     gain = lambda top, bottom: _db(_over(c(f"{top}_a"), c(f"{bottom}_a"))) - _db(_over(c(f"{top}_b"), c(f"{bottom}_b")))
     loss = lambda name: _db(_over(c(f"{name}_b"), c(f"{name}_a")))
@@ -188,7 +195,7 @@ def metrics_on_track(
     maps: DataFrame, track: DataFrame, keys: Sequence[str], n_doppler: int, win: Sequence[int] | None = None,
     win_pos: Sequence[int] | None = None, energy: DataFrame | None = None,
 ) -> DataFrame:
-    """delta, alpha and mu per interval along a track; intervals without a valid target are left out."""
+    """delta, alpha and mu per interval along a track; NULL where an interval has no valid target."""
     return map_metrics(maps, track, keys, n_doppler, win, win_pos, energy).select(*keys, "delta", "alpha", "mu")
 
 

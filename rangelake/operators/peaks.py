@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from rangelake.operators.ordered import join_keys
 
-MAX_OBJECTS = 100
-
 
 def skip_border(df: DataFrame, bins: dict[str, int], k: int = 4) -> DataFrame:
     """Drop the first and last ``k`` bins of each axis; ``bins`` maps axis name to size."""
@@ -73,13 +71,17 @@ def in_boundary(points: DataFrame, boxes: Sequence[tuple[float, float, float, fl
     return points.filter(inside)
 
 
-def cap_objects(det: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cap: int = MAX_OBJECTS) -> DataFrame:
+def cap_objects(det: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cap: int) -> DataFrame:
     """At most ``cap`` objects per frame in list order. Spark turns the rank filter into
     a group limit that prunes inside each task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return det.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= cap).drop("_rank")
 
 
+def _capped(det: DataFrame, keys: Sequence[str], cap: int | None) -> DataFrame:
+    return det if cap is None else cap_objects(det, keys, ["range_bin", "doppler_bin"], cap)
+
+
 def _circular_neighbours(rd: DataFrame, keys: Sequence[str], n_doppler: int, steps: Sequence[int]) -> DataFrame:
     """Values at doppler_bin + step (circular) on complete maps, one column per step.
 
@@ -166,17 +168,17 @@ def group_peaks_map(
     max_range: int,
     doppler: bool = True,
     rng: bool = True,
-    cap: int = MAX_OBJECTS,
+    cap: int | None = None,
 ) -> DataFrame:
     """3x3 peak grouping against the map; rows beyond the range limits read as 0."""
     gated = det.filter(F.col("range_bin").between(min_range, max_range))
     if not (doppler or rng):
-        return signed(gated.filter(F.col("range_bin") > min_range), n_doppler)
+        return signed(_capped(gated.filter(F.col("range_bin") > min_range), keys, cap), n_doppler)
     # At the lower limit the row below reads as 0, at the upper limit the row above does.
     visible = rd.filter(F.col("range_bin").between(min_range, max_range))
     around = _neighbour_max(gated, visible, keys, n_doppler, _offsets(doppler, rng))
     kept = around.filter(F.col("_around") <= F.col("peak_val")).drop("_around")
-    return signed(cap_objects(kept, keys, ["range_bin", "doppler_bin"], cap), n_doppler)
+    return signed(_capped(kept, keys, cap), n_doppler)
 
 
 def group_peaks_list(
@@ -187,16 +189,16 @@ def group_peaks_list(
     max_range: int,
     doppler: bool = True,
     rng: bool = True,
-    cap: int = MAX_OBJECTS,
+    cap: int | None = None,
 ) -> DataFrame:
     """3x3 peak grouping among the detections; an undetected neighbour counts as 0."""
     gated = det.filter(F.col("range_bin").between(min_range, max_range))
     if not (doppler or rng):
-        return cap_objects(gated.filter(F.col("range_bin") > min_range), keys, ["range_bin", "doppler_bin"], cap)
+        return _capped(gated.filter(F.col("range_bin") > min_range), keys, cap)
     values = det.select(*keys, "range_bin", "doppler_bin", F.col("peak_val").alias("value"))
     around = _neighbour_max(gated, values, keys, n_doppler, _offsets(doppler, rng))
     kept = around.filter(F.col("_around") <= F.col("peak_val")).drop("_around")
-    return cap_objects(kept, keys, ["range_bin", "doppler_bin"], cap)
+    return _capped(kept, keys, cap)
 
 
 def signed(df: DataFrame, n_doppler: int) -> DataFrame:

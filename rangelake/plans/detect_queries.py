@@ -214,8 +214,7 @@ o AS (SELECT unnest([-1, 0, 1]) AS dr), q AS (SELECT unnest([-1, 0, 1]) AS dd),
 a AS (SELECT d.map, d.range_bin, d.doppler_bin, d.peak_val, d.snr, MAX(s.v) AS around FROM d JOIN o ON TRUE JOIN q ON NOT (dr = 0 AND dd = 0)
  LEFT JOIN s ON s.map = d.map AND s.range_bin = d.range_bin + dr AND s.doppler_bin = (d.doppler_bin + dd + 32) % 32
  WHERE d.range_bin BETWEEN {lo} AND {hi} GROUP BY 1, 2, 3, 4, 5)
-SELECT map, range_bin, doppler_bin, peak_val, snr{extra} FROM a WHERE COALESCE(around, 0) <= peak_val
-QUALIFY row_number() OVER (PARTITION BY map ORDER BY range_bin, doppler_bin) <= 100"""
+SELECT map, range_bin, doppler_bin, peak_val, snr{extra} FROM a WHERE COALESCE(around, 0) <= peak_val"""
 
 
 @query("grouped_peaks_map", _grouped_sql("SELECT map, range_bin, doppler_bin, value AS v FROM m WHERE range_bin BETWEEN 3 AND 60", 3, 60, True))
@@ -243,4 +242,4 @@ def boundary_gate(spark, sf):
 
 @query("capped_objects", f"SELECT * FROM ({_RAW_DET}) QUALIFY row_number() OVER (PARTITION BY map ORDER BY range_bin, doppler_bin) <= 100")
 def capped_objects(spark, sf):
-    return pk.cap_objects(_raw_det(spark, sf), ["map"], ["range_bin", "doppler_bin"])
+    return pk.cap_objects(_raw_det(spark, sf), ["map"], ["range_bin", "doppler_bin"], 100)

@@ -223,7 +223,8 @@ def _energy(spark, sf, after: bool):
     return ad.table(spark, sf, "lineitem").groupBy(F.expr("l_orderkey div 500").alias("map")).agg(F.sum(x * x).alias("channel_power"))
 
 
-_METRICS = f"""WITH t AS ({_TARGETS}), m AS ({_BEFORE}), e AS ({_ENERGY}), s AS ({_SUMS.format(keys='m.map')} FROM m JOIN t ON m.map = t.map WHERE tr >= 0 GROUP BY 1)
+_VALID = f"SELECT map, CASE WHEN tr >= 0 THEN tr END AS tr, CASE WHEN tr >= 0 THEN td END AS td FROM ({_TARGETS})"
+_METRICS = f"""WITH t AS ({_VALID}), m AS ({_BEFORE}), e AS ({_ENERGY}), s AS ({_SUMS.format(keys='m.map')} FROM m JOIN t ON m.map = t.map GROUP BY 1)
 SELECT s.map, {_DB('target / ring')} AS delta, {_DB('target / eb')} AS mu, {_DB('noise')} AS noise_floor, peak, round(peak / noise, 3) + 0.0 AS dynamic_range, {_DB('target / noise')} AS alpha FROM s JOIN e ON s.map = e.map"""
 
 
@@ -273,8 +274,8 @@ def metrics_on_track(spark, sf):
     return out.select("map", *[rnd(c, 3).alias(c) for c in ("delta", "alpha", "mu")])
 
 
-@query("filter_scorecard", f"""WITH t AS ({_TARGETS}), b0 AS ({_BEFORE}), a0 AS ({_AFTER}), e AS ({_ENERGY}),
-b AS ({_SUMS.format(keys='b0.map')} FROM b0 JOIN t ON b0.map = t.map WHERE tr >= 0 GROUP BY 1), a AS ({_SUMS.format(keys='a0.map')} FROM a0 JOIN t ON a0.map = t.map WHERE tr >= 0 GROUP BY 1)
+@query("filter_scorecard", f"""WITH t AS ({_VALID}), b0 AS ({_BEFORE}), a0 AS ({_AFTER}), e AS ({_ENERGY}),
+b AS ({_SUMS.format(keys='b0.map')} FROM b0 JOIN t ON b0.map = t.map GROUP BY 1), a AS ({_SUMS.format(keys='a0.map')} FROM a0 JOIN t ON a0.map = t.map GROUP BY 1)
 SELECT b.map, {_DB('eb / ea')} AS ca, {_DB('b.noise / a.noise')} AS r_nf, {_DB('a.target / NULLIF(b.target, 0) * eb / ea')} AS mu_imp, {_DB('a.target / NULLIF(b.target, 0) * b.ring / a.ring')} AS delta_imp,
  {_DB('a.target / NULLIF(b.target, 0) * b.noise / a.noise')} AS alpha_imp, {_DB('a.target / NULLIF(b.target, 0)')} AS l, {_DB('b.direct / NULLIF(a.direct, 0)')} AS r_dpi, {_DB('b.clutter / NULLIF(a.clutter, 0)')} AS r_zdc, {_DB('b.peak / a.peak')} AS p,
  CASE WHEN b.peak / b.noise - a.peak / a.noise > 0 THEN {_DB('greatest(b.peak / b.noise - a.peak / a.noise, 0)')} END AS d FROM b JOIN a ON a.map = b.map JOIN e ON e.map = b.map""")

@@ -207,10 +207,9 @@ def tlv_azimuth_map(spark, sf):
     return long_form(tlv.azimuth_map(_tlvs(spark, sf)), "antenna").select("frame_no", "range_bin", "antenna", "re", "im")
 
 
-@query("tlv_range_doppler", f"""SELECT no AS frame_no, k // 4 AS range_bin, (k % 4 + 2) % 4 AS doppler_bin, (k * 5 + no) % 12000 AS value FROM ({_GOOD}), (SELECT unnest(range(0, 8)) AS k)
-WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(0, 8)) AS q) WHERE (q * 5 + no) % 12000 > 10000)""")
+@query("tlv_range_doppler", f"""SELECT no AS frame_no, k // 4 AS range_bin, (k % 4 + 2) % 4 AS doppler_bin, (k * 5 + no) % 12000 AS value FROM ({_GOOD}), (SELECT unnest(range(0, 8)) AS k)""")
 def tlv_range_doppler(spark, sf):
-    out = tlv.range_doppler_map(_tlvs(spark, sf), 4, tlv.MAX_MAP_VALUE, True)
+    out = tlv.range_doppler_map(_tlvs(spark, sf), 4, None, True)
     return out.select("frame_no", "range_bin", "doppler_bin", "value")
 
 

@@ -89,7 +89,10 @@ class ByteRanges(DataSource):
 
     A large log is cut every ``chunk_bytes``; ``content`` runs ``overlap_bytes`` further so that
     a record starting in a chunk can be finished there. With a chunk that is a multiple of a
-    fixed record size and no overlap, records never straddle chunks.
+    fixed record size and no overlap, records never straddle chunks. With ``magic`` (hex) and
+    ``size_at`` (place of a record's total size, 4 bytes little-endian) ``content`` runs on to
+    the end of every record that starts in the chunk and is followed by another one or by the
+    end of the file.
     """
 
     @classmethod
@@ -109,6 +112,21 @@ class RangeReader(DataSourceReader):
         self.pattern = options.get("pattern", ".*")
         self.chunk = int(options.get("chunk_bytes", str(64 << 20)))
         self.overlap = int(options.get("overlap_bytes", "0"))
+        self.magic = bytes.fromhex(options.get("magic", ""))
+        self.size_at = int(options.get("size_at", "0"))
+
+    def _rest(self, f, start: int, own: int, content: bytes) -> int:
+        """Bytes beyond ``own`` that finish the records starting in the first ``own`` bytes."""
+        size, need = f.size(), 0
+        at = content.find(self.magic)
+        while 0 <= at < own:
+            end = at + int.from_bytes(content[at + self.size_at: at + self.size_at + 4], "little")
+            if own < end <= size - start:
+                f.seek(start + end)
+                if self.magic.startswith(f.read(len(self.magic))):
+                    need = max(need, end + len(self.magic) - own)
+            at = content.find(self.magic, at + 1)
+        return need
 
     def partitions(self) -> Sequence[InputPartition]:
         _, files = _list(self.path, self.pattern)
@@ -123,7 +141,11 @@ class RangeReader(DataSourceReader):
         system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
         with system.open_input_file(path) as f:
             f.seek(start)
-            yield path, start, own, f.read(own + self.overlap)
+            content = f.read(own + max(self.overlap, self.size_at + 4 + len(self.magic) if self.magic else 0))
+            if self.magic and (rest := self._rest(f, start, own, content)):
+                f.seek(start)
+                content = f.read(own + rest)
+            yield path, start, own, content
 
 
 def register(spark) -> None:

@@ -20,7 +20,6 @@ STAT_FIELDS = [
 ]
 TEMPERATURE_FIELDS = ["rx0", "rx1", "rx2", "rx3", "tx0", "tx1", "tx2", "pm", "dig0", "dig1"]
 MAX_MAP_VALUE = 10000
-MAX_PACKET = 1 << 20
 
 _ROWS = (
     "capture {kind}, packet_at long, frame_no long, sub_frame long, cpu_cycles long, platform string, num_obj long, "
@@ -40,7 +39,7 @@ def _packets(content: bytes, own: int) -> Iterator[tuple[int, tuple, bytes]]:
             head = np.frombuffer(content, "<u4", 7, at + 12)
             size, objects, sub = int(head[0]), int(head[4]), int(head[6])
             end = at + size
-            next_ok = end + 8 >= len(content) or content[end: end + 8] == MAGIC
+            next_ok = MAGIC.startswith(content[end: end + 8])  # also at the end of the log
             if size >= HEADER and end <= len(content) and next_ok and objects > 0 and sub <= 3:
                 yield at, head, content[at + HEADER: end]
                 step = size
@@ -157,17 +156,22 @@ def temperature(tlvs: DataFrame) -> DataFrame:
     return v.select(*KEYS, F.when(valid >= 1 << 31, valid - (1 << 32)).otherwise(valid).alias("valid"), le_unsigned(b, 4, 4).alias("time_ms"), *sensors)
 
 
-def read_tlv(spark: SparkSession, path: str, chunk_bytes: int = 64 << 20) -> dict[str, DataFrame]:
-    """All tables of the logs under a path; a log is read in chunks by many tasks."""
+def read_tlv(spark: SparkSession, path: str, chunk_bytes: int = 64 << 20, n_doppler: int | None = None, older: bool = False) -> dict[str, DataFrame]:
+    """All tables of the logs under a path; a log is read in chunks by many tasks.
+
+    A chunk runs on to the end of the packets that start in it, however long. With ``n_doppler`` there is a range-Doppler
+    table; ``older`` sensors swap its halves and send maps of garbage, which are left out.
+    """
     from rangelake.sources.byteranges import register
 
     register(spark)
     chunks = (
-        spark.read.format("byte_ranges").option("chunk_bytes", chunk_bytes).option("overlap_bytes", MAX_PACKET).load(path)
+        spark.read.format("byte_ranges").option("chunk_bytes", chunk_bytes).option("magic", MAGIC.hex()).option("size_at", 12).load(path)
         .withColumnRenamed("path", "capture")
     )
     tlvs = split_packets(chunks)
-    return {
+    maps = {} if n_doppler is None else {"range_doppler": range_doppler_map(tlvs, n_doppler, MAX_MAP_VALUE if older else None, older)}
+    return maps | {
         "tlv": tlvs, "points": points(tlvs), "range_profile": profile(tlvs, RANGE_PROFILE), "noise_profile": profile(tlvs, NOISE_PROFILE),
         "azimuth_map": azimuth_map(tlvs), "stats": stats(tlvs), "temperature": temperature(tlvs),
     }

@@ -60,6 +60,16 @@ def test_overfull_cells_are_refined(spark, monkeypatch):
     assert [r.cluster_label for r in got] == brute(cloud, 0.3, 3)
 
 
+@pytest.mark.parametrize("kernel_points", [1024, 5])
+def test_null_keys_and_lost_coordinates(spark, kernel_points):
+    nan = float("nan")
+    rows = [(g, i, *p) for g in (None, 1) for i, p in enumerate([(0.0, 0.0), (0.1, 0.0), (0.1, 0.0), (nan, 0.0), (None, 0.1), (5.0, 5.0), (0.2, 0.1)])]
+    df = spark.createDataFrame(rows, "g long, pid long, x double, y double")
+    got = cu.dbscan(df, ["g"], [F.col("x"), F.col("y")], "pid", 0.5, 2, kernel_points=kernel_points)
+    assert sorted((r.g is None, r.pid, r.cluster_label) for r in got.collect()) == sorted((g is None, i, l) for g in (None, 1) for i, l in enumerate([0, 0, 0, -1, -1, -1, 0]))
+    assert got.columns == [*df.columns, "cluster_label"]
+
+
 def test_few_points_are_noise(spark):
     df = spark.createDataFrame([(0, 0, 1.0, 1.0, 0.0)], "g long, pid long, x double, y double, velocity double")
     assert cu.cluster_points(df, ["g"], "pid", 0.5, 2, 0.0).first().cluster_label == -1
