@@ -1,12 +1,13 @@
 """Ordered computations that survive a hot group.
 
-A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task.
-Here the group sizes are counted first. While every group fits a task the plain
-window is used. If some group is larger, its order axis is cut into cells,
+A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task. Here every
+group is cut along its order at sampled rows into cells of about the same number of rows,
 each cell becomes a task of its own, and the cells are stitched together through
 a small per-cell summary (offsets, running totals, carried values) or through
 copies of the few rows that a bounded window reaches across a cell border.
-The result is the same in both cases.
+A group smaller than a cell has one cell. There is one plan for all sizes, and nothing is
+counted or decided while it is built. ``limit=None`` says that a group is bounded by
+construction (the axis of a map) and takes the plain window.
 """
 
 from __future__ import annotations
@@ -41,40 +42,34 @@ def oversized(df: DataFrame, part: Sequence[str], limit: int) -> DataFrame:
     )
 
 
-def has_oversized(df: DataFrame, part: Sequence[str], limit: int | None) -> bool:
-    """True if some group exceeds ``limit``; None means bounded by construction."""
-    return limit is not None and not oversized(df, part, limit).isEmpty()
+def _below(bounds: Column, key: Column) -> Column:
+    """How many of the sorted bounds are at or below the key, by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + 1.0)).cast("int"))
 
+    def halve(span, _):
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        left = F.when(span["low"] < span["high"], F.element_at(bounds, middle + 1) > key)
+        return F.struct(
+            F.when(left.isNull() | left, span["low"]).otherwise(middle + 1).alias("low"), F.when(left, middle).otherwise(span["high"]).alias("high"),
+        )
 
-def axis(df: DataFrame, name: str) -> Column:
-    """The order column on a numeric axis."""
-    kind = dict(df.dtypes)[name]
-    if kind == "string" or kind == "binary":
-        raise ValueError(f"cannot cut the order column {name} of type {kind} into cells")
-    if kind == "date":
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high")), halve, lambda span: span["low"])
 
 
-def with_cells(df: DataFrame, part: Sequence[str], key: str, limit: int) -> DataFrame:
-    """Add ``_cell``: 0 in ordinary groups, an order-preserving slice number in hot ones."""
-    bounds = (
-        df.withColumn("_axis", axis(df, key))
-        .groupBy(*part)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min("_axis").alias("_lo"),
-            F.max("_axis").alias("_hi"),
-        )
-        .filter(F.col("_rows") > limit)
-    )
-    joined = join_keys(df, F.broadcast(bounds), part, "left")
-    cells = F.ceil(F.col("_rows") * _CELLS_PER_TASK / F.lit(limit))
-    width = (F.col("_hi") - F.col("_lo")) / cells
-    cell = F.when(F.col("_rows").isNull() | (width <= 0), F.lit(0)).otherwise(
-        F.floor((axis(joined, key) - F.col("_lo")) / width)
-    )
-    return joined.withColumn("_cell", cell.cast("long")).drop("_rows", "_lo", "_hi")
+def with_cells(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], limit: int) -> DataFrame:
+    """Add ``_cell``: the order-preserving slice of the group that a row is in.
+
+    A row is a border where the hash of its key and order falls on one of ``limit`` /
+    ``_CELLS_PER_TASK`` values; any orderable type will do, a far value moves no border, and
+    the same rows are borders whenever the plan is computed again. Rows of equal order share a cell.
+    """
+    every = max(2, limit // _CELLS_PER_TASK)
+    exprs = [F.col(o) if isinstance(o, str) else o for o in order]
+    keyed = df.withColumn("_key", F.struct(*(e.alias(f"k{i}") for i, e in enumerate(exprs))))
+    sample = keyed.filter(F.pmod(F.xxhash64(*part, "_key"), F.lit(every)) == 0)
+    bounds = sample.groupBy(*part).agg(F.array_sort(F.collect_set("_key")).alias("_bounds"))
+    joined = join_keys(keyed, bounds, part, "left")
+    return joined.withColumn("_cell", F.coalesce(_below(F.col("_bounds"), F.col("_key")), F.lit(0)).cast("long")).drop("_key", "_bounds")
 
 
 def with_position(
@@ -82,12 +77,12 @@ def with_position(
 ) -> DataFrame:
     """Add ``_pos`` (0-based rank in the group) and ``_n`` (group size)."""
     part, order = list(part), list(order)
-    if not has_oversized(df, part, limit):
+    if limit is None:
         whole = Window.partitionBy(*part)
         return df.withColumn("_pos", (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn(
             "_n", F.count(F.lit(1)).over(whole)
         )
-    celled = with_cells(df, part, order[0], limit)
+    celled = with_cells(df, part, order, limit)
     before = Window.partitionBy(*part).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = celled.groupBy(*part, "_cell").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select(
@@ -132,8 +127,7 @@ def reach(
 ) -> Reach:
     """Prepare bounded windows; ``circular`` joins the end of a group to its start."""
     part, order = list(part), list(order)
-    hot = has_oversized(df, part, limit)
-    placed = with_position(df, part, order, limit if hot else None)
+    placed = with_position(df, part, order, limit)
     pos, n = F.col("_pos"), F.col("_n")
     if circular:
         turns = F.sequence(
@@ -145,7 +139,7 @@ def reach(
         placed = placed.withColumn("_turn", F.lit(0).cast("long"))
     placed = placed.withColumn("_at", pos + F.col("_turn") * n)
     keys, helper = part, ["_turn", "_at", "_own"]
-    if hot:
+    if limit is not None:
         size = max(limit, span + 1)
         last = F.floor((n - 1) / F.lit(size))
         first_b = F.greatest(F.lit(0), F.floor((F.col("_at") - span) / F.lit(size)))
@@ -170,11 +164,11 @@ def running_sums(
     """Add running totals (first row to current row, inclusive) of the given expressions."""
     part, order = list(part), list(order)
     named = df.withColumns({f"_v_{k}": c for k, c in columns.items()})
-    if not has_oversized(df, part, limit):
+    if limit is None:
         w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         out = named.withColumns({k: F.sum(f"_v_{k}").over(w) for k in columns})
         return out.drop(*[f"_v_{k}" for k in columns])
-    celled = with_cells(named, part, order[0], limit)
+    celled = with_cells(named, part, order, limit)
     totals = celled.groupBy(*part, "_cell").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in columns])
     before = Window.partitionBy(*part).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
@@ -196,15 +190,11 @@ def carry_last(
     df: DataFrame,
     part: Sequence[str],
     order: Sequence[Column | str],
-    key: str,
     columns: dict[str, Column],
     forward: bool = True,
     limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add the latest non-NULL value at or before each row (or at or after it).
-
-    ``key`` is the leading order column used to slice hot groups.
-    """
+    """Add the latest non-NULL value at or before each row (or at or after it), in ascending order."""
     part = list(part)
     if forward:
         frame = (Window.unboundedPreceding, 0)
@@ -216,11 +206,11 @@ def carry_last(
         pick = F.first
     named = df.withColumns({f"_v_{k}": c for k, c in columns.items()})
     temp = [f"_v_{k}" for k in columns]
-    if not has_oversized(df, part, limit):
+    if limit is None:
         w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*frame)
         out = named.withColumns({k: pick(f"_v_{k}", ignorenulls=True).over(w) for k in columns})
         return out.drop(*temp)
-    celled = with_cells(named, part, key, limit)
+    celled = with_cells(named, part, order, limit)
     w = Window.partitionBy(*part, "_cell").orderBy(*order)
     inside = celled.withColumns({k: pick(f"_v_{k}", ignorenulls=True).over(w.rowsBetween(*frame)) for k in columns})
     # one summary row per cell: the value a neighbour cell would inherit from it

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangelake.operators.ordered import (
-    ROWS_PER_TASK, carry_last, has_oversized, reach, running_sums, with_position,
+    ROWS_PER_TASK, carry_last, reach, running_sums, with_position,
 )
 
 
@@ -19,11 +19,10 @@ def _previous(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: d
 
 def frame_drops(events: DataFrame, by: Sequence[str], seq: str = "seq", limit: int | None = ROWS_PER_TASK) -> DataFrame:
     """Add ``missed`` (sequence numbers skipped before a row) and ``missed_total``."""
-    hot = limit if has_oversized(events, by, limit) else None
-    gaps = _previous(events, by, [seq], {"_prev": seq}, hot)
+    gaps = _previous(events, by, [seq], {"_prev": seq}, limit)
     missed = F.greatest(F.lit(0), F.coalesce(F.col(seq) - F.col("_prev") - 1, F.lit(0)))
     return running_sums(
-        gaps.withColumn("missed", missed).drop("_prev"), by, [seq], {"missed_total": F.col("missed")}, hot
+        gaps.withColumn("missed", missed).drop("_prev"), by, [seq], {"missed_total": F.col("missed")}, limit
     )
 
 
@@ -109,18 +108,17 @@ def timeline(log: DataFrame, by: Sequence[str], limit: int | None = ROWS_PER_TAS
     and returns to 0 on ``stop``.
     """
     order, cmd = ["wall", "seq"], F.col("command")
-    hot = limit if has_oversized(log, by, limit) else None
     switches = F.when(cmd == "play", 1.0).when(cmd.isin("pause", "stop"), 0.0)
     state = carry_last(
-        log, by, order, "wall",
-        {"_on": switches, "_speed": F.when(cmd == "speed", F.col("arg"))}, True, hot,
+        log, by, order,
+        {"_on": switches, "_speed": F.when(cmd == "speed", F.col("arg"))}, True, limit,
     ).withColumns({"_on": F.coalesce("_on", F.lit(0.0)), "_speed": F.coalesce("_speed", F.lit(1.0))})
     rate = F.col("_on") * F.col("_speed")
-    prev = _previous(state.withColumn("_rate", rate), by, order, {"_pw": "wall", "_pr": "_rate"}, hot)
+    prev = _previous(state.withColumn("_rate", rate), by, order, {"_pw": "wall", "_pr": "_rate"}, limit)
     advance = F.coalesce((F.col("wall") - F.col("_pw")) * F.col("_pr"), F.lit(0.0))
-    run = running_sums(prev, by, order, {"_run": advance}, hot)
+    run = running_sums(prev, by, order, {"_run": advance}, limit)
     jump = F.when(cmd == "seek", F.col("arg")).when(cmd == "stop", F.lit(0.0)) - F.col("_run")
-    base = carry_last(run, by, order, "wall", {"_base": jump}, True, hot)
+    base = carry_last(run, by, order, {"_base": jump}, True, limit)
     out = base.withColumn("position", F.coalesce("_base", F.lit(0.0)) + F.col("_run"))
     return out.withColumn("playing", F.col("_on") > 0).withColumnRenamed("_speed", "speed").drop(
         "_on", "_rate", "_pw", "_pr", "_run", "_base"

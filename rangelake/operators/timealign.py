@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import ROWS_PER_TASK, carry_last, has_oversized, join_keys, with_position
+from rangelake.operators.ordered import ROWS_PER_TASK, carry_last, join_keys, with_position
 
 
 def common_start(a: DataFrame, b: DataFrame, by: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -36,8 +36,7 @@ def asof_backward(
 ) -> DataFrame:
     """Latest right row at or before each left row; equal times take the smaller id."""
     line = _timeline(left, right, by, ts, rid)
-    hot = limit if has_oversized(line, by, limit) else None
-    out = carry_last(line, by, [F.col(ts), F.col("_side"), -F.col("_id")], ts, {"_hit": F.col("_right")}, True, hot)
+    out = carry_last(line, by, [F.col(ts), F.col("_side"), -F.col("_id")], {"_hit": F.col("_right")}, True, limit)
     return _unpack(out.filter("_side = 1"), left, right, by, ts, prefix)
 
 
@@ -56,9 +55,8 @@ def asof_nearest(
     Beyond ``tolerance`` the right columns are NULL.
     """
     line = _timeline(left, right, by, ts, rid)
-    hot = limit if has_oversized(line, by, limit) else None
-    back = carry_last(line, by, [F.col(ts), F.col("_side"), -F.col("_id")], ts, {"_prev": F.col("_right")}, True, hot)
-    both = carry_last(back, by, [F.col(ts), F.col("_side"), F.col("_id")], ts, {"_next": F.col("_right")}, False, hot)
+    back = carry_last(line, by, [F.col(ts), F.col("_side"), -F.col("_id")], {"_prev": F.col("_right")}, True, limit)
+    both = carry_last(back, by, [F.col(ts), F.col("_side"), F.col("_id")], {"_next": F.col("_right")}, False, limit)
     before = F.col(ts) - F.col("_prev._at")
     after = F.col("_next._at") - F.col(ts)
     hit = F.when(F.col("_next").isNull() | (before <= after), F.col("_prev")).otherwise(F.col("_next"))

@@ -236,5 +236,5 @@ def with_sessions(points: DataFrame, sensor: Sequence[str], quiet: int, limit: i
     around = reach(frames, sensor, ["frame_no"], 1, False, limit)
     gap = around.finish({"_prev": F.lag("frame_no", 1).over(around.window)}).drop("_pos", "_n")
     starts = F.when(F.col("_prev").isNull() | (F.col("frame_no") - F.col("_prev") > quiet), F.col("frame_no"))
-    marked = carry_last(gap, sensor, ["frame_no"], "frame_no", {"session": starts}, True, limit).drop("_prev")
+    marked = carry_last(gap, sensor, ["frame_no"], {"session": starts}, True, limit).drop("_prev")
     return join_keys(points, marked, [*sensor, "frame_no"])

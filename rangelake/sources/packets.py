@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import ROWS_PER_TASK, has_oversized, reach, running_sums
+from rangelake.operators.ordered import ROWS_PER_TASK, reach, running_sums
 from rangelake.sources.recordings import _int16
 
 # Packet header and payload bytes, card header bytes, sample offset of the offset-binary card.
@@ -161,15 +161,14 @@ def clean_capture(packets: DataFrame, limit: int | None = ROWS_PER_TASK) -> Data
     offsets and is never joined into one value.
     """
     once = packets.groupBy("capture", "seq").agg(F.max_by("payload", "arrival").alias("payload"))
-    hot = limit if has_oversized(once, ["capture"], limit) else None
-    around = reach(once, ["capture"], ["seq"], 1, False, hot)
+    around = reach(once, ["capture"], ["seq"], 1, False, limit)
     prev = around.finish({"_prev": F.lag("seq", 1).over(around.window)}).drop("_pos", "_n")
     start = F.coalesce(F.col("_prev"), F.lit(0)) + 1
     slots = prev.withColumn("_s", F.explode(F.sequence(start, F.col("seq"))))
     lost = F.col("_s") < F.col("seq")
     zeros = F.unhex(F.repeat(F.lit("00"), F.octet_length("payload")))
     filled = slots.select("capture", F.col("_s").alias("seq"), F.when(lost, zeros).otherwise(F.col("payload")).alias("payload"), lost.alias("lost"))
-    summed = running_sums(filled, ["capture"], ["seq"], {"_end": F.octet_length("payload")}, hot)
+    summed = running_sums(filled, ["capture"], ["seq"], {"_end": F.octet_length("payload")}, limit)
     return summed.withColumn("offset", F.col("_end") - F.octet_length("payload")).drop("_end")
 
 

@@ -33,7 +33,7 @@ def skewed(spark, sf):
 
 
 def test_cells_split_a_hot_group(skewed):
-    cells = with_cells(skewed, ["part"], "ord", SMALL).filter("part = -1")
+    cells = with_cells(skewed, ["part"], ["ord"], SMALL).filter("part = -1")
     assert cells.select("_cell").distinct().count() > 5
 
 
@@ -51,7 +51,7 @@ def test_running_and_carry(skewed):
     same(lambda limit: running_sums(skewed, ["part"], ["ord"], {"total": F.col("v"), "odd": F.when(F.col("v") % 2 == 1, 1)}, limit))
     value = F.when(F.col("v") % 5 == 0, F.col("v"))
     for forward in (True, False):
-        same(lambda limit: carry_last(skewed, ["part"], ["ord"], "ord", {"x": value}, forward, limit))
+        same(lambda limit: carry_last(skewed, ["part"], ["ord"], {"x": value}, forward, limit))
 
 
 def test_shift(skewed):
@@ -82,3 +82,29 @@ def test_sessions(spark):
     pts = spark.createDataFrame([(1, f) for f in [*range(40), *range(60, 80), *range(200, 230)]], "sensor long, frame_no long")
     same(lambda limit: tk.with_sessions(pts, ["sensor"], 6, limit))
     assert tk.with_sessions(pts, ["sensor"], 6).select("session").distinct().count() == 3
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "far", "nan", "equal"])
+def test_any_order(spark, kind):
+    """Strings, dates, one far value, NaN and NULL, equal values; a NULL key is a group."""
+    key = {
+        "string": F.format_string("k%03d", "id"), "date": F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")), "far": F.when(F.col("id") == 5, 1e18).otherwise(F.col("id").cast("double")),
+        "nan": F.when(F.col("id") % 9 == 0, float("nan")).when(F.col("id") % 7 != 0, F.col("id").cast("double")), "equal": F.col("id") * 0,
+    }[kind]
+    df = spark.range(120).select(F.when(F.col("id") % 2 == 0, F.lit(1)).alias("g"), key.alias("o"), (-F.col("id")).alias("tie"), (F.col("id") % 5).alias("v"))
+    cells = with_cells(df, ["g"], ["o", "tie"], 32)
+    assert cells.groupBy("g", "_cell").count().agg(F.max("count")).first()[0] < 40
+    same(lambda limit: with_position(df, ["g"], ["o", "tie"], limit))
+    same(lambda limit: running_sums(df, ["g"], ["o", "tie"], {"total": F.col("v")}, limit))
+    same(lambda limit: carry_last(df, ["g"], ["o", "tie"], {"x": F.when(F.col("v") == 3, F.col("tie"))}, True, limit))
+
+
+def test_nothing_runs_while_the_plan_is_built(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "plans only")
+    before = len(tracker.getJobIdsForGroup("build"))
+    with_position(skewed, ["part"], ["ord"])
+    cf.cfar(skewed, ["part"], ["ord"], "v", "ca", 1, 3, 20)
+    running_sums(skewed, ["part"], ["ord"], {"total": F.col("v")})
+    assert len(tracker.getJobIdsForGroup("build")) == before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
