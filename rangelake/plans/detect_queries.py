@@ -136,16 +136,17 @@ def cfar_map_2d(spark, sf):
     )
 
 
-def _axis_pass(part: str, order: str, size: int, bound: float, name: str, src: str) -> str:
-    """Circular mean threshold on a full axis of known size, as an offset join."""
-    return f"""{name} AS (SELECT a.map, a.range_bin, a.doppler_bin, SUM(b.value) / 8.0 AS noise_floor FROM {src} a
-  JOIN (SELECT unnest([-5, -4, -3, -2, 2, 3, 4, 5]) AS o) ON TRUE
-  JOIN {src} b ON a.map = b.map AND a.{part} = b.{part} AND b.{order} = (a.{order} + o + {size}) % {size} GROUP BY 1, 2, 3)"""
+def _axis_pass(other: str, axis: str, size: int, name: str) -> str:
+    """Noise floor along one axis that closes in a ring: 1 guard and 4 noise cells on each side, by sums over windows."""
+    return f"""{name}x AS (SELECT map, {other}, {axis}, {axis} AS idx, TRUE AS own, value FROM m UNION ALL SELECT map, {other}, {axis}, {axis} - {size}, FALSE, value FROM m WHERE {axis} >= {size - 5}
+  UNION ALL SELECT map, {other}, {axis}, {axis} + {size}, FALSE, value FROM m WHERE {axis} < 5),
+{name} AS (SELECT map, {other}, {axis}, noise_floor FROM (SELECT *, (SUM(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING) + SUM(value) OVER (w ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING)) / 8.0 AS noise_floor
+  FROM {name}x WINDOW w AS (PARTITION BY map, {other} ORDER BY idx)) WHERE own)"""
 
 
-_DUAL_SQL = f"""WITH m AS ({RD_MAP}), {_axis_pass("range_bin", "doppler_bin", 32, 30, "az", "m")}, {_axis_pass("doppler_bin", "range_bin", 64, 40, "rg", "m")}
+_DUAL_SQL = f"""WITH m AS ({RD_MAP}), {_axis_pass("range_bin", "doppler_bin", 32, "az")}, {_axis_pass("doppler_bin", "range_bin", 64, "rg")}
 SELECT m.map, m.range_bin, m.doppler_bin, m.value, round(rg.noise_floor, 4) + 0.0 AS noise_floor, round(m.value - rg.noise_floor, 4) + 0.0 AS snr
-FROM m JOIN az USING (map, range_bin, doppler_bin) JOIN rg ON m.map = rg.map AND m.range_bin = rg.range_bin AND m.doppler_bin = rg.doppler_bin
+FROM m JOIN az ON m.map = az.map AND m.range_bin = az.range_bin AND m.doppler_bin = az.doppler_bin JOIN rg ON m.map = rg.map AND m.range_bin = rg.range_bin AND m.doppler_bin = rg.doppler_bin
 WHERE m.value > az.noise_floor + 30 AND m.value > rg.noise_floor + 40"""
 
 
