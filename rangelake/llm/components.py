@@ -30,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges from a node to itself make a component of one; repeated edges change nothing; no edges give no rows.
     """
+    edges = stored(edges)  # read several times
     loops = edges.where("u = v").select("u").distinct()
     now = stored(edges.where("u <> v").distinct())
     while True:
