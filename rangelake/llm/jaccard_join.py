@@ -32,6 +32,8 @@ BINS = 1 << 16
 #: Documents that should meet in a cell, and members in a share of a candidate group.
 CELL = 2048
 LEAF = 16
+#: Shingles that are compared at a time.
+FLAT = 1 << 19
 _U = np.uint64
 
 
@@ -90,59 +92,79 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return -(-(percent * (a + b)) // (100 + percent))
 
 
+def _fold(points: np.ndarray, dims: int) -> np.ndarray:
+    """Counts of fewer groups: groups whose numbers agree in the low bits are one."""
+    return points.reshape(*points.shape[:-1], -1, dims).sum(-2, dtype=np.int32)
+
+
 class Tree:
-    """Points sorted by set size in leaves of ``LEAF``; leaf boxes keep the upper corner and the range of sizes."""
+    """Points of one number of groups, sorted by set size in leaves of ``LEAF``.
 
-    def __init__(self, sizes: np.ndarray, points: list[np.ndarray], percent: int) -> None:
-        self.percent, self.sizes = percent, sizes
-        self.order = np.argsort(sizes, kind="stable")
-        dims = min(len(p) for p in points)
-        self.points = np.stack([points[i].reshape(-1, dims).sum(0, dtype=np.int32) for i in self.order])
-        self.sorted = sizes[self.order]
-        self.place = np.empty(len(sizes), np.int64)
-        self.place[self.order] = np.arange(len(sizes))
-        cuts = np.arange(0, len(sizes), LEAF)
-        self.upper = np.maximum.reduceat(self.points, cuts)
-        self.least = self.sorted[cuts]
+    A leaf's box keeps the upper corner and the least size, so one comparison can drop all of its points.
+    """
 
-    def near(self, which: int, alive: np.ndarray | None = None) -> np.ndarray:
-        """Positions (in ``order``) of points of sets that may be similar to that of point ``which``, itself included."""
-        at = self.place[which]
-        size, point = self.sizes[which], self.points[at]
-        low = np.searchsorted(self.sorted, -(-self.percent * size // 100), "left")
-        high = np.searchsorted(self.sorted, 100 * size // self.percent, "right")
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], percent: int) -> None:
+        order = np.argsort(sizes[members], kind="stable")
+        self.members, self.percent = members[order], percent
+        self.sizes = sizes[self.members]
+        self.cuts = np.arange(0, len(members), LEAF)
+        self.least = self.sizes[self.cuts]
+        whole = np.stack([points[i] for i in self.members]).astype(np.int32)
+        self.dims = whole.shape[1]
+        self.levels = {self.dims: (whole, np.maximum.reduceat(whole, self.cuts))}
+
+    def _level(self, dims: int) -> tuple[np.ndarray, np.ndarray]:
+        if dims not in self.levels:
+            whole = _fold(self.levels[self.dims][0], dims)
+            self.levels[dims] = whole, np.maximum.reduceat(whole, self.cuts)
+        return self.levels[dims]
+
+    def near(self, size: int, point: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
+        """Members whose sets may be as similar as wanted to a set of this size and point."""
+        low = int(np.searchsorted(self.sizes, -(-self.percent * size // 100), "left"))
+        high = int(np.searchsorted(self.sizes, 100 * size // self.percent, "right"))
+        if low >= high:
+            return self.members[:0]
+        dims = min(self.dims, len(point))
+        points, upper = self._level(dims)
+        point = _fold(point, dims)
         leaves = np.arange(low // LEAF, -(-high // LEAF))
-        boxes = np.minimum(self.upper[leaves], point).sum(1) >= needed(size, self.least[leaves], self.percent)
+        boxes = np.minimum(upper[leaves], point).sum(1) >= needed(size, self.least[leaves], self.percent)
         rows = (leaves[boxes][:, None] * LEAF + np.arange(LEAF)).ravel()
         rows = rows[(rows >= low) & (rows < high)]
         if alive is not None:
-            rows = rows[alive[rows]]
-        return rows[np.minimum(self.points[rows], point).sum(1) >= needed(size, self.sorted[rows], self.percent)]
+            rows = rows[alive[self.members[rows]]]
+        return self.members[rows[np.minimum(points[rows], point).sum(1) >= needed(size, self.sizes[rows], self.percent)]]
+
 
+class Forest:
+    """A tree for each number of groups: larger sets are counted in more of them, which keeps the bound sharp."""
 
-def _segments(sizes: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Indices of points, parted where no set on one side can be similar to one on the other."""
-    order = np.argsort(sizes, kind="stable")
-    gaps = np.flatnonzero(sizes[order][1:] * percent > sizes[order][:-1] * 100) + 1
-    yield from (s for s in np.split(order, gaps) if len(s) > 1)
+    def __init__(self, sizes: np.ndarray, points: list[np.ndarray], percent: int) -> None:
+        self.sizes, self.points = sizes, points
+        dims = np.array([len(p) for p in points])
+        self.trees = [Tree(np.flatnonzero(dims == d), sizes, points, percent) for d in np.unique(dims)]
+
+    def near(self, which: int, alive: np.ndarray | None = None) -> np.ndarray:
+        """Points of sets that may be similar to that of point ``which``, itself included."""
+        return np.concatenate([t.near(int(self.sizes[which]), self.points[which], alive) for t in self.trees])
 
 
 def stars(sizes: np.ndarray, points: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges that span the groups of points which the tree can't tell apart."""
+    """Edges that span the groups of points which the trees can't tell apart."""
     out = []
-    for segment in _segments(sizes, percent):
-        tree = Tree(sizes[segment], [points[i] for i in segment], percent)
-        alive = np.ones(len(segment), bool)
-        for first in range(len(segment)):
-            if not alive[first]:
-                continue
-            alive[first] = False
-            todo = [first]
-            while todo:
-                found = tree.near(int(tree.order[todo.pop()]), alive)
-                alive[found] = False
-                out += [(int(segment[tree.order[f]]), int(segment[tree.order[first]])) for f in found]
-                todo += found.tolist()
+    forest = Forest(sizes, points, percent)
+    alive = np.ones(len(sizes), bool)
+    for first in range(len(sizes)):
+        if not alive[first]:
+            continue
+        alive[first] = False
+        todo = [first]
+        while todo:
+            found = forest.near(todo.pop(), alive)
+            alive[found] = False
+            out += [(f, first) for f in found.tolist()]
+            todo += found.tolist()
     return out
 
 
@@ -227,16 +249,44 @@ def _read_points(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(p.as_buffer(), np.uint32 if s >= 65536 else np.uint16) for p, s in zip(table.column("point").combine_chunks(), table.column("size").to_pylist())]
 
 
+def _leaf_pairs(cell: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], percent: int) -> np.ndarray:
+    """Pairs of rows of one cell (cells of up to ``LEAF`` rows, sorted by cell and size) that pass the bound."""
+    dims = np.array([len(p) for p in points])
+    place = np.zeros(len(points), np.int64)
+    levels = {}
+    for d in np.unique(dims):
+        own = np.flatnonzero(dims == d)
+        place[own] = np.arange(len(own))
+        levels[d] = np.stack([points[i] for i in own]).astype(np.int32)
+    out = []
+    for step in range(1, LEAF):
+        low = np.flatnonzero((cell[:-step] == cell[step:]) & (100 * sizes[:-step] >= percent * sizes[step:]))
+        kinds = np.stack([dims[low], dims[low + step]])
+        for small, large in np.unique(kinds, axis=1).T:
+            some = low[(kinds[0] == small) & (kinds[1] == large)]
+            for part in np.array_split(some, len(some) * large // FLAT + 1):
+                shared = np.minimum(levels[small][place[part]], _fold(levels[large][place[part + step]], small)).sum(1)
+                passed = part[shared >= needed(sizes[part], sizes[part + step], percent)]
+                out.append(np.stack([passed, passed + step]))
+    return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+
+
 def _candidates(cells: DataFrame, nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Edges (u, v) that span what the tree leaves of each cell."""
+    """Edges (u, v) that join what the bound leaves of each cell: cells of a leaf at once, larger ones by their trees."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cell")
-        cell, node = table.column("cell").to_numpy(), table.column("node").to_numpy()
-        sizes, points = table.column("size").to_numpy(), _read_points(table)
-        edges: set[tuple[int, int]] = set()
+        table = table.sort_by([("cell", "ascending"), ("size", "ascending")])
+        cell, sizes = table.column("cell").to_numpy(), table.column("size").to_numpy()
+        near = np.concatenate([[False], (cell[1:] == cell[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:]), [False]])
+        kept = np.flatnonzero(near[1:] | near[:-1])  # the others have no set of a similar size beside them
+        table = table.take(pa.array(kept))
+        cell, sizes, node, points = cell[kept], sizes[kept], table.column("node").to_numpy(), _read_points(table)
         cuts = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell))
-        for low, high in zip(cuts[:-1], cuts[1:]):
+        count = np.diff(cuts)
+        small = np.flatnonzero(np.repeat(count <= LEAF, count))
+        pairs = small[_leaf_pairs(cell[small], sizes[small], [points[i] for i in small], percent)]
+        edges = {(int(a), int(b)) for a, b in node[pairs].T}
+        for low, high in zip(cuts[:-1][count > LEAF], cuts[1:][count > LEAF]):
             edges.update((int(node[low + a]), int(node[low + b])) for a, b in stars(sizes[low:high], points[low:high], percent))
         return pa.table([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
 
@@ -276,40 +326,31 @@ def _group_links(sets: list[np.ndarray], node: np.ndarray, weight: np.ndarray, s
             i = parent[i]
         return i
 
-    for segment in _segments(sizes, percent):
-        own = [sets[i] for i in segment]
-        tree = Tree(sizes[segment], [_point(s) for s in own], percent)
-        _, dense = np.unique(np.concatenate([own[i] for i in tree.order]), return_inverse=True)
-        at = np.concatenate([[0], np.cumsum(tree.sorted)])
-        marked = np.zeros(len(dense), bool)
-        for place in range(len(segment)):
-            found = tree.near(int(tree.order[place]))
-            found = found[found > place]
-            a = segment[tree.order[place]]
-            if across:
-                found = found[share[segment[tree.order[found]]] != share[a]]
-            if not len(found):
-                continue
-            mine = dense[at[place] : at[place + 1]]
-            marked[mine] = True
-            length = tree.sorted[found]
-            step = np.concatenate([[0], np.cumsum(length)])
-            for low in range(0, len(found), 4096):  # bounds the flat index
-                part = slice(low, min(low + 4096, len(found)))
-                size = length[part]
-                base = np.cumsum(size) - size
-                flat = np.arange(size.sum()) - np.repeat(base - at[found[part]], size)
-                overlap = np.add.reduceat(marked[dense[flat]].astype(np.int64), base)
-                linked = found[part][overlap >= needed(tree.sorted[place], size, percent)]
-                others = segment[tree.order[linked]]
-                links[a] += weight[others].sum()
-                links[others] += weight[a]
-                for b in others:
-                    ra, rb = root(int(a)), root(int(b))
-                    if ra != rb:
-                        parent[max(ra, rb)] = min(ra, rb)
-            marked[mine] = False
-            del step
+    forest = Forest(sizes, [_point(s) for s in sets], percent)
+    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    marked = np.zeros(len(dense) + 1, bool)
+    for a in range(len(sets)):
+        found = forest.near(a)
+        found = found[found > a]
+        if across:
+            found = found[share[found] != share[a]]
+        mine = dense[at[a] : at[a + 1]]
+        marked[mine] = True
+        parts = np.flatnonzero(np.diff(np.cumsum(sizes[found]) // FLAT)) + 1  # bounds the flat index
+        for part in np.split(found, parts) if len(found) else ():
+            size = sizes[part]
+            base = np.cumsum(size) - size
+            flat = np.arange(size.sum()) - np.repeat(base - at[part], size)
+            overlap = np.add.reduceat(marked[dense[flat]].astype(np.int64), base)
+            others = part[overlap >= needed(sizes[a], size, percent)]
+            links[a] += weight[others].sum()
+            links[others] += weight[a]
+            for b in others.tolist():
+                ra, rb = root(a), root(b)
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+        marked[mine] = False
     return [(int(node[i]), int(node[root(i)]), int(links[i])) for i in range(len(sets)) if links[i]]
 
 

@@ -147,10 +147,9 @@ def test_bound_of_the_tree():
         fold = lambda s: jaccard_join._point(s).reshape(-1, dims).sum(0)
         assert np.minimum(fold(a), fold(b)).sum() >= len(np.intersect1d(a, b))
     sizes = np.array([len(s) for s in sets])
-    tree = jaccard_join.Tree(sizes, [jaccard_join._point(s) for s in sets], 60)
+    forest = jaccard_join.Forest(sizes, [jaccard_join._point(s) for s in sets], 60)
     for i, a in enumerate(sets):
-        near = {int(tree.order[p]) for p in tree.near(i)}
-        assert near >= {j for j, b in enumerate(sets) if 100 * (o := len(np.intersect1d(a, b))) >= 60 * (len(a) + len(b) - o)}
+        assert set(forest.near(i).tolist()) >= {j for j, b in enumerate(sets) if 100 * (o := len(np.intersect1d(a, b))) >= 60 * (len(a) + len(b) - o)}
 
 
 def test_components(spark):
