@@ -131,18 +131,19 @@ def single_peak_variance(spark, sf):
     return out.select("frame_no", "chirp", "sample", "span", rnd("variance").alias("variance"))
 
 
-# Two antennas are enough for a closed-form inverse in SQL.
-_C2 = f"""SELECT frame_no, range_bin, SUM(CASE WHEN i = 0 AND j = 0 THEN re WHEN i = 1 AND j = 1 THEN re END) / 2 AS d, SUM(CASE WHEN i = 0 AND j = 1 THEN re END) AS ore, SUM(CASE WHEN i = 0 AND j = 1 THEN im END) AS oim
-FROM ({_COV.replace("a.sample = b.sample", "a.sample = b.sample AND a.vant < 2 AND b.vant < 2")}) GROUP BY 1, 2"""
+# Two antennas are enough for a closed-form inverse in SQL: each frame as two arrays of two.
+_C2 = f"""SELECT frame_no, i // 2 AS pair, range_bin, SUM(CASE WHEN i = j THEN re END) / 2 AS d, SUM(CASE WHEN i < j THEN re END) AS ore, SUM(CASE WHEN i < j THEN im END) AS oim
+FROM ({_COV.replace("a.sample = b.sample", "a.sample = b.sample AND a.vant // 2 = b.vant // 2")}) GROUP BY 1, 2, 3"""
 
 
-@query("capon_two_antennas", f"""SELECT frame_no, range_bin, k AS angle_idx, round((d * d - ore * ore - oim * oim) / (2 * d - 2 * (ore * cos(p) - oim * sin(p))), 4) + 0.0 AS power
+@query("capon_two_antennas", f"""SELECT frame_no, pair, range_bin, k AS angle_idx, round((d * d - ore * ore - oim * oim) / (2 * d - 2 * (ore * cos(p) - oim * sin(p))), 4) + 0.0 AS power
 FROM ({_C2}), (SELECT k, -pi() * sin(radians(k * 10.0 - 90)) AS p FROM (SELECT unnest(range(0, 19)) AS k))""")
 def capon_two_antennas(spark, sf):
-    cov = an.fb_average(an.covariance(ad.rcube(spark, sf).filter("vant < 2"), ["frame_no"], 2))
+    pairs = ad.rcube(spark, sf).withColumn("pair", F.expr("vant div 2")).withColumn("vant", F.col("vant") % 2)
+    cov = an.fb_average(an.covariance(pairs, ["frame_no", "pair"], 2))
     out = an.capon(cov, 2, 90, 10)
-    return out.select("frame_no", "range_bin", F.posexplode("spectrum").alias("angle_idx", "p")).select(
-        "frame_no", "range_bin", F.col("angle_idx").cast("long").alias("angle_idx"), rnd("p").alias("power")
+    return out.select("frame_no", "pair", "range_bin", F.posexplode("spectrum").alias("angle_idx", "p")).select(
+        "frame_no", "pair", "range_bin", F.col("angle_idx").cast("long").alias("angle_idx"), rnd("p").alias("power")
     )
 
 
@@ -174,11 +175,14 @@ def esprit_angles(spark, sf):
 
 # Twelve virtual antennas: three chirps of four antennas side by side.
 def _vectors12(spark, sf):
-    cells = ad.iq_cube(spark, sf).filter("chirp < 24").withColumn("vant", (F.col("chirp") % 3) * 4 + F.col("vant")).withColumn("chirp", F.expr("chirp div 3"))
+    rows = ad.interleaved_rows(spark, sf, 3, 8, ["frame_no", "chirp"])
+    cells = rows.select("frame_no", "chirp", "vant", F.posexplode(F.arrays_zip("re", "im")).alias("sample", "z")).select(
+        "frame_no", "chirp", "vant", F.col("sample").cast("long").alias("sample"), "z.re", "z.im"
+    )
     return an.antenna_vectors(cells, ["frame_no", "chirp", "sample"]).withColumnRenamed("sample", "range_bin")
 
 
-_V12 = f"SELECT frame_no, chirp // 3 AS chirp, sample AS range_bin, (chirp % 3) * 4 + vant AS vant, re, im FROM ({IQ}) WHERE chirp < 24"
+_V12 = f"SELECT g // 24 AS frame_no, g % 24 // 3 AS chirp, sample AS range_bin, g % 3 * 4 + vant AS vant, re, im FROM (SELECT *, frame_no * 25 + chirp AS g FROM ({IQ})) QUALIFY COUNT(*) OVER (PARTITION BY g // 3, sample) = 12"
 _K3 = "frame_no, chirp, range_bin"
 
 

@@ -50,9 +50,7 @@ def capon_point_cloud(spark, sf):
 @query("doppler_point_cloud")
 def doppler_point_cloud(spark, sf):
     # three transmitters: interleaved chirps of four receivers
-    cube = ad.iq_rows(spark, sf).filter("chirp < 24").withColumns({
-        "vant": (F.col("chirp") % 3) * 4 + F.col("vant"), "chirp": F.expr("chirp div 3"),
-    })
+    cube = ad.interleaved_rows(spark, sf, 3, 8, ["frame_no"])
     cfg = rc.Sensor(8, 3, 4, 32, 0.7, 0.29)
     loose = [(2, 0), (10, 0), (35, 0)]
     out = rc.process(cube, ["frame_no"], cfg, "doppler", guard=1, noise=2, bounds=(0.5, 0.5), snr_bands=loose, peak_bands=[(0, 0), (0, 0)])

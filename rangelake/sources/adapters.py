@@ -6,7 +6,7 @@ grows with that table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHIRPS, VANTS, SAMPLES = 25, 4, 32
@@ -80,6 +80,19 @@ def iq_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def interleaved_rows(spark: SparkSession, sf_dir: str, tx: int, chirps: int, whole: list[str]) -> DataFrame:
+    """The same rows as frames of ``chirps`` turns of ``tx`` transmitters: a turn's antennas stand side by side.
+
+    ``whole`` names what has to be complete (a frame, or a turn of a frame): the recording may end within one.
+    """
+    rows = iq_rows(spark, sf_dir).withColumn("_g", F.col("frame_no") * (100 // VANTS) + F.col("chirp"))
+    placed = rows.withColumns({
+        "frame_no": F.expr(f"_g div {tx * chirps}"), "chirp": F.expr(f"(_g % {tx * chirps}) div {tx}"), "vant": F.col("_g") % tx * VANTS + F.col("vant"),
+    }).drop("_g")
+    size = tx * VANTS * (1 if "chirp" in whole else chirps)
+    return placed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*whole))).filter(F.col("_n") == size).drop("_n")
+
+
 def iq_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fully long cube: frame_no, chirp, vant, sample, re, im."""
     return (
