@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangelake.plans.registry import SENSOR_A, TELEMETRY, query
-from rangelake.session import drain
+from rangelake.session import drain, drain_windows
 from rangelake.sources import adapters as ad
 from rangelake.streaming import jobs
 
@@ -24,19 +24,17 @@ def streamed_gap_counts(spark, sf):
     return drain(jobs.gap_counter(log))
 
 
-@query("streamed_rate", """SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, CAST(user_id AS BIGINT) AS sensor, COUNT(*) AS frames FROM events
-WHERE (epoch_us(ts) // 86400000000 + 1) * 86400000000 <= (SELECT MAX(epoch_us(ts)) - 3600000000 FROM events) GROUP BY 1, 2""")
+@query("streamed_rate", """SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, CAST(user_id AS BIGINT) AS sensor, COUNT(*) AS frames FROM events GROUP BY 1, 2""")
 def streamed_rate(spark, sf):
     frames = _events(spark, sf).select(F.col("user_id").cast("long").alias("sensor"), "event_time")
-    out = drain(jobs.rate_windows(frames, "sensor", length="1 day", delay="1 hour"))
+    out = drain_windows(jobs.rate_windows(frames, "sensor", length="1 day", delay="1 hour"), ["start", "end", "sensor"])
     return out.select(F.expr("unix_micros(start) div 86400000000").alias("day"), "sensor", "frames")
 
 
-@query("streamed_runtime", """SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, CAST(user_id AS BIGINT) AS sensor, round(AVG(value), 4) AS avg_runtime, COUNT(*) AS frames FROM events
-WHERE (epoch_us(ts) // 86400000000 + 1) * 86400000000 <= (SELECT MAX(epoch_us(ts)) - 3600000000 FROM events) GROUP BY 1, 2""")
+@query("streamed_runtime", """SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, CAST(user_id AS BIGINT) AS sensor, round(AVG(value), 4) AS avg_runtime, COUNT(*) AS frames FROM events GROUP BY 1, 2""")
 def streamed_runtime(spark, sf):
     frames = _events(spark, sf).select(F.col("user_id").cast("long").alias("sensor"), "event_time", "value")
-    out = drain(jobs.runtime_windows(frames, "sensor", F.col("value"), length="1 day", delay="1 hour"))
+    out = drain_windows(jobs.runtime_windows(frames, "sensor", F.col("value"), length="1 day", delay="1 hour"), ["start", "sensor"])
     return out.select(F.expr("unix_micros(start) div 86400000000").alias("day"), "sensor", F.round("avg_runtime", 4).alias("avg_runtime"), "frames")
 
 

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def build_session(app: str = "rangelake", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,6 +51,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drain_windows(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a windowed aggregation over everything available now; the last state of every window, open ones included.
+
+    Each micro-batch leaves the windows it changed in a folder of its own, so a repeated batch replaces itself.
+    """
+    spark = stream.sparkSession
+    base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/_epoch={epoch}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("_epoch", LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    last = spark.read.schema(schema).parquet(f"{base}/rows").groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_last"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in stream.columns))
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over everything available now and return what it wrote (Parquet in the shared folder)."""
     spark = stream.sparkSession
