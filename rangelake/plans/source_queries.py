@@ -45,7 +45,7 @@ def decoded_frames(spark, sf):
 _COMMANDS = "SELECT CAST(user_id AS BIGINT) AS sensor, epoch_us(ts) / 1e6 AS ts, event_type FROM events WHERE event_type IN ('purchase', 'error')"
 
 
-@query("recorded_frames", f"""SELECT a.sensor, a.frame_no, printf('%010d_%05d_%012d', CAST(floor(a.ts) AS BIGINT), CAST(floor((a.ts - floor(a.ts)) * 1e5) AS BIGINT), a.frame_no) AS file_name
+@query("recorded_frames", f"""SELECT a.sensor, a.frame_no, printf('%010d_%05d_%012d', CAST(round(a.ts * 1e5) AS BIGINT) // 100000, CAST(round(a.ts * 1e5) AS BIGINT) % 100000, a.frame_no) AS file_name
 FROM ({SENSOR_A}) a ASOF JOIN ({_COMMANDS}) c ON a.sensor = c.sensor AND a.ts >= c.ts WHERE c.event_type = 'purchase'""")
 def recorded_frames(spark, sf):
     log = ad.sensor_b(spark, sf).drop("value").withColumnRenamed("frame_no", "seq")

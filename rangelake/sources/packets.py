@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import ROWS_PER_TASK, reach, running_sums
+from rangelake.operators.ordered import ROWS_PER_TASK, join_keys, reach, running_sums
 from rangelake.sources.recordings import _int16
 
 # Packet header and payload bytes, card header bytes, sample offset of the offset-binary card.
@@ -54,19 +54,38 @@ def read_packets(spark: SparkSession, path: str, payload: int = PAYLOAD, chunk_r
     return decode_packets(chunks.mapInArrow(split, "capture string, arrival long, body binary"))
 
 
+#: Sequence numbers without a packet on either side of one that stands alone, from which it counts as damaged.
+MAX_GAP = 1 << 16
+
+
+def without_strays(packets: DataFrame, max_gap: int = MAX_GAP, limit: int | None = ROWS_PER_TASK) -> DataFrame:
+    """Packets whose sequence number has another one of the capture within ``max_gap``; a lone packet stays.
+
+    One damaged number would otherwise open a gap of up to 2^32 packets.
+    """
+    numbers = packets.select("capture", "seq").distinct()
+    around = reach(numbers, ["capture"], ["seq"], 1, False, limit)
+    near = around.finish({"_before": F.lag("seq", 1).over(around.window), "_after": F.lead("seq", 1).over(around.window)})
+    close = F.least(F.col("seq") - F.col("_before"), F.col("_after") - F.col("seq"))
+    kept = near.filter(close.isNull() | (close <= max_gap)).select("capture", "seq")
+    return join_keys(packets, kept, ["capture", "seq"], "left_semi")
+
+
 def _bounds(packets: DataFrame) -> DataFrame:
     return packets.groupBy("capture").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-def assemble_frames(packets: DataFrame, bytes_per_frame: int, payload: int = PAYLOAD) -> DataFrame:
+def assemble_frames(packets: DataFrame, bytes_per_frame: int, payload: int = PAYLOAD, max_gap: int = MAX_GAP) -> DataFrame:
     """Payload bytes cut into frames: capture, frame_no, payload, missing_packets.
 
     A packet's place follows from its sequence number, so order of arrival does not matter,
     a repeated packet counts once, holes read as zero and a packet across a border serves
-    both frames. Only frames that end inside the capture are kept.
+    both frames. Only frames that end inside the capture are kept. Packets of damaged
+    sequence numbers are left out (``without_strays``).
     """
+    packets = without_strays(packets, max_gap)
     once = packets.groupBy("capture", "seq").agg(F.min_by("payload", "arrival").alias("payload"))
-    placed = once.join(_bounds(packets), "capture").withColumn("_at", (F.col("seq") - F.col("first_seq")) * payload)
+    placed = join_keys(once, _bounds(packets), ["capture"]).withColumn("_at", (F.col("seq") - F.col("first_seq")) * payload)
     end = (F.col("last_seq") - F.col("first_seq") + 1) * payload
     size = F.lit(bytes_per_frame)
     touched = placed.withColumn(
@@ -90,7 +109,7 @@ def assemble_frames(packets: DataFrame, bytes_per_frame: int, payload: int = PAY
         return pa.array(out, pa.binary())
 
     grid = _frame_grid(packets, bytes_per_frame, payload)
-    whole = grid.join(pieces, ["capture", "frame_no"], "left")
+    whole = join_keys(grid, pieces, ["capture", "frame_no"], "left")
     first = F.floor(F.col("frame_no") * size / payload)
     last = F.floor(((F.col("frame_no") + 1) * size - 1) / payload)
     return whole.select(
@@ -153,13 +172,20 @@ def split_card_log(files: DataFrame) -> DataFrame:
     return files.select("capture", "content").mapInArrow(split, f"capture {kind}, arrival long, seq long, payload binary")
 
 
-def clean_capture(packets: DataFrame, limit: int | None = ROWS_PER_TASK) -> DataFrame:
+def read_card_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Card logs under a path to capture, arrival, seq, payload; a file is one task, as its chain has no other start."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return split_card_log(files.select(F.col("path").alias("capture"), "content"))
+
+
+def clean_capture(packets: DataFrame, limit: int | None = ROWS_PER_TASK, max_gap: int = MAX_GAP) -> DataFrame:
     """Card packets in sequence order without holes: capture, seq, offset, payload, lost.
 
     A late packet takes its own place (the last arrival wins); a lost packet becomes zeros of
     the size of the next packet received. The capture stays a table of segments with byte
-    offsets and is never joined into one value.
+    offsets and is never joined into one value. Packets of damaged sequence numbers are left out.
     """
+    packets = without_strays(packets, max_gap, limit)
     once = packets.groupBy("capture", "seq").agg(F.max_by("payload", "arrival").alias("payload"))
     around = reach(once, ["capture"], ["seq"], 1, False, limit)
     prev = around.finish({"_prev": F.lag("seq", 1).over(around.window)}).drop("_pos", "_n")
@@ -200,6 +226,17 @@ def decode_offset_binary(files: DataFrame, chirps: int, antennas: int, samples:
     return checked.select(*keys, F.inline(cells))
 
 
+def read_offset_binary(spark: SparkSession, path: str, chirps: int, antennas: int, samples: int, iq: bool = True, chunk_frames: int = 64) -> DataFrame:
+    """Offset-binary captures under a path, read by many tasks in ranges of whole frames: capture, frame_no, chirp, ..."""
+    from rangelake.sources.byteranges import register
+
+    register(spark)
+    size = 2 * (2 if iq else 1) * samples * antennas * chirps
+    chunks = spark.read.format("byte_ranges").option("chunk_bytes", size * chunk_frames).load(path).select(F.col("path").alias("capture"), "start", "content")
+    cells = decode_offset_binary(chunks, chirps, antennas, samples, iq)
+    return cells.withColumn("frame_no", F.col("frame_no") + F.expr(f"start div {size}")).drop("start")
+
+
 def decode_int16(frames: DataFrame, payload: str = "payload") -> DataFrame:
     """Binary payload to ``samples``."""
     return frames.withColumn("samples", F.arrow_udf(_int16, returnType="array<smallint>")(payload)).drop(payload)

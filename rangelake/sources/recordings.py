@@ -96,10 +96,18 @@ def decode_frames(frames: DataFrame, payload: str = "payload") -> tuple[DataFram
     return good, frames.filter(~whole).drop(payload)
 
 
-def frame_file_name(ts: str = "ts", frame: str = "frame_no") -> F.Column:
-    """Stem of the file name of a frame."""
-    whole = F.floor(ts).cast("long")
-    frac = F.floor((F.col(ts) - whole) * 1e5).cast("long")
+def frame_file_name(ts: str = "ts", frame: str = "frame_no", ref_compat: bool = False) -> F.Column:
+    """Stem of the file name of a frame, to the nearest of 100,000 parts of a second.
+
+    ``ref_compat`` cuts the binary fraction instead: 3.03 is then 3 and 2999 parts.
+    """
+    if ref_compat:
+        whole = F.floor(ts).cast("long")
+        frac = F.floor((F.col(ts) - whole) * 1e5).cast("long")
+    else:
+        parts = F.round(F.col(ts) * 1e5).cast("long")
+        whole = F.floor(parts / 100_000).cast("long")
+        frac = F.pmod(parts, F.lit(100_000)).cast("long")
     return F.format_string(NAME_FORMAT, whole, frac, F.col(frame).cast("long"))
 
 
