@@ -130,11 +130,15 @@ def counted(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
 def _block_counts(texts: pa.Table, answers: pa.Table, columns: list[str]) -> tuple[np.ndarray, ...]:
     """Bounds, and for each column the counts of each token, its context and its bigram."""
     token, bounds = _tokens(texts.column("text"))
-    context, bigram = _ngrams(token, bounds)
+    _, bigram = _ngrams(token, bounds)
     answers = answers.sort_by("bucket")
-    asked = np.unique(np.concatenate([token, bigram]))  # holds the contexts too: every text ends
+    place = np.unique(np.concatenate([token, bigram]), return_inverse=True)[1]
+    place, pair = place[: len(token)], place[len(token) :]
+    context = np.empty_like(place)
+    context[1:] = place[:-1]
+    context[bounds[:-1]] = place[bounds[1] - 1]  # an end
+    places = [place, context, pair]
     out = [bounds]
-    places = [np.searchsorted(asked, x) for x in (token, context, bigram)]
     for c in columns:
         values = np.concatenate([_expand(x.as_py(), False) for x in answers.column(c)])
         out += [values[p] for p in places]
