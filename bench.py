@@ -22,6 +22,34 @@ HEADLINE = [
 ]
 
 
+def _cube(spark, frames: int, chirps: int = 64, antennas: int = 8, samples: int = 256):
+    """Frames of the default shape (2 x 4 virtual antennas), made of a few waves."""
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    rows = spark.range(frames * chirps * antennas).select(
+        F.expr(f"id div {chirps * antennas}").alias("frame_no"), F.expr(f"(id div {antennas}) % {chirps}").alias("chirp"), (i % antennas).alias("vant"),
+    )
+    phase = lambda n: n * 0.37 + F.col("chirp") * 0.21 + F.col("vant") * 0.9 + F.sin(n * F.col("chirp") * 1.7 + F.col("frame_no"))
+    steps = F.sequence(F.lit(0), F.lit(samples - 1))
+    return rows.withColumns({"re": F.transform(steps, lambda n: F.cos(phase(n))), "im": F.transform(steps, lambda n: F.sin(phase(n)))})
+
+
+def _rates(spark, sf_dir: str, times: dict[str, float]) -> dict[str, float]:
+    """Rows a second of the tables and frames a second of generated cubes; 20 frames a second is a sensor's setting."""
+    from rangelake.plans import recipes as rc
+
+    rows = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
+    out = {f"{t}_rows_per_s": round(rows(t) / times[q]) for t, q in (("lineitem", "cfar_supplier_profile"), ("events", "frame_drops")) if q in times}
+    cfg, frames = rc.Sensor(64, 2, 4, 256, 0.7, 0.29), 16
+    for recipe, options in (("capon", {"resolution": 3}), ("hits", {})):
+        start = time.perf_counter()
+        points = rc.process(_cube(spark, frames), ["frame_no"], cfg, recipe, **options)
+        points.write.format("noop").mode("overwrite").save()
+        out[f"{recipe}_frames_per_s"] = round(frames / (time.perf_counter() - start), 2)
+    return out
+
+
 def main() -> None:
     from rangelake.plans import catalog
     from rangelake.session import build_session
@@ -43,7 +71,7 @@ def main() -> None:
             print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": Path(sf_dir).name.removeprefix("sf"), "cpus": int(cpus),
+        "rates": {} if only else _rates(spark, sf_dir, times), "sf": Path(sf_dir).name.removeprefix("sf"), "cpus": int(cpus),
     }))
     spark.stop()
 
