@@ -21,6 +21,7 @@ from rangelake.llm import packs, words
 WINDOW = 10
 #: Bytes of item texts in one automaton.
 MOST_ITEM_BYTES = 4 << 20
+MOST_LISTS = 64
 
 _TO_SPACE = bytes(words.LOWER[i] if words.ALNUM[words.LOWER[i]] else 32 for i in range(256))
 
@@ -79,13 +80,16 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
 def item_lists(benchmark: DataFrame, most: int = MOST_ITEM_BYTES) -> list[list[tuple[object, str | None]]]:
     """Distinct items in lists of at most ``most`` bytes of text each (a longer item is a list of its own).
 
-    A benchmark is a curated test set; it is read once on the driver, item by item, and its size is checked here.
+    A benchmark is a curated test set; it is read once on the driver, item by item, and its size is checked here: one of
+    more than ``MOST_LISTS`` lists is refused.
     """
     lists: list[list] = [[]]
     size = 0
     for row in benchmark.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         size += len(row["text"].encode())
         if size > most and lists[-1]:
+            if len(lists) == MOST_LISTS:
+                raise ValueError(f"the benchmark has more than {MOST_LISTS * most} bytes of text")
             lists.append([])
             size = len(row["text"].encode())
         lists[-1].append((row["item_id"], row["text"]))

@@ -32,6 +32,9 @@ BINS = 1 << 16
 #: Documents that should meet in a cell, and members in a share of a candidate group.
 CELL = 2048
 LEAF = 16
+#: Shingles a document of a share has on average at most, and shingles that a task of the comparison holds.
+SHARE_SIZE = 256
+BUCKET_SHINGLES = 1 << 20
 #: Shingles that are compared at a time.
 FLAT = 1 << 19
 _U = np.uint64
@@ -294,7 +297,7 @@ def _candidates(cells: DataFrame, nodes: DataFrame, percent: int, buckets: int)
     return placed.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
-def _links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(members: DataFrame, docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """(node, root, links): per share pair of a candidate group, spanning stars of the links and how many rows a node links to."""
     share = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")
     spread = members.withColumn("_own", share).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)))
@@ -311,7 +314,6 @@ def _links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             out += _group_links(list(shingles(rows.column("text").combine_chunks(), n)), node, rows.column("weight").to_numpy(), rows.column("share").to_numpy(), not rows.column("alone")[0].as_py(), percent)
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["node", "root", "links"])
 
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     return texts.join(placed, "doc_key").withColumn("bucket", F.pmod("task", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "node long, root long, links long")
 
 
@@ -364,9 +366,12 @@ def _joined(docs: DataFrame, n: int, percent: int, cell: int) -> DataFrame:
     )
     buckets = packs.block_count(profile.agg(F.sum(F.octet_length("keys")).alias("n")).first()["n"] or 0, 2 << 20)
     groups = components(_candidates(_cells(profile, buckets), nodes, percent, buckets))
-    members = groups.join(nodes.select("node", "doc_key", "weight"), "node")
-    shares = groups.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("long").alias("shares"))
-    links = packs.stored(_links(members.join(shares, "root"), docs, n, percent))
+    members = groups.join(nodes.select("node", "doc_key", "weight", "size"), "node")
+    # shares are bounded in documents and in shingles
+    shares = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / cell, F.sum("size") / (cell * SHARE_SIZE))).cast("long").alias("shares"))
+    members = packs.stored(members.join(shares, "root"))
+    compared = members.agg(F.sum(F.col("size") * F.col("shares")).alias("n")).first()["n"] or 0
+    links = packs.stored(_links(members, docs, n, percent, packs.block_count(compared, BUCKET_SHINGLES)))
     linked = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     named = linked.join(nodes.select("node", "least"), "node")
