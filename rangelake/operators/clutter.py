@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.functions.arrays import let
 from rangelake.functions.complexnum import cplx, unit_phase
+from rangelake.functions.kernels import vector_kernel
 
 # Antenna geometry of the near-field model, in millimetres.
 WAVELENGTH_MM = 3e8 / 77e9
@@ -19,12 +19,9 @@ TX2_GAP_MM = 8.7
 def remove_clutter(rcube: DataFrame) -> DataFrame:
     """Subtract the mean over chirps of every row; no shuffle."""
     keys = [c for c in rcube.columns if c not in ("re", "im")]
-
-    def centred(name: str) -> Column:
-        total = F.aggregate(name, F.lit(0.0), lambda acc, x: acc + x)
-        return let(total / F.size(name), lambda mean: F.transform(name, lambda x: x - mean))
-
-    return rcube.select(*keys, centred("re").alias("re"), centred("im").alias("im"))
+    # a kernel like its neighbours: the optimizer would push their UDFs into the lambda of an array expression
+    clean = vector_kernel(lambda z: z - z.mean(axis=1, keepdims=True))
+    return rcube.withColumn("_z", clean("re", "im")).select(*keys, F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))
 
 
 def dc_signature(cells: DataFrame, keys: Sequence[str], frame: str, n_frames: int, first_frame: Column) -> DataFrame:
