@@ -203,35 +203,43 @@ def profiles(docs: DataFrame, crowded: np.ndarray, n: int, percent: int) -> Data
     return source.mapInArrow(run, f"doc_id {id_type}, doc_key long, size long, node long, other long, point binary, keys binary")
 
 
-def _cells(profile: DataFrame, buckets: int) -> DataFrame:
-    """(cell, node) of the cells that two nodes or more share; cells of the same nodes are one."""
+def _near_sizes(cell: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Rows (sorted by cell and size) with a set of a similar size beside them; the others are similar to none of the cell."""
+    near = np.concatenate([[False], (cell[1:] == cell[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:]), [False]])
+    return np.flatnonzero(near[1:] | near[:-1])
+
+
+def _cells(profile: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(cell, node) of the cells that two nodes of similar size or more share; cells of the same nodes are one."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = words.flat(batch.column("keys"))
             key = np.frombuffer(raw.tobytes(), _U)
-            node = np.repeat(batch.column("node").to_numpy(), np.diff(at) // 8)
+            node, size = (np.repeat(batch.column(c).to_numpy(), np.diff(at) // 8) for c in ("node", "size"))
             order = np.lexsort((node, key))
-            key, node = key[order], node[order]
+            key, node, size = key[order], node[order], size[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            rows = pa.record_batch([(key[new] % _U(buckets)).astype(np.int64), key[new], node[new]], ["bucket", "key", "node"])
+            rows = pa.record_batch([(key[new] % _U(buckets)).astype(np.int64), key[new], node[new], size[new]], ["bucket", "key", "node", "size"])
             found = list(packs.by_key(rows, "bucket")) if rows.num_rows else []
             yield pa.record_batch([pa.array([b for b, _ in found], pa.int32()), pa.array([packs.pack(r) for _, r in found], pa.binary())], ["bucket", "pack"])
 
     def meet(table: pa.Table) -> pa.Table:
         rows = pa.concat_tables([packs.unpack(p) for p in table.column("pack").combine_chunks()])
-        key, node = rows.column("key").to_numpy(), rows.column("node").to_numpy()
+        key, node, sizes = (rows.column(c).to_numpy() for c in ("key", "node", "size"))
         order = np.argsort(key, kind="stable")
-        key, node = key[order], node[order]
-        _, first, size = np.unique(key, return_index=True, return_counts=True)
+        key, node, sizes = key[order], node[order], sizes[order]
+        _, size = np.unique(key, return_counts=True)
         shared = np.repeat(size > 1, size)  # only these need their nodes told apart
-        key, node = key[shared], node[shared]
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, sizes = key[shared], node[shared], sizes[shared]
+        order = np.lexsort((node, sizes, key))
+        key, node, sizes = key[order], node[order], sizes[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[new], node[new]
+        key, node, sizes = key[new], node[new], sizes[new]
+        kept = _near_sizes(key, sizes, percent)
+        key, node = key[kept], node[kept]
         if not len(key):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], ["cell", "node"])
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -244,7 +252,7 @@ def _cells(profile: DataFrame, buckets: int) -> DataFrame:
         rows_kept = np.repeat(keep, size)
         return pa.table([np.repeat(cell, size)[rows_kept], node[rows_kept]], ["cell", "node"])
 
-    sent = profile.where("size > 0").select("node", "keys").mapInArrow(send, "bucket int, pack binary")
+    sent = profile.where("size > 0").select("node", "size", "keys").mapInArrow(send, "bucket int, pack binary")
     return sent.groupBy("bucket").applyInArrow(meet, "cell long, node long").distinct()
 
 
@@ -280,8 +288,7 @@ def _candidates(cells: DataFrame, nodes: DataFrame, percent: int, buckets: int)
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cell", "ascending"), ("size", "ascending")])
         cell, sizes = table.column("cell").to_numpy(), table.column("size").to_numpy()
-        near = np.concatenate([[False], (cell[1:] == cell[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:]), [False]])
-        kept = np.flatnonzero(near[1:] | near[:-1])  # the others have no set of a similar size beside them
+        kept = _near_sizes(cell, sizes, percent)
         table = table.take(pa.array(kept))
         cell, sizes, node, points = cell[kept], sizes[kept], table.column("node").to_numpy(), _read_points(table)
         cuts = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell))
@@ -314,7 +321,8 @@ def _links(members: DataFrame, docs: DataFrame, n: int, percent: int, buckets: i
             out += _group_links(list(shingles(rows.column("text").combine_chunks(), n)), node, rows.column("weight").to_numpy(), rows.column("share").to_numpy(), not rows.column("alone")[0].as_py(), percent)
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["node", "root", "links"])
 
-    return texts.join(placed, "doc_key").withColumn("bucket", F.pmod("task", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "node long, root long, links long")
+    # one plan for all sizes: candidates grow with the documents, so they are never sent to all tasks
+    return texts.join(placed.hint("merge"), "doc_key").withColumn("bucket", F.pmod("task", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "node long, root long, links long")
 
 
 def _group_links(sets: list[np.ndarray], node: np.ndarray, weight: np.ndarray, share: np.ndarray, across: bool, percent: int) -> list[tuple[int, int, int]]:
@@ -365,7 +373,7 @@ def _joined(docs: DataFrame, n: int, percent: int, cell: int) -> DataFrame:
         F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.min("doc_key").alias("doc_key"), F.min("point").alias("point"),
     )
     buckets = packs.block_count(profile.agg(F.sum(F.octet_length("keys")).alias("n")).first()["n"] or 0, 2 << 20)
-    groups = components(_candidates(_cells(profile, buckets), nodes, percent, buckets))
+    groups = components(_candidates(_cells(profile, percent, buckets), nodes, percent, buckets))
     members = groups.join(nodes.select("node", "doc_key", "weight", "size"), "node")
     # shares are bounded in documents and in shingles
     shares = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / cell, F.sum("size") / (cell * SHARE_SIZE))).cast("long").alias("shares"))
