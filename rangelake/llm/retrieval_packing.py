@@ -24,8 +24,8 @@ WINDOW = 1024
 END_ID = 0
 #: Bytes of text whose documents make a shard.
 SHARD_BYTES = 4 << 20
-#: The seed's rarest terms that are looked up, and neighbours that are tried in order of score for a window.
-QUERY_TERMS, TRIED = 24, 48
+#: Neighbours that are tried in order of score for a window.
+TRIED = 48
 K1, B = 1.2, 0.75
 #: Encoded stretches that a worker remembers; only speed depends on it.
 MEMORY = 300_000
@@ -167,7 +167,7 @@ class Shard:
             terms.append(term)
             docs.append(np.full(len(term), i))
             counts.append(n)
-            self.terms.append(term[np.argsort(-idf[term], kind="stable")[:QUERY_TERMS]])
+            self.terms.append(term)
         term, doc, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, docs, counts))
         order = np.argsort(term, kind="stable")
         length = np.array([len(t) for t in tails], float)[doc]

@@ -250,6 +250,25 @@ def test_neighbours_rank_by_bm25():
     assert 7 not in index.neighbours(3, np.array([i not in (3, 7) for i in range(20)]))
 
 
+def test_neighbours_score_all_terms():
+    rng = np.random.default_rng(5)
+    share = 1 / np.arange(1, 2001)
+    tails = [rng.choice(2000, rng.integers(200, 600), p=share / share.sum()).astype(np.uint16) for _ in range(60)]
+    found, mean = np.zeros(1 << 16), np.mean([len(t) for t in tails])
+    for t in tails:
+        found[np.unique(t)] += 1
+    idf = np.log(1 + (60 - found + 0.5) / (found + 0.5))
+    index = retrieval_packing.Shard(tails, idf, mean)
+    for seed in range(60):
+        score = np.zeros(60)
+        for d, t in enumerate(tails):
+            for term in set(tails[seed].tolist()) & set(t.tolist()):
+                n = int((t == term).sum())
+                score[d] += idf[term] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(t) / mean))
+        score[seed] = 0
+        assert index.neighbours(seed, np.arange(60) != seed)[:40].tolist() == np.argsort(-score, kind="stable")[:40].tolist()
+
+
 @pytest.mark.parametrize("text", ["Hello  world\n\n  <|endoftext|> it's\u00a0 x\u3000 12ab  ", " lead", "\n", "é à\tü ñ’s don't\r\n\r\n", "a\u0085 b 😀 c"])
 def test_ids_are_those_of_the_tokenizer(text):
     import pyarrow as pa
