@@ -24,8 +24,6 @@ WINDOW = 1024
 END_ID = 0
 #: Bytes of text whose documents make a shard.
 SHARD_BYTES = 4 << 20
-#: Neighbours that are tried in order of score for a window.
-TRIED = 48
 K1, B = 1.2, 0.75
 #: Encoded stretches that a worker remembers; only speed depends on it.
 MEMORY = 300_000
@@ -183,8 +181,6 @@ class Shard:
             return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.doc[r] for r in rows]), np.concatenate([self.weight[r] for r in rows]), self.size) * unused
         some = np.flatnonzero(score > 0)
-        if len(some) > TRIED:
-            some = some[np.argpartition(-score[some], TRIED)[:TRIED]]
         return some[np.lexsort((some, -score[some]))]
 
 
@@ -203,17 +199,20 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
         seed = int(order[next_up])
         taken, room = [(seed, int(begin[seed]), int(length[seed]))], window - int(length[seed] - begin[seed])
         unused[seed] = False
-        near = index.neighbours(seed, unused) if room else []
-        for d in near:
-            own = int(length[d] - begin[d])
-            if 0 < own <= room:
-                taken.append((int(d), int(begin[d]), int(length[d])))
-                unused[d] = False
-                room -= own
-            if not room:
+        near = index.neighbours(seed, unused) if room else np.zeros(0, np.int64)
+        size, at = length[near] - begin[near], 0
+        while room:
+            fits = size[at:] <= room
+            if not fits.any():
                 break
+            at += int(fits.argmax())
+            d = int(near[at])
+            taken.append((d, int(begin[d]), int(length[d])))
+            unused[d] = False
+            room -= int(size[at])
+            at += 1
         rest = (int(d) for part in (near, order[next_up:]) for d in part) if room else iter(())
-        for d in rest:  # cut the best of the others; without any, go on with the longest
+        for d in rest:  # cut the best of the others; without any scored one, go on with the longest
             if unused[d]:
                 own = min(int(length[d] - begin[d]), room)
                 taken.append((d, int(begin[d]), int(begin[d]) + own))

@@ -269,6 +269,21 @@ def test_neighbours_score_all_terms():
         assert index.neighbours(seed, np.arange(60) != seed)[:40].tolist() == np.argsort(-score, kind="stable")[:40].tolist()
 
 
+def test_windows_take_neighbours_to_the_end_of_the_ranking():
+    # 20 ids each; those of a family share ids, the others are longer and share none with it
+    family = [np.arange(20, dtype=np.uint16) + 1 for _ in range(60)]
+    others = [np.arange(30, dtype=np.uint16) + 1000 + 40 * i for i in range(60)]
+    seed = np.concatenate([family[0], np.arange(100, 120, dtype=np.uint16)])
+    first = next(retrieval_packing.fill([seed, *family, *others], np.ones(1 << 16), 25.0))
+    assert [i for i, *_ in first[1:50]] == list(range(1, 50)) and sum(end - a for _, a, end in first) == 1024
+    # 60 that rank high but do not fit are cut only after one that ranks low and fits
+    long = [np.tile(np.arange(1, 31), 20).astype(np.uint16) for _ in range(60)]
+    short = np.concatenate([[1], np.arange(5000, 5099)]).astype(np.uint16)
+    seed = np.tile(np.arange(1, 31), 30).astype(np.uint16)
+    first = next(retrieval_packing.fill([seed, *long, short], np.ones(1 << 16), 600.0))
+    assert (61, 0, 100) in first
+
+
 @pytest.mark.parametrize("text", ["Hello  world\n\n  <|endoftext|> it's\u00a0 x\u3000 12ab  ", " lead", "\n", "é à\tü ñ’s don't\r\n\r\n", "a\u0085 b 😀 c"])
 def test_ids_are_those_of_the_tokenizer(text):
     import pyarrow as pa
