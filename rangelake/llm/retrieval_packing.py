@@ -10,6 +10,7 @@ window of a shard can have room left.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,16 +43,19 @@ def _byte_names() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts under a byte-level BPE in the file format of ``tokenizers``; special strings are ordinary text.
+    """Ids of texts under a byte-level BPE in the file format of ``tokenizers``.
+
+    With ``added`` the strings of the file's ``added_tokens`` in a text have their own ids, as ``tokenizers`` has it by
+    default; without, they are ordinary text.
 
     Equal stretches between white space are encoded once a slice. No token spans the place where white space follows
     other characters, so the stretches' ids in a row are the ids of the text. The merges are run by ``tiktoken`` on the
     file's own vocabulary (ids in the order of the merges): the ids are those of ``tokenizers``, at a fifth of the time.
     """
 
-    _loaded: dict[str, "Encoder"] = {}
+    _loaded: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import tiktoken
 
         names = _byte_names()
@@ -63,12 +67,18 @@ class Encoder:
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.run = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[int, bytes] = {}
+        own = file["added_tokens"] if added else []
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] and file["normalizer"] for t in own):
+            raise NotImplementedError("added tokens that take white space, whole words or normalised text")
+        self.added = {t["content"].encode(): t["id"] for t in own}
+        # the first in the text counts; of several at one place the longest
+        self.added_pattern = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
 
     @classmethod
-    def load(cls, path: str) -> "Encoder":
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+    def load(cls, path: str, added: bool = False) -> "Encoder":
+        if (path, added) not in cls._loaded:
+            cls._loaded[path, added] = cls(path, added)
+        return cls._loaded[path, added]
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """16-bit ids of each text, without an end."""
@@ -81,6 +91,14 @@ class Encoder:
                 solid[1:] |= (part[:-2] == 0xC3) & (part[1:-1] >= 0x80)  # Latin letters of two bytes
                 edge[1:-1] = _WHITE[part[1:]] & solid
             edge[at] = True
+            special = {}
+            if self.added_pattern:
+                raw = part.tobytes()
+                for low_at, high_at in zip(at[:-1].tolist(), at[1:].tolist()):
+                    for m in self.added_pattern.finditer(raw, low_at, high_at):
+                        special[m.start()] = self.added[m[0]]
+                        edge[m.start() : m.end()] = False
+                        edge[[m.start(), m.end()]] = True
             cuts = np.flatnonzero(edge)
             starts, ends = (cuts[:-1], cuts[1:]) if len(part) else (cuts[:0], cuts[:0])
             found, first, which = np.unique(words.hashes(part, starts, ends), return_index=True, return_inverse=True)
@@ -92,6 +110,9 @@ class Encoder:
                     if len(self.known) < MEMORY:
                         self.known[h] = own
                 ids.append(own)
+            if special:
+                which[np.searchsorted(starts, list(special))] = len(ids) + np.arange(len(special))
+                ids += [np.array([i], np.uint16).tobytes() for i in special.values()]
             size = np.array([len(x) for x in ids], np.int64) // 2
             flat = np.frombuffer(b"".join(ids), np.uint16)
             size, begin = size[which], (np.cumsum(size) - size)[which]
@@ -111,7 +132,7 @@ def tokenized(docs: DataFrame, path: str, shards: int, window: int = WINDOW, wit
     source = docs.select("doc_id", packs.document_key().alias("doc_key"), "text", F.pmod(packs.document_key(), F.lit(shards)).cast("int").alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(path)
+        encoder = Encoder.load(path, added=True)
         for batch in batches:
             counts, full, tails, whole = [], [], [], []
             for ids in encoder.encode(batch.column("text")):

@@ -293,3 +293,16 @@ def test_ids_are_those_of_the_tokenizer(text):
     encoder.encode_special_tokens = True
     got = list(retrieval_packing.Encoder(vocabulary_path()).encode(pa.array([text, None, "", text + text])))
     assert [g.tolist() for g in got] == [encoder.encode(t, add_special_tokens=False).ids for t in (text, "", "", text + text)]
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "a<|endoftext|>b  <|endoftext|>\n\n<|endoftext|><|endoftext|>  c", "<|endoftext|>", "é<|endoftext|>\u3000 <|endoftext| > <|<|endoftext|>", "<|endof", "text|> x"])
+def test_added_tokens_are_those_of_the_tokenizer(spark, text):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(vocabulary_path())
+    texts = ["<|endof", text, None, "", "text|>", text + text]
+    want = [encoder.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in retrieval_packing.Encoder(vocabulary_path(), added=True).encode(pa.array(texts))] == want
+    pieces = retrieval_packing.pack_documents(brute.frame(spark, list(enumerate(texts))), vocabulary_path(), with_ids=True).collect()
+    assert {p["doc_id"]: np.frombuffer(p["ids"], np.uint16).tolist() for p in pieces} == {i: [*ids, 0] for i, ids in enumerate(want)}
