@@ -1,7 +1,8 @@
 """Packing of token sequences by lexical retrieval: a sharded BM25 index gives each seed document unused neighbours.
 
 Documents are cut at every full window; what remains of each is packed. Remainders are dealt over shards of bounded size
-by the document's hash. Each shard holds an inverted index of its remainders (terms are token ids; document frequencies
+by content: each goes down a tree of centres of BM25 vectors, so that most of its best neighbours come to the same shard.
+Each shard holds an inverted index of its remainders (terms are token ids; document frequencies
 are counted over the whole corpus) and fills windows one by one: the longest unused remainder is the seed, its
 highest-ranked unused neighbours that fit follow, and the best of the others is cut to close the window. Only the last
 window of a shard can have room left.
@@ -26,6 +27,10 @@ END_ID = 0
 #: Bytes of text whose documents make a shard.
 SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
+#: Numbers of a remainder's vector, branches of a node, remainders that the tree is grown over: of a shard, and of all.
+WIDTH, BRANCHES, SAMPLE, MOST_SAMPLE = 256, 64, 32, 1 << 16
+#: Bytes of remainders that a task deals at once.
+GATHERED = 16 << 20
 #: Encoded stretches that a worker remembers; only speed depends on it.
 MEMORY = 300_000
 
@@ -127,9 +132,19 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenized(docs: DataFrame, path: str, shards: int, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """(shard, n, tail_tokens, pack): of each document the number of ids, the crc32 of each full window, and the rest."""
-    source = docs.select("doc_id", packs.document_key().alias("doc_key"), "text", F.pmod(packs.document_key(), F.lit(shards)).cast("int").alias("shard"))
+def _packs(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """(part, n, tail_tokens, pack) of rows by their integer column ``part``."""
+    found = list(packs.by_key(rows, "part")) if rows.num_rows else []
+    tail = [sum(len(t.as_buffer()) for t in r.column("tail")) // 2 for _, r in found]
+    return pa.record_batch([pa.array([p for p, _ in found], pa.int32()), pa.array([r.num_rows for _, r in found], pa.int64()), pa.array(tail, pa.int64()), pa.array([packs.pack(r) for _, r in found], pa.binary())], ["part", "n", "tail_tokens", "pack"])
+
+
+_PACKS = "part int, n long, tail_tokens long, pack binary"
+
+
+def tokenized(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """(part, n, tail_tokens, pack): of each document the number of ids, the crc32 of each full window, and the rest."""
+    source = docs.select("doc_id", packs.document_key().alias("doc_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path, added=True)
@@ -142,15 +157,15 @@ def tokenized(docs: DataFrame, path: str, shards: int, window: int = WINDOW, wit
                 full.append(np.array([_crc(ids[i : i + window]) for i in range(0, cut, window)], np.uint32).tobytes())
                 tails.append(ids[cut:].tobytes())
                 whole.append(ids[:cut].tobytes() if with_ids else None)
-            rows = pa.record_batch(
-                [batch.column("shard"), batch.column("doc_id"), batch.column("doc_key"), pa.array(counts, pa.int64()), pa.array(full, pa.binary()), pa.array(tails, pa.binary()), pa.array(whole, pa.binary())],
-                ["shard", "doc_id", "doc_key", "tokens", "full", "tail", "body"],
-            )
-            found = list(packs.by_key(rows, "shard")) if rows.num_rows else []
-            tail = [sum(len(t.as_py()) for t in r.column("tail")) // 2 for _, r in found]
-            yield pa.record_batch([pa.array([s for s, _ in found], pa.int32()), pa.array([r.num_rows for _, r in found], pa.int64()), pa.array(tail, pa.int64()), pa.array([packs.pack(r) for _, r in found], pa.binary())], ["shard", "n", "tail_tokens", "pack"])
+            for low in range(0, len(counts), 2000):  # a row stays small
+                own = slice(low, low + 2000)
+                rows = batch.slice(low, 2000)
+                yield _packs(pa.record_batch(
+                    [pa.array(np.zeros(rows.num_rows, np.int32)), rows.column("doc_id"), rows.column("doc_key"), pa.array(counts[own], pa.int64()), pa.array(full[own], pa.binary()), pa.array(tails[own], pa.binary()), pa.array(whole[own], pa.binary())],
+                    ["part", "doc_id", "doc_key", "tokens", "full", "tail", "body"],
+                ))
 
-    return source.mapInArrow(run, "shard int, n long, tail_tokens long, pack binary")
+    return source.mapInArrow(run, _PACKS)
 
 
 def document_frequencies(tokens: DataFrame, size: int = 1 << 16) -> tuple[np.ndarray, int, float]:
@@ -175,6 +190,139 @@ def document_frequencies(tokens: DataFrame, size: int = 1 << 16) -> tuple[np.nda
     return out, sums["n"], sums["t"] / max(sums["n"], 1)
 
 
+def vectors(tails: list[np.ndarray], idf: np.ndarray, mean: float, width: int = WIDTH) -> np.ndarray:
+    """A row of ``width`` numbers a remainder: its BM25 weights, every term added to one place with a fixed sign, at length 1."""
+    mixed = words.mix(np.arange(len(idf), dtype=np.uint64))
+    place, sign = (mixed % np.uint64(width)).astype(np.int64), np.where(mixed >> np.uint64(63), -1.0, 1.0)
+    out = np.zeros((len(tails), width), np.float32)
+    for i, tail in enumerate(tails):
+        term, n = np.unique(tail, return_counts=True)
+        out[i] = np.bincount(place[term], sign[term] * idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(tail) / max(mean, 1))), width)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def _centres(rows: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    found = rows[rng.permutation(len(rows))[:count]]
+    for _ in range(rounds):
+        near = (rows @ found.T).argmax(1)
+        order = np.argsort(near, kind="stable")
+        edges = np.flatnonzero(np.diff(near[order], prepend=-1))
+        found = np.add.reduceat(rows[order], edges)
+        found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+    return found
+
+
+def grow(rows: np.ndarray, tokens: np.ndarray, parts: int) -> tuple[list[tuple[np.ndarray, list[int]]], int]:
+    """A tree over like rows whose leaves have at most twice a part's share of the tokens, and the number of leaves.
+
+    A node is its branches' centres, and for each the next node or -1 - leaf.
+    """
+    rng = np.random.default_rng(0)  # fixed value: the same tree from the same rows
+    most, nodes, leaves = 2 * tokens.sum() / parts, [], 0
+    todo: list[tuple[np.ndarray, int, list[int] | None, int]] = [(np.arange(len(rows)), parts, None, 0)]
+    while todo:
+        own, count, above, place = todo.pop()
+        found = _centres(rows[own], min(count, BRANCHES), rng)
+        if above is not None:
+            if len(found) < 2:  # like copies cannot be told apart
+                above[place] = -1 - leaves
+                leaves += 1
+                continue
+            above[place] = len(nodes)
+        near, next_nodes = (rows[own] @ found.T).argmax(1), [0] * len(found)
+        nodes.append((found, next_nodes))
+        for j in range(len(found)):
+            part = own[near == j]
+            total = tokens[part].sum()
+            if total > most and 1 < len(part) < len(own):
+                todo.append((part, max(2, int(np.ceil(2 * total / most))), next_nodes, j))
+            else:
+                next_nodes[j] = -1 - leaves
+                leaves += 1
+    return nodes, leaves
+
+
+def leaf(rows: np.ndarray, nodes: list[tuple[np.ndarray, list[int]]]) -> np.ndarray:
+    """The leaf of each row: at every node on with the nearest centre."""
+    out, todo = np.zeros(len(rows), np.int32), [(0, np.arange(len(rows)))]
+    while todo:
+        node, own = todo.pop()
+        found, next_nodes = nodes[node]
+        near = (rows[own] @ found.T).argmax(1)
+        for j in np.unique(near).tolist():
+            if next_nodes[j] < 0:
+                out[own[near == j]] = -1 - next_nodes[j]
+            else:
+                todo.append((next_nodes[j], own[near == j]))
+    return out
+
+
+def _unpacked(raw: pa.Scalar) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    rows = packs.unpack(raw).combine_chunks().to_batches()[0]
+    return rows, [np.frombuffer(t.as_buffer(), np.uint16) for t in rows.column("tail")]
+
+
+def dealt(tokens: DataFrame, parts: int, idf, n: int, mean: float) -> DataFrame:
+    """(shard, pack): the remainders dealt over some ``parts`` shards, like ones to the same shard.
+
+    A tree of centres is grown over a sample of bounded size; every remainder goes to its leaf. A leaf of more than twice
+    a shard's share is split by the documents' hash.
+    """
+    if parts < 2 or not n:
+        return tokens.select(F.lit(0).alias("shard"), "pack")
+    share = min(1.0, min(SAMPLE * parts, MOST_SAMPLE) / n)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                rows, tails = _unpacked(raw)
+                key = rows.column("doc_key").to_numpy()
+                found, first, copies = np.unique(key, return_index=True, return_counts=True)
+                wanted = words.mix(found.view(np.uint64)) < np.uint64(int(share * (2**64 - 2**12)))
+                some = [tails[i] for i in first[wanted]]
+                yield pa.record_batch([pa.array(found[wanted]), pa.array(copies[wanted] * np.array([len(t) for t in some], np.int64), pa.int64()), pa.array([v.tobytes() for v in vectors(some, idf.value, mean).astype(np.float16)], pa.binary())], ["doc_key", "tokens", "row"])
+
+    sample = tokens.select("pack").mapInArrow(sampled, "doc_key long, tokens long, row binary").groupBy("doc_key").agg(F.sum("tokens").alias("tokens"), F.first("row").alias("row")).toArrow().sort_by("doc_key")
+    if not sample.num_rows:
+        return tokens.select(F.lit(0).alias("shard"), "pack")
+    rows = np.frombuffer(b"".join(sample.column("row").to_pylist()), np.float16).reshape(sample.num_rows, -1).astype(np.float32)
+    nodes, leaves = grow(rows, sample.column("tokens").to_numpy(), parts)
+    tree = tokens.sparkSession.sparkContext.broadcast(nodes)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size = [], 0
+        for raw in (raw for batch in batches for raw in batch.column(0)):
+            rows, tails = _unpacked(raw)
+            gathered.append(rows.append_column("part", pa.array(leaf(vectors(tails, idf.value, mean), tree.value), pa.int32())))
+            size += rows.nbytes
+            if size >= GATHERED:
+                yield _packs(pa.Table.from_batches(gathered).combine_chunks().to_batches()[0])
+                gathered, size = [], 0
+        if gathered:
+            yield _packs(pa.Table.from_batches(gathered).combine_chunks().to_batches()[0])
+
+    leafed = packs.stored(tokens.select("pack").mapInArrow(placed, _PACKS))
+    sums = np.zeros(leaves, np.int64)
+    for r in leafed.groupBy("part").agg(F.sum("tail_tokens").alias("n")).collect():  # a row a leaf
+        sums[r["part"]] = r["n"]
+    target = max(1, int(n * mean / parts))
+    splits = np.where(sums > 2 * target, -(-sums // target), 1)
+    first = np.cumsum(splits) - splits
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if splits[part] == 1:
+                    yield pa.record_batch([pa.array([first[part]], pa.int32()), pa.array([raw.as_py()], pa.binary())], ["shard", "pack"])
+                else:
+                    rows = packs.unpack(raw).combine_chunks().to_batches()[0]
+                    key = words.mix(rows.column("doc_key").to_numpy().view(np.uint64)) % np.uint64(splits[part])
+                    own = _packs(rows.append_column("part", pa.array(first[part] + key.astype(np.int64), pa.int32())))
+                    yield pa.record_batch([own.column("part"), own.column("pack")], ["shard", "pack"])
+
+    return leafed.select("part", "pack").mapInArrow(split, "shard int, pack binary")
+
+
 class Shard:
     """The inverted index of a shard's remainders."""
 
@@ -195,6 +343,12 @@ class Shard:
         self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.size = len(tails)
 
+    def forget(self, unused: np.ndarray) -> None:
+        """Drop the postings of used remainders."""
+        left = unused[self.doc]
+        self.doc, self.weight = self.doc[left], self.weight[left]
+        self.start = np.concatenate([[0], np.cumsum(left)])[self.start]
+
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents by falling score for the seed's terms, ties by place."""
         rows = [slice(self.start[t], self.start[t + 1]) for t in self.terms[seed].astype(np.int64)]
@@ -211,7 +365,7 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
     begin, length = np.zeros(len(tails), np.int64), np.array([len(t) for t in tails], np.int64)
     unused = length > 0
     order = np.argsort(-length, kind="stable")
-    next_up = 0
+    next_up, known = 0, len(tails)
     while True:
         while next_up < len(order) and not unused[order[next_up]]:
             next_up += 1
@@ -220,6 +374,9 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
         seed = int(order[next_up])
         taken, room = [(seed, int(begin[seed]), int(length[seed]))], window - int(length[seed] - begin[seed])
         unused[seed] = False
+        if np.count_nonzero(unused) < 0.7 * known:
+            index.forget(unused)
+            known = np.count_nonzero(unused)
         near = index.neighbours(seed, unused) if room else np.zeros(0, np.int64)
         size, at = length[near] - begin[near], 0
         while room:
@@ -252,9 +409,10 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_bytes
     ids stay null; further columns are left out; an empty table gives an empty table. ``path`` must be readable on every
     executor and name a vocabulary of less than 65,536 ids.
     """
-    tokens = packs.stored(tokenized(docs, path, packs.block_count(packs.text_bytes(docs), shard_bytes), window, with_ids))
+    tokens = packs.stored(tokenized(docs, path, window, with_ids))
     found, n, mean = document_frequencies(tokens)
     idf = docs.sparkSession.sparkContext.broadcast(np.log(1 + (n - found + 0.5) / (found + 0.5)))  # 65,536 numbers
+    shards = dealt(tokens, -(-packs.text_bytes(docs) // shard_bytes), idf, n, mean)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -280,4 +438,4 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, shard_bytes
         return pa.table(made | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
-    return tokens.select("shard", "pack").groupBy("shard").applyInArrow(run, schema)
+    return shards.groupBy("shard").applyInArrow(run, schema)
