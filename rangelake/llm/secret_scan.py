@@ -37,7 +37,10 @@ BASE_RULES = (
 )
 #: Kinds that the scan adds.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # to the END line with no other such line between; without one, over the armour's headers and the base64 lines
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+         r"(?:[^-]*(?:-{1,4}[^-]+){0,99}-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+         r"|(?:[\x20\t\r\n\\]+[A-Za-z][A-Za-z0-9-]{0,30}: [^\r\n]*){0,20}(?:[\x20\t\r\n\\]+[A-Za-z0-9+/=]{40,}){1,24}[A-Za-z0-9+/=\r\n\\]*)?"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),

@@ -95,6 +95,34 @@ def test_secrets(spark):
     assert secret_scan.digest(brute.frame(spark, [])).count() == 0
 
 
+def test_private_keys_are_redacted_whole(spark):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    lines = ["".join(rng.choice(list("GHJKLMNPQRSTUVWXYZ+/"), 64)) for _ in range(30)] + ["QkJCQ0ND"]
+    body = "\n".join(lines)
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    armour = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: Gnu-PG v2\nComment: a-b\n\n{body}\n=QkJC\n-----END PGP PRIVATE KEY BLOCK-----"
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}"
+    hard = [
+        (1, f"é a\n{pem}\nb c"), (2, f"{pem} and {pem}"), (3, armour + " z"), (4, locked + "\n-----END RSA PRIVATE KEY-----\nb"), (5, locked + "\n\n- b c"), (6, pem[:-32] + "\n. b"),
+        (7, pem.replace("\n", "\\n")), (8, pem.replace("\n", "\n    ")), (9, "-----BEGIN PRIVATE KEY----- is a line, " + "so-and-so " * 30_000 + pem), (10, pem.replace(body, "\n".join(lines * 400))),
+        (11, "-----BEGIN EC PRIVATE KEY-----\n" + "\n".join(lines[:-1] * 400) + "\n- b"), (12, "-----BEGIN PUBLIC KEY-----\n" + lines[0] + "\n-----END PUBLIC KEY-----"),
+    ]
+    docs = brute.frame(spark, hard)
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    for d, text in out.items():
+        assert d == 12 or not any(line in text for line in lines)
+    assert out[1] == "é a\n[secret]\nb c" and out[2] == "[secret] and [secret]" and out[3] == "[secret] z" and out[4] == "[secret]\nb" and out[5] == "[secret]- b c" and out[6] == "[secret]. b"
+    assert out[7] == out[8] == out[10] == "[secret]" and out[9] == "[secret] is a line, " + "so-and-so " * 30_000 + "[secret]" and out[11] == "[secret]- b" and out[12] == hard[11][1]
+    from rangelake.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", hard)
+    assert sorted(con.execute(SQL["op9_trigram_secret_scan"]).fetchall()) == sorted(tuple(r) for r in secret_scan.digest(docs).collect())
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query(r"[0-9a-f]{16,}") == []
     assert secret_scan.trigram_query(r"AKIA[A-Z0-9]+") == [["aki", "kia"]]
