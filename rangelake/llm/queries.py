@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangelake.llm import chat_rotation, decontaminate, jaccard_join, lm_scoring, quality_bands, retrieval_packing, secret_scan, substring_dedup, url_filter, warc_store
+from rangelake.llm import chat_rotation, decontaminate, jaccard_join, license_scan, lm_scoring, quality_bands, retrieval_packing, secret_scan, substring_dedup, url_filter, warc_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -182,3 +182,8 @@ def vocabulary_path() -> str:
 @_query
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@_query
+def op11_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents")))
