@@ -89,6 +89,12 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a table that ``stored`` wrote and that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def renamed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
     """Columns other than ``keep`` under names that clash with nothing, and all names in order, for ``restored``."""
     names = [c if c in keep else f"_own_{i}" for i, c in enumerate(docs.columns)]

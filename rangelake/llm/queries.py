@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangelake.llm import chat_rotation, decontaminate, jaccard_join, license_scan, lm_scoring, quality_bands, retrieval_packing, secret_scan, substring_dedup, url_filter, warc_store
+from rangelake.llm import chat_rotation, collocations, conversation_repair, decontaminate, jaccard_join, license_scan, lm_scoring, quality_bands, retrieval_packing, secret_scan, substring_dedup, url_filter, warc_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,3 +187,94 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op12_streamed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(_table(spark, sf_dir, "conversations"))
+
+
+def _repair_sql() -> str:
+    """The dynamic program as a recursion over turns; each of the four states carries its cheapest (cost, audit, repaired turns)."""
+
+    def add(state: str, cost: str, letters: str, *turns: str) -> str:
+        told = f"list_concat({state}.o, [{', '.join(turns)}])" if turns else f"{state}.o"
+        return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letters}', o := {told})"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    user, both = ["'user:'"], ["'user:'", "'assistant:'"]
+    inserts = f"""e, s, {least("u", add("e", "5", "I", *user), add("s", "5", "I", *user), add("a", "5", "I", *user))} AS u,
+      {least("a", add("u", "5", "I", "'assistant:'"), add("e", "10", "II", *both), add("s", "10", "II", *both))} AS a"""
+    keep = lambda state, letter: add(state, f"CASE WHEN forced OR letter <> '{letter}' THEN 1000000000 ELSE more END", "K", "role || ':' || text")
+    turn = lambda state, role: add(state, "CASE WHEN forced THEN 1000000000 ELSE 1 + more END", "R", f"'{role}:' || text")
+    drop = lambda state: add(state, "2", "D")
+    never = "struct_pack(c := 2000000000::BIGINT, a := '', o := ['']::VARCHAR[])"
+    return rf"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 20 AS fate FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substring(text, 1, 200), sha256(text)) AS pos,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, left(role, 1) AS letter FROM damaged),
+marked AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS dup,
+    letter || lead(letter) OVER (PARTITION BY conv_id ORDER BY pos) AS pair FROM placed),
+steps AS (
+  SELECT *, blank OR dup AS forced, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+    CASE WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 5 ELSE 0 END AS more FROM marked),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, struct_pack(c := 0::BIGINT, a := '', o := []::VARCHAR[]) AS e, {never} AS s, {never} AS u, {never} AS a FROM (SELECT DISTINCT conv_id FROM steps)
+  UNION ALL
+  SELECT conv_id, pos, {drop("e")}, {least(drop("s"), keep("e", "s"))},
+    {least(drop("u"), keep("e", "u"), keep("s", "u"), keep("a", "u"), turn("e", "user"), turn("s", "user"), turn("a", "user"))},
+    {least(drop("a"), keep("u", "a"), turn("u", "assistant"))}
+  FROM (SELECT t.conv_id, t.pos, role, text, letter, forced, more, {inserts} FROM walk w JOIN steps t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos + 1)),
+ended AS (
+  SELECT conv_id, {least("e", "a")} AS best FROM (
+    SELECT conv_id, {inserts} FROM walk QUALIFY pos = max(pos) OVER (PARTITION BY conv_id))),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM steps GROUP BY conv_id)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
+SQL["op12_streamed_repair"] = _repair_sql()
+
+
+@_query
+def op13_ordered_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+SQL["op13_ordered_stream_collocations"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT k, lang, j, regexp_extract_all(ps[j], '[^\x20\x09]+') AS w FROM d, unnest(range(1, len(ps) + 1)) AS t(j)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, w[i : i + s - 1] AS g, count(*) AS f FROM p, unnest([1, 2, 3]) AS u(s), unnest(range(1, len(w) - s + 2)) AS t(i)
+  GROUP BY 1, 2 HAVING count(*) >= 10),
+c AS (SELECT lang, g, f AS a FROM g WHERE len(g) > 1),
+cuts AS (SELECT lang, g, a, x, g[1 : x] AS one, g[x + 1 : len(g)] AS rest FROM c, unnest(range(1, len(g))) AS t(x)),
+scored AS (
+  SELECT q.lang, q.g, q.a, o.f AS l, r.f AS r, q.x, (1000000::HUGEINT * q.a * q.a // (o.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts q JOIN g o ON o.lang = q.lang AND o.g = q.one JOIN g r ON r.lang = q.lang AND r.g = q.rest),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, x) = 1),
+inner_pairs AS (SELECT lang, g[1:2] AS g, a FROM c WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE len(g) = 3),
+longer AS (SELECT lang, g, max(a) AS m FROM inner_pairs GROUP BY 1, 2),
+kept AS (SELECT z.* FROM lowest z LEFT JOIN longer USING (lang, g) WHERE m IS NULL OR 100 * m < 50 * z.a),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
