@@ -163,14 +163,15 @@ def _triple_rows(slices: DataFrame, ids: DataFrame, frequent: DataFrame) -> Data
 
     def run(key: tuple, text: pa.Table, told: pa.Table) -> pa.Table:
         none = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "c", "n")})
-        pairs = told.filter(pc.is_valid(told.column("b")))
+        pairs = told.filter(pc.is_null(told.column("place")))
         if not text.num_rows or not pairs.num_rows:
             return none
-        word = _numbered(text, told.filter(pc.is_null(told.column("b"))).select(["place", "a"]).rename_columns(["place", "id"]))
+        word = _numbered(text, told.filter(pc.is_valid(told.column("place"))))
+        before, after = (np.concatenate([c.flatten().to_numpy() for c in pairs.column(k).chunks]) for k in ("firsts", "seconds"))
         # frequent pairs in order; a pair of numbers becomes one number by the places of the words among those of the slice
         names = np.unique(word)
         rank = np.searchsorted(names, word)
-        ok = np.sort(np.searchsorted(names, pairs.column("a").to_numpy()) * len(names) + np.searchsorted(names, pairs.column("b").to_numpy()))
+        ok = np.sort(np.searchsorted(names, before) * len(names) + np.searchsorted(names, after))
         two = rank[:-1] * len(names) + rank[1:]
         good = ok[np.minimum(np.searchsorted(ok, two), len(ok) - 1)] == two
         good = good[:-1] & good[1:]
@@ -179,20 +180,29 @@ def _triple_rows(slices: DataFrame, ids: DataFrame, frequent: DataFrame) -> Data
         triples, n = _sorted_counts(np.column_stack([word[:-2][good], word[1:-1][good], word[2:][good]]))
         return pa.table([pa.array(triples[:, 0]), pa.array(triples[:, 1]), pa.array(triples[:, 2]), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
 
-    told = ids.select("slice", "place", F.col("id").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(
-        frequent.select("slice", F.lit(None).cast("int").alias("place"), "a", "b"))
+    told = ids.select("slice", "place", "id").unionByName(frequent.select("slice", "firsts", "seconds"), allowMissingColumns=True)
     return slices.select("slice", "text").groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, "a long, b long, c long, n long")
 
 
-def _ordered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The stream in order of its key: one range of keys a task, equal keys together."""
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+#: Entries of (pair, slice) that a task holds before it hands them on, sorted by slice.
+_TOLD = 1 << 20
+
+
+def _by_slice(told: list[np.ndarray]) -> pa.Table:
+    """(a, b, slice) entries as one row a slice with arrays of its pairs."""
+    entries = np.concatenate(told)
+    entries = entries[np.argsort(entries[:, 2], kind="stable")]
+    first = np.flatnonzero(np.diff(entries[:, 2], prepend=-1))
+    at = pa.array(np.append(first, len(entries)).astype(np.int32))
+    none = pa.nulls(len(first), pa.int64())
+    pairs = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(entries[:, k]))) for k in (0, 1)]
+    return pa.table([none, none, none, pa.array(entries[first, 2]), *pairs], ["a", "b", "n", "slice", "firsts", "seconds"])
 
 
 def _merged(rows: DataFrame, keys: list[str], least: int, tell: bool) -> DataFrame:
-    """Totals of the keys of a stream that reach ``least``; with ``tell`` also (key, slice) of every row of such a key.
+    """Totals of the keys of a stream that reach ``least``: the keys and ``n``.
 
-    Columns: the keys, ``n`` (the total, on total rows) and, with ``tell``, ``slice`` (on the other rows).
+    With ``tell`` (pairs only) there are further rows that name the frequent pairs of a slice: ``slice`` and the arrays ``firsts``, ``seconds``.
     Reads the sorted stream once; the open key goes over from batch to batch.
     """
     columns = [*keys, "n", *(["slice"] if tell else [])]
@@ -200,13 +210,13 @@ def _merged(rows: DataFrame, keys: list[str], least: int, tell: bool) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # rows of the open key while it is below the limit
         open_key: tuple | None = None
-        above = 0  # its rows so far, once it is at or above the limit
-
-        def total(key: tuple, n: int) -> pa.Table:
-            return pa.table([pa.array([v], pa.int64()) for v in (*key, n)] + ([pa.array([None], pa.int64())] if tell else []), columns)
+        above = 0  # its total so far, once it is at or above the limit
+        told: list[np.ndarray] = []
 
-        def told(rows: pa.Table) -> pa.Table:
-            return pa.table([rows.column(k) for k in keys] + [pa.nulls(rows.num_rows, pa.int64()), rows.column("slice")], columns)
+        def totals(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            more = [pa.nulls(len(n), pa.int64()), *[pa.nulls(len(n), pa.list_(pa.int64()))] * 2] if tell else []
+            names = [*columns, *(["firsts", "seconds"] if tell else [])]
+            yield pa.record_batch([pa.array(np.ascontiguousarray(key[:, k])) for k in range(len(keys))] + [pa.array(n.astype(np.int64)), *more], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -216,35 +226,37 @@ def _merged(rows: DataFrame, keys: list[str], least: int, tell: bool) -> DataFra
                 table = pa.concat_tables([held, table])
                 held = None
             key = np.column_stack([table.column(k).to_numpy() for k in keys])
-            n = table.column("n").to_numpy()
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]).any(axis=1)
             first = np.flatnonzero(new)
-            sums = np.add.reduceat(n, first)
-            size = np.diff(np.append(first, len(key)))
-            carried = above if open_key is not None and tuple(key[0]) == open_key else 0
-            if open_key is not None and not carried:
-                yield from total(open_key, above).to_batches()
-            sums[0] += carried
+            sums = np.add.reduceat(table.column("n").to_numpy(), first)
+            if open_key is not None:
+                if tuple(key[0].tolist()) == open_key:
+                    sums[0] += above
+                else:
+                    yield from totals(np.array([open_key]), np.array([above]))
+            if tell:
+                often = np.repeat(sums >= least, np.diff(np.append(first, len(key))))
+                told.append(np.column_stack([key, table.column("slice").to_numpy()])[often])
+                if sum(map(len, told)) >= _TOLD:
+                    yield from _by_slice(told).to_batches()
+                    told = []
             # the last key may go on in the next batch
             open_key, above = None, 0
-            group = np.repeat(np.arange(len(first)), size)
             if sums[-1] >= least:
                 open_key, above = tuple(key[-1].tolist()), int(sums[-1])
-                if tell:
-                    yield from told(table.filter(pa.array(sums[group] >= least))).to_batches()
             else:
                 held = table.slice(first[-1])
-                if tell:
-                    yield from told(table.slice(0, first[-1]).filter(pa.array((sums[group] >= least)[: first[-1]]))).to_batches()
             done = np.flatnonzero(sums[:-1] >= least)
             if len(done):
-                out = [pa.array(key[first[done], k]) for k in range(len(keys))] + [pa.array(sums[done].astype(np.int64))]
-                yield pa.record_batch(out + ([pa.nulls(len(done), pa.int64())] if tell else []), columns)
+                yield from totals(key[first[done]], sums[done])
         if open_key is not None:
-            yield from total(open_key, above).to_batches()
+            yield from totals(np.array([open_key]), np.array([above]))
+        if sum(map(len, told)):
+            yield from _by_slice(told).to_batches()
 
-    return _ordered(rows, keys).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    names = ", ".join(f"{c} long" for c in columns) + (", firsts array<long>, seconds array<long>" if tell else "")
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, names)
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP, slice_bytes: int = SLICE_BYTES) -> DataFrame:
