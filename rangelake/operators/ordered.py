@@ -1,13 +1,14 @@
 """Ordered computations that survive a hot group.
 
-A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task. Here every
-group is cut along its order at sampled rows into cells of about the same number of rows,
-each cell becomes a task of its own, and the cells are stitched together through
-a small per-cell summary (offsets, running totals, carried values) or through
-copies of the few rows that a bounded window reaches across a cell border.
-A group smaller than a cell has one cell. There is one plan for all sizes, and nothing is
-counted or decided while it is built. ``limit=None`` says that a group is bounded by
-construction (the axis of a map) and takes the plain window.
+A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task. Here a table is cut once: one range shuffle
+by group and order, and every run of a group's rows in a partition is a cell. The cut rows are stored in the shared
+folder, so rows and the small summary of each cell come from the same pass, and a plan built on them reads them twice
+however many values it carries: once for the summaries, once for the rows. Cells are stitched by plain windows over the
+summaries (offsets, running totals, carried values, border rows), of which a group has one for each ``limit`` rows.
+Bounded windows that reach over many rows take copies of the rows beyond the border instead (``reach``).
+
+The cut runs when it is asked for, not when the result is read. ``limit=None`` says that a group is bounded by
+construction (the axis of a map): nothing is cut or stored, and the plain window is taken.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangelake.session import cut_lineage
+
 ROWS_PER_TASK = 2_000_000
-_CELLS_PER_TASK = 16
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -42,34 +44,68 @@ def oversized(df: DataFrame, part: Sequence[str], limit: int) -> DataFrame:
     )
 
 
-def _below(bounds: Column, key: Column) -> Column:
-    """How many of the sorted bounds are at or below the key, by halving."""
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds) + 1.0)).cast("int"))
+class Cells:
+    """A table cut once along its order into cells of ``limit`` rows at most.
+
+    ``rows`` has the table's columns, ``_seq`` (ascending in the order) and ``_cell`` (the group and where the cell begins).
+    ``window`` is a cell in order; ``cells`` are the summaries of a group in order, ``before`` and ``after`` those before and after one.
+    """
 
-    def halve(span, _):
-        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
-        left = F.when(span["low"] < span["high"], F.element_at(bounds, middle + 1) > key)
-        return F.struct(
-            F.when(left.isNull() | left, span["low"]).otherwise(middle + 1).alias("low"), F.when(left, middle).otherwise(span["high"]).alias("high"),
+    def __init__(self, df: DataFrame, part: Sequence[str], order: Sequence[str | Column], limit: int | None = ROWS_PER_TASK):
+        keys = [*part, *order]
+        if limit is None:
+            place = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+            rows, begin = df.withColumn("_seq", place.cast("long")), F.lit(0).cast("long")
+        else:
+            rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_seq", F.monotonically_increasing_id())
+            inside = F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
+            begin = F.col("_seq") - F.pmod(inside, F.lit(limit))
+        rows = rows.withColumn("_cell", F.struct(*(F.col(p).alias(f"p{i}") for i, p in enumerate(part)), begin.alias("begin")))
+        self.rows = rows if limit is None else cut_lineage(rows)
+        self.window = Window.partitionBy("_cell").orderBy("_seq")
+        self.cells = Window.partitionBy(*(f"_cell.p{i}" for i in range(len(part)))).orderBy("_cell.begin")
+        self.before = self.cells.rowsBetween(Window.unboundedPreceding, -1)
+        self.after = self.cells.rowsBetween(1, Window.unboundedFollowing)
+        self.so_far = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        self.from_here = self.window.rowsBetween(0, Window.unboundedFollowing)
+
+    def summary(self, rows: DataFrame, **values: Column) -> DataFrame:
+        """One row a cell."""
+        return rows.groupBy("_cell").agg(*(c.alias(k) for k, c in values.items()))
+
+    def neighbour(self, columns: dict[str, str | Column], steps: int = 1) -> DataFrame:
+        """Rows with values of the row before (``steps`` 1) or after (-1) in the group; NULL at its ends."""
+        row = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()))
+        edge = F.max_by("_row", "_seq") if steps > 0 else F.min_by("_row", "_seq")
+        rows = self.rows.withColumn("_row", row)
+        borders = self.summary(rows, _edge=edge).select("_cell", F.lag("_edge", steps).over(self.cells).alias("_border"))
+        out = rows.withColumn("_near", F.lag("_row", steps).over(self.window)).join(borders, "_cell")
+        near = F.coalesce("_near", "_border")
+        return out.withColumns({k: near[k] for k in columns}).drop("_row", "_near", "_border")
+
+    def carry(self, ahead: dict[str, Column], back: dict[str, Column] | None = None) -> DataFrame:
+        """Rows with the latest non-NULL values at or before them (``ahead``), and the earliest at or after them (``back``)."""
+        back = back or {}
+        rows = self.rows.withColumns({f"_v_{k}": c for k, c in {**ahead, **back}.items()})
+        at = lambda k: F.when(F.col(f"_v_{k}").isNotNull(), F.col("_seq"))
+        edges = {f"_e_{k}": F.max_by(f"_v_{k}", at(k)) for k in ahead} | {f"_e_{k}": F.min_by(f"_v_{k}", at(k)) for k in back}
+        edge = self.summary(rows, **edges).select(
+            "_cell", *(F.last(f"_e_{k}", ignorenulls=True).over(self.before).alias(f"_b_{k}") for k in ahead),
+            *(F.first(f"_e_{k}", ignorenulls=True).over(self.after).alias(f"_b_{k}") for k in back),
         )
+        rows = rows.withColumns({f"_i_{k}": F.last(f"_v_{k}", ignorenulls=True).over(self.so_far) for k in ahead})
+        rows = rows.withColumns({f"_i_{k}": F.first(f"_v_{k}", ignorenulls=True).over(self.from_here) for k in back})
+        out = rows.join(edge, "_cell").withColumns({k: F.coalesce(f"_i_{k}", f"_b_{k}") for k in (*ahead, *back)})
+        return out.drop(*(f"_{x}_{k}" for x in "vib" for k in (*ahead, *back)))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high")), halve, lambda span: span["low"])
+    @staticmethod
+    def finish(rows: DataFrame) -> DataFrame:
+        return rows.drop("_cell", "_seq")
 
 
 def with_cells(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], limit: int) -> DataFrame:
-    """Add ``_cell``: the order-preserving slice of the group that a row is in.
-
-    A row is a border where the hash of its key and order falls on one of ``limit`` /
-    ``_CELLS_PER_TASK`` values; any orderable type will do, a far value moves no border, and
-    the same rows are borders whenever the plan is computed again. Rows of equal order share a cell.
-    """
-    every = max(2, limit // _CELLS_PER_TASK)
-    exprs = [F.col(o) if isinstance(o, str) else o for o in order]
-    keyed = df.withColumn("_key", F.struct(*(e.alias(f"k{i}") for i, e in enumerate(exprs))))
-    sample = keyed.filter(F.pmod(F.xxhash64(*part, "_key"), F.lit(every)) == 0)
-    bounds = sample.groupBy(*part).agg(F.array_sort(F.collect_set("_key")).alias("_bounds"))
-    joined = join_keys(keyed, bounds, part, "left")
-    return joined.withColumn("_cell", F.coalesce(_below(F.col("_bounds"), F.col("_key")), F.lit(0)).cast("long")).drop("_key", "_bounds")
+    """Add ``_cell``: the group and the slice of it that a row is in; ``_cell.begin`` ascends in the order."""
+    return Cells(df, part, order, limit).rows.drop("_seq")
 
 
 def with_position(
@@ -82,21 +118,14 @@ def with_position(
         return df.withColumn("_pos", (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn(
             "_n", F.count(F.lit(1)).over(whole)
         )
-    celled = with_cells(df, part, order, limit)
-    before = Window.partitionBy(*part).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = celled.groupBy(*part, "_cell").agg(F.count(F.lit(1)).alias("_size"))
+    cut = Cells(df, part, order, limit)
+    sizes = cut.summary(cut.rows, _size=F.count(F.lit(1)), _first=F.min("_seq"))
+    group = cut.cells.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = sizes.select(
-        *part,
-        "_cell",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*part)).alias("_n"),
-    )
-    inside = Window.partitionBy(*part, "_cell").orderBy(*order)
-    return (
-        join_keys(celled, offsets, [*part, "_cell"])
-        .withColumn("_pos", (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("_cell", "_before")
+        "_cell", (F.coalesce(F.sum("_size").over(cut.before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_size").over(group).alias("_n")
     )
+    # a cell's rows are numbered without gaps, so no window over rows is needed
+    return cut.finish(cut.rows.join(offsets, "_cell").withColumn("_pos", F.col("_seq") + F.col("_shift")).drop("_shift"))
 
 
 class Reach:
@@ -168,22 +197,14 @@ def running_sums(
         w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         out = named.withColumns({k: F.sum(f"_v_{k}").over(w) for k in columns})
         return out.drop(*[f"_v_{k}" for k in columns])
-    celled = with_cells(named, part, order, limit)
-    totals = celled.groupBy(*part, "_cell").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in columns])
-    before = Window.partitionBy(*part).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *part, "_cell", *[F.sum(f"_t_{k}").over(before).alias(f"_b_{k}") for k in columns]
-    )
-    w = Window.partitionBy(*part, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = join_keys(celled, carried, [*part, "_cell"])
+    cut = Cells(named, part, order, limit)
+    totals = cut.summary(cut.rows, **{f"_t_{k}": F.sum(f"_v_{k}") for k in columns})
+    carried = totals.select("_cell", *[F.sum(f"_t_{k}").over(cut.before).alias(f"_b_{k}") for k in columns])
+    out = cut.rows.withColumns({f"_i_{k}": F.sum(f"_v_{k}").over(cut.so_far) for k in columns}).join(carried, "_cell")
     for k in columns:
-        inside, base = F.sum(f"_v_{k}").over(w), F.col(f"_b_{k}")
-        out = out.withColumn(
-            k,
-            F.when(base.isNull(), inside).when(inside.isNull(), base).otherwise(base + inside),
-        )
-    drop = [f"{p}{k}" for k in columns for p in ("_v_", "_b_")]
-    return out.drop("_cell", *drop)
+        inside, base = F.col(f"_i_{k}"), F.col(f"_b_{k}")
+        out = out.withColumn(k, F.when(base.isNull(), inside).when(inside.isNull(), base).otherwise(base + inside))
+    return cut.finish(out.drop(*[f"{p}{k}" for k in columns for p in ("_v_", "_b_", "_i_")]))
 
 
 def carry_last(
@@ -195,37 +216,5 @@ def carry_last(
     limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add the latest non-NULL value at or before each row (or at or after it), in ascending order."""
-    part = list(part)
-    if forward:
-        frame = (Window.unboundedPreceding, 0)
-        beyond = (Window.unboundedPreceding, -1)
-        pick = F.last
-    else:
-        frame = (0, Window.unboundedFollowing)
-        beyond = (1, Window.unboundedFollowing)
-        pick = F.first
-    named = df.withColumns({f"_v_{k}": c for k, c in columns.items()})
-    temp = [f"_v_{k}" for k in columns]
-    if limit is None:
-        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*frame)
-        out = named.withColumns({k: pick(f"_v_{k}", ignorenulls=True).over(w) for k in columns})
-        return out.drop(*temp)
-    celled = with_cells(named, part, order, limit)
-    w = Window.partitionBy(*part, "_cell").orderBy(*order)
-    inside = celled.withColumns({k: pick(f"_v_{k}", ignorenulls=True).over(w.rowsBetween(*frame)) for k in columns})
-    # one summary row per cell: the value a neighbour cell would inherit from it
-    edge = F.row_number().over(w if not forward else Window.partitionBy(*part, "_cell").orderBy(*[_flip(o) for o in order]))
-    summary = inside.withColumn("_edge", edge).filter("_edge = 1").select(
-        *part, "_cell", *[F.col(k).alias(f"_t_{k}") for k in columns]
-    )
-    over = Window.partitionBy(*part).orderBy("_cell").rowsBetween(*beyond)
-    carried = summary.select(
-        *part, "_cell", *[pick(f"_t_{k}", ignorenulls=True).over(over).alias(f"_b_{k}") for k in columns]
-    )
-    out = join_keys(inside, carried, [*part, "_cell"])
-    out = out.withColumns({k: F.coalesce(F.col(k), F.col(f"_b_{k}")) for k in columns})
-    return out.drop("_cell", *temp, *[f"_b_{k}" for k in columns])
-
-
-def _flip(order: Column | str) -> Column:
-    return F.desc(order) if isinstance(order, str) else order.desc()
+    cut = Cells(df, part, order, limit)
+    return cut.finish(cut.carry(columns) if forward else cut.carry({}, columns))

@@ -7,23 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import (
-    ROWS_PER_TASK, carry_last, reach, running_sums, with_position,
-)
-
-
-def _previous(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, str | Column], limit: int | None) -> DataFrame:
-    around = reach(df, by, order, 1, False, limit)
-    return around.finish({k: F.lag(c, 1).over(around.window) for k, c in columns.items()}).drop("_pos", "_n")
+from rangelake.operators.ordered import ROWS_PER_TASK, Cells, running_sums, with_position
 
 
 def frame_drops(events: DataFrame, by: Sequence[str], seq: str = "seq", limit: int | None = ROWS_PER_TASK) -> DataFrame:
     """Add ``missed`` (sequence numbers skipped before a row) and ``missed_total``."""
-    gaps = _previous(events, by, [seq], {"_prev": seq}, limit)
-    missed = F.greatest(F.lit(0), F.coalesce(F.col(seq) - F.col("_prev") - 1, F.lit(0)))
-    return running_sums(
-        gaps.withColumn("missed", missed).drop("_prev"), by, [seq], {"missed_total": F.col("missed")}, limit
-    )
+    skipped = lambda before, now: F.greatest(F.lit(0), F.coalesce(now - before - 1, F.lit(0)))
+    cut = Cells(events, by, [seq], limit)
+    rows = cut.rows.withColumn("_inside", skipped(F.lag(seq).over(cut.window), F.col(seq)))
+    cells = cut.summary(rows, _sum=F.sum("_inside"), _low=F.min_by(seq, "_seq"), _high=F.max_by(seq, "_seq"), _first=F.min("_seq"))
+    cells = cells.withColumn("_border", skipped(F.lag("_high").over(cut.cells), F.col("_low")))
+    base = F.coalesce(F.sum(F.col("_sum") + F.col("_border")).over(cut.before), F.lit(0)) + F.col("_border")
+    joined = rows.join(cells.select("_cell", "_first", "_border", base.alias("_base")), "_cell")
+    return cut.finish(joined.withColumns({
+        "missed": F.when(F.col("_seq") == F.col("_first"), F.col("_border")).otherwise(F.col("_inside")),
+        "missed_total": F.col("_base") + F.sum("_inside").over(cut.so_far),
+    })).drop("_inside", "_first", "_border", "_base")
 
 
 def stage_latency(events: DataFrame) -> DataFrame:
@@ -107,27 +106,51 @@ def timeline(log: DataFrame, by: Sequence[str], limit: int | None = ROWS_PER_TAS
     Position advances by elapsed wall time x speed while playing, jumps on ``seek``
     and returns to 0 on ``stop``.
     """
-    order, cmd = ["wall", "seq"], F.col("command")
-    switches = F.when(cmd == "play", 1.0).when(cmd.isin("pause", "stop"), 0.0)
-    state = carry_last(
-        log, by, order,
-        {"_on": switches, "_speed": F.when(cmd == "speed", F.col("arg"))}, True, limit,
-    ).withColumns({"_on": F.coalesce("_on", F.lit(0.0)), "_speed": F.coalesce("_speed", F.lit(1.0))})
-    rate = F.col("_on") * F.col("_speed")
-    prev = _previous(state.withColumn("_rate", rate), by, order, {"_pw": "wall", "_pr": "_rate"}, limit)
-    advance = F.coalesce((F.col("wall") - F.col("_pw")) * F.col("_pr"), F.lit(0.0))
-    run = running_sums(prev, by, order, {"_run": advance}, limit)
-    jump = F.when(cmd == "seek", F.col("arg")).when(cmd == "stop", F.lit(0.0)) - F.col("_run")
-    base = carry_last(run, by, order, {"_base": jump}, True, limit)
-    out = base.withColumn("position", F.coalesce("_base", F.lit(0.0)) + F.col("_run"))
-    return out.withColumn("playing", F.col("_on") > 0).withColumnRenamed("_speed", "speed").drop(
-        "_on", "_rate", "_pw", "_pr", "_run", "_base"
-    )
+    cmd = F.col("command")
+    cut = Cells(log, by, ["wall", "seq"], limit)
+    rows = cut.rows.withColumns({
+        "_on": F.last(F.when(cmd == "play", 1.0).when(cmd.isin("pause", "stop"), 0.0), ignorenulls=True).over(cut.so_far),
+        "_speed": F.last(F.when(cmd == "speed", F.col("arg").cast("double")), ignorenulls=True).over(cut.so_far),
+    })
+    # time passed since the row before, by what is known of switch and speed then; what the cell began with is not known yet
+    passed = F.coalesce(F.col("wall") - F.lag("wall").over(cut.window), F.lit(0.0))
+    on, speed = F.lag("_on").over(cut.window), F.lag("_speed").over(cut.window)
+    rows = rows.withColumns({
+        "_known": F.coalesce(passed * on * speed, F.lit(0.0)), "_by_on": F.when(on.isNull(), F.coalesce(passed * speed, F.lit(0.0))).otherwise(0.0),
+        "_by_speed": F.when(speed.isNull(), F.coalesce(passed * on, F.lit(0.0))).otherwise(0.0), "_by_both": F.when(on.isNull() & speed.isNull(), passed).otherwise(0.0),
+    })
+    parts = ["_known", "_by_on", "_by_speed", "_by_both"]
+    rows = rows.withColumns({c: F.sum(c).over(cut.so_far) for c in parts})
+    to = F.when(cmd == "seek", F.col("arg").cast("double")).when(cmd == "stop", F.lit(0.0))
+    rows = rows.withColumn("_jump", F.last(F.when(to.isNotNull(), F.struct(to.alias("to"), *parts)), ignorenulls=True).over(cut.so_far))
+
+    def run(row: Column | None = None) -> Column:
+        """Time on the line from the start of the cell to a row, for the switch and speed that the cell began with."""
+        a, b, c, d = (F.col(p) if row is None else row[p] for p in parts)
+        return a + b * F.col("_on0") + c * F.col("_speed0") + d * F.col("_on0") * F.col("_speed0")
+
+    end = F.max_by(F.struct("wall", "_on", "_speed", "_jump", *parts), "_seq")
+    cells = cut.summary(rows, _end=end, _start=F.min_by("wall", "_seq"))
+    cells = cells.select("_cell", "_start", "_end.*").withColumns({
+        "_on0": F.coalesce(F.last("_on", ignorenulls=True).over(cut.before), F.lit(0.0)),
+        "_speed0": F.coalesce(F.last("_speed", ignorenulls=True).over(cut.before), F.lit(1.0)),
+    })
+    cells = cells.withColumn("_gap", F.coalesce((F.col("_start") - F.lag("wall").over(cut.cells)) * F.col("_on0") * F.col("_speed0"), F.lit(0.0)))
+    cells = cells.withColumn("_run0", F.coalesce(F.sum(F.col("_gap") + run()).over(cut.before), F.lit(0.0)) + F.col("_gap"))
+    cells = cells.withColumn("_base", F.col("_jump.to") - F.col("_run0") - run(F.col("_jump")))
+    cells = cells.withColumn("_base0", F.coalesce(F.last("_base", ignorenulls=True).over(cut.before), F.lit(0.0)))
+    carried = ["_on0", "_speed0", "_run0", "_base0"]
+    out = rows.join(cells.select("_cell", *carried), "_cell")
+    base = F.coalesce(F.col("_jump.to") - F.col("_run0") - run(F.col("_jump")), F.col("_base0"))
+    return cut.finish(out.withColumns({
+        "speed": F.coalesce("_speed", "_speed0"), "playing": F.coalesce("_on", "_on0") > 0, "position": base + F.col("_run0") + run(),
+    })).drop("_on", "_speed", "_jump", *parts, *carried)
 
 
 def detect_seeks(line: DataFrame, by: Sequence[str], limit: int | None = ROWS_PER_TASK) -> DataFrame:
     """Rows where the position moved back by > 0.05 s, jumped by > 0.5 s, or is 0."""
-    prev = _previous(line, by, ["wall", "seq"], {"prev_position": "position"}, limit)
+    cut = Cells(line, by, ["wall", "seq"], limit)
+    prev = cut.finish(cut.neighbour({"prev_position": "position"}))
     p, q = F.col("position"), F.col("prev_position")
     return prev.filter((p < q - 0.05) | (F.abs(p - q) > 0.5) | (p == 0))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import ROWS_PER_TASK, carry_last, join_keys, with_position
+from rangelake.operators.ordered import ROWS_PER_TASK, Cells, join_keys, with_position
 
 
 def common_start(a: DataFrame, b: DataFrame, by: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -17,12 +17,28 @@ def common_start(a: DataFrame, b: DataFrame, by: Sequence[str], ts: str = "ts")
     return both.withColumn("start_ts", F.greatest("start_a", "start_b"))
 
 
-def _timeline(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, rid: str) -> DataFrame:
-    """Both sides on one axis; the right row travels as a struct."""
-    carried = F.struct(F.col(ts).alias("_at"), *[F.col(c) for c in right.columns if c not in (*by, ts)])
-    lhs = left.withColumns({"_side": F.lit(1), "_id": F.lit(None).cast("long")})
-    rhs = right.select(*by, F.col(ts), F.lit(0).alias("_side"), F.col(rid).cast("long").alias("_id"), carried.alias("_right"))
-    return lhs.unionByName(rhs, allowMissingColumns=True)
+#: Sides of the common axis: a right row as one that came before, a left row, a right row as one that comes after.
+_BEFORE, _LEFT, _AFTER = range(3)
+
+
+def _line(left: DataFrame, rights: Sequence[DataFrame], by: Sequence[str], ts: str, rid: str, after: bool = False) -> DataFrame:
+    """All sides on one axis; right rows travel as structs (``_right0``, ...), and once more as rows to come with ``after``."""
+    out = left.withColumns({"_side": F.lit(_LEFT), "_id": F.lit(None).cast("long")})
+    for k, right in enumerate(rights):
+        row = F.struct(F.col(ts).alias("_at"), *[F.col(c) for c in right.columns if c not in (*by, ts)])
+        number = F.col(rid).cast("long")
+        sides = [F.struct(F.lit(_BEFORE).alias("_side"), (-number).alias("_id"))] + ([F.struct(F.lit(_AFTER).alias("_side"), number.alias("_id"))] if after else [])
+        rows = right.select(*by, F.col(ts), row.alias(f"_right{k}"), F.explode(F.array(*sides)).alias("_as"))
+        out = out.unionByName(rows.select(*by, ts, f"_right{k}", "_as.*"), allowMissingColumns=True)
+    return out
+
+
+def _cut(line: DataFrame, by: Sequence[str], ts: str, limit: int | None) -> Cells:
+    return Cells(line, by, [ts, "_side", "_id"], limit)
+
+
+def _came(k: int = 0, side: int = _BEFORE) -> Column:
+    return F.when(F.col("_side") == side, F.col(f"_right{k}"))
 
 
 def asof_backward(
@@ -35,9 +51,8 @@ def asof_backward(
     limit: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Latest right row at or before each left row; equal times take the smaller id."""
-    line = _timeline(left, right, by, ts, rid)
-    out = carry_last(line, by, [F.col(ts), F.col("_side"), -F.col("_id")], {"_hit": F.col("_right")}, True, limit)
-    return _unpack(out.filter("_side = 1"), left, right, by, ts, prefix)
+    out = _cut(_line(left, [right], by, ts, rid), by, ts, limit).carry({"_hit": _came()})
+    return _unpack(out.filter(F.col("_side") == _LEFT), left, [(right, "_hit", prefix)], by, ts)
 
 
 def asof_nearest(
@@ -54,25 +69,22 @@ def asof_nearest(
 
     Beyond ``tolerance`` the right columns are NULL.
     """
-    line = _timeline(left, right, by, ts, rid)
-    back = carry_last(line, by, [F.col(ts), F.col("_side"), -F.col("_id")], {"_prev": F.col("_right")}, True, limit)
-    both = carry_last(back, by, [F.col(ts), F.col("_side"), F.col("_id")], {"_next": F.col("_right")}, False, limit)
+    line = _line(left, [right], by, ts, rid, after=True)
+    both = _cut(line, by, ts, limit).carry({"_prev": _came()}, {"_next": _came(side=_AFTER)})
     before = F.col(ts) - F.col("_prev._at")
     after = F.col("_next._at") - F.col(ts)
     hit = F.when(F.col("_next").isNull() | (before <= after), F.col("_prev")).otherwise(F.col("_next"))
-    out = both.filter("_side = 1").withColumn("_hit", hit).drop("_prev", "_next")
+    out = both.filter(F.col("_side") == _LEFT).withColumn("_hit", hit).drop("_prev", "_next")
     if tolerance is not None:
         out = out.withColumn("_hit", F.when(F.abs(F.col(ts) - F.col("_hit._at")) <= tolerance, F.col("_hit")))
-    return _unpack(out, left, right, by, ts, prefix)
+    return _unpack(out, left, [(right, "_hit", prefix)], by, ts)
 
 
-def _unpack(out: DataFrame, left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, prefix: str) -> DataFrame:
-    names = [c for c in right.columns if c not in (*by, ts)]
-    return out.select(
-        *left.columns,
-        F.col("_hit._at").alias(f"{prefix}{ts}"),
-        *[F.col(f"_hit.{c}").alias(f"{prefix}{c}") for c in names],
-    )
+def _unpack(out: DataFrame, left: DataFrame, hits: Sequence[tuple[DataFrame, str, str]], by: Sequence[str], ts: str) -> DataFrame:
+    return out.select(*left.columns, *[
+        F.col(f"{hit}.{'_at' if c == ts else c}").alias(f"{prefix}{c}")
+        for right, hit, prefix in hits for c in (ts, *(c for c in right.columns if c not in (*by, ts)))
+    ])
 
 
 def due_frames(ticks: DataFrame, frames: DataFrame, starts: DataFrame, by: Sequence[str], position: str) -> DataFrame:
@@ -86,10 +98,13 @@ def due_frames(ticks: DataFrame, frames: DataFrame, starts: DataFrame, by: Seque
     return asof_backward(ticks, shifted, by, ts=position)
 
 
-def fuse_latest(ticks: DataFrame, radar: DataFrame, camera: DataFrame, by: Sequence[str]) -> DataFrame:
-    """At each display tick the latest radar row and the latest camera row."""
-    with_radar = asof_backward(ticks, radar, by, prefix="radar_")
-    return asof_backward(with_radar, camera, by, prefix="camera_")
+def fuse_latest(
+    ticks: DataFrame, radar: DataFrame, camera: DataFrame, by: Sequence[str], ts: str = "ts", rid: str = "frame_no", limit: int | None = ROWS_PER_TASK
+) -> DataFrame:
+    """At each display tick the latest radar row and the latest camera row, carried along one axis together."""
+    line = _line(ticks, [radar, camera], by, ts, rid)
+    out = _cut(line, by, ts, limit).carry({"_radar": _came(0), "_camera": _came(1)})
+    return _unpack(out.filter(F.col("_side") == _LEFT), ticks, [(radar, "_radar", "radar_"), (camera, "_camera", "camera_")], by, ts)
 
 
 def seek(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rangelake.functions.arrays import let
 from rangelake.functions.kernels import _lists, _pack
-from rangelake.operators.ordered import ROWS_PER_TASK, carry_last, join_keys, reach
+from rangelake.operators.ordered import ROWS_PER_TASK, Cells, join_keys
 
 # Start covariance; share of new spread at least; points that make an estimate, and a spread; errors of
 # unrolled velocity that count as settled and as locked.
@@ -233,8 +233,13 @@ def start(groups: DataFrame, v_max: float, initial_velocity: float = 0.0, max_ac
 def with_sessions(points: DataFrame, sensor: Sequence[str], quiet: int, limit: int | None = ROWS_PER_TASK) -> DataFrame:
     """Add ``session``: first frame after a silence of at least ``quiet`` frames."""
     frames = points.select(*sensor, "frame_no").distinct()
-    around = reach(frames, sensor, ["frame_no"], 1, False, limit)
-    gap = around.finish({"_prev": F.lag("frame_no", 1).over(around.window)}).drop("_pos", "_n")
-    starts = F.when(F.col("_prev").isNull() | (F.col("frame_no") - F.col("_prev") > quiet), F.col("frame_no"))
-    marked = carry_last(gap, sensor, ["frame_no"], {"session": starts}, True, limit).drop("_prev")
+    quiet_before = lambda before: before.isNull() | (F.col("frame_no") - before > quiet)
+    cut = Cells(frames, sensor, ["frame_no"], limit)
+    before = F.lag("frame_no").over(cut.window)
+    rows = cut.rows.withColumn("_start", F.when(before.isNotNull() & quiet_before(before), F.col("frame_no")))
+    cells = cut.summary(rows, frame_no=F.min_by("frame_no", "_seq"), _high=F.max_by("frame_no", "_seq"), _inside=F.max_by("_start", F.when(F.col("_start").isNotNull(), F.col("_seq"))))
+    cells = cells.withColumn("_border", F.when(quiet_before(F.lag("_high").over(cut.cells)), F.col("frame_no")))
+    earlier = F.last(F.coalesce("_inside", "_border"), ignorenulls=True).over(cut.before)
+    joined = rows.join(cells.select("_cell", F.coalesce("_border", earlier).alias("_base")), "_cell")
+    marked = cut.finish(joined.withColumn("session", F.coalesce(F.last("_start", ignorenulls=True).over(cut.so_far), "_base"))).drop("_start", "_base")
     return join_keys(points, marked, [*sensor, "frame_no"])

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rangelake.operators.ordered import Cells
+
 
 def latest_only(batch: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
     """Newest row per key of one micro-batch and the number of rows it replaced (``dropped``)."""
@@ -88,10 +90,8 @@ def dc_calibration(stream: DataFrame, key: str, n_frames: int, n_range: int) ->
 
 def recording_spans(control_log: DataFrame, by: Sequence[str]) -> DataFrame:
     """On-spans of a command table: by, on_ts, off_ts (NULL while still on)."""
-    from rangelake.operators.ordered import reach
-
-    around = reach(control_log, by, ["ts", "seq"], 1, False)
-    spans = around.finish({"off_ts": F.lead("ts", 1).over(around.window)}).drop("_pos", "_n")
+    cut = Cells(control_log, by, ["ts", "seq"])
+    spans = cut.finish(cut.neighbour({"off_ts": "ts"}, -1))
     return spans.filter(F.col("command") == "on").select(*by, F.col("ts").alias("on_ts"), "off_ts")
 
 

@@ -99,12 +99,20 @@ def test_any_order(spark, kind):
     same(lambda limit: carry_last(df, ["g"], ["o", "tie"], {"x": F.when(F.col("v") == 3, F.col("tie"))}, True, limit))
 
 
-def test_nothing_runs_while_the_plan_is_built(spark, skewed):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("build", "plans only")
-    before = len(tracker.getJobIdsForGroup("build"))
-    with_position(skewed, ["part"], ["ord"])
-    cf.cfar(skewed, ["part"], ["ord"], "v", "ca", 1, 3, 20)
-    running_sums(skewed, ["part"], ["ord"], {"total": F.col("v")})
-    assert len(tracker.getJobIdsForGroup("build")) == before
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+def scans(df) -> int:
+    """Leaves of the optimised plan."""
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_chains_read_their_rows_twice_at_most(spark, sf, skewed):
+    """Rows and summaries come from one stored cut, however many values a plan carries."""
+    log, control = ad.telemetry_log(spark, sf), ad.control_log(spark, sf)
+    a, b = ad.sensor_a(spark, sf).drop("value"), ad.sensor_b(spark, sf).drop("value")
+    line = tm.timeline(control, ["session"])
+    plans = [line, tm.detect_seeks(line, ["session"]), tm.frame_drops(log, ["stream"]), ta.asof_nearest(a, b, ["sensor"]), ta.fuse_latest(a, b, b, ["sensor"]), cf.cfar(skewed, ["part"], ["ord"], "v", "ca", 1, 3, 20)]
+    assert [scans(p) for p in plans] == [2] * len(plans)
+
+
+def test_fuse_latest(spark, sf):
+    a, b = ad.sensor_a(spark, sf).drop("value"), ad.sensor_b(spark, sf).drop("value")
+    same(lambda limit: ta.fuse_latest(a, b, a, ["sensor"], limit=limit))
