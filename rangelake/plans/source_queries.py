@@ -145,7 +145,7 @@ def packet_gaps(spark, sf):
 z AS (SELECT a.capture, a.seq, a.src > a.seq AS lost, k.id % 5 * 2 + 2 AS size, CASE WHEN a.src > a.seq THEN 0 ELSE k.id % 251 END AS fill FROM a JOIN k ON k.capture = a.capture AND k.seq = a.src)
 SELECT capture, seq, lost, size, fill, CAST(SUM(size) OVER (PARTITION BY capture ORDER BY seq) - size AS BIGINT) AS byte_offset FROM z""")
 def clean_capture(spark, sf):
-    out = pk.clean_capture(pk.split_card_log(sa.card_logs(spark, sf)))
+    out = pk.filled(pk.clean_capture(pk.split_card_log(sa.card_logs(spark, sf))))
     return out.select(
         "capture", "seq", "lost", F.octet_length("payload").cast("long").alias("size"), pk.le_unsigned(F.col("payload"), 0, 1).alias("fill"), F.col("offset").cast("long").alias("byte_offset")
     )

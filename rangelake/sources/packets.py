@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangelake.operators.ordered import ROWS_PER_TASK, join_keys, reach, running_sums
+from rangelake.operators.ordered import ROWS_PER_TASK, Cells, join_keys
 from rangelake.sources.recordings import _int16
 
 # Packet header and payload bytes, card header bytes, sample offset of the offset-binary card.
@@ -54,74 +54,78 @@ def read_packets(spark: SparkSession, path: str, payload: int = PAYLOAD, chunk_r
     return decode_packets(chunks.mapInArrow(split, "capture string, arrival long, body binary"))
 
 
-#: Sequence numbers without a packet on either side of one that stands alone, from which it counts as damaged.
-MAX_GAP = 1 << 16
+def _ordered(once: DataFrame, limit: int | None) -> tuple[Cells, DataFrame]:
+    """Packets of distinct numbers in order, with ``first_seq`` and ``last_seq`` of the capture and ``prev``, the number before (NULL at the first)."""
+    cut = Cells(once, ["capture"], ["seq"], limit)
+    whole = cut.cells.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = cut.summary(cut.rows, _low=F.min("seq"), _high=F.max("seq")).select(
+        "_cell", F.min("_low").over(whole).alias("first_seq"), F.max("_high").over(whole).alias("last_seq"), F.lag("_high").over(cut.cells).alias("_before"))
+    rows = cut.rows.withColumn("_inside", F.lag("seq").over(cut.window)).join(edges, "_cell")
+    return cut, rows.withColumn("prev", F.coalesce("_inside", "_before")).drop("_before")
 
 
-def without_strays(packets: DataFrame, max_gap: int = MAX_GAP, limit: int | None = ROWS_PER_TASK) -> DataFrame:
-    """Packets whose sequence number has another one of the capture within ``max_gap``; a lone packet stays.
+def lone_packets(packets: DataFrame, max_gap: int, limit: int | None = ROWS_PER_TASK) -> DataFrame:
+    """Packets further than ``max_gap`` numbers from every other one of their capture: capture, seq, before, after (the distances).
 
-    One damaged number would otherwise open a gap of up to 2^32 packets.
+    A report on numbers that may be damaged; nothing is left out anywhere because of it.
     """
-    numbers = packets.select("capture", "seq").distinct()
-    around = reach(numbers, ["capture"], ["seq"], 1, False, limit)
-    near = around.finish({"_before": F.lag("seq", 1).over(around.window), "_after": F.lead("seq", 1).over(around.window)})
-    close = F.least(F.col("seq") - F.col("_before"), F.col("_after") - F.col("seq"))
-    kept = near.filter(close.isNull() | (close <= max_gap)).select("capture", "seq")
-    return join_keys(packets, kept, ["capture", "seq"], "left_semi")
+    cut = Cells(packets.select("capture", "seq").distinct(), ["capture"], ["seq"], limit)
+    sides = {"before": cut.neighbour({"_s": "seq"}), "after": cut.neighbour({"_s": "seq"}, -1)}
+    near = join_keys(*(cut.finish(df).withColumn(k, F.abs(F.col("seq") - F.col("_s"))).drop("_s") for k, df in sides.items()), ["capture", "seq"])
+    return near.filter(F.least("before", "after") > max_gap)
 
 
-def _bounds(packets: DataFrame) -> DataFrame:
-    return packets.groupBy("capture").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+def repeated_packets(packets: DataFrame, keep: str = "first") -> DataFrame:
+    """Packets that frames (``keep`` first) or clean captures (last) do not use, as their number came more than once: all columns, and the arrival that was used."""
+    used = (F.min if keep == "first" else F.max)("arrival")
+    times = packets.groupBy("capture", "seq").agg(used.alias("used_arrival"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    return join_keys(packets, times, ["capture", "seq"]).filter(F.col("arrival") != F.col("used_arrival"))
 
 
-def assemble_frames(packets: DataFrame, bytes_per_frame: int, payload: int = PAYLOAD, max_gap: int = MAX_GAP) -> DataFrame:
+#: Empty frames that one row makes at a time.
+_RUN = 1 << 12
+
+
+def assemble_frames(packets: DataFrame, bytes_per_frame: int, payload: int = PAYLOAD, limit: int | None = ROWS_PER_TASK) -> DataFrame:
     """Payload bytes cut into frames: capture, frame_no, payload, missing_packets.
 
     A packet's place follows from its sequence number, so order of arrival does not matter,
-    a repeated packet counts once, holes read as zero and a packet across a border serves
-    both frames. Only frames that end inside the capture are kept. Packets of damaged
-    sequence numbers are left out (``without_strays``).
+    a repeated packet counts once (``repeated_packets`` lists the others), holes read as zero and a packet across a border serves
+    both frames. Only frames that end inside the capture are kept. No number is distrusted: a
+    hole is one row until its empty frames are made, however long it is (``lone_packets`` lists suspects).
     """
-    packets = without_strays(packets, max_gap)
+    size = F.lit(bytes_per_frame).cast("long")
     once = packets.groupBy("capture", "seq").agg(F.min_by("payload", "arrival").alias("payload"))
-    placed = join_keys(once, _bounds(packets), ["capture"]).withColumn("_at", (F.col("seq") - F.col("first_seq")) * payload)
-    end = (F.col("last_seq") - F.col("first_seq") + 1) * payload
-    size = F.lit(bytes_per_frame)
-    touched = placed.withColumn(
-        "frame_no", F.explode(F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_at") + payload - 1) / size)))
-    ).filter((F.col("frame_no") + 1) * size <= end)
-    pieces = touched.groupBy("capture", "frame_no").agg(
-        F.collect_list((F.col("_at") - F.col("frame_no") * size).cast("int")).alias("_starts"), F.collect_list("payload").alias("_bodies"),
-        F.count(F.lit(1)).alias("_got"),
-    )
-
-    def join(starts: pa.Array, bodies: pa.Array) -> pa.Array:
-        out = []
-        for at, parts in zip(starts.to_pylist(), bodies.to_pylist()):
-            frame = bytearray(bytes_per_frame)
-            for pos, part in zip(at or [], parts or []):
-                skip = max(0, -pos)
-                room = bytes_per_frame - max(pos, 0)
-                cut = part[skip: skip + room]
-                frame[max(pos, 0): max(pos, 0) + len(cut)] = cut
-            out.append(bytes(frame))
-        return pa.array(out, pa.binary())
-
-    grid = _frame_grid(packets, bytes_per_frame, payload)
-    whole = join_keys(grid, pieces, ["capture", "frame_no"], "left")
-    first = F.floor(F.col("frame_no") * size / payload)
-    last = F.floor(((F.col("frame_no") + 1) * size - 1) / payload)
-    return whole.select(
-        "capture", "frame_no", F.arrow_udf(join, returnType="binary")("_starts", "_bodies").alias("payload"),
-        (last - first + 1 - F.coalesce("_got", F.lit(0))).cast("long").alias("missing_packets"),
-    )
-
-
-def _frame_grid(packets: DataFrame, bytes_per_frame: int, payload: int) -> DataFrame:
-    """Every frame number of each capture that ends inside it."""
-    n = F.floor((F.col("last_seq") - F.col("first_seq") + 1) * payload / F.lit(bytes_per_frame))
-    return _bounds(packets).filter(n > 0).select("capture", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("frame_no"))
+    _, rows = _ordered(once, limit)
+    at = (F.col("seq") - F.col("first_seq")) * payload
+    frames = F.floor((F.col("last_seq") - F.col("first_seq") + 1) * payload / size)
+    low = (F.col("prev") + 1 - F.col("first_seq")) * payload
+    run, run_end = F.ceil(low / size), F.least(F.floor(at / size), frames)
+    none, nothing = F.lit(None).cast("binary"), F.lit(0).cast("long")
+
+    def piece(f: Column) -> Column:
+        start = F.greatest(at - f * size, nothing)
+        skip = F.greatest(f * size - at, nothing)
+        room = F.least(size - start, F.lit(payload) - skip)
+        return F.struct(f.alias("frame_no"), start.cast("int").alias("at"), F.col("payload").substr((skip + 1).cast("int"), room.cast("int")).alias("body"), F.lit(1).cast("long").alias("frames"))
+
+    pieces = F.transform(F.sequence(F.floor(at / size), F.floor((at + payload - 1) / size)), piece)
+    empty = F.array(F.struct(run.alias("frame_no"), F.lit(0).alias("at"), none.alias("body"), (run_end - run).alias("frames")))
+    parts = rows.select("capture", frames.alias("_frames"), F.explode(F.concat(pieces, F.when(run < run_end, empty).otherwise(F.slice(empty, 1, 0)))).alias("p")).select("capture", "_frames", "p.*")
+    whole = parts.filter(F.col("frame_no") < F.col("_frames")).groupBy("capture", "frame_no").agg(
+        F.array_sort(F.collect_list(F.when(F.col("body").isNotNull(), F.struct("at", "body")))).alias("_p"), F.max("frames").alias("_run"))
+    end = lambda p: p["at"] + F.octet_length(p["body"])
+    zeros = lambda n: F.repeat(F.lit("00"), n)
+    before = lambda i: F.when(i == 0, 0).otherwise(end(F.get("_p", i - 1)))
+    digits = F.array_join(F.transform("_p", lambda p, i: F.concat(zeros(p["at"] - before(i)), F.hex(p["body"]))), "")
+    tail = zeros(F.lit(bytes_per_frame) - F.coalesce(end(F.element_at("_p", -1)), F.lit(0)))
+    # the frames of a hole: in blocks, so that no row holds them all
+    blocks = F.explode(F.sequence(nothing, F.floor((F.col("_run") - 1) / _RUN)))
+    block = whole.withColumn("_b", blocks).withColumn("_f", F.explode(F.sequence(F.col("_b") * _RUN, F.least((F.col("_b") + 1) * _RUN, F.col("_run")) - 1)))
+    number = F.col("frame_no") + F.col("_f")
+    first, last = F.floor(number * size / payload), F.floor(((number + 1) * size - 1) / payload)
+    return block.select(
+        "capture", number.alias("frame_no"), F.unhex(F.concat(digits, tail)).alias("payload"), (last - first + 1 - F.size("_p")).cast("long").alias("missing_packets"))
 
 
 def packet_loss(packets: DataFrame) -> DataFrame:
@@ -139,12 +143,8 @@ def packet_loss(packets: DataFrame) -> DataFrame:
 
 def packet_gaps(packets: DataFrame, limit: int | None = ROWS_PER_TASK) -> DataFrame:
     """Each run of missing sequence numbers: capture, gap_start, gap_end."""
-    distinct = packets.select("capture", "seq").distinct()
-    around = reach(distinct, ["capture"], ["seq"], 1, False, limit)
-    prev = around.finish({"_prev": F.lag("seq", 1).over(around.window)})
-    return prev.filter(F.col("seq") - F.col("_prev") > 1).select(
-        "capture", (F.col("_prev") + 1).alias("gap_start"), (F.col("seq") - 1).alias("gap_end")
-    )
+    _, rows = _ordered(packets.select("capture", "seq").distinct(), limit)
+    return rows.filter(F.col("seq") - F.col("prev") > 1).select("capture", (F.col("prev") + 1).alias("gap_start"), (F.col("seq") - 1).alias("gap_end"))
 
 
 def split_card_log(files: DataFrame) -> DataFrame:
@@ -178,24 +178,39 @@ def read_card_logs(spark: SparkSession, path: str) -> DataFrame:
     return split_card_log(files.select(F.col("path").alias("capture"), "content"))
 
 
-def clean_capture(packets: DataFrame, limit: int | None = ROWS_PER_TASK, max_gap: int = MAX_GAP) -> DataFrame:
-    """Card packets in sequence order without holes: capture, seq, offset, payload, lost.
+def clean_capture(packets: DataFrame, limit: int | None = ROWS_PER_TASK) -> DataFrame:
+    """Card packets in sequence order with their holes: capture, seq, packets, size, offset, payload, lost.
 
-    A late packet takes its own place (the last arrival wins); a lost packet becomes zeros of
-    the size of the next packet received. The capture stays a table of segments with byte
-    offsets and is never joined into one value. Packets of damaged sequence numbers are left out.
+    A late packet takes its own place (the last arrival wins). A run of lost packets is one row (``packets`` of them from
+    ``seq`` on, each of the ``size`` of the next packet received, no payload), however long it is; numbers start at 1. The capture stays a
+    table of segments with byte offsets and is never joined into one value. ``filled`` makes the zeros.
     """
-    packets = without_strays(packets, max_gap, limit)
-    once = packets.groupBy("capture", "seq").agg(F.max_by("payload", "arrival").alias("payload"))
-    around = reach(once, ["capture"], ["seq"], 1, False, limit)
-    prev = around.finish({"_prev": F.lag("seq", 1).over(around.window)}).drop("_pos", "_n")
-    start = F.coalesce(F.col("_prev"), F.lit(0)) + 1
-    slots = prev.withColumn("_s", F.explode(F.sequence(start, F.col("seq"))))
-    lost = F.col("_s") < F.col("seq")
-    zeros = F.unhex(F.repeat(F.lit("00"), F.octet_length("payload")))
-    filled = slots.select("capture", F.col("_s").alias("seq"), F.when(lost, zeros).otherwise(F.col("payload")).alias("payload"), lost.alias("lost"))
-    summed = running_sums(filled, ["capture"], ["seq"], {"_end": F.octet_length("payload")}, limit)
-    return summed.withColumn("offset", F.col("_end") - F.octet_length("payload")).drop("_end")
+    once = packets.groupBy("capture", "seq").agg(F.max_by("payload", "arrival").alias("payload")).withColumn("size", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long"))
+    cut = Cells(once, ["capture"], ["seq"], limit)
+    inside = F.lag("seq").over(cut.window)
+    rows = cut.rows.withColumns({"_inside": inside, "_bytes": F.coalesce((F.col("seq") - inside) * F.col("size"), F.lit(0))})
+    # a cell's first row reaches back over the hole before it
+    cells = cut.summary(rows, _sum=F.sum("_bytes"), _low=F.min("seq"), _high=F.max("seq"), _size=F.min_by("size", "_seq"))
+    cells = cells.withColumn("_before", F.coalesce(F.lag("_high").over(cut.cells), F.lit(0)))
+    cells = cells.withColumn("_border", (F.col("_low") - F.col("_before")) * F.col("_size"))
+    base = F.coalesce(F.sum(F.col("_sum") + F.col("_border")).over(cut.before), F.lit(0)) + F.col("_border")
+    placed = rows.join(cells.select("_cell", "_before", base.alias("_base")), "_cell").withColumns({
+        "prev": F.coalesce("_inside", "_before"), "_end": F.col("_base") + F.sum("_bytes").over(cut.so_far)})
+    lost = F.col("seq") - 1 - F.col("prev")
+    span = (lost + 1) * F.col("size")
+    segment = lambda seq, n, at, body, gone: F.struct(seq.alias("seq"), n.alias("packets"), F.col("size"), at.alias("offset"), body.alias("payload"), F.lit(gone).alias("lost"))
+    own = F.array(segment(F.col("seq"), F.lit(1).cast("long"), F.col("_end") - F.col("size"), F.col("payload"), False))
+    hole = F.array(segment(F.col("seq") - lost, lost, F.col("_end") - span, F.lit(None).cast("binary"), True))
+    return placed.select("capture", F.explode(F.when(lost > 0, F.concat(hole, own)).otherwise(own)).alias("s")).select("capture", "s.*")
+
+
+def filled(segments: DataFrame) -> DataFrame:
+    """The segments of ``clean_capture`` as a row per packet, lost ones as zeros: capture, seq, offset, payload, lost."""
+    nothing = F.lit(0).cast("long")
+    blocks = segments.withColumn("_b", F.explode(F.sequence(nothing, F.floor((F.col("packets") - 1) / _RUN))))
+    every = blocks.withColumn("_i", F.explode(F.sequence(F.col("_b") * _RUN, F.least((F.col("_b") + 1) * _RUN, F.col("packets")) - 1)))
+    zeros = F.unhex(F.repeat(F.lit("00"), F.col("size").cast("int")))
+    return every.select("capture", (F.col("seq") + F.col("_i")).alias("seq"), (F.col("offset") + F.col("_i") * F.col("size")).alias("offset"), F.when(F.col("lost"), zeros).otherwise(F.col("payload")).alias("payload"), "lost")
 
 
 def decode_offset_binary(files: DataFrame, chirps: int, antennas: int, samples: int, iq: bool = True, body: str = "content") -> DataFrame:

@@ -236,12 +236,36 @@ def test_window_streams(spark, tmp_path):
     assert mean and mean[0].frames == 20
 
 
-def test_damaged_sequence_number(spark):
-    rows = [("c", i, seq, 8 * i, bytes([i] * 8)) for i, seq in enumerate([1, 2, 3, 4, 3_000_000])] + [(None, i, i, 0, bytes([9] * 8)) for i in range(5)]
-    df = spark.createDataFrame(rows, "capture string, arrival long, seq long, byte_count long, payload binary")
-    frames = pk.assemble_frames(df, 16, 8).collect()
-    assert sorted((r.capture is None, r.frame_no, bytes(r.payload)[0]) for r in frames) == [(False, 0, 0), (False, 1, 2), (True, 0, 9), (True, 1, 9)]
-    assert pk.clean_capture(df).filter("capture = 'c'").count() == 4
+PACKET = "capture string, arrival long, seq long, byte_count long, payload binary"
+
+
+def test_far_sequence_numbers_lose_nothing(spark):
+    """Two packets a million numbers apart, two neighbouring damaged numbers, a packet before a long outage, a NULL capture."""
+    seqs = {"far": [1, 1_000_001], "damaged": [1, 2, 3, 4, 3_000_000, 3_000_001], "outage": [5, 200_005, 200_006, 200_007], None: range(5)}
+    rows = [(c, i, seq, 8 * i, bytes([i + 1] * 8)) for c, own in seqs.items() for i, seq in enumerate(own)]
+    df = spark.createDataFrame(rows, PACKET)
+    frames = pk.assemble_frames(df, 16, 8, limit=2)
+    held = frames.filter(F.hex("payload").rlike("[1-9]")).collect()
+    got = {(r.capture, r.frame_no): (bytes(r.payload), r.missing_packets) for r in held}
+    assert got["far", 0] == (bytes([1] * 8 + [0] * 8), 1) and got["damaged", 0][0] == bytes([1] * 8 + [2] * 8) and got["damaged", 1][0] == bytes([3] * 8 + [4] * 8)
+    assert got["damaged", 1_499_999] == (bytes([0] * 8 + [5] * 8), 1) and got["outage", 100_000] == (bytes([2] * 8 + [3] * 8), 0) and got[None, 1] == (bytes([3] * 8 + [4] * 8), 0)
+    counts = {r.capture: r["count"] for r in frames.groupBy("capture").count().collect()}
+    assert counts == {"far": 500_000, "damaged": 1_500_000, "outage": 100_001, None: 2}
+    assert frames.filter("capture = 'far'").agg(F.sum("missing_packets")).first()[0] == 999_999
+    clean = pk.clean_capture(df, limit=2)
+    assert {(r.seq, r.packets, r.offset) for r in clean.filter("capture = 'far'").collect()} == {(1, 1, 0), (2, 999_999, 8), (1_000_001, 1, 8_000_000)}
+    assert {(r.seq, r.packets, r.lost) for r in clean.filter("capture = 'outage'").collect()} == {(1, 4, True), (5, 1, False), (6, 199_999, True), (200_005, 1, False), (200_006, 1, False), (200_007, 1, False)}
+    zeros = pk.filled(clean.filter("capture = 'far'"))
+    assert zeros.count() == 1_000_001 and zeros.filter("offset <> (seq - 1) * 8").count() == 0
+    assert {(r.capture, r.seq) for r in pk.lone_packets(df, 1 << 16, limit=2).collect()} == {("far", 1), ("far", 1_000_001), ("outage", 5)}
+
+
+def test_repeated_packets(spark):
+    df = spark.createDataFrame([("c", i, seq, 0, bytes([i] * 8)) for i, seq in enumerate([1, 2, 2, 3, 1])], PACKET)
+    assert {(r.seq, r.arrival, r.used_arrival) for r in pk.repeated_packets(df).collect()} == {(2, 2, 1), (1, 4, 0)}
+    assert {(r.seq, r.arrival, r.used_arrival) for r in pk.repeated_packets(df, "last").collect()} == {(2, 1, 2), (1, 0, 4)}
+    assert [bytes(r.payload)[0] for r in pk.assemble_frames(df, 8, 8).orderBy("frame_no").collect()] == [0, 1, 3]
+    assert [bytes(r.payload)[0] for r in pk.clean_capture(df).orderBy("seq").collect()] == [4, 2, 3]
 
 
 def test_card_and_offset_files(spark, tmp_path):
