@@ -1,9 +1,9 @@
 """Passive radar: channel preparation, adaptive filters, cross-ambiguity maps.
 
-A coherent processing interval (CPI) is one row: parallel sample arrays of the
-reference and the surveillance channel (``ref_re, ref_im, surv_re, surv_im``). Its
-length is fixed by the recording set-up, so a row is bounded and CPIs are independent;
-Spark spreads them, and the kernels below each work on one row.
+A coherent processing interval (CPI) comes as one row: parallel sample arrays of the
+reference and the surveillance channel (``ref_re, ref_im, surv_re, surv_im``). Filters,
+correlations and ambiguity maps cut it into blocks (``intervals``), which also take
+intervals too long for a row; beams and batched maps work on the rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rangelake.functions.kernels import COMPLEX_VECTOR, _lists, _pack_complex
 from rangelake.functions.tapers import IQ_NAMES, taper
+from rangelake.operators import intervals as iv
 from rangelake.operators.ordered import ROWS_PER_TASK, reach
 
 PAIR = ["ref_re", "ref_im", "surv_re", "surv_im"]
@@ -36,20 +37,6 @@ def _pair_kernel(fn):
     return F.arrow_udf(run, returnType=COMPLEX_VECTOR)
 
 
-def _pair_kernel_k(fn):
-    """Like :func:`_pair_kernel` with one integer column as a per-row parameter."""
-
-    def run(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, k: pa.Array) -> pa.Array:
-        ref_r, ref_i, sv_r, sv_i = (_lists(x) for x in (a, b, c, d))
-        out = [
-            np.asarray(fn(ref_r[i] + 1j * ref_i[i], sv_r[i] + 1j * sv_i[i], int(kk)), dtype=complex).ravel()
-            for i, kk in enumerate(k.to_pylist())
-        ]
-        return _pack_complex(out)
-
-    return F.arrow_udf(run, returnType=COMPLEX_VECTOR)
-
-
 # --- channel preparation -------------------------------------------------------------
 
 
@@ -105,60 +92,16 @@ def _lagged(y: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(y, size) * np.fft.fft(x, size).conj())[:k]
 
 
-#: Samples whose delayed copies are held at a time.
-BLOCK = 1 << 15
-
-
-def _copies(r: np.ndarray, t: np.ndarray, delay: np.ndarray, doppler: np.ndarray) -> np.ndarray:
-    """r[t - delay] e^(i pi doppler t / N), one line per (delay, Doppler); zero outside the interval."""
-    source = t - delay[:, None]
-    inside = (source >= 0) & (source < len(r))
-    lines = np.where(inside, r[np.clip(source, 0, len(r) - 1)], 0)
-    return lines * np.exp(1j * np.pi / len(r) * doppler[:, None] * t) if doppler.any() else lines
-
-
-def _normal_equations(r: np.ndarray, s: np.ndarray, delay: np.ndarray, doppler: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inner products of the copies with each other and with ``s`` over samples low..high, summed block by block."""
-    gram, cross = np.zeros((len(delay), len(delay)), complex), np.zeros(len(delay), complex)
-    for start in range(low, high, BLOCK):
-        t = np.arange(start, min(start + BLOCK, high))
-        lines = _copies(r, t, delay, doppler)
-        gram += lines.conj() @ lines.T
-        cross += lines.conj() @ np.where((t >= 0) & (t < len(s)), s[np.clip(t, 0, len(s) - 1)], 0)
-    return gram, cross
-
-
-def _projected_out(r: np.ndarray, s: np.ndarray, delay: np.ndarray, doppler: np.ndarray, batches: int = 1, margin: int = 0) -> np.ndarray:
-    """What of ``s`` is orthogonal to the copies, batch by batch; weights are fitted ``margin`` samples wider."""
-    size, rest = divmod(len(r), batches)
-    if rest:
-        raise ValueError("the interval is not a multiple of the batch count")
-    if delay.max() > size:
-        raise ValueError("a delay exceeds the batch")
-    out = s.astype(complex)
-    for low in range(0, len(r), size):
-        weights = np.linalg.solve(*_normal_equations(r, s, delay, doppler, low - margin, low + size + margin))
-        for start in range(low, low + size, BLOCK):
-            t = np.arange(start, min(start + BLOCK, low + size))
-            out[t] -= weights @ _copies(r, t, delay, doppler)
-    return out
-
-
-def _split(df: DataFrame, z: Column, keys: Sequence[str], axis: str) -> DataFrame:
-    return df.withColumn("_z", z).select(
-        *keys, F.posexplode(F.arrays_zip(F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))).alias(axis, "z")
-    ).select(*keys, F.col(axis).cast("long").alias(axis), F.col("z.re").alias("re"), F.col("z.im").alias("im"))
-
-
 def xcorr(pairs: DataFrame, keys: Sequence[str], k: int, normalize: bool = True) -> DataFrame:
     """Cross-correlation vector: sum of ref[n - lag] * conj(surv[n]), divided by N: keys, lag, re, im."""
-    z = _pair_kernel(lambda r, s: _lagged(s, r, k).conj() / (len(r) if normalize else 1))
-    return _split(pairs, z(*PAIR), keys, "lag")
+    lags = iv.cross_correlation(iv.blocks_of(pairs.select(*keys, *PAIR)), keys, k)
+    scale = F.col("n") if normalize else F.lit(1)
+    return lags.select(*keys, "lag", (F.col("re") / scale).alias("re"), (-F.col("im") / scale).alias("im"))
 
 
 def pruned_correlation(pairs: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """First ``k`` lags of the correlation: sum of surv[n + lag] * conj(ref[n])."""
-    return _split(pairs, _pair_kernel(lambda r, s: _lagged(s, r, k))(*PAIR), keys, "lag")
+    return iv.cross_correlation(iv.blocks_of(pairs.select(*keys, *PAIR)), keys, k).drop("n")
 
 
 def corr_matrix(pairs: DataFrame, keys: Sequence[str], k: int, toeplitz: bool = False) -> DataFrame:
@@ -166,57 +109,27 @@ def corr_matrix(pairs: DataFrame, keys: Sequence[str], k: int, toeplitz: bool =
 
     ``toeplitz`` estimates the first column only and completes the Hermitian-Toeplitz rest.
     """
-
-    def full(r, _):
-        lags = np.arange(k)
-        return _normal_equations(r, r, lags, 0 * lags, 0, len(r))[0] / len(r)
-
-    def completed(r, _):
-        return _toeplitz(_lagged(r, r, k)) / len(r)
-
-    cells = _split(pairs, _pair_kernel(completed if toeplitz else full)(*PAIR), keys, "cell")
-    return cells.select(*keys, F.expr(f"cell div {k}").alias("row"), (F.col("cell") % k).alias("col"), "re", "im")
-
-
-def _toeplitz(first: np.ndarray) -> np.ndarray:
-    lag = np.subtract.outer(np.arange(len(first)), np.arange(len(first)))
-    return np.where(lag >= 0, first[np.abs(lag)], first[np.abs(lag)].conj())
+    return iv.correlation_matrix(iv.blocks_of(pairs.select(*keys, *PAIR)), keys, k, toeplitz)
 
 
 # --- adaptive filters ----------------------------------------------------------------
 
 
-def _replace_surv(pairs: DataFrame, z: Column, out: str) -> DataFrame:
-    named = pairs.withColumn("_f", z)
-    return named.withColumns({f"{out}_re": F.col("_f.re"), f"{out}_im": F.col("_f.im")}).drop("_f")
-
-
-def _fir(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    size = 1 << int(np.ceil(np.log2(len(x) + len(w))))
-    return np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(w, size))[: len(x)]
-
-
-def _smi(r: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
-    return _projected_out(r, s, np.arange(k), np.zeros(k, int))
-
-
-def _smi_mre(r: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
-    w = np.linalg.solve(_toeplitz(_lagged(r, r, k)), _lagged(s, r, k))
-    return s - _fir(r, w)
-
-
-def _dims(k: int | Column) -> Column:
-    return F.lit(k) if isinstance(k, int) else k
+def _in_blocks(pairs: DataFrame, k: int | Column, out: str, **how) -> DataFrame:
+    """Intervals that came as one row each, filtered in blocks and joined again. The other columns name an interval."""
+    keys = iv.keys_of(pairs)
+    done = iv.project_out(iv.blocks_of(pairs), keys, k, out=out, **how)
+    return iv.gathered(done, keys, list(dict.fromkeys([*PAIR, f"{out}_re", f"{out}_im"])))
 
 
 def wiener_smi(pairs: DataFrame, k: int | Column, out: str = "surv") -> DataFrame:
     """Wiener filter by inversion of the full sample correlation matrix."""
-    return _replace_surv(pairs, _pair_kernel_k(_smi)(*PAIR, _dims(k)), out)
+    return _in_blocks(pairs, k, out)
 
 
 def wiener_smi_mre(pairs: DataFrame, k: int | Column, out: str = "surv") -> DataFrame:
     """Wiener filter whose matrix is completed from its first column."""
-    return _replace_surv(pairs, _pair_kernel_k(_smi_mre)(*PAIR, _dims(k)), out)
+    return _in_blocks(pairs, k, out, toeplitz=True)
 
 
 def eca(pairs: DataFrame, delays: int | Column, dopplers: int, batches: int = 1, margin: int = 0, out: str = "surv") -> DataFrame:
@@ -224,14 +137,7 @@ def eca(pairs: DataFrame, delays: int | Column, dopplers: int, batches: int = 1,
 
     Weights are fitted on the batch widened by ``margin`` samples on both sides.
     """
-
-    lines = np.arange(-dopplers, dopplers + 1)
-
-    def run(r, s, k):
-        doppler, delay = (x.ravel() for x in np.meshgrid(lines, np.arange(k), indexing="ij"))
-        return _projected_out(r, s, delay, doppler, batches, margin)
-
-    return _replace_surv(pairs, _pair_kernel_k(run)(*PAIR, _dims(delays)), out)
+    return _in_blocks(pairs, delays, out, dopplers=dopplers, batches=batches, margin=margin)
 
 
 def time_filter(pairs: DataFrame, method: str, k: int | Column, dopplers: int = 0, out: str = "surv") -> DataFrame:
@@ -314,37 +220,20 @@ def beamform(
 # --- cross-ambiguity -----------------------------------------------------------------
 
 
-def _caf_rows(r: np.ndarray, s: np.ndarray, turns: np.ndarray, r_max: int) -> np.ndarray:
-    """Rows per Doppler line: sum_n conj(r[n] e^{j turns n}) s[n + tau], tau < r_max."""
-    size = 1 << int(np.ceil(np.log2(len(r) + r_max)))
-    spectrum = np.fft.fft(s, size)
-    n = np.arange(len(r))
-    out = np.empty((len(turns), r_max), dtype=complex)
-    for i, turn in enumerate(turns):
-        out[i] = np.fft.ifft(spectrum * np.fft.fft(r * np.exp(1j * turn * n), size).conj())[:r_max]
-    return out
-
-
-def _caf_cells(pairs: DataFrame, keys: Sequence[str], z: Column, r_max: int) -> DataFrame:
-    cells = _split(pairs, z, keys, "cell")
-    return cells.select(*keys, F.expr(f"cell div {r_max}").alias("doppler_bin"), (F.col("cell") % r_max).alias("range_bin"), "re", "im")
-
-
 def caf_td(pairs: DataFrame, keys: Sequence[str], fs: float, f_max: float, f_step: float, r_max: int) -> DataFrame:
     """Cross-ambiguity on an explicit Doppler grid -f_max..f_max: keys, doppler_bin, range_bin, re, im."""
     freqs = np.linspace(-f_max, f_max, int(round(2 * f_max / f_step)) + 1)
-    turns = 2 * np.pi * freqs / fs
-    return _caf_cells(pairs, keys, _pair_kernel(lambda r, s: _caf_rows(r, s, turns, r_max))(*PAIR), r_max)
+    return iv.ambiguity(iv.blocks_of(pairs.select(*keys, *PAIR)), keys, lambda n: 2 * np.pi * freqs / fs, r_max)
 
 
 def caf_fd(pairs: DataFrame, keys: Sequence[str], fs: float, f_max: float, r_max: int) -> DataFrame:
     """Cross-ambiguity with Doppler lines fs / (2N) apart, both signs, as many as f_max holds."""
 
-    def run(r, s):
-        half = int(2 * len(r) * f_max / fs)
-        return _caf_rows(r, s, np.pi / len(r) * np.arange(-half, half + 1), r_max)
+    def turns(n: int) -> np.ndarray:
+        half = int(2 * n * f_max / fs)
+        return np.pi / n * np.arange(-half, half + 1)
 
-    return _caf_cells(pairs, keys, _pair_kernel(run)(*PAIR), r_max)
+    return iv.ambiguity(iv.blocks_of(pairs.select(*keys, *PAIR)), keys, turns, r_max)
 
 
 def _batch_products(pairs: DataFrame, keys: Sequence[str], r_max: int) -> DataFrame:

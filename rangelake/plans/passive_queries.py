@@ -95,7 +95,25 @@ def wiener_one_tap(spark, sf):
     return _surv_long(pv.wiener_smi(ad.iq_pairs(spark, sf), 1))
 
 
-@query("wiener_smi")
+def _projected(taps: int, dopplers: int) -> str:
+    """The copies are taken out one after another (Gram-Schmidt): of the channel and of the copies that are left."""
+    minus = lambda x, q, dot: f"""struct_pack(
+      re := list_transform({x}.re, lambda v, i: v - ({dot}.a * {q}.re[i] - {dot}.b * {q}.im[i])), im := list_transform({x}.im, lambda v, i: v - ({dot}.a * {q}.im[i] + {dot}.b * {q}.re[i])))"""
+    dot = lambda q, x: f"""struct_pack(
+      a := (list_inner_product({q}.re, {x}.re) + list_inner_product({q}.im, {x}.im)) / (list_inner_product({q}.re, {q}.re) + list_inner_product({q}.im, {q}.im)),
+      b := (list_inner_product({q}.re, {x}.im) - list_inner_product({q}.im, {x}.re)) / (list_inner_product({q}.re, {q}.re) + list_inner_product({q}.im, {q}.im)))"""
+    return f"""WITH RECURSIVE p AS ({PAIRS}),
+c AS (SELECT p.cpi, t.v AS n, d.v AS d, j.v AS j, COALESCE(q.rr, 0) AS r, COALESCE(q.ri, 0) AS i, pi() * d.v * t.v / 320 AS a FROM (SELECT DISTINCT cpi FROM p) p, (SELECT unnest(range(0, 320)) AS v) t,
+  (SELECT unnest(range({-dopplers}, {dopplers + 1})) AS v) d, (SELECT unnest(range(0, {taps})) AS v) j LEFT JOIN p q ON q.cpi = p.cpi AND q.n = t.v - j.v),
+l AS (SELECT cpi, d, j, struct_pack(re := list(r * cos(a) - i * sin(a) ORDER BY n), im := list(r * sin(a) + i * cos(a) ORDER BY n)) AS q FROM c GROUP BY 1, 2, 3),
+w AS (
+  SELECT l.cpi, list(q ORDER BY d, j) AS qs, any_value(s.s) AS s FROM l JOIN (SELECT cpi, struct_pack(re := list(sr ORDER BY n), im := list(si ORDER BY n)) AS s FROM p GROUP BY 1) s ON s.cpi = l.cpi GROUP BY 1
+  UNION ALL
+  SELECT cpi, list_transform(qs[2:], lambda q: {minus("q", "h", dot("h", "q"))}), {minus("s", "h", "ds")} FROM (SELECT *, {dot("h", "s")} AS ds FROM (SELECT *, qs[1] AS h FROM w WHERE len(qs) > 0)))
+SELECT cpi, n, round(s.re[n + 1], 4) + 0.0 AS re, round(s.im[n + 1], 4) + 0.0 AS im FROM w, (SELECT unnest(range(0, 320)) AS n) WHERE len(qs) = 0"""
+
+
+@query("wiener_smi", _projected(8, 0))
 def wiener_smi(spark, sf):
     return _surv_long(pv.wiener_smi(ad.iq_pairs(spark, sf), 8))
 
@@ -122,7 +140,7 @@ def eca_batches_one_tap(spark, sf):
     return _surv_long(pv.eca(ad.iq_pairs(spark, sf), 1, 0, batches=4, margin=10))
 
 
-@query("eca_subspace")
+@query("eca_subspace", _projected(4, 1))
 def eca_subspace(spark, sf):
     return _surv_long(pv.time_filter(ad.iq_pairs(spark, sf), "ECA", 4, 1))
 

@@ -13,7 +13,7 @@ SQL = {k: s for k, s in entry.oracle_sql().items() if k in QUERIES}
 
 # where the values of a query without SQL are compared
 BY_VALUE = {
-    "wiener_smi": "test_clutter_filters", "eca_subspace": "test_clutter_filters", "capon_peaks": "test_capon_peaks", "music_peaks": "test_music_peaks",
+    "capon_peaks": "test_capon_peaks", "music_peaks": "test_music_peaks",
     "root_music_angles": "test_root_music_and_esprit_angles", "esprit_angles": "test_root_music_and_esprit_angles", "adaptive_beams": "test_adaptive_beams",
     "filter_size_sweep": "test_filter_sweep_energy", "mixed_positions_bartlett": "test_mixed_positions_bartlett", "mixed_positions_capon": "test_spectrum_peaks_at_the_angle",
     "capon_point_cloud": "test_capon_recipe_finds_moving_target_only", "doppler_point_cloud": "test_doppler_recipe_needs_three_transmitters", "raw_scorecard": "test_filter_sweep_energy",
