@@ -31,8 +31,6 @@ K1, B = 1.2, 0.75
 WIDTH, BRANCHES, SAMPLE, MOST_SAMPLE = 256, 64, 32, 1 << 16
 #: Bytes of remainders that a task deals at once.
 GATHERED = 16 << 20
-#: Encoded stretches that a worker remembers; only speed depends on it.
-MEMORY = 300_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 13, 32]] = True
@@ -54,7 +52,8 @@ class Encoder:
     default; without, they are ordinary text.
 
     Equal stretches between white space are encoded once a slice. No token spans the place where white space follows
-    other characters, so the stretches' ids in a row are the ids of the text. The merges are run by ``tiktoken`` on the
+    other characters, so the stretches' ids in a row are the ids of the text. For the same reason the different stretches of
+    a slice are encoded as one text and told apart by the bytes of their tokens. The merges are run by ``tiktoken`` on the
     file's own vocabulary (ids in the order of the merges): the ids are those of ``tokenizers``, at a fifth of the time.
     """
 
@@ -71,7 +70,8 @@ class Encoder:
         # fixed value: the pattern that byte-level vocabularies of this format are split by
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.run = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[int, bytes] = {}
+        self.bytes_of = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
         own = file["added_tokens"] if added else []
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] and file["normalizer"] for t in own):
             raise NotImplementedError("added tokens that take white space, whole words or normalised text")
@@ -85,6 +85,25 @@ class Encoder:
             cls._loaded[path, added] = cls(path, added)
         return cls._loaded[path, added]
 
+    def _stretches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each stretch has, and all ids in a row."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        last, before = data[ends - 1], data[np.maximum(ends - 2, starts)]
+        apart = _WHITE[data[starts]] & (_SOLID[last] | (before == 0xC3) & (last >= 0x80))
+        wide = (ends - starts)[apart]
+        at = np.cumsum(wide)
+        text = data[np.arange(at[-1] if len(at) else 0) + np.repeat(starts[apart] - at + wide, wide)].tobytes().decode()
+        ids = np.array(self.run(text), np.uint16)
+        stop = np.searchsorted(np.cumsum(self.bytes_of[ids]), at) + 1
+        alone = [np.array(self.run(data[x:y].tobytes().decode()), np.uint16) for x, y in zip(starts[~apart].tolist(), ends[~apart].tolist())]
+        size = np.empty(len(starts), np.int64)
+        size[apart], size[~apart] = np.diff(stop, prepend=0), [len(x) for x in alone]
+        begin = np.empty(len(starts), np.int64)
+        begin[apart], begin[~apart] = stop - size[apart], len(ids) + np.cumsum(size[~apart]) - size[~apart]
+        flat, end = np.concatenate([ids, *alone]), np.cumsum(size)
+        return size, flat[np.arange(end[-1]) + np.repeat(begin - end + size, size)]
+
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """16-bit ids of each text, without an end."""
         data, offsets = words.flat(column)
@@ -106,20 +125,11 @@ class Encoder:
                         edge[[m.start(), m.end()]] = True
             cuts = np.flatnonzero(edge)
             starts, ends = (cuts[:-1], cuts[1:]) if len(part) else (cuts[:0], cuts[:0])
-            found, first, which = np.unique(words.hashes(part, starts, ends), return_index=True, return_inverse=True)
-            ids = []
-            for h, a, b in zip(found.tolist(), starts[first].tolist(), ends[first].tolist()):
-                own = self.known.get(h)
-                if own is None:
-                    own = np.array(self.run(part[a:b].tobytes().decode()), np.uint16).tobytes()
-                    if len(self.known) < MEMORY:
-                        self.known[h] = own
-                ids.append(own)
+            _, first, which = np.unique(words.hashes(part, starts, ends), return_index=True, return_inverse=True)
+            size, flat = self._stretches(part, starts[first], ends[first])
             if special:
-                which[np.searchsorted(starts, list(special))] = len(ids) + np.arange(len(special))
-                ids += [np.array([i], np.uint16).tobytes() for i in special.values()]
-            size = np.array([len(x) for x in ids], np.int64) // 2
-            flat = np.frombuffer(b"".join(ids), np.uint16)
+                which[np.searchsorted(starts, list(special))] = len(size) + np.arange(len(special))
+                size, flat = np.append(size, np.ones(len(special), np.int64)), np.append(flat, np.array(list(special.values()), np.uint16))
             size, begin = size[which], (np.cumsum(size) - size)[which]
             end = np.cumsum(size)
             out = flat[np.arange(end[-1] if len(end) else 0) - np.repeat(end - size - begin, size)]
