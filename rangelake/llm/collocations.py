@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,39 +134,48 @@ def _sorted_counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.diff(np.append(first, len(key)))
 
 
-def _numbered(text: pa.Table, ids: pa.Table) -> np.ndarray:
+def _numbered_slices(slices: DataFrame, ids: DataFrame) -> DataFrame:
+    """(slice, text, places, ids): the slices with the global numbers of their frequent words, as 32- and 64-bit integers in a row."""
+
+    def run(key: tuple, own: pa.Table) -> pa.Table:
+        return pa.table([pa.array([key[0].as_py()]), *(pa.array([own.column(c).to_numpy().tobytes()]) for c in ("place", "id"))], ["slice", "places", "ids"])
+
+    packed = ids.groupBy("slice").applyInArrow(run, "slice long, places binary, ids binary")
+    return slices.select("slice", "text").join(packed.hint("merge"), "slice")
+
+
+def _numbers(text: pa.BinaryScalar, places: pa.BinaryScalar, ids: pa.BinaryScalar) -> np.ndarray:
     """The words of a slice by their global numbers; -1 where a piece begins or a word is rare."""
-    code = packs.unpack(text.column("text").combine_chunks()[0]).column("code").combine_chunks().to_numpy()
+    code = packs.unpack(text).column("code").combine_chunks().to_numpy()
     known = np.full(int(code.max(initial=-1)) + 2, -1, np.int64)
-    known[ids.column("place").to_numpy()] = ids.column("id").to_numpy()
+    known[np.frombuffer(places.as_buffer(), np.int32)] = np.frombuffer(ids.as_buffer(), np.int64)
     return known[code]  # code -1 reads the last value, which stays -1
 
 
-def _pair_rows(slices: DataFrame, ids: DataFrame) -> DataFrame:
+def _pair_rows(slices: DataFrame) -> DataFrame:
     """(a, b, n, slice): the distinct pairs of frequent words of each slice, in prefix order."""
 
-    def run(key: tuple, text: pa.Table, own: pa.Table) -> pa.Table:
-        if not text.num_rows or not own.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n", "slice")})
-        word = _numbered(text, own)
-        good = (word[:-1] >= 0) & (word[1:] >= 0)
-        pairs, n = _sorted_counts(np.column_stack([word[:-1][good], word[1:][good]]))
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64)), pa.repeat(key[0], len(n))], ["a", "b", "n", "slice"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                word = _numbers(*(batch.column(c)[k] for c in ("text", "places", "ids")))
+                good = (word[:-1] >= 0) & (word[1:] >= 0)
+                pairs, n = _sorted_counts(np.column_stack([word[:-1][good], word[1:][good]]))
+                whole = pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64)), pa.repeat(batch.column("slice")[k], len(n))], ["a", "b", "n", "slice"])
+                for low in range(0, len(n), 1 << 16):
+                    yield whole.slice(low, 1 << 16)
 
-    texts = slices.select("slice", "text").groupBy("slice")
-    return texts.cogroup(ids.groupBy("slice")).applyInArrow(run, "a long, b long, n long, slice long")
+    return slices.mapInArrow(run, "a long, b long, n long, slice long")
 
 
-def _triple_rows(slices: DataFrame, ids: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(a, b, c, n): the distinct triples of each slice whose two pairs are both frequent. ``frequent`` names them by slice."""
+def _triple_rows(slices: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(a, b, c, n): the distinct triples of each slice whose two pairs are both frequent. ``frequent`` names those by slice."""
 
-    def run(key: tuple, text: pa.Table, told: pa.Table) -> pa.Table:
-        none = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "c", "n")})
-        pairs = told.filter(pc.is_null(told.column("place")))
-        if not text.num_rows or not pairs.num_rows:
-            return none
-        word = _numbered(text, told.filter(pc.is_valid(told.column("place"))))
-        before, after = (np.concatenate([c.flatten().to_numpy() for c in pairs.column(k).chunks]) for k in ("firsts", "seconds"))
+    def run(text: pa.Table, told: pa.Table) -> pa.Table:
+        if not text.num_rows or not told.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "c", "n")})
+        word = _numbers(*(text.column(c).combine_chunks()[0] for c in ("text", "places", "ids")))
+        before, after = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in told.column(c).combine_chunks()]) for c in ("firsts", "seconds"))
         # frequent pairs in order; a pair of numbers becomes one number by the places of the words among those of the slice
         names = np.unique(word)
         rank = np.searchsorted(names, word)
@@ -175,34 +183,30 @@ def _triple_rows(slices: DataFrame, ids: DataFrame, frequent: DataFrame) -> Data
         two = rank[:-1] * len(names) + rank[1:]
         good = ok[np.minimum(np.searchsorted(ok, two), len(ok) - 1)] == two
         good = good[:-1] & good[1:]
-        if not good.any():
-            return none
         triples, n = _sorted_counts(np.column_stack([word[:-2][good], word[1:-1][good], word[2:][good]]))
         return pa.table([pa.array(triples[:, 0]), pa.array(triples[:, 1]), pa.array(triples[:, 2]), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
 
-    told = ids.select("slice", "place", "id").unionByName(frequent.select("slice", "firsts", "seconds"), allowMissingColumns=True)
-    return slices.select("slice", "text").groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(run, "a long, b long, c long, n long")
+    return slices.groupBy("slice").cogroup(frequent.groupBy("slice")).applyInArrow(run, "a long, b long, c long, n long")
 
 
 #: Entries of (pair, slice) that a task holds before it hands them on, sorted by slice.
 _TOLD = 1 << 20
 
 
-def _by_slice(told: list[np.ndarray]) -> pa.Table:
-    """(a, b, slice) entries as one row a slice with arrays of its pairs."""
+def _by_slice(told: list[np.ndarray]) -> pa.RecordBatch:
+    """(a, b, slice) entries as one row a slice; its pairs are 64-bit integers in a row."""
     entries = np.concatenate(told)
     entries = entries[np.argsort(entries[:, 2], kind="stable")]
     first = np.flatnonzero(np.diff(entries[:, 2], prepend=-1))
-    at = pa.array(np.append(first, len(entries)).astype(np.int32))
     none = pa.nulls(len(first), pa.int64())
-    pairs = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(entries[:, k]))) for k in (0, 1)]
-    return pa.table([none, none, none, pa.array(entries[first, 2]), *pairs], ["a", "b", "n", "slice", "firsts", "seconds"])
+    pairs = [pa.array([entries[x:y, k].tobytes() for x, y in zip(first, [*first[1:], len(entries)])], pa.binary()) for k in (0, 1)]
+    return pa.record_batch([none, none, none, pa.array(entries[first, 2]), *pairs], ["a", "b", "n", "slice", "firsts", "seconds"])
 
 
 def _merged(rows: DataFrame, keys: list[str], least: int, tell: bool) -> DataFrame:
     """Totals of the keys of a stream that reach ``least``: the keys and ``n``.
 
-    With ``tell`` (pairs only) there are further rows that name the frequent pairs of a slice: ``slice`` and the arrays ``firsts``, ``seconds``.
+    With ``tell`` (pairs only) there are further rows that name the frequent pairs of a slice: ``slice`` and ``firsts``, ``seconds``.
     Reads the sorted stream once; the open key goes over from batch to batch.
     """
     columns = [*keys, "n", *(["slice"] if tell else [])]
@@ -214,7 +218,7 @@ def _merged(rows: DataFrame, keys: list[str], least: int, tell: bool) -> DataFra
         told: list[np.ndarray] = []
 
         def totals(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            more = [pa.nulls(len(n), pa.int64()), *[pa.nulls(len(n), pa.list_(pa.int64()))] * 2] if tell else []
+            more = [pa.nulls(len(n), pa.int64()), *[pa.nulls(len(n), pa.binary())] * 2] if tell else []
             names = [*columns, *(["firsts", "seconds"] if tell else [])]
             yield pa.record_batch([pa.array(np.ascontiguousarray(key[:, k])) for k in range(len(keys))] + [pa.array(n.astype(np.int64)), *more], names)
 
@@ -239,7 +243,7 @@ def _merged(rows: DataFrame, keys: list[str], least: int, tell: bool) -> DataFra
                 often = np.repeat(sums >= least, np.diff(np.append(first, len(key))))
                 told.append(np.column_stack([key, table.column("slice").to_numpy()])[often])
                 if sum(map(len, told)) >= _TOLD:
-                    yield from _by_slice(told).to_batches()
+                    yield _by_slice(told)
                     told = []
             # the last key may go on in the next batch
             open_key, above = None, 0
@@ -253,9 +257,9 @@ def _merged(rows: DataFrame, keys: list[str], least: int, tell: bool) -> DataFra
         if open_key is not None:
             yield from totals(np.array([open_key]), np.array([above]))
         if sum(map(len, told)):
-            yield from _by_slice(told).to_batches()
+            yield _by_slice(told)
 
-    names = ", ".join(f"{c} long" for c in columns) + (", firsts array<long>, seconds array<long>" if tell else "")
+    names = ", ".join(f"{c} long" for c in columns) + (", firsts binary, seconds binary" if tell else "")
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, names)
 
 
@@ -276,15 +280,16 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP, slic
     sizes = packs.stored(word_rows.groupBy("lang").agg(F.sum("n").alias("n")), f"{folder}/sizes")
     numbered = totals.where(F.col("f") >= least).repartitionByRange("lang", "word").sortWithinPartitions("lang", "word")
     vocabulary = packs.stored(numbered.withColumn("id", F.monotonically_increasing_id()), f"{folder}/vocabulary")
-    ids = packs.stored(word_rows.join(vocabulary.hint("merge"), ["lang", "word"]).select("slice", "place", "id"), f"{folder}/ids")
-
-    packs.removed(spark, f"{folder}/words")
-    pairs = packs.stored(_pair_rows(slices, ids), f"{folder}/pairs")
+    ids = word_rows.join(vocabulary.hint("merge"), ["lang", "word"]).select("slice", "place", "id")
+    numbered = packs.stored(_numbered_slices(slices, ids), f"{folder}/numbered")
+    for done in ("words", "slices"):
+        packs.removed(spark, f"{folder}/{done}")
+    pairs = packs.stored(_pair_rows(numbered), f"{folder}/pairs")
     two = packs.stored(_merged(pairs, ["a", "b"], least, True), f"{folder}/frequent_pairs")
     packs.removed(spark, f"{folder}/pairs")
-    triples = packs.stored(_triple_rows(slices, ids, two.where("slice IS NOT NULL")), f"{folder}/triples")
-    packs.removed(spark, f"{folder}/slices")
-    packs.removed(spark, f"{folder}/ids")
+    told = two.where("slice IS NOT NULL").select("slice", "firsts", "seconds")
+    triples = packs.stored(_triple_rows(numbered, told), f"{folder}/triples")
+    packs.removed(spark, f"{folder}/numbered")
     three = packs.stored(_merged(triples, ["a", "b", "c"], least, False), f"{folder}/frequent_triples")
     packs.removed(spark, f"{folder}/triples")
     return _ranked(vocabulary, sizes, two.where("n IS NOT NULL").select("a", "b", "n"), three, top)
