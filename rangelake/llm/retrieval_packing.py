@@ -359,14 +359,14 @@ class Shard:
         self.doc, self.weight = self.doc[left], self.weight[left]
         self.start = np.concatenate([[0], np.cumsum(left)])[self.start]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score for the seed's terms, ties by place."""
-        rows = [slice(self.start[t], self.start[t + 1]) for t in self.terms[seed].astype(np.int64)]
-        if not rows:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[r] for r in rows]), np.concatenate([self.weight[r] for r in rows]), self.size) * unused
+    def neighbours(self, seed: int, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unused documents with a score for the seed's terms, by place, and their scores."""
+        term = self.terms[seed].astype(np.int64)
+        first, size = self.start[term], self.start[term + 1] - self.start[term]
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        score = np.bincount(self.doc[at], self.weight[at], self.size) * unused
         some = np.flatnonzero(score > 0)
-        return some[np.lexsort((some, -score[some]))]
+        return some, score[some]
 
 
 def fill(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -387,19 +387,20 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
         if np.count_nonzero(unused) < 0.7 * known:
             index.forget(unused)
             known = np.count_nonzero(unused)
-        near = index.neighbours(seed, unused) if room else np.zeros(0, np.int64)
-        size, at = length[near] - begin[near], 0
-        while room:
-            fits = size[at:] <= room
-            if not fits.any():
+        near, score = index.neighbours(seed, unused) if room else (np.zeros(0, np.int64), np.zeros(0))
+        size = length[near] - begin[near]
+        while room:  # the best that fits whole, ties by place; room only shrinks, so this is one walk down the ranking
+            fits = np.flatnonzero(size <= room)
+            if not len(fits):
                 break
-            at += int(fits.argmax())
+            at = fits[score[fits].argmax()]
             d = int(near[at])
             taken.append((d, int(begin[d]), int(length[d])))
             unused[d] = False
             room -= int(size[at])
-            at += 1
-        rest = (int(d) for part in (near, order[next_up:]) for d in part) if room else iter(())
+            size[at], score[at] = window + 1, 0.0
+        best = near[[score.argmax()]] if len(score) and score.max() > 0 else near[:0]
+        rest = (int(d) for part in (best, order[next_up:]) for d in part) if room else iter(())
         for d in rest:  # cut the best of the others; without any scored one, go on with the longest
             if unused[d]:
                 own = min(int(length[d] - begin[d]), room)
