@@ -118,7 +118,7 @@ def assemble_frames(packets: DataFrame, bytes_per_frame: int, payload: int = PAY
     zeros = lambda n: F.repeat(F.lit("00"), n)
     before = lambda i: F.when(i == 0, 0).otherwise(end(F.get("_p", i - 1)))
     digits = F.array_join(F.transform("_p", lambda p, i: F.concat(zeros(p["at"] - before(i)), F.hex(p["body"]))), "")
-    tail = zeros(F.lit(bytes_per_frame) - F.coalesce(end(F.element_at("_p", -1)), F.lit(0)))
+    tail = zeros(F.lit(bytes_per_frame) - F.coalesce(end(F.try_element_at("_p", F.lit(-1))), F.lit(0)))
     # the frames of a hole: in blocks, so that no row holds them all
     blocks = F.explode(F.sequence(nothing, F.floor((F.col("_run") - 1) / _RUN)))
     block = whole.withColumn("_b", blocks).withColumn("_f", F.explode(F.sequence(F.col("_b") * _RUN, F.least((F.col("_b") + 1) * _RUN, F.col("_run")) - 1)))

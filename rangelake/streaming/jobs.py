@@ -6,6 +6,7 @@ Spark needs them to drop state.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -32,60 +33,83 @@ def _keyed(stream: DataFrame, key: str, fn, output: str, state: str, mode: str =
     return stream.groupBy(key).applyInPandasWithState(fn, output, state, mode, GroupStateTimeout.NoTimeout)
 
 
+def _fill(starts: list[int], ends: list[int], number: int) -> int:
+    """Take a late number out of the open gaps (sorted, ends inclusive); 1 if it was missing, 0 if it had come before."""
+    k = bisect.bisect_right(starts, number) - 1
+    if k < 0 or ends[k] < number:
+        return 0
+    low, high = starts[k], ends[k]
+    left, right = ([low], [number - 1]) if low < number else ([], []), ([number + 1], [high]) if number < high else ([], [])
+    starts[k : k + 1], ends[k : k + 1] = left[0] + right[0], left[1] + right[1]
+    return 1
+
+
 def gap_counter(stream: DataFrame, key: str = "stream", seq: str = "seq") -> DataFrame:
     """Missing sequence numbers on a live stream: key, seq, missed, missed_total per row.
 
-    State: the last number and the running total of each key.
+    ``missed_total`` are the numbers missing so far: a late number that fills a gap takes one off, a repeated one
+    changes nothing. State: the largest number, the total, and the open gaps of each key.
     """
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total = state.get if state.exists else (None, 0)
+        last, total, starts, ends = state.get if state.exists else (None, 0, [], [])
+        starts, ends = list(starts), list(ends)
         seqs = np.sort(np.concatenate([f[seq].to_numpy() for f in frames]))
-        before = np.concatenate([[seqs[0] - 1 if last is None else last], seqs[:-1]])
-        missed = np.maximum(seqs - before - 1, 0)
-        totals = total + np.cumsum(missed)
-        state.update((int(seqs[-1]), int(totals[-1])))
+        cut = 0 if last is None else int(np.searchsorted(seqs, last, "right"))
+        late = [_fill(starts, ends, int(x)) for x in seqs[:cut]]
+        fresh = seqs[cut:]
+        before = np.concatenate([[fresh[0] - 1 if last is None else last], fresh[:-1]]) if len(fresh) else fresh
+        skipped = np.maximum(fresh - before - 1, 0)
+        gaps = skipped > 0
+        starts += (before[gaps] + 1).tolist()
+        ends += (fresh[gaps] - 1).tolist()
+        missed = np.concatenate([np.zeros(cut, np.int64), skipped])
+        totals = total + np.cumsum(np.concatenate([-np.array(late, np.int64), skipped]))
+        state.update((int(seqs[-1]) if len(fresh) else last, int(totals[-1]), [int(x) for x in starts], [int(x) for x in ends]))
         yield pd.DataFrame({key: k[0], seq: seqs, "missed": missed, "missed_total": totals})
 
     kind = stream.schema[key].dataType.simpleString()
-    return _keyed(stream, key, step, f"{key} {kind}, {seq} long, missed long, missed_total long", "last long, total long")
+    return _keyed(stream, key, step, f"{key} {kind}, {seq} long, missed long, missed_total long", "last long, total long, starts array<long>, ends array<long>")
 
 
-def dc_calibration(stream: DataFrame, key: str, n_frames: int, n_range: int) -> DataFrame:
+def dc_calibration(stream: DataFrame, key: str, n_frames: int, n_range: int, positive: int | None = None, negative: int = 0) -> DataFrame:
     """Subtract the mean of the first ``n_frames`` frames of each key from the later ones.
 
-    Rows: key, frame_no, chirp, vant, re, im (arrays over range). State: sums per chirp
-    parity and the frames seen, so its size is fixed. A frame must not be split over
-    micro-batches.
+    Rows: key, frame_no, chirp, vant, re, im (arrays over range). With ``positive`` only bins 0..positive and the last
+    ``negative`` bins are touched. State: sums per chirp parity and the numbers of the calibrating frames, so its size is fixed;
+    a frame may come in several micro-batches.
     """
+    touched = np.ones(n_range, bool) if positive is None else (np.arange(n_range) <= positive) | (np.arange(n_range) >= n_range - negative)
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            seen, rows, sums = state.get
-            rows, sums = np.array(rows, float), np.array(sums, float).reshape(2, 2, n_range)
+            first, rows, sums = state.get
+            first, rows, sums = list(first), np.array(rows, float), np.array(sums, float).reshape(2, 2, n_range)
         else:
-            seen, rows, sums = 0, np.zeros(2), np.zeros((2, 2, n_range))
-        pdf = pd.concat(list(frames)).sort_values(["frame_no", "chirp", "vant"])
+            first, rows, sums = [], np.zeros(2), np.zeros((2, 2, n_range))
         out = []
-        for _, frame in pdf.groupby("frame_no", sort=True):
-            parity = (frame["chirp"] % 2).to_numpy()
-            parts = np.stack([np.stack(frame[c].to_list()) for c in ("re", "im")], axis=1)
-            if seen < n_frames:
-                for p in (0, 1):
-                    rows[p] += (parity == p).sum()
-                    sums[p] += parts[parity == p].sum(axis=0)
-                seen += 1
-                continue
-            mean = sums / np.maximum(rows, 1)[:, None, None]
+        for pdf in frames:
+            for number, frame in pdf.groupby("frame_no", sort=True):
+                parity = (frame["chirp"] % 2).to_numpy()
+                parts = np.stack([np.stack(frame[c].to_list()) for c in ("re", "im")], axis=1)
+                if number not in first and len(first) < n_frames:
+                    first.append(int(number))
+                if number in first:
+                    for p in (0, 1):
+                        rows[p] += (parity == p).sum()
+                        sums[p] += parts[parity == p].sum(axis=0)
+                else:
+                    out.append((frame, parity, parts))
+        state.update((first, rows.tolist(), sums.ravel().tolist()))
+        # what was calibrated with is known once the batch's own calibrating rows are in
+        mean = sums / np.maximum(rows, 1)[:, None, None] * touched
+        for frame, parity, parts in out:
             clean = parts - mean[parity]
-            out.append(frame.assign(re=list(clean[:, 0]), im=list(clean[:, 1])))
-        state.update((int(seen), rows.tolist(), sums.ravel().tolist()))
-        if out:
-            yield pd.concat(out)[[key, "frame_no", "chirp", "vant", "re", "im"]]
+            yield frame.assign(re=list(clean[:, 0]), im=list(clean[:, 1]))[[key, "frame_no", "chirp", "vant", "re", "im"]]
 
     kind = stream.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, frame_no long, chirp long, vant long, re array<double>, im array<double>"
-    return _keyed(stream, key, step, schema, "seen int, rows array<double>, sums array<double>")
+    return _keyed(stream, key, step, schema, "first array<long>, rows array<double>, sums array<double>")
 
 
 def recording_spans(control_log: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -95,13 +119,20 @@ def recording_spans(control_log: DataFrame, by: Sequence[str]) -> DataFrame:
     return spans.filter(F.col("command") == "on").select(*by, F.col("ts").alias("on_ts"), "off_ts")
 
 
-def recording_gate(frames: DataFrame, spans: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Stream frames that fall into an on-span of a static table (stream-static join)."""
-    s = spans.withColumnsRenamed({c: f"_s_{c}" for c in by})
-    cond = (F.col("ts") >= F.col("on_ts")) & (F.col("off_ts").isNull() | (F.col("ts") < F.col("off_ts")))
+def recording_gate(frames: DataFrame, spans: DataFrame, by: Sequence[str], bucket_s: float = 60.0) -> DataFrame:
+    """Stream frames that fall into an on-span of a static table (stream-static join).
+
+    Spans are cut at ``bucket_s`` seconds, so a frame meets those of its own bucket only, and the one that is still open. NULL keys match.
+    """
+    bucket = lambda c: F.floor(F.col(c) / bucket_s)
+    open_end = F.lit(-(1 << 62)).cast("long")
+    s = spans.withColumn("_bucket", F.explode(F.when(F.col("off_ts").isNull(), F.array(open_end)).otherwise(F.sequence(bucket("on_ts"), bucket("off_ts")))))
+    s = s.withColumnsRenamed({c: f"_s_{c}" for c in (*by, "_bucket")})
+    cond = (F.col("_bucket") == F.col("_s__bucket")) & (F.col("ts") >= F.col("on_ts")) & (F.col("off_ts").isNull() | (F.col("ts") < F.col("off_ts")))
     for c in by:
-        cond = cond & (F.col(c) == F.col(f"_s_{c}"))
-    return frames.join(s, cond).drop(*[f"_s_{c}" for c in by], "on_ts", "off_ts")
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    asked = frames.withColumn("_bucket", F.explode(F.array(bucket("ts"), open_end)))
+    return asked.join(s, cond).drop(*[f"_s_{c}" for c in by], "_s__bucket", "_bucket", "on_ts", "off_ts")
 
 
 def fuse_streams(

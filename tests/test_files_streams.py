@@ -188,6 +188,41 @@ def test_gap_counter_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_gap_counter_with_late_and_repeated_numbers(spark, tmp_path):
+    """Late numbers fill gaps once; the total ends at what is really missing."""
+    batches = [[0, 1, 5, 9], [3, 3, 5, 12], [4, 2, 2, 11], [-1, 6]]
+    df = spark.createDataFrame([(7, s, b) for b, own in enumerate(batches) for s in own], "stream long, seq long, b long")
+    s = stream_of(spark, df, str(tmp_path), [f"b = {b}" for b in range(4)])
+    got = run_stream(jobs.gap_counter(s.drop("b")), "late").collect()
+    assert len(got) == 14 and all(r.missed == 0 for r in got if r.seq in (2, 3, 4, 6, 11, -1))
+    missing = set(range(13)) - {s for own in batches for s in own}
+    assert got[-1].missed_total == len(missing) == 3
+    assert sum(r.missed for r in got) == 3 + 3 + 2
+
+
+def test_dc_calibration_of_split_frames(spark, tmp_path):
+    """A calibrating frame in two batches counts once; only the named bins are touched."""
+    rng = np.random.default_rng(5)
+    rows = [(0, f, c, 0, rng.normal(2, 1, 6).tolist(), rng.normal(0, 1, 6).tolist()) for f in range(5) for c in range(4)]
+    df = spark.createDataFrame(rows, "sensor long, frame_no long, chirp long, vant long, re array<double>, im array<double>")
+    s = stream_of(spark, df, str(tmp_path), ["frame_no = 0", "frame_no = 1 and chirp < 3", "frame_no = 1 and chirp = 3 or frame_no = 2", "frame_no > 2"])
+    got = run_stream(jobs.dc_calibration(s, "sensor", 2, 6, positive=1, negative=2), "split").collect()
+    assert sorted({r.frame_no for r in got}) == [2, 3, 4] and len(got) == 12
+    mean = {p: np.mean([r[4] for r in rows if r[1] < 2 and r[2] % 2 == p], axis=0) * [1, 1, 0, 0, 1, 1] for p in (0, 1)}
+    raw = {(r[1], r[2]): np.array(r[4]) for r in rows}
+    assert all(np.allclose(r.re, raw[r.frame_no, r.chirp] - mean[r.chirp % 2]) for r in got)
+
+
+def test_gate_with_many_spans_and_null_keys(spark, tmp_path):
+    log = [(k, 10.0 * i, i, "on" if i % 2 == 0 else "off") for k in ("s", None) for i in range(41)]
+    spans = jobs.recording_spans(spark.createDataFrame(log, "session string, ts double, seq long, command string"), ["session"])
+    df = spark.createDataFrame([(k, i, i * 5.0) for k in ("s", None, "other") for i in range(100)], "session string, frame_no long, ts double")
+    s = stream_of(spark, df, str(tmp_path), ["frame_no < 50", "frame_no >= 50"])
+    got = run_stream(jobs.recording_gate(s, spans, ["session"], bucket_s=15.0), "spans").collect()
+    on = [i for i in range(100) if i * 5 >= 400 or i * 5 // 10 % 2 == 0]
+    assert sorted((r.session or "", r.frame_no) for r in got) == sorted((k, i) for k in ("s", "") for i in on)
+
+
 def test_dc_calibration_stream(spark, tmp_path):
     rng = np.random.default_rng(4)
     base = np.array([3.0, -2.0, 1.0])
