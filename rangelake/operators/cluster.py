@@ -232,7 +232,8 @@ def dbscan(
     same either way. A point with a NULL or NaN coordinate is noise; a NULL key is a group like others.
     """
     keys = list(keys)
-    named = points.withColumns({f"_z{i}": c.cast("double") for i, c in enumerate(coords)})
+    # stored: the sizes of the groups and both kinds of groups read the points
+    named = cut_lineage(points.withColumns({f"_z{i}": c.cast("double") for i, c in enumerate(coords)}))
     coords = [F.col(f"_z{i}") for i in range(len(coords))]
     # a point without a place is near to nothing
     placed = functools.reduce(lambda a, b: a & b, (c.isNotNull() & ~F.isnan(c) for c in coords))

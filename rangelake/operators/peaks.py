@@ -71,6 +71,28 @@ def in_boundary(points: DataFrame, boxes: Sequence[tuple[float, float, float, fl
     return points.filter(inside)
 
 
+# Where a point lies with respect to its sensor's boundary boxes.
+INSIDE, BEHIND_THE_WALL = "inside", "behind the wall"
+
+
+def boundary_labels(points: DataFrame, boxes: DataFrame, by: Sequence[str], cell: float = 1.0) -> DataFrame:
+    """Add ``boundary``: whether a point lies strictly inside a box of its sensor; NULL where the sensor has no boxes.
+
+    ``boxes``: by, left, right, bottom, top. They are laid on a grid of ``cell`` metres, so a point meets the boxes of its own cell
+    only, which travel as one short list; no point is lost or doubled. A point without x or y is behind the wall.
+    """
+    step = lambda c: F.floor(c / cell)
+    along = lambda low, high: F.explode(F.sequence(step(F.col(low)), step(F.col(high))))
+    laid = boxes.withColumn("_cx", along("left", "right")).withColumn("_cy", along("bottom", "top"))
+    lists = laid.groupBy(*by, "_cx", "_cy").agg(F.collect_list(F.struct("left", "right", "bottom", "top")).alias("_boxes"))
+    known = boxes.select(*by).distinct().withColumn("_known", F.lit(True))
+    placed = points.withColumns({"_cx": step(F.col("x")), "_cy": step(F.col("y"))})
+    met = join_keys(join_keys(placed, lists, [*by, "_cx", "_cy"], "left"), known, list(by), "left")
+    inside = F.exists("_boxes", lambda b: (F.col("x") > b["left"]) & (F.col("x") < b["right"]) & (F.col("y") > b["bottom"]) & (F.col("y") < b["top"]))
+    label = F.when(F.col("_known").isNull(), F.lit(None)).when(F.coalesce(inside, F.lit(False)), INSIDE).otherwise(BEHIND_THE_WALL)
+    return met.withColumn("boundary", label).drop("_cx", "_cy", "_boxes", "_known")
+
+
 def cap_objects(det: DataFrame, keys: Sequence[str], order: Sequence[str | Column], cap: int) -> DataFrame:
     """At most ``cap`` objects per frame in list order. Spark turns the rank filter into
     a group limit that prunes inside each task before the shuffle."""

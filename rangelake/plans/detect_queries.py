@@ -241,6 +241,20 @@ def boundary_gate(spark, sf):
     return pk.in_boundary(ad.points(spark, sf), [(-10, 10, 5, 40), (12, 20, 30, 60)]).select("frame_no", "x", "y", "vel")
 
 
+# Boxes of 25 sensors from the nations; sensors 25 to 29 have none.
+@query("boundary_labels", f"""WITH p AS (SELECT frame_no % 30 AS sensor, frame_no, x, y, vel FROM ({POINTS})),
+b AS (SELECT CAST(n_nationkey AS BIGINT) AS sensor, -10.0 + n_regionkey AS l, 5.0 + n_nationkey AS r, 5.0 AS b, 30.0 + n_nationkey AS t FROM nation
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT), 0.5 * n_nationkey, 40.0, 20.0, 60.0 FROM nation WHERE n_nationkey % 2 = 0)
+SELECT sensor, frame_no, x, y, vel, CASE WHEN sensor >= 25 THEN NULL WHEN EXISTS (SELECT 1 FROM b WHERE b.sensor = p.sensor AND x > l AND x < r AND y > b.b AND y < t) THEN 'inside' ELSE 'behind the wall' END AS boundary FROM p""")
+def boundary_labels(spark, sf):
+    nation = ad.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("sensor"), F.col("n_regionkey").cast("double").alias("r"))
+    k = F.col("sensor").cast("double")
+    one = nation.select("sensor", (F.col("r") - 10).alias("left"), (k + 5).alias("right"), F.lit(5.0).alias("bottom"), (k + 30).alias("top"))
+    two = nation.filter("sensor % 2 = 0").select("sensor", (k * 0.5).alias("left"), F.lit(40.0).alias("right"), F.lit(20.0).alias("bottom"), F.lit(60.0).alias("top"))
+    points = ad.points(spark, sf).withColumn("sensor", F.col("frame_no") % 30)
+    return pk.boundary_labels(points, one.unionByName(two), ["sensor"], 4.0).select("sensor", "frame_no", "x", "y", "vel", "boundary")
+
+
 @query("capped_objects", f"SELECT * FROM ({_RAW_DET}) QUALIFY row_number() OVER (PARTITION BY map ORDER BY range_bin, doppler_bin) <= 100")
 def capped_objects(spark, sf):
     return pk.cap_objects(_raw_det(spark, sf), ["map"], ["range_bin", "doppler_bin"], 100)

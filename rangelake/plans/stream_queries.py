@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangelake.plans.registry import SENSOR_A, TELEMETRY, query
-from rangelake.session import drain, drain_windows
+from rangelake.operators import allocation
+from rangelake.session import drain, drain_batches, drain_windows, work_folder
 from rangelake.sources import adapters as ad
-from rangelake.streaming import jobs
+from rangelake.sources import manifest as mf
+from rangelake.streaming import jobs, tracker
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,3 +73,38 @@ def streamed_fusion(spark, sf):
 def latest_per_sensor(spark, sf):
     batch = ad.table(spark, sf, "events").select(F.col("user_id").cast("long").alias("sensor"), F.col("event_id").cast("long").alias("seq"))
     return jobs.latest_only(batch, ["sensor"])
+
+
+# Batches of ten seconds at 120 frames a second.
+@query("replayed_frames", f"SELECT sensor, frame_no, round(ts, 3) AS ts, CAST((row_number() OVER (ORDER BY ts, frame_no) - 1) // 1200 AS BIGINT) AS batch FROM ({SENSOR_A})")
+def replayed_frames(spark, sf):
+    folder = f"{work_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    mf.in_time_order(ad.sensor_a(spark, sf).select("sensor", "frame_no", "ts"), folder)
+    out = drain_batches(mf.replay(spark, folder, rate=120, interval=10))
+    return out.select("sensor", "frame_no", F.round("ts", 3).alias("ts"), F.col("_epoch").alias("batch"))
+
+
+def track_points(spark, sf):
+    """Points of one sensor a supplier, a frame a line number."""
+    x = lambda c: F.col(c).cast("double")
+    return ad.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("long").alias("sensor"), F.col("l_linenumber").cast("long").alias("frame_no"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("pid"),
+        (1 + x("l_quantity") / 5).alias("range"), ((x("l_discount") - 0.05) * 20).alias("angle"), ((x("l_tax") - 0.02) * 50).alias("doppler"), (x("l_extendedprice") / 10000).alias("snr"),
+    )
+
+
+ALLOCATION = allocation.Allocation(max_velocity=2.0, max_distance2=1.5, points=3, snr=8.0, velocity=0.2)
+TRACKER = allocation.Tracker(dt=0.5, v_max=5.0, volume=30.0, max_tracks=8, allocation=ALLOCATION, life={"strong": 3, "hits_to_start": 1, "misses_to_drop": 1, "misses_to_end": 2})
+
+
+@query("allocated_groups")
+def allocated_groups(spark, sf):
+    return allocation.allocate(track_points(spark, sf), ["sensor", "frame_no"], TRACKER.v_max, ALLOCATION).select("sensor", "frame_no", "pid", "seed", F.round("doppler", 4).alias("doppler"))
+
+
+@query("tracked_recording")
+def tracked_recording(spark, sf):
+    table = tracker.TrackTable(spark, f"{work_folder(spark)}/tracks-{uuid.uuid4().hex}", {"sensor": "long"})
+    report = tracker.track_recording(track_points(spark, sf), table, TRACKER, by_frames=3)
+    rounded = lambda c, i: F.round(F.col(c)[i], 4)
+    return report.select("sensor", "frame_no", "uid", "state", "phase", "seen", *(rounded("s", i).alias(n) for i, n in enumerate(("x", "y", "vx", "vy"))), F.round("log_det", 3).alias("log_det"))

@@ -70,6 +70,21 @@ def drain_windows(stream: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in stream.columns))
 
 
+def drain_batches(stream: DataFrame) -> DataFrame:
+    """Run a stream until nothing new comes, micro-batch by micro-batch, and return its rows with the batch's number, ``_epoch``.
+
+    Each batch has a folder of its own, so a repeated batch replaces itself.
+    """
+    spark = stream.sparkSession
+    base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    keep = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/rows/_epoch={epoch}")
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(processingTime="0 seconds").start()
+    query.processAllAvailable()
+    query.stop()
+    schema = StructType([*stream.schema.fields, StructField("_epoch", LongType())])
+    return spark.read.schema(schema).parquet(f"{base}/rows")
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over everything available now and return what it wrote (Parquet in the shared folder)."""
     spark = stream.sparkSession
