@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rangelake.functions.arrays import let
 from rangelake.functions.complexnum import cplx
-from rangelake.functions.kernels import _lists, matrix_kernel, vector_kernel
+from rangelake.functions.kernels import COMPLEX_VECTOR, _lists, _pack, matrix_kernel, place, vector_kernel
 
 # Side-lobe level (-6 dB power), wiggle factor, 3 dB width factor, input SNR.
 SIDELOBE = 0.251188643150958
@@ -45,17 +45,51 @@ def steering(cfg: DataFrame, est_range: float, resolution: float, antennas: Colu
     })
 
 
-def antenna_block(rcube: DataFrame, keys: Sequence[str]) -> DataFrame:
+def antenna_block(rcube: DataFrame, keys: Sequence[str], antennas: int | None = None, chirps: int | None = None) -> DataFrame:
     """Corner-turned rows (vant, chirp arrays) gathered per (keys, range_bin): flattened
-    [antenna, chirp] arrays and ``antennas``."""
+    [antenna, chirp] arrays and ``antennas``.
+
+    With ``antennas`` and ``chirps``, numbered rows (a ``chirp`` array beside re, im) are placed by antenna and chirp: a recording
+    may have holes or end within a frame. What was not recorded is 0, also in ``seen`` (else 1).
+    """
+    if antennas is not None:
+        return _placed_block(rcube, keys, antennas, chirps)
     block = F.array_sort(F.collect_list(F.struct("vant", "re", "im")))
     return rcube.groupBy(*keys, "range_bin").agg(block.alias("_b")).select(
         *keys, "range_bin", F.size("_b").alias("antennas"), F.flatten("_b.re").alias("re"), F.flatten("_b.im").alias("im")
     )
 
 
-def antenna_vectors(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long cells (vant, re, im) gathered to one antenna vector per key."""
+def _placed_block(rcube: DataFrame, keys: Sequence[str], antennas: int, chirps: int) -> DataFrame:
+    def run(vant: pa.Array, chirp: pa.Array, re: pa.Array, im: pa.Array) -> pa.Array:
+        entry = np.repeat(np.arange(len(vant)), np.diff(vant.offsets.to_numpy()))
+        inside, numbers = chirp.flatten(), vant.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(inside.offsets.to_numpy())
+        at = (np.repeat(entry, sizes), np.repeat(numbers, sizes), inside.flatten().to_numpy(zero_copy_only=False))
+        values = [x.flatten().flatten().to_numpy(zero_copy_only=False) for x in (re, im)]
+        grids = [place((len(vant), antennas, chirps), at, v) for v in (*values, np.ones(len(at[0])))]
+        grids[2] = np.minimum(grids[2], 1)
+        return pa.StructArray.from_arrays([_pack(g.reshape(len(vant), -1)) for g in grids], names=["re", "im", "seen"])
+
+    kernel = F.arrow_udf(run, returnType="struct<re:array<double>,im:array<double>,seen:array<double>>")
+    rows = rcube.filter(F.col("vant").isNotNull()).groupBy(*keys, "range_bin").agg(F.collect_list(F.struct("vant", "chirp", "re", "im")).alias("_b"))
+    return rows.withColumn("_z", kernel("_b.vant", "_b.chirp", "_b.re", "_b.im")).select(
+        *keys, "range_bin", F.lit(antennas).alias("antennas"), *[F.col(f"_z.{c}").alias(c) for c in ("re", "im", "seen")]
+    )
+
+
+def antenna_vectors(cells: DataFrame, keys: Sequence[str], antennas: int | None = None) -> DataFrame:
+    """Long cells (vant, re, im) gathered to one antenna vector per key.
+
+    With ``antennas`` a vector has that many elements, each at its place: an antenna that did not record reads 0 (a recording may
+    end within a chirp), what came twice adds up.
+    """
+    if antennas is not None:
+        own = lambda m, c: F.when(F.col("vant") == m, c)
+        whole = lambda c: F.array(*[
+            F.when(F.count(own(m, F.lit(1))) > 0, F.sum(own(m, F.col(c)))).otherwise(0.0) for m in range(antennas)
+        ])
+        return cells.groupBy(*keys).agg(whole("re").alias("re"), whole("im").alias("im"))
     block = F.array_sort(F.collect_list(F.struct("vant", "re", "im")))
     return cells.groupBy(*keys).agg(block.alias("_b")).select(*keys, F.col("_b.re").alias("re"), F.col("_b.im").alias("im"))
 
@@ -68,14 +102,35 @@ def _block_covariance(antennas: int):
     return vector_kernel(run)
 
 
-def covariance(rcube: DataFrame, keys: Sequence[str], antennas: int) -> DataFrame:
-    """Spatial covariance X X^H / chirps per (keys, range_bin)."""
+def _seen_covariance(antennas: int):
+    """Like ``_block_covariance``, NULL where two antennas have no chirp in common."""
+
+    def run(re: pa.Array, im: pa.Array, seen: pa.Array) -> pa.Array:
+        x, s = np.asarray(_lists(re)) + 1j * np.asarray(_lists(im)), np.asarray(_lists(seen))
+        x, s = x.reshape(len(x), antennas, -1), s.reshape(len(x), antennas, -1)
+        r, none = x @ x.conj().transpose(0, 2, 1) / x.shape[2], ((s @ s.transpose(0, 2, 1)) == 0).ravel()
+        offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * antennas**2)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(v.ravel(), mask=none)) for v in (r.real, r.imag)], names=["re", "im"])
+
+    return F.arrow_udf(run, returnType=COMPLEX_VECTOR)
+
+
+def covariance(rcube: DataFrame, keys: Sequence[str], antennas: int, chirps: int | None = None, blank: bool = False) -> DataFrame:
+    """Spatial covariance X X^H / chirps per (keys, range_bin).
+
+    With ``chirps``, numbered rows of incomplete frames are taken as in :func:`antenna_block`; with ``blank``, cells of antennas that
+    have no chirp in common are NULL instead of 0.
+    """
+    if chirps is not None:
+        block = antenna_block(rcube, keys, antennas, chirps).drop("antennas")
+        z = _seen_covariance(antennas)("re", "im", "seen") if blank else _block_covariance(antennas)("re", "im")
+        return _complex(block, z).drop("seen")
     return _complex(antenna_block(rcube, keys).drop("antennas"), _block_covariance(antennas)("re", "im"))
 
 
 def covariance_beside(block: DataFrame, antennas: int) -> DataFrame:
     """Covariance of antenna blocks, with the block kept as ``x_re, x_im`` in the same row."""
-    kept = block.drop("antennas").withColumnsRenamed({"re": "x_re", "im": "x_im"})
+    kept = block.drop("antennas", "seen").withColumnsRenamed({"re": "x_re", "im": "x_im"})
     return kept.withColumn("_z", _block_covariance(antennas)("x_re", "x_im")).withColumns(
         {"re": F.col("_z.re"), "im": F.col("_z.im")}
     ).drop("_z")
@@ -111,17 +166,16 @@ def fb_average(cov: DataFrame) -> DataFrame:
 
 
 def spatial_smooth(cov: DataFrame, antennas: int, subarrays: int, backward: bool = False) -> DataFrame:
-    """Mean over overlapping sub-arrays of the covariance, optionally with its backward twin."""
+    """Mean over overlapping sub-arrays of the covariance (of its cells that are not NULL), optionally with its backward twin."""
     if not 1 <= subarrays <= antennas:
         raise ValueError("the number of sub-arrays does not fit the array")
     side = antennas - subarrays + 1
 
     def smooth(name: str) -> Column:
         cell = lambda c, p: F.element_at(F.col(name), ((F.floor(c / side) + p) * antennas + c % side + p + 1).cast("int"))
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(side * side - 1)),
-            lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(subarrays - 1)), F.lit(0.0), lambda acc, p: acc + cell(c, p)) / subarrays,
-        )
+        known = lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.lit(subarrays - 1)), lambda p: cell(c, p)), lambda x: x.isNotNull())
+        mean = lambda cells: F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(cells), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda c: mean(known(c)))
 
     out = cov.withColumns({"_re": smooth("re"), "_im": smooth("im")}).drop("re", "im").withColumnsRenamed({"_re": "re", "_im": "im"})
     return fb_average(out) if backward else out
@@ -139,7 +193,10 @@ def _inverse(r: np.ndarray, loading: float) -> np.ndarray:
     if loading:
         scale = np.trace(r, axis1=1, axis2=2).real / m
         r = r + loading * scale[:, None, None] * np.eye(m)
-    return np.linalg.inv(r)
+    try:
+        return np.linalg.inv(r)
+    except np.linalg.LinAlgError:  # fewer snapshots than antennas: the inverse on what the snapshots span
+        return np.linalg.pinv(r, hermitian=True) if len(r) == 1 else np.concatenate([_inverse(x[None], 0.0) for x in r])
 
 
 def capon(cov: DataFrame, antennas: int, est_range: float = 90, resolution: float = 1, loading: float = 0.0) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangelake.functions.kernels import COMPLEX_VECTOR, _pack, place
+
 
 def _size(v: int | str | Column) -> Column:
     if isinstance(v, int):
@@ -85,22 +89,37 @@ def virtual_antennas(cube: DataFrame, rx: int) -> DataFrame:
     return cube.withColumn("vant", (F.col("tx") * rx + F.col("rx")).cast("long")).drop("tx", "rx")
 
 
-def corner_turn(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
+def corner_turn(cube: DataFrame, keys: Sequence[str], numbered: bool = False) -> DataFrame:
     """Rows per (chirp, vant) with sample arrays to rows per (vant, range_bin) with chirp arrays.
 
     One shuffle of whole arrays on (keys, vant); the bounded chirp x sample block of one
-    antenna is transposed inside the row.
+    antenna is transposed inside the row. ``numbered`` keeps the chirps' numbers beside the arrays as ``chirp``.
     """
     block = F.array_sort(F.collect_list(F.struct("chirp", "re", "im")))
+    names = [F.col("_b.chirp").alias("chirp")] if numbered else []
     turned = cube.groupBy(*keys, "vant").agg(block.alias("_b")).select(
-        *keys, "vant", F.col("_b.re").alias("_re"), F.col("_b.im").alias("_im")
+        *keys, "vant", *names, F.col("_b.re").alias("_re"), F.col("_b.im").alias("_im")
     )
     take = lambda field, s: F.transform(F.col(field), lambda row: F.element_at(row, (s + 1).cast("int")))
     cells = F.transform(
         F.sequence(F.lit(0), F.size(F.col("_re")[0]) - 1),
         lambda s: F.struct(s.cast("long").alias("range_bin"), take("_re", s).alias("re"), take("_im", s).alias("im")),
     )
-    return turned.select(*keys, "vant", F.inline(cells))
+    return turned.select(*keys, "vant", *(["chirp"] if numbered else []), F.inline(cells))
+
+
+def on_grid(rcube: DataFrame, chirps: int) -> DataFrame:
+    """Numbered chirp arrays (``chirp``, re, im) as arrays over all ``chirps`` of a frame; a chirp that was not recorded is 0."""
+
+    def run(chirp: pa.Array, re: pa.Array, im: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(chirp)), np.diff(chirp.offsets.to_numpy()))
+        at = (row, chirp.flatten().to_numpy(zero_copy_only=False))
+        parts = [_pack(place((len(chirp), chirps), at, x.flatten().to_numpy(zero_copy_only=False))) for x in (re, im)]
+        return pa.StructArray.from_arrays(parts, names=["re", "im"])
+
+    keys = [c for c in rcube.columns if c not in ("chirp", "re", "im")]
+    grid = rcube.withColumn("_z", F.arrow_udf(run, returnType=COMPLEX_VECTOR)("chirp", "re", "im"))
+    return grid.select(*keys, F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))
 
 
 def long_form(df: DataFrame, axis: str) -> DataFrame:

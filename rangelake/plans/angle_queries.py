@@ -27,20 +27,24 @@ _FB = f"SELECT c.frame_no, c.range_bin, c.i, c.j, (c.re + d.re) / 2 AS re, (c.im
 
 
 def _matrix(df, side):
-    cells = ly.long_form(df.select("frame_no", "range_bin", "re", "im"), "cell")
+    cells = ly.long_form(df.select("frame_no", "range_bin", "re", "im"), "cell").filter("re IS NOT NULL")
     return cells.select(
         "frame_no", "range_bin", F.expr(f"cell div {side}").alias("i"), (F.col("cell") % side).alias("j"), rnd("re").alias("re"), rnd("im").alias("im")
     )
 
 
+def _cov(spark, sf, blank=False):
+    return an.covariance(ad.rcube(spark, sf, numbered=True), ["frame_no"], 4, ad.CHIRPS, blank)
+
+
 @query("spatial_covariance", f"SELECT frame_no, range_bin, i, j, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM ({_COV})")
 def spatial_covariance(spark, sf):
-    return _matrix(an.covariance(ad.rcube(spark, sf), ["frame_no"], 4), 4)
+    return _matrix(_cov(spark, sf, blank=True), 4)
 
 
 @query("forward_backward_covariance", f"WITH cov AS ({_COV}) SELECT frame_no, range_bin, i, j, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM ({_FB})")
 def forward_backward_covariance(spark, sf):
-    return _matrix(an.fb_average(an.covariance(ad.rcube(spark, sf), ["frame_no"], 4)), 4)
+    return _matrix(an.fb_average(_cov(spark, sf, blank=True)), 4)
 
 
 @query("smoothed_covariance", f"""WITH cov AS ({_COV}), s AS (SELECT frame_no, range_bin, i - p AS i, j - p AS j, AVG(re) AS re, AVG(im) AS im FROM cov, (SELECT unnest([0, 1]) AS p)
@@ -48,13 +52,13 @@ def forward_backward_covariance(spark, sf):
 SELECT s.frame_no, s.range_bin, s.i, s.j, round((s.re + t.re) / 2, 4) + 0.0 AS re, round((s.im - t.im) / 2, 4) + 0.0 AS im
 FROM s JOIN s t ON s.frame_no = t.frame_no AND s.range_bin = t.range_bin AND t.i = 2 - s.i AND t.j = 2 - s.j""")
 def smoothed_covariance(spark, sf):
-    return _matrix(an.spatial_smooth(an.covariance(ad.rcube(spark, sf), ["frame_no"], 4), 4, 2, backward=True), 3)
+    return _matrix(an.spatial_smooth(_cov(spark, sf, blank=True), 4, 2, backward=True), 3)
 
 
 # Antenna vectors: one per (frame, chirp, sample).
 def _vectors(spark, sf):
     cells = ad.iq_cube(spark, sf)
-    return an.antenna_vectors(cells, ["frame_no", "chirp", "sample"])
+    return an.antenna_vectors(cells, ["frame_no", "chirp", "sample"], ad.VANTS)
 
 
 _VEC = "frame_no, chirp, sample"
@@ -139,8 +143,8 @@ FROM ({_COV.replace("a.sample = b.sample", "a.sample = b.sample AND a.vant // 2
 @query("capon_two_antennas", f"""SELECT frame_no, pair, range_bin, k AS angle_idx, round((d * d - ore * ore - oim * oim) / (2 * d - 2 * (ore * cos(p) - oim * sin(p))), 4) + 0.0 AS power
 FROM ({_C2}), (SELECT k, -pi() * sin(radians(k * 10.0 - 90)) AS p FROM (SELECT unnest(range(0, 19)) AS k))""")
 def capon_two_antennas(spark, sf):
-    pairs = ad.rcube(spark, sf).withColumn("pair", F.expr("vant div 2")).withColumn("vant", F.col("vant") % 2)
-    cov = an.fb_average(an.covariance(pairs, ["frame_no", "pair"], 2))
+    pairs = ad.rcube(spark, sf, numbered=True).withColumn("pair", F.expr("vant div 2")).withColumn("vant", F.col("vant") % 2)
+    cov = an.fb_average(an.covariance(pairs, ["frame_no", "pair"], 2, ad.CHIRPS))
     out = an.capon(cov, 2, 90, 10)
     return out.select("frame_no", "pair", "range_bin", F.posexplode("spectrum").alias("angle_idx", "p")).select(
         "frame_no", "pair", "range_bin", F.col("angle_idx").cast("long").alias("angle_idx"), rnd("p").alias("power")
@@ -148,7 +152,7 @@ def capon_two_antennas(spark, sf):
 
 
 def _cov4(spark, sf):
-    return an.fb_average(an.covariance(ad.rcube(spark, sf), ["frame_no"], 4))
+    return an.fb_average(_cov(spark, sf))
 
 
 @query("capon_peaks")

@@ -30,7 +30,7 @@ WHERE m.value > az.nf + 0.2 AND m.value > rg.nf + 0.3 AND m.range_bin BETWEEN 4
 
 @query("beamformed_point_cloud", _FLAG)
 def beamformed_point_cloud(spark, sf):
-    cov = an.covariance(cl.remove_clutter(ad.rcube(spark, sf)), ["frame_no"], 4)
+    cov = an.covariance(cl.remove_clutter(ad.rcube(spark, sf, numbered=True)), ["frame_no"], 4, ad.CHIRPS)
     power = an.beam_power(cov, 4, 85, 5)
     heat = power.select("frame_no", "range_bin", F.posexplode("spectrum").alias("az_bin", "p")).select(
         "frame_no", "range_bin", F.col("az_bin").cast("long").alias("az_bin"), F.log2("p").alias("value")

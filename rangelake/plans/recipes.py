@@ -48,15 +48,15 @@ class Sensor:
         return self.tx * self.rx
 
 
-def _range_bins(cube: DataFrame, keys: Sequence[str], window: str | None, beta: float = 4.0) -> DataFrame:
+def _range_bins(cube: DataFrame, keys: Sequence[str], window: str | None, beta: float = 4.0, numbered: bool = False) -> DataFrame:
     """Range spectrum, then the corner turn: keys, vant, range_bin, chirp arrays."""
-    return ly.corner_turn(sp.range_fft(cube, window, beta), keys)
+    return ly.corner_turn(sp.range_fft(cube, window, beta), keys, numbered)
 
 
 def capon_maps(cube: DataFrame, keys: Sequence[str], cfg: Sensor, est_range: int = 90, resolution: int = 1) -> DataFrame:
     """One row per (keys, range_bin): Capon spectrum, beam weights and the antenna block they came from."""
-    rbins = cl.remove_clutter(_range_bins(cube, keys, "hanning"))
-    cov = an.covariance_beside(an.antenna_block(rbins, keys), cfg.antennas)
+    rbins = cl.remove_clutter(_range_bins(cube, keys, "hanning", numbered=True))
+    cov = an.covariance_beside(an.antenna_block(rbins, keys, cfg.antennas, cfg.chirps), cfg.antennas)
     return an.capon(an.fb_average(cov), cfg.antennas, est_range, resolution)
 
 
@@ -147,7 +147,7 @@ def hit_points(cube: DataFrame, keys: Sequence[str], cfg: Sensor, indoor: bool =
     rd, hits = hit_maps(cube, keys, cfg, HIT_DB[indoor], "kaiser", DOPPLER_BETA[indoor], remove_clutter=not indoor)
     at = [*keys, "range_bin", "doppler_bin"]
     cells = ly.long_form(rd, "doppler_bin").join(hits.select(*at), at, "left_semi")
-    vectors = an.antenna_vectors(cells, at)
+    vectors = an.antenna_vectors(cells, at, cfg.antennas)
     found = an.doa(vectors, [spacing * i for i in range(cfg.antennas)], method).drop("re", "im")
     angled = un.doa_to_angle(found, "doa")
     placed = un.bins_to_units(angled, F.lit(cfg.range_resolution), F.lit(cfg.doppler_resolution), F.lit(cfg.chirps))
