@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rangelake.operators.ordered import Cells
+from rangelake.session import cut_lineage
 
 
 def latest_only(batch: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -122,17 +123,28 @@ def recording_spans(control_log: DataFrame, by: Sequence[str]) -> DataFrame:
 def recording_gate(frames: DataFrame, spans: DataFrame, by: Sequence[str], bucket_s: float = 60.0) -> DataFrame:
     """Stream frames that fall into an on-span of a static table (stream-static join).
 
-    Spans are cut at ``bucket_s`` seconds, so a frame meets those of its own bucket only, and the one that is still open. NULL keys match.
+    A span is cut into buckets about as long as itself: ``bucket_s`` seconds times a power of 16, its level. So it has a few pieces
+    however long it is, and a frame meets, at each level there is, the few spans of its own bucket, and the one that is still open.
+    NULL keys match.
     """
-    bucket = lambda c: F.floor(F.col(c) / bucket_s)
-    open_end = F.lit(-(1 << 62)).cast("long")
-    s = spans.withColumn("_bucket", F.explode(F.when(F.col("off_ts").isNull(), F.array(open_end)).otherwise(F.sequence(bucket("on_ts"), bucket("off_ts")))))
-    s = s.withColumnsRenamed({c: f"_s_{c}" for c in (*by, "_bucket")})
-    cond = (F.col("_bucket") == F.col("_s__bucket")) & (F.col("ts") >= F.col("on_ts")) & (F.col("off_ts").isNull() | (F.col("ts") < F.col("off_ts")))
-    for c in by:
+    by, fan = list(by), 16.0
+    s = spans.filter(F.col("off_ts").isNull() | (F.col("off_ts") > F.col("on_ts")))
+    s = s.withColumn("_level", F.ceil(F.log(fan, (F.col("off_ts") - F.col("on_ts")) / bucket_s)).cast("int"))
+    at = lambda c: F.floor(F.col(c) / (F.pow(F.lit(fan), F.col("_level")) * bucket_s))
+    zero = F.array(F.lit(0).cast("long"))
+    s = s.withColumn("_bucket", F.explode(F.when(F.col("off_ts").isNull(), zero).otherwise(F.sequence(at("on_ts"), at("off_ts")))))
+    s = cut_lineage(s.select(*by, "on_ts", "off_ts", "_level", "_bucket"))
+    levels = [r[0] for r in s.select("_level").distinct().collect()]
+    s = s.withColumnsRenamed({c: f"_s_{c}" for c in (*by, "_level", "_bucket")})
+    cond = (F.col("ts") >= F.col("on_ts")) & (F.col("off_ts").isNull() | (F.col("ts") < F.col("off_ts")))
+    for c in (*by, "_level"):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    asked = frames.withColumn("_bucket", F.explode(F.array(bucket("ts"), open_end)))
-    return asked.join(s, cond).drop(*[f"_s_{c}" for c in by], "_s__bucket", "_bucket", "on_ts", "off_ts")
+    own = lambda n: F.lit(0).cast("long") if n is None else F.floor(F.col("ts") / (fan**n * bucket_s))
+    places = [F.struct(F.lit(n).cast("int").alias("level"), own(n).alias("bucket")) for n in levels]
+    places = F.array(*places) if places else F.array().cast("array<struct<level:int,bucket:bigint>>")
+    asked = frames.withColumn("_at", F.explode(places)).withColumns({"_level": F.col("_at.level"), "_bucket": F.col("_at.bucket")}).drop("_at")
+    met = asked.join(s, cond & (F.col("_bucket") == F.col("_s__bucket")))
+    return met.drop(*[f"_s_{c}" for c in (*by, "_level", "_bucket")], "_level", "_bucket", "on_ts", "off_ts")
 
 
 def fuse_streams(

@@ -223,6 +223,19 @@ def test_gate_with_many_spans_and_null_keys(spark, tmp_path):
     assert sorted((r.session or "", r.frame_no) for r in got) == sorted((k, i) for k in ("s", "") for i in on)
 
 
+def test_gate_with_spans_of_all_lengths(spark, tmp_path):
+    """Microseconds to ages: a span has few pieces however long it is; an empty one holds nothing."""
+    edges = [0.0, 1e-6, 1e-6, 0.5, 0.75, 40.0, 2000.0, 2000.5, 1e6, 1e12, 1e12 + 1, 1e12 + 5]
+    log = [("s", t, i, "off" if i % 2 else "on") for i, t in enumerate(edges)] + [("t", 7.0, 0, "on")]
+    spans = jobs.recording_spans(spark.createDataFrame(log, "session string, ts double, seq long, command string"), ["session"])
+    times = sorted({max(0.0, e + d) for e in edges for d in (-0.25, 0.0, 0.1)} | {1e9, 5e11})
+    df = spark.createDataFrame([(k, i, t) for k in ("s", "t") for i, t in enumerate(times)], "session string, frame_no long, ts double")
+    s = stream_of(spark, df, str(tmp_path), ["frame_no < 9", "frame_no >= 9"])
+    got = run_stream(jobs.recording_gate(s, spans, ["session"]), "lengths").collect()
+    own = [i for i, t in enumerate(times) if any(a <= t < b for a, b in zip(edges[::2], edges[1::2]))]
+    assert sorted((r.session, r.frame_no) for r in got) == [("s", i) for i in own] + [("t", i) for i, t in enumerate(times) if t >= 7]
+
+
 def test_dc_calibration_stream(spark, tmp_path):
     rng = np.random.default_rng(4)
     base = np.array([3.0, -2.0, 1.0])
