@@ -34,7 +34,11 @@ def steering_matrix(est_range: float, resolution: float, n_ant: int) -> np.ndarr
 
 
 def steering(cfg: DataFrame, est_range: float, resolution: float, antennas: Column) -> DataFrame:
-    """Steering table of each configuration row: angle_idx, antenna, s_re, s_im."""
+    """Steering table of each configuration row: angle_idx, antenna, s_re, s_im.
+
+    A row becomes hundreds, so the rows are dealt first: a small file of them is a single task.
+    """
+    cfg = cfg.repartition(4 * cfg.sparkSession.sparkContext.defaultParallelism)
     n = int(round(2 * est_range / resolution + 1))
     rows = cfg.withColumn("angle_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "antenna", F.explode(F.sequence(F.lit(0), (antennas - 1).cast("int")))

@@ -159,8 +159,8 @@ def offset_binary_cells(spark, sf):
     return long_form(pk.decode_offset_binary(sa.offset_binary_files(spark, sf), 2, 2, 4), "sample")
 
 
-def _tlvs(spark, sf):
-    return tlv.split_packets(sa.tlv_logs(spark, sf))
+def _tlvs(spark, sf, *kinds):
+    return tlv.split_packets(sa.tlv_logs(spark, sf), kinds or None)
 
 
 # A wrong length fails where another packet follows in the log, except right before its end.
@@ -179,23 +179,23 @@ _PT = """SELECT l_orderkey AS frame_no, row_number() OVER (PARTITION BY l_orderk
 
 @query("tlv_points", f"""SELECT frame_no, obj, x, y, z, velocity + 0.0 AS velocity, snr, noise, round(sqrt(x * x + y * y + z * z), 4) AS range, round(CASE WHEN y = 0 THEN CASE WHEN x >= 0 THEN 90 ELSE -90 END ELSE degrees(atan(x / y)) END, 4) + 0.0 AS azimuth FROM ({_PT})""")
 def tlv_points(spark, sf):
-    p = tlv.points(_tlvs(spark, sf))
+    p = tlv.points(_tlvs(spark, sf, tlv.POINTS, tlv.SIDE_INFO))
     return p.select("frame_no", "obj", "x", "y", "z", (F.col("velocity") + 0.0).alias("velocity"), "snr", "noise", rnd("range").alias("range"), rnd("azimuth").alias("azimuth"))
 
 
 @query("tlv_stats", f"SELECT no AS frame_no, no % 97 AS inter_frame_time_us, no % 89 AS transmit_time_us, no % 79 AS active_load_pct, no % 73 AS inter_frame_load_pct FROM ({_GOOD})")
 def tlv_stats(spark, sf):
-    return tlv.stats(_tlvs(spark, sf)).select("frame_no", "inter_frame_time_us", "transmit_time_us", "active_load_pct", "inter_frame_load_pct")
+    return tlv.stats(_tlvs(spark, sf, tlv.STATS)).select("frame_no", "inter_frame_time_us", "transmit_time_us", "active_load_pct", "inter_frame_load_pct")
 
 
 @query("tlv_temperature", f"SELECT no AS frame_no, no % 2 AS valid, no * 50 AS time_ms, no % 40 - 20 AS rx0, no % 40 - 13 AS pm, no % 40 - 11 AS dig1 FROM ({_GOOD})")
 def tlv_temperature(spark, sf):
-    return tlv.temperature(_tlvs(spark, sf)).select("frame_no", "valid", "time_ms", "rx0", "pm", "dig1")
+    return tlv.temperature(_tlvs(spark, sf, tlv.TEMPERATURE)).select("frame_no", "valid", "time_ms", "rx0", "pm", "dig1")
 
 
 @query("tlv_range_profile", f"SELECT no AS frame_no, k AS range_bin, CAST((k + no) % 65536 AS DOUBLE) AS level FROM ({_GOOD}), (SELECT unnest(range(0, 8)) AS k)")
 def tlv_range_profile(spark, sf):
-    p = tlv.profile(_tlvs(spark, sf)).select("frame_no", F.posexplode("profile").alias("range_bin", "level"))
+    p = tlv.profile(_tlvs(spark, sf, tlv.RANGE_PROFILE)).select("frame_no", F.posexplode("profile").alias("range_bin", "level"))
     return p.withColumn("range_bin", F.col("range_bin").cast("long"))
 
 
@@ -204,12 +204,12 @@ FROM ({_GOOD}), (SELECT unnest(range(0, 2)) AS r), (SELECT unnest(range(0, 8)) A
 def tlv_azimuth_map(spark, sf):
     from rangelake.operators.layout import long_form
 
-    return long_form(tlv.azimuth_map(_tlvs(spark, sf)), "antenna").select("frame_no", "range_bin", "antenna", "re", "im")
+    return long_form(tlv.azimuth_map(_tlvs(spark, sf, tlv.AZIMUTH_MAP)), "antenna").select("frame_no", "range_bin", "antenna", "re", "im")
 
 
 @query("tlv_range_doppler", f"""SELECT no AS frame_no, k // 4 AS range_bin, (k % 4 + 2) % 4 AS doppler_bin, (k * 5 + no) % 12000 AS value FROM ({_GOOD}), (SELECT unnest(range(0, 8)) AS k)""")
 def tlv_range_doppler(spark, sf):
-    out = tlv.range_doppler_map(_tlvs(spark, sf), 4, None, True)
+    out = tlv.range_doppler_map(_tlvs(spark, sf, tlv.RANGE_DOPPLER), 4, None, True)
     return out.select("frame_no", "range_bin", "doppler_bin", "value")
 
 

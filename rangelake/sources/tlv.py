@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ STAT_FIELDS = [
 ]
 TEMPERATURE_FIELDS = ["rx0", "rx1", "rx2", "rx3", "tx0", "tx1", "tx2", "pm", "dig0", "dig1"]
 MAX_MAP_VALUE = 10000
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
 _ROWS = (
     "capture {kind}, packet_at long, frame_no long, sub_frame long, cpu_cycles long, platform string, num_obj long, "
@@ -36,8 +38,8 @@ def _packets(content: bytes, own: int) -> Iterator[tuple[int, tuple, bytes]]:
     while 0 <= at < own:
         step = len(MAGIC)
         if at + HEADER <= len(content):
-            head = np.frombuffer(content, "<u4", 7, at + 12)
-            size, objects, sub = int(head[0]), int(head[4]), int(head[6])
+            head = struct.unpack_from("<7I", content, at + 12)
+            size, objects, sub = head[0], head[4], head[6]
             end = at + size
             next_ok = MAGIC.startswith(content[end: end + 8])  # also at the end of the log
             if size >= HEADER and end <= len(content) and next_ok and objects > 0 and sub <= 3:
@@ -46,28 +48,38 @@ def _packets(content: bytes, own: int) -> Iterator[tuple[int, tuple, bytes]]:
         at = content.find(MAGIC, at + step)
 
 
-def split_packets(chunks: DataFrame) -> DataFrame:
-    """Log chunks (capture, start, own_bytes, content) to one row per TLV."""
+def split_packets(chunks: DataFrame, kinds: Sequence[int] | None = None) -> DataFrame:
+    """Log chunks (capture, start, own_bytes, content) to one row per TLV, or per TLV of some ``kinds``.
+
+    Rows leave in batches of bounded size, so a task holds one chunk and one such batch.
+    """
+    wanted = None if kinds is None else frozenset(kinds)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.strip().split(" ")[0] for f in _ROWS.split(",")]
         for batch in batches:
-            cols = [batch[n].to_pylist() for n in ("capture", "start", "own_bytes", "content")]
+            types = [batch.schema.field("capture").type, *[pa.int64()] * 4, pa.string(), *[pa.int64()] * 4, pa.binary()]
+            done = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
             out: list[tuple] = []
-            for capture, start, own, content in zip(*cols):
+            held = 0
+            for row in range(batch.num_rows):
+                capture, start, own, content = (batch[n][row].as_py() for n in ("capture", "start", "own_bytes", "content"))
                 for at, head, body in _packets(content, own):
-                    pos = 0
-                    for k in range(int(head[5])):
+                    pos, platform = 0, f"{head[1]:08X}"
+                    for k in range(head[5]):
                         if pos + 8 > len(body):
                             break
-                        kind, size = (int(v) for v in np.frombuffer(body, "<u4", 2, pos))
-                        out.append((
-                            capture, start + at, int(head[2]), int(head[6]), int(head[3]), f"{int(head[1]):08X}", int(head[4]),
-                            k, kind, size, body[pos + 8: pos + 8 + size],
-                        ))
+                        kind, size = struct.unpack_from("<2I", body, pos)
+                        if wanted is None or kind in wanted:
+                            value = body[pos + 8: pos + 8 + size]
+                            out.append((capture, start + at, head[2], head[6], head[3], platform, head[4], k, kind, size, value))
+                            held += len(value)
                         pos += 8 + size
-            names = [f.strip().split(" ")[0] for f in _ROWS.split(",")]
-            types = [batch.schema.field("capture").type, *[pa.int64()] * 4, pa.string(), *[pa.int64()] * 4, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+                    if len(out) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield done(out)
+                        out, held = [], 0
+            if out:
+                yield done(out)
 
     kind = chunks.schema["capture"].dataType.simpleString()
     return chunks.select("capture", "start", "own_bytes", "content").mapInArrow(split, _ROWS.format(kind=kind))
@@ -78,9 +90,10 @@ def unpack(dtype: str) -> Column:
 
     def run(body: pa.Array) -> pa.Array:
         size = np.dtype(dtype).itemsize
-        rows = [np.frombuffer(b.as_py(), dtype, len(b.as_py()) // size).astype(np.float64) for b in body]
-        flat = np.concatenate(rows) if rows else np.zeros(0)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(flat))
+        rows = body.to_pylist()
+        counts = [len(b) // size for b in rows]
+        flat = np.frombuffer(b"".join(b[: n * size] for b, n in zip(rows, counts)), dtype).astype(np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
 
     return F.arrow_udf(run, returnType="array<double>")
 
@@ -94,19 +107,24 @@ def _of(tlvs: DataFrame, kind: int) -> DataFrame:
 
 def points(tlvs: DataFrame) -> DataFrame:
     """Detected points joined by position with their side information, plus range and angles."""
-    width = lambda n, name: F.transform(
-        F.sequence(F.lit(0), (F.least(F.col("num_obj"), F.floor(F.size("_v") / n)) - 1).cast("int")), name
+    # the two bodies of a packet meet before they are unpacked: one pass over the logs, one row a packet in the shuffle
+    held = F.octet_length("body")
+    both = tlvs.filter(((F.col("tlv_type") == POINTS) & (held >= 16)) | ((F.col("tlv_type") == SIDE_INFO) & (held >= 4)))
+    bodies = lambda kind: F.collect_list(F.when(F.col("tlv_type") == kind, F.struct("num_obj", "body")))
+    packets = both.groupBy(*KEYS).agg(bodies(POINTS).alias("_p"), bodies(SIDE_INFO).alias("_s"))
+    pairs = packets.select(*KEYS, F.explode("_p").alias("_p"), "_s").select(*KEYS, "_p", F.explode_outer("_s").alias("_s"))
+    rows = pairs.select(
+        *KEYS, F.col("_p.num_obj").alias("_n"), F.coalesce("_s.num_obj", F.lit(0)).alias("_m"), unpack("<f4")("_p.body").alias("_v"),
+        unpack("<u2")(F.coalesce("_s.body", F.lit(b""))).alias("_w"),
     )
+    count = F.least(F.col("_n"), F.floor(F.size("_v") / 4))
     at = lambda k: F.element_at("_v", (k + 1).cast("int"))
-    body = _of(tlvs, POINTS).withColumn("_v", unpack("<f4")("body")).filter(F.size("_v") >= 4)
-    xyz = body.select(*KEYS, F.inline(width(4, lambda i: F.struct(
+    info = lambda i, k: F.when(i < F.col("_m"), F.get("_w", (i * 2 + k).cast("int")).cast("long"))
+    xyz = rows.select(*KEYS, F.inline(F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.struct(
         i.cast("long").alias("obj"), at(i * 4).alias("x"), at(i * 4 + 1).alias("y"), at(i * 4 + 2).alias("z"), at(i * 4 + 3).alias("velocity"),
+        info(i, 0).alias("snr"), info(i, 1).alias("noise"),
     ))))
-    side = _of(tlvs, SIDE_INFO).withColumn("_v", unpack("<u2")("body")).filter(F.size("_v") >= 2)
-    info = side.select(*KEYS, F.inline(width(2, lambda i: F.struct(
-        i.cast("long").alias("obj"), at(i * 2).cast("long").alias("snr"), at(i * 2 + 1).cast("long").alias("noise"),
-    ))))
-    return xyz_to_polar(xyz.join(info, [*KEYS, "obj"], "left"))
+    return xyz_to_polar(xyz)
 
 
 def profile(tlvs: DataFrame, kind: int = RANGE_PROFILE) -> DataFrame:

@@ -333,3 +333,32 @@ def test_file_names_round(spark):
     name = lambda **how: [tuple(map(int, __import__("re").findall(r"\d+", r.n)[:2])) for r in df.select(rec.frame_file_name(**how).alias("n")).collect()]
     assert name() == [(3, 3000), (2, 30000), (2, 0), (0, 50000)]
     assert name(ref_compat=True)[0] == (3, 2999)
+
+
+def test_split_packets_in_bounded_batches(spark, monkeypatch):
+    """Rows of a chunk leave in several batches, of wanted kinds only; points without side information keep NULL."""
+    import struct
+
+    from rangelake.sources import tlv
+
+    def packet(no, *parts):
+        body = b"".join(struct.pack("<2I", kind, len(b)) + b for kind, b in parts)
+        return tlv.MAGIC + struct.pack("<8I", 1, 40 + len(body), 2, no, 0, 2, len(parts), 0) + body
+
+    pts, side = struct.pack("<8f", *range(8)), struct.pack("<2H", 7, 8)
+    log = packet(1, (1, pts), (7, side), (6, b"\0" * 24)) + packet(2, (1, pts), (7, b"")) + packet(3, (1, pts), (7, side + side))
+    chunks = spark.createDataFrame([("a", 0, len(log), log)] * 1, "capture string, start long, own_bytes long, content binary")
+    monkeypatch.setattr(tlv, "BATCH_ROWS", 2)
+    rows = tlv.split_packets(chunks)
+    assert sorted(r.frame_no for r in rows.collect()) == [1, 1, 1, 2, 2, 3, 3]
+    assert {r.tlv_type for r in tlv.split_packets(chunks, [1, 7]).collect()} == {1, 7}
+    got = sorted((r.frame_no, r.obj, r.x, r.snr, r.noise) for r in tlv.points(rows).na.fill(-1).collect())
+    assert got == [(1, 0, 0.0, 7, 8), (1, 1, 4.0, -1, -1), (2, 0, 0.0, -1, -1), (2, 1, 4.0, -1, -1), (3, 0, 0.0, 7, 8), (3, 1, 4.0, 7, 8)]
+
+
+def test_points_read_the_logs_once(spark, capsys):
+    from rangelake.sources import tlv
+
+    chunks = spark.createDataFrame([("a", 0, 0, b"")], "capture string, start long, own_bytes long, content binary")
+    tlv.points(tlv.split_packets(chunks)).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
