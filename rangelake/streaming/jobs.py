@@ -49,28 +49,32 @@ def gap_counter(stream: DataFrame, key: str = "stream", seq: str = "seq") -> Dat
     """Missing sequence numbers on a live stream: key, seq, missed, missed_total per row.
 
     ``missed_total`` are the numbers missing so far: a late number that fills a gap takes one off, a repeated one
-    changes nothing. State: the largest number, the total, and the open gaps of each key.
+    changes nothing. State: the largest number, the total, and the open gaps of each key (two vectors in bytes: there may be millions).
     """
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total, starts, ends = state.get if state.exists else (None, 0, [], [])
-        starts, ends = list(starts), list(ends)
+        last, total, *gaps = state.get if state.exists else (None, 0, b"", b"")
+        starts, ends = (np.frombuffer(g, np.int64) for g in gaps)
         seqs = np.sort(np.concatenate([f[seq].to_numpy() for f in frames]))
         cut = 0 if last is None else int(np.searchsorted(seqs, last, "right"))
-        late = [_fill(starts, ends, int(x)) for x in seqs[:cut]]
+        late: list[int] = []
+        if cut:
+            starts, ends = starts.tolist(), ends.tolist()
+            late = [_fill(starts, ends, int(x)) for x in seqs[:cut]]
         fresh = seqs[cut:]
         before = np.concatenate([[fresh[0] - 1 if last is None else last], fresh[:-1]]) if len(fresh) else fresh
         skipped = np.maximum(fresh - before - 1, 0)
         gaps = skipped > 0
-        starts += (before[gaps] + 1).tolist()
-        ends += (fresh[gaps] - 1).tolist()
+        starts, ends = (np.concatenate([np.asarray(a, np.int64), b]) for a, b in ((starts, before[gaps] + 1), (ends, fresh[gaps] - 1)))
         missed = np.concatenate([np.zeros(cut, np.int64), skipped])
         totals = total + np.cumsum(np.concatenate([-np.array(late, np.int64), skipped]))
-        state.update((int(seqs[-1]) if len(fresh) else last, int(totals[-1]), [int(x) for x in starts], [int(x) for x in ends]))
-        yield pd.DataFrame({key: k[0], seq: seqs, "missed": missed, "missed_total": totals})
+        state.update((int(seqs[-1]) if len(fresh) else last, int(totals[-1]), starts.astype(np.int64).tobytes(), ends.astype(np.int64).tobytes()))
+        for low in range(0, len(seqs), 100_000):
+            part = slice(low, low + 100_000)
+            yield pd.DataFrame({key: k[0], seq: seqs[part], "missed": missed[part], "missed_total": totals[part]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return _keyed(stream, key, step, f"{key} {kind}, {seq} long, missed long, missed_total long", "last long, total long, starts array<long>, ends array<long>")
+    return _keyed(stream, key, step, f"{key} {kind}, {seq} long, missed long, missed_total long", "last long, total long, starts binary, ends binary")
 
 
 def dc_calibration(stream: DataFrame, key: str, n_frames: int, n_range: int, positive: int | None = None, negative: int = 0) -> DataFrame:
