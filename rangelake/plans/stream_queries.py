@@ -80,8 +80,8 @@ def latest_per_sensor(spark, sf):
 def replayed_frames(spark, sf):
     folder = f"{work_folder(spark)}/manifest-{uuid.uuid4().hex}"
     mf.in_time_order(ad.sensor_a(spark, sf).select("sensor", "frame_no", "ts"), folder)
-    out = drain_batches(mf.replay(spark, folder, rate=120, interval=10))
-    return out.select("sensor", "frame_no", F.round("ts", 3).alias("ts"), F.col("_epoch").alias("batch"))
+    out = drain_batches(mf.replay(spark, folder, rate=120, interval=10, at_once=250))
+    return out.select("sensor", "frame_no", F.round("ts", 3).alias("ts"), F.col("interval_no").alias("batch"))
 
 
 def track_points(spark, sf):

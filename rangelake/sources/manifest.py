@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from rangelake.sources.recordings import clamp_rate, parse_names, skip_frames
 
@@ -80,7 +81,8 @@ class FrameReplay(DataSource):
     """``spark.readStream.format("frame_replay").schema(...).load(manifest)``: rows in the order of (ts, frame_no).
 
     A batch has the frames of ``interval`` seconds (default 1) at ``rate`` frames a second (0.1 to 120, default 10); rows of equal
-    (ts, frame_no) stay together. The offset is the last (ts, frame_no), so a restarted query goes on behind it.
+    (ts, frame_no) stay together. The offset is the last (ts, frame_no), so a restarted query goes on behind it. To catch up, a batch
+    may have up to ``at_once`` whole intervals; a column ``interval_no`` of the schema then numbers them from 0.
     """
 
     @classmethod
@@ -101,12 +103,24 @@ class ReplayReader(SimpleDataSourceStreamReader):
         self.path, self.names = options["path"], names
         rate = clamp_rate(float(options["rate"]) if "rate" in options else None)
         self.frames = max(1, round(rate * float(options.get("interval", "1"))))
+        self.at_once = max(1, int(options.get("at_once", "1")))
 
     def _rows(self, test) -> pa.Table:
         import pyarrow.dataset as ds
 
         system, root = _system(self.path)
-        return ds.dataset(root, filesystem=system, format="parquet").scanner(columns=self.names, filter=test)
+        names = [n for n in self.names if n != "interval_no"]
+        return ds.dataset(root, filesystem=system, format="parquet").scanner(columns=list(dict.fromkeys([*names, "ts", "frame_no"])), filter=test)
+
+    def _cuts(self, table: pa.Table) -> list[int]:
+        """Where the intervals of rows in order begin, and the end: ``frames`` rows each, and those that equal its last."""
+        ts, number = (table.column(c).to_numpy() for c in ("ts", "frame_no"))
+        changes = np.flatnonzero((ts[1:] != ts[:-1]) | (number[1:] != number[:-1])) + 1
+        cuts = [0]
+        while cuts[-1] < len(ts):
+            k = np.searchsorted(changes, cuts[-1] + self.frames)
+            cuts.append(int(changes[k]) if k < len(changes) else len(ts))
+        return cuts
 
     @staticmethod
     def _behind(offset: dict):
@@ -116,13 +130,17 @@ class ReplayReader(SimpleDataSourceStreamReader):
         return (ts > offset["ts"]) | ((ts == offset["ts"]) & (number > offset["frame_no"]))
 
     def initialOffset(self) -> dict:
-        return {"ts": None, "frame_no": None}
+        return {"ts": None, "frame_no": None, "intervals": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        some = self._rows(self._behind(start)).head(self.frames)
+        some = self._rows(self._behind(start)).head(self.frames * self.at_once)
         if not some.num_rows:
             return iter(()), start
-        end = {k: some.column(k)[-1].as_py() for k in ("ts", "frame_no")}
+        cuts = self._cuts(some)
+        # the last interval may go on behind what was read; of several, it waits for the next batch then
+        if len(cuts) > 2 and cuts[-1] - cuts[-2] < self.frames and some.num_rows == self.frames * self.at_once:
+            cuts.pop()
+        end = {k: some.column(k)[cuts[-1] - 1].as_py() for k in ("ts", "frame_no")} | {"intervals": start.get("intervals", 0) + len(cuts) - 1}
         return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
@@ -131,18 +149,27 @@ class ReplayReader(SimpleDataSourceStreamReader):
         ts, number = pc.field("ts"), pc.field("frame_no")
         until = (ts < end["ts"]) | ((ts == end["ts"]) & (number <= end["frame_no"]))
         table = self._rows(self._behind(start) & until).to_table()
-        return zip(*(table.column(c).to_pylist() for c in self.names)) if table.num_rows else iter(())
+        if not table.num_rows:
+            return iter(())
+        if "interval_no" in self.names:
+            cuts = self._cuts(table)
+            table = table.append_column("interval_no", pa.array(start.get("intervals", 0) + np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))))
+        return zip(*(table.column(c).to_pylist() for c in self.names))
 
     def commit(self, end: dict) -> None:
         """Nothing is kept that a commit could free."""
 
 
-def replay(spark: SparkSession, manifest: str, rate: float | None = None, interval: float = 1.0, skip: int = 1) -> DataFrame:
+def replay(spark: SparkSession, manifest: str, rate: float | None = None, interval: float = 1.0, skip: int = 1, at_once: int | None = None) -> DataFrame:
     """The manifest as a stream in time order, every ``skip``-th frame by number, with ``event_time``. ``with_payload`` adds the bytes.
 
-    Run it with a processing-time trigger of ``interval`` seconds for the wanted pace, or of 0 to go as fast as it can.
+    Run it with a processing-time trigger of ``interval`` seconds for the wanted pace, or of 0 to go as fast as it can; with
+    ``at_once``, a batch then has that many intervals, numbered by ``interval_no``.
     """
     spark.dataSource.register(FrameReplay)
     schema = spark.read.parquet(manifest).schema
-    stream = spark.readStream.format("frame_replay").schema(schema).option("rate", clamp_rate(rate)).option("interval", interval).load(manifest)
+    if at_once is not None:
+        schema = StructType([*schema.fields, StructField("interval_no", LongType())])
+    options = {"rate": clamp_rate(rate), "interval": interval, "at_once": at_once or 1}
+    stream = spark.readStream.format("frame_replay").schema(schema).options(**options).load(manifest)
     return skip_frames(stream.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long"))), skip)

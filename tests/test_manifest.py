@@ -77,3 +77,37 @@ def test_an_empty_manifest(spark, tmp_path):
     got = []
     run(mf.replay(spark, str(tmp_path / "m")), got, str(tmp_path / "s"))
     assert [r for rows in got for r in rows] == []  # the first batch may be empty
+
+
+def test_replay_catches_up_with_many_intervals_a_batch(spark, tmp_path):
+    """Intervals are cut as one by one, ties included; a restart goes on with the numbers; few batches."""
+    rows = spark.range(100).select(F.floor(F.col("id") / F.when(F.col("id") < 30, 6).otherwise(1)).alias("frame_no")).withColumn("ts", F.col("frame_no").cast("double"))
+    mf.in_time_order(rows, str(tmp_path / "m"))
+    keys = sorted(r.frame_no for r in rows.collect())
+    got, seen = [], []
+
+    def keep(batch, epoch):
+        if len(seen) == 2:
+            seen.append("down")
+            raise RuntimeError("the machine goes down")
+        seen.append(epoch)
+        got.extend((r.frame_no, r.interval_no) for r in batch.collect())
+
+    for _ in range(2):
+        stream = mf.replay(spark, str(tmp_path / "m"), rate=2, interval=2, at_once=5)
+        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "s")).trigger(processingTime="0 seconds").start()
+        try:
+            query.processAllAvailable()
+        except Exception:
+            assert "down" in seen
+        query.stop()
+    assert len(got) == 100 and [k for k, _ in sorted(got)] == keys
+    cuts, at = [], 0
+    while at < len(keys):
+        end = min(at + 4, len(keys))
+        while end < len(keys) and keys[end] == keys[end - 1]:
+            end += 1
+        cuts.append(keys[at:end])
+        at = end
+    assert sorted(got) == [(k, n) for n, own in enumerate(cuts) for k in own]
+    assert len(seen) <= 8
