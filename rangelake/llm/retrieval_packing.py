@@ -359,7 +359,12 @@ class Shard:
         self.doc, self.weight = self.doc[left], self.weight[left]
         self.start = np.concatenate([[0], np.cumsum(left)])[self.start]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents with a score for the seed's terms, best first, ties by place."""
+        near, score = self.scored(seed, unused)
+        return near[np.argsort(-score, kind="stable")]
+
+    def scored(self, seed: int, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unused documents with a score for the seed's terms, by place, and their scores."""
         term = self.terms[seed].astype(np.int64)
         first, size = self.start[term], self.start[term + 1] - self.start[term]
@@ -387,7 +392,7 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
         if np.count_nonzero(unused) < 0.7 * known:
             index.forget(unused)
             known = np.count_nonzero(unused)
-        near, score = index.neighbours(seed, unused) if room else (np.zeros(0, np.int64), np.zeros(0))
+        near, score = index.scored(seed, unused) if room else (np.zeros(0, np.int64), np.zeros(0))
         size = length[near] - begin[near]
         while room:  # the best that fits whole, ties by place; room only shrinks, so this is one walk down the ranking
             fits = np.flatnonzero(size <= room)
