@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.functions.kernels import _lists, _pack
 from rangelake.operators import tracking as tk
 from rangelake.operators.ordered import join_keys
 from rangelake.session import cut_lineage
@@ -81,6 +80,100 @@ def grown(r: np.ndarray, angle: np.ndarray, doppler: np.ndarray, snr: np.ndarray
     return group, out
 
 
+class _Sums:
+    """Running sums of rows of numbers, added up as ``np.sum`` does it for up to 128 of them, so that means are the same to the bit."""
+
+    def __init__(self, rows: int, parts: int):
+        self.whole, self.eights = np.zeros((parts, rows)), np.zeros((8, parts, rows))
+        self.last = np.zeros((8, parts, rows))
+
+    def start(self, rows: np.ndarray, values: list[np.ndarray]) -> None:
+        self.eights[:, :, rows] = 0.0
+        for k, v in enumerate(values):
+            self.whole[k, rows] = v
+            self.last[0, k, rows] = v
+
+    def add(self, rows: np.ndarray, count: np.ndarray, values: list[np.ndarray]) -> None:
+        """One more number to ``rows`` that have ``count`` of them."""
+        full = rows[count % 8 == 7]
+        for k, v in enumerate(values):
+            self.whole[k, rows] += v
+            self.last[count % 8, k, rows] = v
+        if len(full):
+            e = self.eights[:, :, full] + self.last[:, :, full]
+            self.eights[:, :, full] = e
+            self.whole[:, full] = ((e[0] + e[1]) + (e[2] + e[3])) + ((e[4] + e[5]) + (e[6] + e[7]))
+
+
+#: Frames of up to so many points grow side by side, so many at a time.
+SIDE_POINTS, SIDE_FRAMES = 128, 2048
+
+
+def _side_by_side(axes: list[np.ndarray], size: np.ndarray, v_max: float, how: Allocation, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`grown` for many frames of up to ``SIDE_POINTS`` points: ``axes`` are (points, frames), frames have ``size`` points.
+
+    A group takes one point after the other that is free and near its running mean, so all frames go over their points in step.
+    """
+    r, angle, doppler, snr = axes
+    most, frames = r.shape
+    group, out = np.full(r.shape, -1), doppler.copy()
+    free, made = np.arange(most)[:, None] < size, np.zeros(frames, np.int64)
+    sums = _Sums(frames, 4)
+    for seed in range(most):
+        # a group needs more points than are left: none can start
+        b = np.flatnonzero(free[seed] & (made < room) & (free[seed:].sum(axis=0) > how.points))
+        if not len(b):
+            continue
+        member, speed = np.zeros((most - seed, len(b)), bool), np.empty((most - seed, len(b)))
+        count, at = np.ones(len(b), np.int64), np.arange(len(b))
+        member[0], speed[0] = True, doppler[seed, b]
+        mean = np.stack([r[seed, b], angle[seed, b], doppler[seed, b]])
+        sums.start(at, [*mean, snr[seed, b]])
+        for j in range(seed + 1, most):
+            i = np.flatnonzero(free[j, b])
+            if not len(i):
+                continue
+            c = b[i]
+            m, x = mean[:, i], r[j, c]
+            v = _unrolled(v_max, m[2], doppler[j, c])
+            apart = m[0] ** 2 + x**2 - 2 * m[0] * x * np.cos(m[1] - angle[j, c])
+            near = (np.abs(v - m[2]) < how.max_velocity) & (apart < how.max_distance2)
+            i, c, v = i[near], c[near], v[near]
+            if len(i):
+                sums.add(i, count[i], [r[j, c], angle[j, c], v, snr[j, c]])
+                count[i] += 1
+                mean[:, i] = sums.whole[:3, i] / count[i]
+                member[j - seed, i], speed[j - seed, i] = True, v
+        kept = np.flatnonzero((count > how.points) & (sums.whole[3, : len(b)] > how.snr) & (np.abs(mean[2]) > how.velocity))
+        if len(kept):
+            p, k = np.nonzero(member[:, kept])
+            c = b[kept[k]]
+            group[seed + p, c], out[seed + p, c], free[seed + p, c] = made[c], speed[p, kept[k]], False
+            made[b[kept]] += 1
+    return group, out
+
+
+def _grown_all(axes: list[np.ndarray], offsets: np.ndarray, v_max: float, how: Allocation, room: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`grown` of all frames, whose points lie one after the other from ``offsets`` on."""
+    size = np.diff(offsets)
+    group, out = np.full(offsets[-1], -1), axes[2].astype(float)
+    for k in np.flatnonzero(size > SIDE_POINTS):
+        own = slice(offsets[k], offsets[k + 1])
+        group[own], out[own] = grown(*(a[own] for a in axes), v_max, how, room[k])
+    limit = np.array([np.iinfo(np.int64).max if x is None else x for x in room], np.int64)
+    # frames of like size go together, so few places are empty
+    small = np.flatnonzero((size > how.points) & (size <= SIDE_POINTS))
+    small = small[np.argsort(size[small], kind="stable")]
+    for low in range(0, len(small), SIDE_FRAMES):
+        k = small[low : low + SIDE_FRAMES]
+        n = np.arange(size[k].max())[:, None]
+        inside = n < size[k]
+        at = np.where(inside, offsets[k] + n, 0)
+        g, v = _side_by_side([np.ascontiguousarray(a[at]) for a in axes], size[k], v_max, how, limit[k])
+        group[at[inside]], out[at[inside]] = g[inside], v[inside]
+    return group, out
+
+
 def allocate(points: DataFrame, by: Sequence[str], v_max: float, how: Allocation = Allocation(), room: DataFrame | None = None) -> DataFrame:
     """Points (pid, range, angle, doppler, snr) with ``seed``, their new group's number in the frame (NULL: none), and unrolled ``doppler``.
 
@@ -95,8 +188,11 @@ def allocate(points: DataFrame, by: Sequence[str], v_max: float, how: Allocation
     limited = rows.withColumn("room", F.lit(None).cast("int")) if room is None else join_keys(rows, room.select(*by, F.col("room").cast("int").alias("room")), by, "left")
 
     def run(r: pa.Array, a: pa.Array, d: pa.Array, s: pa.Array, room: pa.Array) -> pa.Array:
-        done = [grown(*map(np.asarray, x), v_max, how, y) for *x, y in zip(*(_lists(c) for c in (r, a, d, s)), room.to_pylist())]
-        return pa.StructArray.from_arrays([_pack([np.asarray(g, float) for g, _ in done]), _pack([v for _, v in done])], names=["seed", "doppler"])
+        offsets = r.offsets.to_numpy().astype(np.int64)
+        flat = [x.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False) for x in (r, a, d, s)]
+        seed, doppler = _grown_all(flat, offsets - offsets[0], v_max, how, room.to_pylist())
+        cuts = pa.array((offsets - offsets[0]).astype(np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (seed.astype(float), doppler)], names=["seed", "doppler"])
 
     kernel = F.arrow_udf(run, returnType="struct<seed:array<double>,doppler:array<double>>")
     dealt = limited.withColumn("_g", kernel(*(f"_p.{a}" for a in axes), "room"))

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rangelake.operators import allocation
+from rangelake.operators import tracking as tk
 from rangelake.operators.allocation import Allocation, Tracker, allocate, track_frame
 from rangelake.plans import stream_queries as sq
 from rangelake.streaming.tracker import TrackTable, track_recording, track_stream
@@ -289,3 +291,31 @@ def test_no_more_tracks_than_wanted(spark):
     points, empty = spark.createDataFrame(rows, FRAME), TrackTable(spark, "/nowhere", {"sensor": "long"}).version(-1)
     count = lambda most: track_frame(empty, points, ["sensor"], 1, Tracker(max_tracks=most, allocation=Allocation(points=5)))[0].count()
     assert [count(m) for m in (None, 2, 0)] == [3, 2, 0]
+
+
+def test_frames_grow_side_by_side_as_one_by_one():
+    rng = np.random.default_rng(7)
+    size = np.array([0, 1, 3, 128, 129, 200, *rng.integers(0, 90, 60)])
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    axes = [1 + rng.integers(1, 51, cuts[-1]) / 5, rng.integers(-5, 6, cuts[-1]) / 5, rng.integers(-2, 7, cuts[-1]) / 2, rng.random(cuts[-1]) * 10]
+    room = [None if k % 2 else k % 5 for k in range(len(size))]
+    for how in (sq.ALLOCATION, Allocation(max_velocity=4.0, max_distance2=300.0, points=2)):
+        group, speed = allocation._grown_all(axes, cuts, 5.0, how, room)
+        for a, b, r in zip(cuts[:-1], cuts[1:], room):
+            want, speeds = allocation.grown(*(x[a:b] for x in axes), 5.0, how, r)
+            assert group[a:b].tolist() == want.tolist() and speed[a:b].tolist() == speeds.tolist()
+
+
+def test_association_keeps_the_order_of_missing_and_equal_scores(spark):
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, None, 0.0, 0.0), (1, 3, 9.0, 0.0, 0.0), (2, 4, 0.0, 0.0, 0.0), (None, 5, 0.0, 0.0, 0.0)], "sensor int, pid int, range double, angle double, doppler double")
+    unit = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    far, nan = [5.0, 0.0, 0.0], float("nan")
+    tracks = spark.createDataFrame([
+        (1, 7, [0.0] * 3, unit, 0.5, 4.0), (1, 8, [0.0] * 3, unit, 0.5, 4.0), (1, 9, far, unit, nan, nan), (1, 10, [0.0, None, 0.0], unit, -9.0, 4.0),
+        (None, 11, [0.0] * 3, unit, None, 4.0), (None, 12, [0.0] * 3, unit, -1.0, 4.0), (None, 13, [0.0] * 3, unit, 0.0, None),
+    ], "sensor int, uid long, h array<double>, ec array<double>, log_det double, g double")
+    out = tk.associate(points, tracks, ["sensor"])
+    got = {r.pid: (r.uid, r.score) for r in out.collect()}
+    assert out.columns == ["sensor", "pid", "range", "angle", "doppler", "uid", "score"]
+    assert got[1] == (7, 0.5) and got[2] == got[4] == (None, None) and got[5] == (11, None)
+    assert got[3][0] == 9 and math.isnan(got[3][1])
