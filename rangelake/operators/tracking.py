@@ -100,22 +100,42 @@ def associate(points: DataFrame, predicted: DataFrame, by: Sequence[str]) -> Dat
     by row), log_det, g. A sensor has a bounded number of tracks, so the tracks of a frame
     travel as one array and every point meets them in place; ties go to the earlier track.
     """
-    tracks = predicted.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("uid", "h", "ec", "log_det", "g"))).alias("_t")
-    )
-    joined = join_keys(points, tracks, list(by), "left")
-
-    def judge(t):
-        d = [F.col(n) - t["h"][i] for i, n in enumerate(("range", "angle", "doppler"))]
-        chi2 = F.lit(0.0)
-        for i in range(3):
-            for j in range(3):
-                chi2 = chi2 + d[i] * d[j] * t["ec"][3 * i + j]
-        return F.struct((chi2 + t["log_det"]).alias("score"), t["uid"].alias("uid"), chi2.alias("chi2"), t["g"].alias("g"))
-
-    fits = F.filter(F.transform("_t", judge), lambda s: s["chi2"] < s["g"])
-    best = F.array_min(fits)
-    return joined.withColumn("_b", best).withColumns({"uid": F.col("_b.uid"), "score": F.col("_b.score")}).drop("_t", "_b")
+    tracks = predicted.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("uid", "h", "ec", "log_det", "g"))).alias("_t"))
+    # the numbers of a frame's tracks side by side, made once a frame: 3 of h, 9 of ec, log_det, g
+    numbers = F.transform("_t", lambda t: F.array(*(t["h"][i] for i in range(3)), *(t["ec"][i] for i in range(9)), t["log_det"], t["g"]))
+    laid = tracks.select(*by, F.col("_t.uid").alias("_uids"), F.flatten(numbers).cast("array<double>").alias("_t"))
+    joined = join_keys(points, laid, list(by), "left")
+    kernel = F.arrow_udf(_best, returnType="struct<at:int,score:double>")
+    axes = [F.col(n).cast("double") for n in ("range", "angle", "doppler")]
+    best = joined.withColumn("_b", kernel(*axes, F.coalesce("_t", F.array().cast("array<double>"))))
+    return best.withColumns({"uid": F.get("_uids", F.col("_b.at")), "score": F.col("_b.score")}).drop("_t", "_uids", "_b")
+
+
+def _best(r: pa.Array, angle: pa.Array, doppler: pa.Array, tracks: pa.Array) -> pa.Array:
+    """Place and score of the track whose gate holds each point with the least score (a missing one is least, NaN most), the earlier of equals."""
+    cuts = tracks.offsets.to_numpy().astype(np.int64)
+    flat = tracks.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, 14)
+    t = flat.to_numpy(zero_copy_only=False).reshape(-1, 14)
+    cuts = (cuts - cuts[0]) // 14
+    row = np.repeat(np.arange(len(r)), np.diff(cuts))
+    d = [x.to_numpy(zero_copy_only=False)[row] - t[:, i] for i, x in enumerate((r, angle, doppler))]
+    chi2 = np.zeros(len(row))
+    for i in range(3):
+        for j in range(3):
+            chi2 = chi2 + d[i] * d[j] * t[:, 3 + 3 * i + j]
+    # NaN is above all numbers; what is NULL fits no gate
+    fits = np.flatnonzero(known[:, 13] & ~np.isnan(chi2) & ((chi2 < t[:, 13]) | np.isnan(t[:, 13])))
+    score = chi2[fits] + t[fits, 12]
+    rank = np.where(known[fits, 12], np.where(np.isnan(score), 2, 1), 0)
+    order = np.lexsort((np.where(rank == 1, score, 0.0), rank, row[fits]))
+    first = order[np.diff(row[fits][order], prepend=-1) != 0]
+    at, best, none = np.zeros(len(r), np.int32), np.zeros(len(r)), np.ones(len(r), bool)
+    own = row[fits][first]
+    at[own], best[own], none[own] = fits[first] - cuts[own], score[first], False
+    blank = none.copy()
+    blank[own] = rank[first] == 0
+    return pa.StructArray.from_arrays([pa.array(at, mask=none), pa.array(best, mask=blank)], names=["at", "score"])
 
 
 def measure(points: DataFrame, by: Sequence[str]) -> DataFrame:
