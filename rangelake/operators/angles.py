@@ -241,13 +241,21 @@ def _check_sources(n_src: int, antennas: int) -> None:
         raise ValueError("the number of sources must be less than the number of antennas")
 
 
+def _eigenvectors(r: np.ndarray) -> np.ndarray:
+    """Eigenvectors of Hermitian matrices, by rising eigenvalue; those of a matrix with a missing cell are NaN."""
+    whole = np.isfinite(r).all(axis=(1, 2))
+    out = np.full(r.shape, complex(np.nan, np.nan))
+    out[whole] = np.linalg.eigh(r[whole])[1]
+    return out
+
+
 def music(cov: DataFrame, antennas: int, n_src: int, est_range: float = 90, resolution: float = 1) -> DataFrame:
     """MUSIC ``spectrum`` from the noise subspace."""
     _check_sources(n_src, antennas)
     a = steering_matrix(est_range, resolution, antennas)
 
     def run(r: np.ndarray) -> np.ndarray:
-        noise = np.linalg.eigh(r)[1][:, :, : antennas - n_src]
+        noise = _eigenvectors(r)[:, :, : antennas - n_src]
         leak = noise.conj().transpose(0, 2, 1) @ a.T
         return 1.0 / (np.abs(leak) ** 2).sum(axis=1)
 
@@ -264,7 +272,10 @@ def root_music(cov: DataFrame, antennas: int, n_src: int) -> DataFrame:
 
     def run(r: np.ndarray) -> np.ndarray:
         out = []
-        for noise in np.linalg.eigh(r)[1][:, :, : antennas - n_src]:
+        for noise in _eigenvectors(r)[:, :, : antennas - n_src]:
+            if np.isnan(noise).any():
+                out.append(np.full(n_src, np.nan))
+                continue
             c = noise @ noise.conj().T
             roots = np.roots([np.trace(c, offset=k) for k in range(antennas - 1, -antennas, -1)])
             inside = roots[np.abs(roots) <= 1.0]
@@ -283,7 +294,10 @@ def esprit(cov: DataFrame, antennas: int, n_src: int, displacement: int = 1) ->
 
     def run(r: np.ndarray) -> np.ndarray:
         out = []
-        for signal in np.linalg.eigh(r)[1][:, :, antennas - n_src:]:
+        for signal in _eigenvectors(r)[:, :, antennas - n_src:]:
+            if np.isnan(signal).any():
+                out.append(np.full(n_src, np.nan))
+                continue
             turn = np.linalg.lstsq(signal[: antennas - displacement], signal[displacement:], rcond=None)[0]
             out.append(_angles_from(np.linalg.eigvals(turn), displacement))
         return np.array(out)

@@ -164,7 +164,8 @@ def capon_peaks(spark, sf):
 @query("music_peaks")
 def music_peaks(spark, sf):
     out = an.music(_cov4(spark, sf), 4, 1)
-    return out.select("frame_no", "range_bin", (F.array_position("spectrum", F.array_max("spectrum")) - 91).cast("long").alias("angle"))
+    top = F.array_max("spectrum")  # a frame with a missing sample has no spectrum
+    return out.select("frame_no", "range_bin", F.when(~F.isnan(top), F.array_position("spectrum", top) - 91).cast("long").alias("angle"))
 
 
 @query("root_music_angles")

@@ -52,3 +52,17 @@ def test_capon_of_antennas_that_recorded_nothing(spark):
     for row, m, some in ((out[0], part[:2, :2], slice(0, 2)), (out[1], whole, slice(0, 4))):
         want = [abs(1 / (v[some].conj() @ np.linalg.inv(m) @ v[some])) for v in a]
         assert row.spectrum == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", ["esprit_angles", "music_peaks", "root_music_angles"])
+def test_missing_samples_leave_other_frames(spark, recording, tmp_path, name):
+    """A sample that is NULL takes the angle of its own frame and range bin only."""
+    rows = pq.read_table(f"{recording[0]}/embeddings.parquet").to_pydict()
+    rows["embedding"] = [[None if (i, k) == (3, 10) else x for k, x in enumerate(v)] for i, v in zip(rows["vec_id"], rows["embedding"])]
+    pq.write_table(pa.table({"vec_id": pa.array(rows["vec_id"], pa.int64()), "embedding": pa.array(rows["embedding"], pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
+    got = {(r.frame_no, r.range_bin): r.angle for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    want = {(r.frame_no, r.range_bin): r.angle for r in entry.queries()[name](spark, recording[0]).collect()}
+    lost = got.pop((0, 5))
+    assert lost is None or np.isnan(lost)
+    del want[0, 5]
+    assert got == want
