@@ -34,6 +34,9 @@ class Bands:
     max_repeat_percent: int = 20
 
 
+#: Texts judged at a time: the arrays beside them take some twenty times as much, and workers keep what their largest arrays took.
+SLICE_BYTES = 1 << 20
+
 _SYMBOLS = words._table("#*$%&|<>", True)
 
 
@@ -85,14 +88,16 @@ def judge(docs: DataFrame, bands: Bands = Bands(), carry: tuple[str, ...] = ("do
     Repeated rows are judged each on its own; nulls in carried columns stay; other columns, also of the names of
     the results, are left out. An empty table gives an empty table.
     """
-    source = docs.select(*carry, docs["text"].alias("_text"))
+    # a carried text goes to the tasks once
+    source = docs.select(*carry) if "text" in carry else docs.select(*carry, docs["text"].alias("_text"))
+    text = "text" if "text" in carry else "_text"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            data, offsets = words.flat(batch.column("_text"))
-            for low, high in words.slices(offsets):
+            data, offsets = words.flat(batch.column(text))
+            for low, high in words.slices(offsets, SLICE_BYTES):
                 at = offsets[low : high + 1] - offsets[low]
                 part = data[offsets[low] : offsets[high]]
                 starts, ends, bounds = words.cut(part, at)
@@ -111,12 +116,14 @@ def judge(docs: DataFrame, bands: Bands = Bands(), carry: tuple[str, ...] = ("do
                 carried = [batch.column(c).slice(low, high - low) for c in carry]
                 names = [*carry, *(c.split()[0] for c in _COLUMNS.split(", "))]
                 yield pa.record_batch([*carried, *(pa.array(v, t) for v, t in zip(out, _TYPES))], names)
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, f"{schema}, {_COLUMNS}")
 
 
 def keep_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
-    inner, names = packs.renamed(docs.select(*docs.columns, docs["text"].alias("_whole")), ())
-    whole = names.pop()
-    return packs.restored(judge(inner.withColumnRenamed(whole, "text"), bands, tuple(names)).where("kept"), docs, names)
+    own = docs.select(docs["text"]).columns[0]  # as the table spells it
+    inner, names = packs.renamed(docs, ())
+    names[docs.columns.index(own)] = "text"
+    return packs.restored(judge(inner.toDF(*names), bands, tuple(names)).where("kept"), docs, names)
