@@ -33,20 +33,24 @@ def steering_matrix(est_range: float, resolution: float, n_ant: int) -> np.ndarr
     return np.exp(-1j * np.pi * np.outer(np.sin(angles), np.arange(n_ant)))
 
 
-def steering(cfg: DataFrame, est_range: float, resolution: float, antennas: Column) -> DataFrame:
-    """Steering table of each configuration row: angle_idx, antenna, s_re, s_im.
+def steering(cfg: DataFrame, est_range: float, resolution: float, antennas: Column, digits: int | None = None) -> DataFrame:
+    """Steering table of each configuration row: angle_idx, antenna, s_re, s_im, rounded to ``digits``.
 
-    A row becomes hundreds, so the rows are dealt first: a small file of them is a single task.
+    A row becomes hundreds, so the rows are dealt first: a small file of them is a single task. The phases depend on the number of
+    antennas alone: they are made once for each number that occurs, which sensors bound, and the rows take them from there.
     """
-    cfg = cfg.repartition(4 * cfg.sparkSession.sparkContext.defaultParallelism)
     n = int(round(2 * est_range / resolution + 1))
-    rows = cfg.withColumn("angle_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-        "antenna", F.explode(F.sequence(F.lit(0), (antennas - 1).cast("int")))
+    table = cfg.select(antennas.alias("_antennas")).distinct().withColumn("angle_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
+        "antenna", F.explode(F.sequence(F.lit(0), (F.col("_antennas") - 1).cast("int")))
     )
     phase = F.sin(F.radians(F.col("angle_idx") * resolution - est_range)) * F.col("antenna") * -math.pi
-    return rows.withColumns({
-        "angle_idx": F.col("angle_idx").cast("long"), "antenna": F.col("antenna").cast("long"), "s_re": F.cos(phase), "s_im": F.sin(phase),
-    })
+    value = (lambda c: c) if digits is None else (lambda c: F.round(c, digits) + F.lit(0.0))
+    table = table.select(
+        "_antennas", F.col("angle_idx").cast("long").alias("angle_idx"), F.col("antenna").cast("long").alias("antenna"),
+        value(F.cos(phase)).alias("s_re"), value(F.sin(phase)).alias("s_im"),
+    )
+    dealt = cfg.repartition(4 * cfg.sparkSession.sparkContext.defaultParallelism)
+    return dealt.withColumn("_antennas", antennas).join(F.broadcast(table), "_antennas").drop("_antennas")
 
 
 def antenna_block(rcube: DataFrame, keys: Sequence[str], antennas: int | None = None, chirps: int | None = None) -> DataFrame:

@@ -17,8 +17,7 @@ from rangelake.sources import adapters as ad
 FROM ({CONFIG}), (SELECT unnest(range(0, 19)) AS angle_idx), (SELECT unnest(range(0, 12)) AS antenna) WHERE antenna < tx * rx""")
 def steering_table(spark, sf):
     cfg = ad.sensor_config(spark, sf).select("config", "tx", "rx")
-    out = an.steering(cfg, 90, 10, F.col("tx") * F.col("rx"))
-    return out.select("config", "angle_idx", "antenna", rnd("s_re").alias("s_re"), rnd("s_im").alias("s_im"))
+    return an.steering(cfg, 90, 10, F.col("tx") * F.col("rx"), digits=4).select("config", "angle_idx", "antenna", "s_re", "s_im")
 
 
 _COV = f"""SELECT a.frame_no, a.sample AS range_bin, a.vant AS i, b.vant AS j, SUM(a.re * b.re + a.im * b.im) / 25 AS re, SUM(a.im * b.re - a.re * b.im) / 25 AS im
