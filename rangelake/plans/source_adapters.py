@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,22 +113,53 @@ def _tlv_packet(frame: pa.Array, pts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Logs of the orders' rows, which come in order. The rows of the last log wait for the next batch, so a task holds few of them."""
+
+    def written(rows: pa.Table) -> pa.RecordBatch:
+        if rows.column("no").null_count:
+            raise ValueError("an order or a part without a number")
+        no, fields = rows.column("no").to_numpy(), rows.column_names[1:]
+        starts = np.flatnonzero(np.diff(no, prepend=no[0] - 1))
+        parts = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in fields], names=fields)
+        packets = _tlv_packet(pa.array(no[starts]), pa.ListArray.from_arrays(pa.array([*starts, len(no)], pa.int32()), parts)).to_pylist()
+        capture = no[starts] // 64
+        cuts = [*np.flatnonzero(np.diff(capture, prepend=capture[0] - 1)), len(capture)]
+        content = pa.array([b"\2\1\4\3\4" + b"".join(packets[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+        zero = pa.array(np.zeros(len(content), np.int64))
+        size = pc.binary_length(content).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(capture[cuts[:-1]]), zero, content, size], names=["capture", "start", "content", "own_bytes"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        capture = batch.column("no").fill_null(-1).to_numpy(zero_copy_only=False) // 64
+        last = int(np.searchsorted(capture, capture[-1]))
+        if last or (held and held[0].column("no")[0].as_py() // 64 != capture[0]):
+            # what was held is whole where this batch begins with another log
+            yield written(pa.Table.from_batches([*held, *([batch.slice(0, last)] if last else [])]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield written(pa.Table.from_batches(held))
+
+
 def tlv_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Output logs of a block of orders each: capture, start, own_bytes, content; stray bytes in front."""
+    """Output logs of a block of orders each: capture, start, own_bytes, content; stray bytes in front.
+
+    The rows of a log meet in one shuffle and are sorted, so neither rows nor packets are gathered into arrays.
+    """
     li = ad.table(spark, sf_dir, "lineitem")
-    p = F.struct(
-        *[F.col(c) for c in ad.BIG_ORDER[1:]], (F.col("l_quantity").cast("double") - 25).alias("x"),
+    values = [
+        (F.col("l_quantity").cast("double") - 25).alias("x"),
         F.floor(F.col("l_extendedprice").cast("double") / 1000).cast("double").alias("y"), (F.col("l_partkey") % 7 - 3).cast("double").alias("z"),
         (F.round(F.col("l_discount").cast("double") * 100) - 5).alias("v"), (F.col("l_suppkey") % 500).alias("snr"), (F.col("l_partkey") % 300).alias("noise"),
-    )
-    orders = li.groupBy(F.col("l_orderkey").cast("long").alias("no")).agg(F.array_sort(F.collect_list(p)).alias("pts"))
-    slim = F.transform("pts", lambda r: F.struct(*[r[c].alias(c) for c in ("x", "y", "z", "v", "snr", "noise")]))
-    packets = orders.select("no", F.arrow_udf(_tlv_packet, returnType="binary")("no", slim).alias("b"))
-    logs = packets.groupBy(F.expr("no div 64").alias("capture")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", F.hex("b").alias("h")))), lambda x: x["h"]), "").alias("_h")
-    ).withColumn("h", F.concat(F.lit("0201040304"), "_h"))
-    return logs.select("capture", F.lit(0).cast("long").alias("start"), F.unhex("h").alias("content")).withColumn(
-        "own_bytes", F.octet_length("content").cast("long")
+    ]
+    names = ["x", "y", "z", "v", "snr", "noise"]
+    rows = li.select(F.col("l_orderkey").cast("long").alias("no"), *ad.BIG_ORDER[1:], *values).repartition(F.expr("no div 64"))
+    return rows.sortWithinPartitions("no", *ad.BIG_ORDER[1:], *names).select("no", *names).mapInArrow(
+        _logs, "capture long, start long, content binary, own_bytes long"
     )
 
 
