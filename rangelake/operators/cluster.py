@@ -170,22 +170,43 @@ def components(nodes: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataF
     return labels.unionByName(alone)
 
 
+def _near(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (both ways, and a point with itself) of points within the radius. Along the first axis, only points that the radius reaches are compared."""
+    order = np.argsort(x[:, 0], kind="stable")
+    y = x[order]
+    # a little further than the radius, so that rounding leaves no pair out
+    count = np.searchsorted(y[:, 0], y[:, 0] + radius * (1 + 1e-9), "right") - np.arange(len(y)) - 1
+    left = np.repeat(np.arange(len(y)), count)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+    within = lambda p, q: sum((p[:, k] - q[:, k]) ** 2 for k in range(x.shape[1])) <= radius * radius
+    near = within(y[left], y[right])
+    u, v, own = order[left[near]], order[right[near]], np.flatnonzero(within(x, x))
+    return np.concatenate([u, v, own]), np.concatenate([v, u, own])
+
+
 def _labels(x: np.ndarray, radius: float, min_samples: int) -> np.ndarray:
     """Labels of one small group whose points are in order."""
-    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= radius * radius
-    core = near.sum(axis=1) >= min_samples
-    root = np.where(core, np.arange(len(x)), len(x))
+    n = len(x)
+    here, there = _near(x, radius)
+    core = np.bincount(here, minlength=n) >= min_samples
+    asks = core[there]
+    here, there = here[asks], there[asks]
+    inner = core[here]
+    u, v = here[inner], there[inner]
+    # the last root is nobody's: that of points that are no core points
+    root = np.append(np.where(core, np.arange(n), n), n)
     while True:
         # least root among core neighbours, then through that root's own root
-        told = np.where(near & core[None, :], root[None, :], len(x)).min(axis=1, initial=len(x))
-        told = np.append(told, len(x))[np.minimum(told, len(x))]
-        nxt = np.where(core, np.minimum(told, root), len(x))
-        if (nxt == root).all():
+        told = root.copy()
+        np.minimum.at(told, u, root[v])
+        told = told[told]
+        if (told == root).all():
             break
-        root = nxt
-    reached = np.where(near & core[None, :], root[None, :], len(x)).min(axis=1, initial=len(x))
-    firsts = np.unique(root[core])
-    return np.where(reached < len(x), np.searchsorted(firsts, reached), -1)
+        root = told
+    reached = np.full(n, n)
+    np.minimum.at(reached, here, root[there])
+    firsts = np.unique(root[:n][core])
+    return np.where(reached < n, np.searchsorted(firsts, reached), -1)
 
 
 def _kernel_dbscan(points: DataFrame, keys: list[str], coords: list[Column], pid: str, radius: float, min_samples: int) -> DataFrame:
