@@ -47,25 +47,40 @@ def spherical(s: Column) -> Column:
 def predict(tracks: DataFrame, dt: float) -> DataFrame:
     """``s`` and ``p`` one frame ahead under constant acceleration, and ``h``: range, angle, radial velocity.
 
-    p becomes F p F' + variance Q, made symmetric. Tracks without variance keep both.
+    p becomes F p F' + variance Q, made symmetric. Tracks without variance keep both. A kernel adds the terms up one after the other:
+    as columns they are some hundreds, whose planning in every frame took longer than their work.
     """
     power = np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
     move, push = np.kron(power, np.eye(2)), np.kron(np.outer([dt * dt / 2, dt, 1], [dt * dt / 2, dt, 1]), np.eye(2))
-    s, p = F.col("s"), F.col("p")
-
-    def total(terms: list[tuple[float, Column]]) -> Column:
-        out = F.lit(0.0)
-        for weight, value in terms:
-            out = out + value * float(weight) if weight else out
-        return out
-
-    ahead = [total([(move[i, k], s[k]) for k in range(6)]) for i in range(6)]
-    cov = [[total([(move[i, k] * move[j, m], p[6 * k + m]) for k in range(6) for m in range(6)] + [(push[i, j], F.col("variance"))]) for j in range(6)] for i in range(6)]
-    moves = F.col("variance") != 0
-    out = tracks.withColumns({
-        "s": F.when(moves, F.array(*ahead)).otherwise(s),
-        "p": F.when(moves, F.array(*((cov[i][j] + cov[j][i]) / 2 for i in range(6) for j in range(6)))).otherwise(p),
-    })
+
+    def run(s: pa.Array, p: pa.Array, variance: pa.Array) -> pa.Array:
+        # a number and whether it is known (not NULL), side by side
+        parts = lambda x, size: [np.ascontiguousarray(c.reshape(len(s), size).T) for c in (x.to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False))]
+        (s_value, s_known), (p_value, p_known) = parts(s.flatten(), 6), parts(p.flatten(), 36)
+        v_value, v_known = variance.to_numpy(zero_copy_only=False), variance.is_valid().to_numpy(zero_copy_only=False)
+
+        def total(terms: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            out, known = np.zeros(len(s)), np.ones(len(s), bool)
+            for weight, value, valid in terms:
+                if weight:
+                    out, known = out + value * float(weight), known & valid
+            return out, known
+
+        ahead = [total([(move[i, k], s_value[k], s_known[k]) for k in range(6)]) for i in range(6)]
+        cov = [[total([(move[i, k] * move[j, m], p_value[6 * k + m], p_known[6 * k + m]) for k in range(6) for m in range(6)] + [(push[i, j], v_value, v_known)]) for j in range(6)] for i in range(6)]
+        even = [((cov[i][j][0] + cov[j][i][0]) / 2, cov[i][j][1] & cov[j][i][1]) for i in range(6) for j in range(6)]
+        made = []
+        for cells in (ahead, even):
+            flat = pa.array(np.stack([c for c, _ in cells], 1).ravel(), mask=~np.stack([k for _, k in cells], 1).ravel())
+            made.append(pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(cells)), flat))
+        return pa.StructArray.from_arrays(made, names=["s", "p"])
+
+    s, p, moves = F.col("s"), F.col("p"), F.col("variance") != 0
+    none = lambda size: F.array_repeat(F.lit(None).cast("double"), size)
+    given = [F.coalesce(F.when(moves, c.cast("array<double>")), none(size)) for c, size in ((s, 6), (p, 36))]
+    kernel = F.arrow_udf(run, returnType="struct<s:array<double>,p:array<double>>")
+    out = tracks.withColumn("_k", kernel(*given, F.col("variance").cast("double")))
+    out = out.withColumns({"s": F.when(moves, F.col("_k.s")).otherwise(s), "p": F.when(moves, F.col("_k.p")).otherwise(p)}).drop("_k")
     return out.withColumn("h", spherical(F.col("s")))
 
 
