@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rangelake.operators.ordered import with_position
 from rangelake.sources import adapters as ad
+from rangelake.sources.iqfiles import NOT_RECORDED
 from rangelake.sources.tlv import MAGIC
 
 
@@ -164,17 +165,27 @@ def tlv_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _npy(re: pa.Array, im: pa.Array) -> pa.Array:
+    """Array files of lists of channels; samples without a number are marked as not recorded."""
+    parts = []
+    for x in (re, im):
+        flat = x.flatten().flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        parts.append(np.where(known, flat.fill_null(0.0).to_numpy() + 0.0, NOT_RECORDED))
+    rows, channels = (np.asarray(c.offsets) - c.offsets[0].as_py() for c in (re, re.flatten()))
     out = []
-    for a, b in zip(re.to_pylist(), im.to_pylist()):
+    for a, b in zip(rows[:-1], rows[1:]):
+        size = np.diff(channels[a : b + 1])
+        iq = np.full((b - a, size.max(), 2), NOT_RECORDED)
+        iq[np.arange(size.max()) < size[:, None]] = np.stack([p[channels[a] : channels[b]] for p in parts], axis=1)
         buf = io.BytesIO()
-        np.save(buf, np.asarray(a) + 1j * np.asarray(b))
+        np.save(buf, iq.view(np.complex128)[:, :, 0])
         out.append(buf.getvalue())
     return pa.array(out, pa.binary())
 
 
 def iq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array files of eight channels each: cpi, content."""
-    rows = ad.channel_rows(spark, sf_dir, 8, 16)
+    rows = ad.channel_rows(spark, sf_dir, 8, 16, placed=True)
     per = rows.groupBy("cpi").agg(F.array_sort(F.collect_list(F.struct("channel", "re", "im"))).alias("c")).filter(F.size("c") == 8)
     return per.select("cpi", F.arrow_udf(_npy, returnType="binary")("c.re", "c.im").alias("content"))
 

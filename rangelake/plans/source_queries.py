@@ -217,7 +217,7 @@ def tlv_range_doppler(spark, sf):
 FROM embeddings, (SELECT unnest(range(0, 32)) AS i) WHERE vec_id // 16 IN (SELECT vec_id // 16 FROM embeddings GROUP BY 1 HAVING COUNT(DISTINCT vec_id % 8) = 8) GROUP BY 1, 2 HAVING ref_re IS NOT NULL""")
 def iq_file_pairs(spark, sf):
     out = iqfiles.decode_iq(sa.iq_files(spark, sf))
-    return out.select("cpi", F.posexplode(F.arrays_zip("ref_re", "surv_im")).alias("n", "z")).select("cpi", F.col("n").cast("long"), rnd("z.ref_re", 6).alias("ref_re"), rnd("z.surv_im", 6).alias("surv_im"))
+    return out.select("cpi", F.posexplode(F.arrays_zip("ref_re", "surv_im")).alias("n", "z")).filter("z.ref_re IS NOT NULL").select("cpi", F.col("n").cast("long"), rnd("z.ref_re", 6).alias("ref_re"), rnd("z.surv_im", 6).alias("surv_im"))
 
 
 # --- tracking ------------------------------------------------------------------------

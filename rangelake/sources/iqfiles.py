@@ -12,19 +12,27 @@ from pyspark.sql import functions as F
 
 # Rows of the reference and the surveillance channel.
 REFERENCE_ROW, SURVEILLANCE_ROW = 3, 6
+# A sample that was not recorded: a NaN of its own, told by its bits from one that was measured.
+NOT_RECORDED = np.array(0x7FF80000000007A2, np.uint64).view(np.float64)
+
+
+def _samples(part: np.ndarray) -> pa.Array:
+    """One row of samples."""
+    values = np.ascontiguousarray(part, float)
+    gone = values.view(np.uint64) == NOT_RECORDED.view(np.uint64)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, mask=gone))
 
 
 def decode_iq(files: DataFrame, ref: int = REFERENCE_ROW, surv: int = SURVEILLANCE_ROW) -> DataFrame:
-    """Array files (cpi, content) to pair rows: cpi, ref_re, ref_im, surv_re, surv_im."""
+    """Array files (cpi, content) to pair rows: cpi, ref_re, ref_im, surv_re, surv_im; samples marked as not recorded are NULL."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.float64())
         for batch in batches:
             for cpi, content in zip(batch["cpi"].to_pylist(), batch["content"].to_pylist()):
                 iq = np.load(io.BytesIO(content), allow_pickle=False)
                 cols = [iq[row].real if part == "re" else iq[row].imag for row in (ref, surv) for part in ("re", "im")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([cpi], pa.int64()), *[pa.array([np.asarray(c, float)], kind) for c in cols]],
+                    [pa.array([cpi], pa.int64()), *map(_samples, cols)],
                     names=["cpi", "ref_re", "ref_im", "surv_re", "surv_im"],
                 )
 
