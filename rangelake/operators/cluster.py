@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangelake.operators.ordered import ROWS_PER_TASK, join_keys, oversized, with_position
-from rangelake.operators.timealign import asof_nearest
 from rangelake.session import cut_lineage
 
 # Radius of the squared metric and size smoothing factor.
@@ -381,6 +380,118 @@ def cluster_objects(
     )
 
 
+#: Pairs of clusters that are compared at a time; frames with more previous clusters go through a grid.
+_PAIRS_AT_ONCE, _GRID_FROM = 4_000_000, 256
+
+
+def _any_within(x: np.ndarray, y: np.ndarray, start: np.ndarray, count: np.ndarray, px: np.ndarray, py: np.ndarray, eps: float) -> np.ndarray:
+    """For each point whether one of the ``count`` others from ``start`` on is nearer than ``eps``."""
+    out, ends, low = np.zeros(len(x), bool), np.cumsum(count), 0
+    while low < len(x):
+        done = ends[low] - count[low]
+        high = max(low + 1, int(np.searchsorted(ends, done + _PAIRS_AT_ONCE, "right")))
+        own = count[low:high]
+        row = np.repeat(np.arange(low, high), own)
+        at = np.arange(len(row)) + np.repeat(start[low:high] - (ends[low:high] - own - done), own)
+        dx, dy = x[row] - px[at], y[row] - py[at]
+        out[row[dx * dx + dy * dy < eps * eps]] = True
+        low = high
+    return out
+
+
+def _near_any(frame: np.ndarray, x: np.ndarray, y: np.ndarray, cuts: np.ndarray, px: np.ndarray, py: np.ndarray, eps: float) -> np.ndarray:
+    """For each point whether a previous one of its frame is nearer than ``eps``; those of frame k lie from ``cuts[k]`` on."""
+    start, count = cuts[frame], np.diff(cuts)[frame]
+    few = count <= _GRID_FROM
+    near = np.zeros(len(x), bool)
+    near[few] = _any_within(x[few], y[few], start[few], count[few], px, py, eps)
+    for k in np.unique(frame[~few]):
+        there = [v[cuts[k] : cuts[k + 1]] for v in (px, py)]
+        there = [v[np.isfinite(there[0]) & np.isfinite(there[1])] for v in there]
+        here = np.flatnonzero((frame == k) & np.isfinite(x) & np.isfinite(y))
+        if not len(there[0]) or not len(here):
+            continue
+        # cells by column and row; the three cells of a column that are around a point lie side by side
+        columns, cx = np.unique(np.floor(there[0] / eps), return_inverse=True)
+        order = np.lexsort((np.floor(there[1] / eps), cx))
+        qx, qy = (v[order] for v in there)
+        rows, first = np.floor(qy / eps), np.searchsorted(cx[order], np.arange(len(columns) + 1))
+        gx, gy = np.floor(x[here] / eps), np.floor(y[here] / eps)
+        for step in (-1, 0, 1):
+            c = np.searchsorted(columns, gx + step)
+            met = np.flatnonzero((c < len(columns)) & (columns[np.minimum(c, len(columns) - 1)] == gx + step))
+            for column in np.unique(c[met]):
+                own = met[c[met] == column]
+                low, high = first[column], first[column + 1]
+                a = low + np.searchsorted(rows[low:high], gy[own] - 1, "left")
+                b = low + np.searchsorted(rows[low:high], gy[own] + 1, "right")
+                near[here[own]] |= _any_within(x[here[own]], y[here[own]], a, b - a, qx, qy, eps)
+    return near
+
+
+def _carried(eps: float, v_factor: float, known: pa.Array, *lists: pa.Array) -> pa.Array:
+    """For the clusters of many frames, side by side, their place in the frame and the label they carry on (NULL: a new one).
+
+    ``lists`` are label, x, y, velocity of the clusters, then of the previous ones. A frame without a key (not ``known``) has no previous one.
+    """
+    cuts = [x.offsets.to_numpy().astype(np.int64) for x in (lists[0], lists[4])]
+    cuts = [c - c[0] for c in cuts]
+    frame, before = (np.repeat(np.arange(len(c) - 1), np.diff(c)) for c in cuts)
+    flat = [x.flatten() for x in lists]
+    (label, x, y, v), (old, px, py, pv) = ([f.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) if i % 4 else f.fill_null(0).to_numpy() for i, f in enumerate(flat[k : k + 4])] for k in (0, 4))
+    named, old_named = (flat[k].is_valid().to_numpy(zero_copy_only=False) for k in (0, 4))
+
+    # all on one axis: what came before (equal velocities in falling order of label), the cluster, what comes after
+    some, mine = np.flatnonzero(~np.isnan(pv)), np.arange(len(v))
+    side = np.repeat([0, 1, 2], [len(some), len(v), len(some)])
+    at = np.concatenate([some, mine, some])
+    rank = np.concatenate([-old[some], np.zeros(len(v), old.dtype), old[some]])
+    ranked = np.concatenate([old_named[some], np.ones(len(v), bool), old_named[some]])
+    axis = np.concatenate([before[some], frame, before[some]])
+    order = np.lexsort((rank, ranked, side, np.concatenate([pv[some], v, pv[some]]), axis))
+    place, side, at, axis = np.arange(len(order)), side[order], at[order], axis[order]
+    own = np.flatnonzero(side == 1)
+    hits = []
+    for k, found in ((0, np.maximum.accumulate(np.where(side == 0, place, -1))), (2, np.minimum.accumulate(np.where(side == 2, place, len(order))[::-1])[::-1])):
+        there = np.clip(found[own], 0, max(len(order) - 1, 0))
+        hit = np.full(len(v), -1)
+        hit[at[own]] = np.where((side[there] == k) & (axis[there] == axis[own]), at[there], -1)
+        hits.append(hit)
+    if len(pv):
+        apart = [np.where(h >= 0, np.abs(pv[h] - v), np.nan) for h in hits]
+        hit = np.where((hits[1] < 0) | (apart[0] <= apart[1]), hits[0], hits[1])
+        passed = (hit >= 0) & (np.abs(v - pv[hit]) < np.minimum(v_factor, np.abs(v))) & named & known.to_numpy(zero_copy_only=False)[frame]
+    else:
+        hit, passed = np.full(len(v), -1), np.zeros(len(v), bool)
+
+    # clusters of one label share their place; a label that is carried goes to the lowest one
+    group = np.zeros(len(v), np.int64)
+    order = np.lexsort((label, named, frame))
+    group[order] = np.cumsum((np.diff(frame[order], prepend=-1) != 0) | (np.diff(label[order], prepend=0) != 0) | (np.diff(named[order].astype(int), prepend=-1) != 0)) - 1
+    asks = np.flatnonzero(np.isin(group, group[passed]))
+    there = np.zeros(len(v), bool)
+    there[group[asks[_near_any(frame[asks], x[asks], y[asks], cuts[1], px, py, eps)]]] = True
+    passed = np.flatnonzero(passed & there[group])
+    taken = old[hit[passed]], old_named[hit[passed]]
+    order = np.lexsort((label[passed], *taken, frame[passed]))
+    new = np.zeros(len(order), bool)
+    for key in (frame[passed], *taken):
+        new |= np.r_[True, np.diff(key[order].astype(np.int64)) != 0][: len(order)]
+    winner = order[new]
+    winner = winner[np.argsort(group[passed[winner]], kind="stable")]
+    won = np.bincount(group[passed[winner]], minlength=len(v))
+    size = np.maximum(won[group], 1)
+    row = np.repeat(mine, size)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    carried = won[group[row]] > 0
+    pick = winner[(np.cumsum(won) - won)[group[row[carried]]] + nth[carried]]
+    value, given = np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+    value[carried], given[carried] = taken[0][pick], taken[1][pick]
+    ends = np.concatenate([[0], np.cumsum(size)])[cuts[0]].astype(np.int32)
+    each = pa.StructArray.from_arrays([pa.array((row - cuts[0][frame[row]]).astype(np.int32)), pa.array(value, mask=~given)], names=["at", "prev"])
+    return pa.ListArray.from_arrays(pa.array(ends), each)
+
+
 def associate_clusters(
     new: DataFrame, previous: DataFrame, by: Sequence[str], eps: float, v_factor: float
 ) -> DataFrame:
@@ -389,27 +500,29 @@ def associate_clusters(
 
     The previous cluster of nearest velocity is taken if it is nearer than the smaller of
     ``v_factor`` and the cluster's own speed and some previous cluster lies within ``eps``;
-    each previous cluster is taken once, by the lowest new label. Nearest velocity is an
-    as-of join and the location gate a grid join, so clusters are never paired all with all.
+    each previous cluster is taken once, by the lowest new label. A sensor's frame has a bounded
+    number of clusters, so both sides of a frame meet as arrays in one grouping, and a kernel goes
+    over many frames at a time. Where the tables come by a part of ``by``, nothing is sent again.
     """
     by = list(by)
-    cand = asof_nearest(
-        new, previous.select(*by, "avg_velocity", F.col("cluster_label").alias("label")), by, ts="avg_velocity", rid="label", prefix="p_"
-    )
-    cell = lambda c: F.floor(c / eps).cast("long")
-    here = new.select(*by, "cluster_label", F.col("center")[0].alias("_x"), F.col("center")[1].alias("_y"))
-    asks = here.withColumns({"_gx": F.explode(F.sequence(cell(F.col("_x")) - 1, cell(F.col("_x")) + 1))}).withColumn(
-        "_gy", F.explode(F.sequence(cell(F.col("_y")) - 1, cell(F.col("_y")) + 1))
-    )
-    old = previous.select(
-        *by, F.col("center")[0].alias("_ox"), F.col("center")[1].alias("_oy"),
-        cell(F.col("center")[0]).alias("_gx"), cell(F.col("center")[1]).alias("_gy"),
-    )
-    dx, dy = F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")
-    near = asks.join(old, [*by, "_gx", "_gy"]).filter(dx * dx + dy * dy < eps * eps).select(*by, "cluster_label").distinct()
-    gate = F.least(F.lit(v_factor), F.abs(F.col("avg_velocity")))
-    passed = cand.filter(F.abs(F.col("avg_velocity") - F.col("p_avg_velocity")) < gate).join(near, [*by, "cluster_label"], "left_semi")
-    taken = passed.groupBy(*by, "p_label").agg(F.min("cluster_label").alias("cluster_label"))
-    out = new.join(taken.withColumnRenamed("p_label", "prev_label"), [*by, "cluster_label"], "left")
+    rest = [c for c in new.columns if c not in by]
+    old = ["cluster_label", "center", "avg_velocity"]
+    both = new.select(*by, F.struct(*rest).alias("_n"), F.lit(None).cast(previous.select(F.struct(*old).alias("s")).schema["s"].dataType).alias("_p"))
+    both = both.union(previous.select(*by, F.lit(None).cast(both.schema["_n"].dataType), F.struct(*old)))
+    frames = both.groupBy(*by).agg(F.collect_list("_n").alias("_n"), F.collect_list("_p").alias("_p")).filter(F.size("_n") > 0)
+    axes = {"label": lambda t: t["cluster_label"].cast("long"), "x": lambda t: t["center"][0].cast("double"), "y": lambda t: t["center"][1].cast("double"), "v": lambda t: t["avg_velocity"].cast("double")}
+    numbers = [F.transform(c, axis) for c in ("_n", "_p") for axis in axes.values()]
+    whole = F.lit(True)
+    for k in by:
+        whole = whole & F.col(k).isNotNull()
+
+    def run(known: pa.Array, *lists: pa.Array) -> pa.Array:
+        return _carried(eps, v_factor, known, *lists)
+
+    kernel = F.arrow_udf(run, returnType="array<struct<at:int,prev:bigint>>")
+    each = frames.withColumn("_c", kernel(whole, *numbers)).select(*by, "_n", F.explode("_c").alias("_c"))
+    row = F.col("_n")[F.col("_c.at")]
+    named = each.select(*by, row.alias("_n"), F.col("_c.prev").cast(previous.schema["cluster_label"].dataType).alias("prev_label"))
+    out = named.select(*(F.col(c) if c in by else F.col(f"_n.{c}").alias(c) for c in new.columns), "prev_label")
     smooth = F.when(F.col("prev_label").isNotNull(), F.transform("size", lambda s: s * SIZE_SMOOTHING)).otherwise(F.col("size"))
     return out.withColumn("size", smooth)

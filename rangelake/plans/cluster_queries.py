@@ -78,12 +78,13 @@ g AS (SELECT * FROM q WHERE abs(vel - pv) < least(2.0, abs(vel)) AND EXISTS (SEL
 t AS (SELECT sensor, frame_no, pl, MIN(label) AS label FROM g GROUP BY 1, 2, 3)
 SELECT c.sensor, c.frame_no, c.label AS cluster_label, t.pl AS prev_label FROM c LEFT JOIN t ON t.sensor = c.sensor AND t.frame_no = c.frame_no AND t.label = c.label""")
 def associated_clusters(spark, sf):
-    li = ad.table(spark, sf, "lineitem")
-    c = li.groupBy("l_orderkey", "l_linenumber").agg(
+    # the orders of a sensor are dealt out once; clusters and both frames that meet stay where they are
+    li = ad.table(spark, sf, "lineitem").withColumn("sensor", F.expr("l_orderkey div 50")).repartition("sensor")
+    c = li.groupBy("sensor", "l_orderkey", "l_linenumber").agg(
         F.avg(F.col("l_quantity").cast("double")).alias("x"), F.avg(F.col("l_extendedprice").cast("double") / 2000).alias("y"),
         F.avg(F.col("l_discount").cast("double")).alias("d"),
     ).select(
-        F.expr("l_orderkey div 50").alias("sensor"), (F.col("l_orderkey") % 50).alias("frame_no"), F.col("l_linenumber").cast("long").alias("cluster_label"),
+        "sensor", (F.col("l_orderkey") % 50).alias("frame_no"), F.col("l_linenumber").cast("long").alias("cluster_label"),
         F.array("x", "y").alias("center"), F.array(F.lit(1.0), F.lit(2.0)).alias("size"), (F.col("d") * 100 - 5 + F.col("l_linenumber") * 0.001).alias("avg_velocity"),
     )
     prev = c.withColumn("frame_no", F.col("frame_no") + 1)
