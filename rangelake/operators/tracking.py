@@ -44,33 +44,38 @@ def spherical(s: Column) -> Column:
     return F.array(r, F.atan2(x, y), F.coalesce(F.try_divide(x * vx + y * vy, r), F.lit(0.0)))
 
 
+_Known = tuple[np.ndarray, np.ndarray]
+
+
+def ahead(dt: float, s_value: np.ndarray, s_known: np.ndarray, p_value: np.ndarray, p_known: np.ndarray, v_value: np.ndarray, v_known: np.ndarray) -> tuple[list[_Known], list[_Known]]:
+    """State and covariance one frame ahead, number by number with whether it is known; ``s`` is (6, tracks), ``p`` (36, tracks)."""
+    power = np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
+    move, push = np.kron(power, np.eye(2)), np.kron(np.outer([dt * dt / 2, dt, 1], [dt * dt / 2, dt, 1]), np.eye(2))
+
+    def total(terms: list[tuple[float, np.ndarray, np.ndarray]]) -> _Known:
+        out, known = np.zeros(len(v_value)), np.ones(len(v_value), bool)
+        for weight, value, valid in terms:
+            if weight:
+                out, known = out + value * float(weight), known & valid
+        return out, known
+
+    moved = [total([(move[i, k], s_value[k], s_known[k]) for k in range(6)]) for i in range(6)]
+    cov = [[total([(move[i, k] * move[j, m], p_value[6 * k + m], p_known[6 * k + m]) for k in range(6) for m in range(6)] + [(push[i, j], v_value, v_known)]) for j in range(6)] for i in range(6)]
+    return moved, [((cov[i][j][0] + cov[j][i][0]) / 2, cov[i][j][1] & cov[j][i][1]) for i in range(6) for j in range(6)]
+
+
 def predict(tracks: DataFrame, dt: float) -> DataFrame:
     """``s`` and ``p`` one frame ahead under constant acceleration, and ``h``: range, angle, radial velocity.
 
     p becomes F p F' + variance Q, made symmetric. Tracks without variance keep both. A kernel adds the terms up one after the other:
     as columns they are some hundreds, whose planning in every frame took longer than their work.
     """
-    power = np.array([[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]])
-    move, push = np.kron(power, np.eye(2)), np.kron(np.outer([dt * dt / 2, dt, 1], [dt * dt / 2, dt, 1]), np.eye(2))
-
     def run(s: pa.Array, p: pa.Array, variance: pa.Array) -> pa.Array:
         # a number and whether it is known (not NULL), side by side
         parts = lambda x, size: [np.ascontiguousarray(c.reshape(len(s), size).T) for c in (x.to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False))]
-        (s_value, s_known), (p_value, p_known) = parts(s.flatten(), 6), parts(p.flatten(), 36)
-        v_value, v_known = variance.to_numpy(zero_copy_only=False), variance.is_valid().to_numpy(zero_copy_only=False)
-
-        def total(terms: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            out, known = np.zeros(len(s)), np.ones(len(s), bool)
-            for weight, value, valid in terms:
-                if weight:
-                    out, known = out + value * float(weight), known & valid
-            return out, known
-
-        ahead = [total([(move[i, k], s_value[k], s_known[k]) for k in range(6)]) for i in range(6)]
-        cov = [[total([(move[i, k] * move[j, m], p_value[6 * k + m], p_known[6 * k + m]) for k in range(6) for m in range(6)] + [(push[i, j], v_value, v_known)]) for j in range(6)] for i in range(6)]
-        even = [((cov[i][j][0] + cov[j][i][0]) / 2, cov[i][j][1] & cov[j][i][1]) for i in range(6) for j in range(6)]
+        known = variance.is_valid().to_numpy(zero_copy_only=False)
         made = []
-        for cells in (ahead, even):
+        for cells in ahead(dt, *parts(s.flatten(), 6), *parts(p.flatten(), 36), variance.to_numpy(zero_copy_only=False), known):
             flat = pa.array(np.stack([c for c, _ in cells], 1).ravel(), mask=~np.stack([k for _, k in cells], 1).ravel())
             made.append(pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(cells)), flat))
         return pa.StructArray.from_arrays(made, names=["s", "p"])
@@ -126,15 +131,9 @@ def associate(points: DataFrame, predicted: DataFrame, by: Sequence[str]) -> Dat
     return best.withColumns({"uid": F.get("_uids", F.col("_b.at")), "score": F.col("_b.score")}).drop("_t", "_uids", "_b")
 
 
-def _best(r: pa.Array, angle: pa.Array, doppler: pa.Array, tracks: pa.Array) -> pa.Array:
-    """Place and score of the track whose gate holds each point with the least score (a missing one is least, NaN most), the earlier of equals."""
-    cuts = tracks.offsets.to_numpy().astype(np.int64)
-    flat = tracks.flatten()
-    known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, 14)
-    t = flat.to_numpy(zero_copy_only=False).reshape(-1, 14)
-    cuts = (cuts - cuts[0]) // 14
-    row = np.repeat(np.arange(len(r)), np.diff(cuts))
-    d = [x.to_numpy(zero_copy_only=False)[row] - t[:, i] for i, x in enumerate((r, angle, doppler))]
+def judged(axes: list[np.ndarray], row: np.ndarray, t: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of a point (``row``) and a track's 14 numbers ``t``, in order: the best pair of each point that a gate holds, its point, score and rank."""
+    d = [x[row] - t[:, i] for i, x in enumerate(axes)]
     chi2 = np.zeros(len(row))
     for i in range(3):
         for j in range(3):
@@ -145,11 +144,22 @@ def _best(r: pa.Array, angle: pa.Array, doppler: pa.Array, tracks: pa.Array) ->
     rank = np.where(known[fits, 12], np.where(np.isnan(score), 2, 1), 0)
     order = np.lexsort((np.where(rank == 1, score, 0.0), rank, row[fits]))
     first = order[np.diff(row[fits][order], prepend=-1) != 0]
+    return fits[first], row[fits][first], score[first], rank[first]
+
+
+def _best(r: pa.Array, angle: pa.Array, doppler: pa.Array, tracks: pa.Array) -> pa.Array:
+    """Place and score of the track whose gate holds each point with the least score (a missing one is least, NaN most), the earlier of equals."""
+    cuts = tracks.offsets.to_numpy().astype(np.int64)
+    flat = tracks.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, 14)
+    t = flat.to_numpy(zero_copy_only=False).reshape(-1, 14)
+    cuts = (cuts - cuts[0]) // 14
+    row = np.repeat(np.arange(len(r)), np.diff(cuts))
+    first, own, score, rank = judged([x.to_numpy(zero_copy_only=False) for x in (r, angle, doppler)], row, t, known)
     at, best, none = np.zeros(len(r), np.int32), np.zeros(len(r)), np.ones(len(r), bool)
-    own = row[fits][first]
-    at[own], best[own], none[own] = fits[first] - cuts[own], score[first], False
+    at[own], best[own], none[own] = first - cuts[own], score, False
     blank = none.copy()
-    blank[own] = rank[first] == 0
+    blank[own] = rank == 0
     return pa.StructArray.from_arrays([pa.array(at, mask=none), pa.array(best, mask=blank)], names=["at", "score"])
 
 
@@ -170,6 +180,28 @@ def smooth_spread(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns({"seen": seen, "spread": F.when(F.col("n") > MIN_SPREAD_POINTS, moved).otherwise(F.col("spread"))})
 
 
+def corrected(s: np.ndarray, p: np.ndarray, h: np.ndarray, mean: np.ndarray, spread: np.ndarray, n: np.ndarray, length_std: float, width_std: float, doppler_std: float) -> list[np.ndarray]:
+    """s, p, group covariance, its inverse and the logarithm of its determinant after the correction; matrices go in as matrices and come as rows."""
+    rows = len(s)
+    x, y, vx, vy = s[:, :4].T
+    r = np.hypot(x, y)
+    turn = (vx * y - vy * x) / r**3
+    j = np.zeros((rows, 3, 6))
+    j[:, 0, 0], j[:, 0, 1] = x / r, y / r
+    j[:, 1, 0], j[:, 1, 1] = y / r**2, -x / r**2
+    j[:, 2, :4] = np.stack([y * turn, -x * turn, x / r, y / r], 1)
+    noise = np.zeros((rows, 3, 3))
+    noise[:, 0, 0], noise[:, 2, 2] = length_std**2, doppler_std**2
+    noise[:, 1, 1] = (2 * np.arctan(0.5 * width_std / h[:, 0])) ** 2
+    few = np.where(n > EST_POINTS, 0.0, (EST_POINTS - n) / ((EST_POINTS - 1) * n))
+    centre = noise / n[:, None, None] + few[:, None, None] * spread * np.eye(3)
+    cross = p @ j.swapaxes(1, 2)
+    inner = j @ cross
+    gain = cross @ np.linalg.inv(inner + centre)
+    group = inner + noise + spread
+    return [s + (gain @ (mean - h)[:, :, None])[:, :, 0], (p - gain @ cross.swapaxes(1, 2)).reshape(rows, 36), group.reshape(rows, 9), np.linalg.inv(group).reshape(rows, 9), np.log(np.linalg.det(group))]
+
+
 def correct(tracks: DataFrame, length_std: float = 0.289, width_std: float = 0.289, doppler_std: float = 1.0) -> DataFrame:
     """Extended Kalman correction of predicted tracks (s, p, h) by ``mean`` of ``n`` points with ``spread``.
 
@@ -181,24 +213,8 @@ def correct(tracks: DataFrame, length_std: float = 0.289, width_std: float = 0.2
         size = lambda x, *shape: np.asarray(_lists(x), float).reshape(rows, *shape)
         s, p, h, mean, spread = size(s, 6), size(p, 6, 6), size(h, 3), size(mean, 3), size(spread, 3, 3)
         n = n.to_numpy(zero_copy_only=False).astype(float)
-        x, y, vx, vy = s[:, :4].T
-        r = np.hypot(x, y)
-        turn = (vx * y - vy * x) / r**3
-        j = np.zeros((rows, 3, 6))
-        j[:, 0, 0], j[:, 0, 1] = x / r, y / r
-        j[:, 1, 0], j[:, 1, 1] = y / r**2, -x / r**2
-        j[:, 2, :4] = np.stack([y * turn, -x * turn, x / r, y / r], 1)
-        noise = np.zeros((rows, 3, 3))
-        noise[:, 0, 0], noise[:, 2, 2] = length_std**2, doppler_std**2
-        noise[:, 1, 1] = (2 * np.arctan(0.5 * width_std / h[:, 0])) ** 2
-        few = np.where(n > EST_POINTS, 0.0, (EST_POINTS - n) / ((EST_POINTS - 1) * n))
-        centre = noise / n[:, None, None] + few[:, None, None] * spread * np.eye(3)
-        cross = p @ j.swapaxes(1, 2)
-        inner = j @ cross
-        gain = cross @ np.linalg.inv(inner + centre)
-        group = inner + noise + spread
-        parts = [s + (gain @ (mean - h)[:, :, None])[:, :, 0], (p - gain @ cross.swapaxes(1, 2)).reshape(rows, 36), group.reshape(rows, 9), np.linalg.inv(group).reshape(rows, 9)]
-        return pa.StructArray.from_arrays([*(_pack(x) for x in parts), pa.array(np.log(np.linalg.det(group)))], names=["s", "p", "c", "ec", "log_det"])
+        *parts, log_det = corrected(s, p, h, mean, spread, n, length_std, width_std, doppler_std)
+        return pa.StructArray.from_arrays([*(_pack(x) for x in parts), pa.array(log_det)], names=["s", "p", "c", "ec", "log_det"])
 
     kernel = F.arrow_udf(run, returnType="struct<s:array<double>,p:array<double>,c:array<double>,ec:array<double>,log_det:double>")
     done = tracks.withColumn("_k", kernel("s", "p", "h", "mean", "spread", "n"))

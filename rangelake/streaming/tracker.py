@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from rangelake.operators.allocation import TRACK, Tracker, track_frame
+from rangelake.operators.track_kernel import Recording
 from rangelake.operators.ordered import join_keys
 from rangelake.session import cut_lineage
 
@@ -60,9 +62,22 @@ def track_stream(points: DataFrame, table: TrackTable, how: Tracker = Tracker())
 
 
 def track_recording(points: DataFrame, table: TrackTable, how: Tracker = Tracker(), by_frames: int = 1) -> DataFrame:
-    """The same over a table of points, ``by_frames`` frames a batch: the report."""
-    numbered = cut_lineage(points.withColumn("_batch", F.floor((F.dense_rank().over(Window.partitionBy(*table.by).orderBy("frame_no")) - 1) / by_frames)))
-    last = numbered.agg(F.max("_batch")).first()[0]
+    """The same over a table of points, ``by_frames`` frames a batch: the report.
+
+    All frames are there, so the points of a sensor are dealt out once and sorted, and a kernel takes the sensors' frames one after
+    another; versions are what the report's rows at the end of a batch say.
+    """
+    axes = ["range", "angle", "doppler", "snr"]
+    own = points.select(*table.by, F.col("frame_no").cast("long").alias("frame_no"), "pid", *(F.col(a).cast("double").alias(a) for a in axes))
+    rows = own.repartition(*table.by).sortWithinPartitions(*table.by, "frame_no")
+    schema = StructType([*table.report_schema.fields, *StructType.fromDDL("_from long, _until long, epoch long, step long").fields])
+    by, arrow = table.by, to_arrow_schema(schema)
+    told = rows.mapInArrow(lambda batches: Recording(by, how, by_frames, arrow).run(batches), schema)
+    folder = f"{table.folder}/report"
+    told.write.mode("overwrite").option("compression", "zstd").partitionBy("epoch", "step").parquet(folder)
+    kept = table.spark.read.schema(schema).parquet(folder)
+    last = kept.agg(F.max("epoch")).first()[0]
     for n in range(0 if last is None else last + 1):
-        table.advance(numbered.filter(F.col("_batch") == n).drop("_batch"), n, how)
+        version = kept.filter((F.col("_from") <= n) & (F.col("_until") >= n) & (F.col("state") != "free")).select(*table.schema.names)
+        version.write.mode("overwrite").option("compression", "zstd").parquet(f"{table.folder}/version={n}")
     return table.report()
